@@ -87,5 +87,5 @@ def chat_digest(windows: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_windows, read back from the windows."""
     own = read_windows(windows).select("conv_id", "window", F.size("turns").alias("n"), F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("said"), F.array_join("learnt", "").alias("learnt"), "chars")
     conv = own.groupBy("conv_id").agg(F.sum("n").cast("long").alias("n_turns"), F.sum("chars").alias("formatted_chars"), F.count("*").alias("n_windows"), F.array_sort(F.collect_list(F.struct("window", "said", "learnt"))).alias("all"))
-    said, learnt = (F.array_join(F.transform("all", lambda w, k=k: w[k]), "") for k in ("said", "learnt"))
+    said, learnt = (F.array_join(F.col("all")[k], "") for k in ("said", "learnt"))
     return conv.select("conv_id", "n_turns", F.sha2(said, 256).alias("turns_sha256"), F.char_length(learnt).cast("long").alias("loss_chars"), F.sha2(learnt, 256).alias("loss_sha256"), "formatted_chars", "n_windows")

@@ -44,48 +44,49 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _sketches(k: int):
-    """A row for each document, and rows with the sorted high halves of all its shingles' hashes, for counting."""
+    """A row for each document: set size, signature, and the least hash of each min-hash slot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bag: list[np.ndarray] = []
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            out: dict[str, list] = {"doc_id": [], "n": [], "s1": [], "s2": [], "slots": []}
-            for row, s in _sets(batch, k):
+            size, s1, s2, slots = [], [], [], []
+            for _, s in _sets(batch, k):
                 x = mixed(s + np.uint64(len(s)))
                 slot = s & np.uint64(SLOTS - 1)
-                out["doc_id"].append(ids[row])
-                out["n"].append(len(s))
-                out["s1"].append(int(signed(x.sum(dtype=np.uint64).reshape(1))[0]))
-                out["s2"].append(int(signed(np.bitwise_xor.reduce(mixed(x ^ np.uint64(0x5BD1E995))).reshape(1))[0]) if len(s) else 0)
-                first = [(int(i), int(signed(s[i : i + 1])[0])) for i in (np.flatnonzero(slot == j)[:1] for j in range(SLOTS)) for i in i]
-                out["slots"].append([h for _, h in first])
-                bag.append((s >> np.uint64(32)).astype(np.uint32))
-            yield _row_batch(out)
-            if sum(map(len, bag)) > 4_000_000:
-                yield _blobs(bag)
-                bag = []
-        if bag:
-            yield _blobs(bag)
+                firsts = [i for j in range(SLOTS) for i in np.flatnonzero(slot == j)[:1]]
+                size.append(len(s))
+                s1.append(x.sum(dtype=np.uint64))
+                s2.append(np.bitwise_xor.reduce(mixed(x ^ np.uint64(0x5BD1E995))) if len(s) else np.uint64(0))
+                slots.append(signed(s[firsts]))
+            halves = [pa.array(signed(np.array(x, np.uint64))) for x in (s1, s2)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), *halves, pa.array(slots, pa.list_(pa.int64()))], ["doc_id", "n", "s1", "s2", "slots"])
 
     return run
 
 
-_SKETCH = "doc_id long, n long, s1 long, s2 long, slots array<long>, part int, blob binary"
-_SKETCH_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("slots", pa.list_(pa.int64())), ("part", pa.int32()), ("blob", pa.binary())])
+_BLOB = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
+
 
+def _halves(k: int):
+    """The sorted high halves of all shingles' hashes, for counting, as a blob for each of some ranges."""
 
-def _row_batch(out: dict[str, list]) -> pa.RecordBatch:
-    rows = len(out["doc_id"])
-    return pa.RecordBatch.from_pydict(out | {"part": [None] * rows, "blob": [None] * rows}, _SKETCH_ARROW)
+    def blobs(bag: list[np.ndarray]) -> pa.RecordBatch:
+        x = np.sort(np.concatenate(bag))
+        cut = np.searchsorted(x, np.arange(_RANGES + 1, dtype=np.uint64) << np.uint64(24))
+        parts = [i for i in range(_RANGES) if cut[i + 1] > cut[i]]
+        return pa.RecordBatch.from_pydict({"part": parts, "blob": [x[cut[i] : cut[i + 1]].tobytes() for i in parts]}, _BLOB)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bag: list[np.ndarray] = []
+        for batch in batches:
+            for _, s in _sets(batch, k):
+                bag.append((s >> np.uint64(32)).astype(np.uint32))
+            if sum(map(len, bag)) > 4_000_000:
+                yield blobs(bag)
+                bag = []
+        if bag:
+            yield blobs(bag)
 
-def _blobs(bag: list[np.ndarray]) -> pa.RecordBatch:
-    x = np.sort(np.concatenate(bag))
-    cut = np.searchsorted(x, np.arange(_RANGES + 1, dtype=np.uint64) << np.uint64(24))
-    parts = [i for i in range(_RANGES) if cut[i + 1] > cut[i]]
-    none = [None] * len(parts)
-    return pa.RecordBatch.from_pydict({"doc_id": none, "n": none, "s1": none, "s2": none, "slots": none, "part": parts, "blob": [x[cut[i] : cut[i + 1]].tobytes() for i in parts]}, _SKETCH_ARROW)
+    return run
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,8 +213,7 @@ def jaccard_classes(documents: DataFrame, k: int = 5, percent: int = 75) -> Data
     """
     documents = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     spark = documents.sparkSession
-    scan = stored(documents.mapInArrow(_sketches(k), _SKETCH))
-    docs = scan.where("part is null").drop("part", "blob")
+    docs = stored(documents.mapInArrow(_sketches(k), "doc_id long, n long, s1 long, s2 long, slots array<long>"))
 
     # 1. equal sets
     key = ["n", "s1", "s2"]
@@ -233,7 +233,7 @@ def jaccard_classes(documents: DataFrame, k: int = 5, percent: int = 75) -> Data
     kinds = stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
     # 3. lists
-    counts = scan.where("part is not null").select("part", "blob").repartition("part").sortWithinPartitions("part").mapInArrow(_counted, "h long, c long")
+    counts = documents.mapInArrow(_halves(k), "part int, blob binary").repartition("part").sortWithinPartitions("part").mapInArrow(_counted, "h long, c long")
     often = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).toPandas().sort_values("h")
     often = spark.sparkContext.broadcast((often["h"].to_numpy().astype(np.uint32), often["c"].to_numpy().astype(np.int64)))
     lists = documents.mapInArrow(_prefixes(k, percent, often), "token long, doc_id long, n int, place int")

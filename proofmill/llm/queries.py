@@ -6,16 +6,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from . import chat, quality, suffix_dedup, token_output
+from .common import stored, table
 from .ngram_join import jaccard_classes
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file lies; the operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"), k=5, percent=75)
 
 
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = stored(token_output.token_table(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1))
+    return token_output.token_digest(coded)
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["conv_id", "turn", "role", "text"]
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.chat_digest(chat.chat_windows(table(spark, sf_dir, "conversations").select(*columns).unionByName(extra), budget=512))
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.cut_repeats(table(spark, sf_dir, "documents"), length=200).drop("kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_jaccard": op1_ngram_jaccard}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_token_output, op3_quality_rules, op7_chat_formatting, op10_suffix_dedup)}
 
 
 _OP1 = r"""
