@@ -51,6 +51,12 @@ def with_ids(df: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame
     return df.join(F.broadcast(ids) if few else ids, column, "left_semi")
 
 
+def without_ids(df: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """Rows of df whose id isn't in ids (a small stored table), as with_ids; rows with a null id stay."""
+    few = ids.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, column, "left_anti")
+
+
 # ---------------------------------------------------------------- words and their hashes
 
 SPACE = np.zeros(256, bool)
@@ -131,15 +137,16 @@ def row_slices(at: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def hashed_words(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, hashes of its words) for every row, words being runs of other bytes than ASCII white space."""
+def hashed_words(column: pa.Array, fold: np.ndarray = LOWER) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, hashes of its words) for every row, words being runs of other bytes than ASCII white space, after bytes are
+    replaced by the table `fold`."""
     data, at = text_buffer(column)
     for a, b in row_slices(at):
         part, own = data[at[a] : at[b]], at[a : b + 1] - at[a]
         if b == a + 1 and len(part) > CHUNK:
-            yield a, _long_row(part, lower)
+            yield a, _long_row(fold[part])
             continue
-        part = LOWER[part] if lower else part
+        part = fold[part]
         start, end = word_spans(part, own)
         words = span(rolling(part), start, end) if len(start) else np.zeros(0, np.uint64)
         cut = np.searchsorted(start, own)
@@ -147,7 +154,7 @@ def hashed_words(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, np
             yield a + k, words[cut[k] : cut[k + 1]]
 
 
-def _long_row(data: np.ndarray, lower: bool) -> np.ndarray:
+def _long_row(data: np.ndarray) -> np.ndarray:
     """As hashed_words for one long row, in pieces that end at white space."""
     found, a = [], 0
     while a < len(data):
@@ -157,7 +164,7 @@ def _long_row(data: np.ndarray, lower: bool) -> np.ndarray:
         elif b < len(data):  # one word longer than a chunk
             rest = np.flatnonzero(SPACE[data[b:]])
             b = b + int(rest[0]) + 1 if len(rest) else len(data)
-        part = LOWER[data[a:b]] if lower else data[a:b]
+        part = data[a:b]
         start, end = word_spans(part, np.array([0, len(part)]))
         if len(start):
             powers(max(CHUNK, len(part)))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, quality, suffix_dedup, token_output
+from . import chat, decontaminate, langid, licenses, quality, sentencepiece_nbest, suffix_dedup, token_counts, token_output
 from .common import stored, table
 from .ngram_join import jaccard_classes
 
@@ -31,6 +31,18 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_nbest.encode_nbest(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), n=4).drop("ids")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=5, threshold=0.75)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_languages(table(spark, sf_dir, "documents"))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["conv_id", "turn", "role", "text"]
     said = "</s>[INST] ok [/INST]"
@@ -38,12 +50,24 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.chat_windows(table(spark, sf_dir, "conversations").select(*columns).unionByName(extra), budget=512))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(table(spark, sf_dir, "documents"), threshold=0.75)
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), token_counts.vocabulary(tokenizer_path("word_bpe_49k.json")))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.cut_repeats(table(spark, sf_dir, "documents"), length=200).drop("kept")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_token_output, op3_quality_rules, op7_chat_formatting, op10_suffix_dedup)}
+    found = (
+        op1_ngram_jaccard, op2_token_output, op3_quality_rules, op4_sentencepiece_nbest, op5_decontamination,
+        op6_language_id, op7_chat_formatting, op8_license_scan, op9_token_counts, op10_suffix_dedup,
+    )
+    return {f.__name__: f for f in found}
 
 
 _OP1 = r"""

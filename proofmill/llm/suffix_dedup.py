@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary_array, powers, rolling, signed, span, stored, text_buffer, with_ids
+from .common import binary_array, powers, rolling, signed, span, stored, text_buffer, with_ids, without_ids
 
 #: Bytes of a k-gram; bytes of text hashed at once; bytes of an index; different segments of one owner above which windows are counted instead.
 GRAM, PIECE, BLOCK, WIDE = 32, 1 << 20, 1 << 20, 20_000
@@ -272,3 +272,11 @@ def cut_repeats(documents: DataFrame, length: int = 200, wide: int = WIDE) -> Da
         "doc_id", "n_bytes", pick(F.col("n_bytes"), "n_removed", F.lit(0).cast("long")), pick(F.lit(1).cast("long"), "n_spans", F.lit(0).cast("long")),
         pick(F.sha2(F.lit(""), 256), "kept_sha256", F.col("sha")), F.when(F.col("gone"), "").otherwise(F.col("kept")).alias("kept"),
     )
+
+
+def cut_documents(documents: DataFrame, length: int = 200) -> DataFrame:
+    """documents with their repeats cut out of text and n_chars set anew; those of which only white space is left go."""
+    cut = stored(cut_repeats(documents, length).where("n_removed > 0").select("doc_id", "kept"))
+    kept = with_ids(documents.drop("text"), cut.select("doc_id")).join(cut.where("kept rlike '[^ \\\\t\\\\n\\\\r]'"), "doc_id")
+    kept = kept.select(*[F.col("kept").alias("text") if c == "text" else F.char_length("kept").cast("long").alias(c) if c == "n_chars" else c for c in documents.columns])
+    return without_ids(documents, cut.select("doc_id")).select(documents.columns).unionByName(kept)
