@@ -1,7 +1,7 @@
 """Suffix-array dedup: remove every byte that lies in a long string found elsewhere too.
 
 Each window of `length` bytes is owned by the k-gram of least hash in it (the leftmost such), so equal windows are owned
-by equal k-grams and meet under one key. Neighbouring windows with one owner make a segment. Segments that repeat whole
+by equal k-grams and meet under one key. A long k-gram keeps short common phrases from being keys. Neighbouring windows with one owner make a segment. Segments that repeat whole
 are settled by counting. What is left under an owner with several different segments goes, each segment once, into a
 run-length index: the suffix array's Burrows-Wheeler transform is compressed to runs, text positions and longest common
 prefixes are kept for the run ends only, and matching statistics against all other places of the index are streamed
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import binary_array, powers, rolling, signed, span, stored, text_buffer, with_ids, without_ids
 
 #: Bytes of a k-gram; bytes of text hashed at once; bytes of an index; different segments of one owner above which windows are counted instead.
-GRAM, PIECE, BLOCK, WIDE = 32, 1 << 20, 1 << 20, 20_000
+GRAM, PIECE, BLOCK, WIDE = 96, 1 << 20, 1 << 20, 8_000
 _POS = np.uint64((1 << 24) - 1)
 
 
