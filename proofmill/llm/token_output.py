@@ -10,7 +10,9 @@ The table has a row per document, ordered by doc_id within and across its shards
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import binary_array, stored
+from .token_counts import byte_letters
 from .words import WordMemory
 
 BLOCK = 256
@@ -29,26 +32,37 @@ _ORDER = [*range(14), ESCAPE]
 
 
 def encode(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words, first word of each block) of ids (uint64), whose blocks begin at starts."""
+    """(words, first word of each block) of ids (uint64), whose blocks of up to BLOCK ids begin at starts."""
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(starts), np.int64)
-    ends = np.append(starts[1:], n)
-    end_of = np.repeat(ends, ends - starts)
-    at = np.arange(n)
-    choice = np.full(n, ESCAPE, np.int8)
-    open_ = np.ones(n, bool)
-    for s in _ORDER[:-1]:
-        bad = np.where(ids >> np.uint64(WIDTHS[s]) > 0, at, n)
-        if bad.min() == n:
-            fits = open_
-        else:
-            following = np.minimum.accumulate(bad[::-1])[::-1]
-            fits = open_ & (following >= np.minimum(at + COUNTS[s], end_of))
-        choice[fits] = s
-        open_ &= ~fits
+    sizes = np.diff(np.append(starts, n))
+    across = BLOCK + int(COUNTS[0])  # a row for each block, with zeros behind: they fit any selector and aren't read back
+    grid = np.zeros((len(starts), across), np.uint64)
+    grid[:, :BLOCK][np.arange(BLOCK) < sizes[:, None]] = ids
+    width = np.zeros(grid.shape, np.uint8)
+    for w in range(1, 61):
+        over = grid >> np.uint64(w - 1) > 0
+        if not over.any():
+            break
+        width += over
+    width[grid >> np.uint64(60) > 0] = 64
+    spread = {1: width}  # greatest width of so many ids from here on
+    while max(spread) * 2 <= COUNTS[0]:
+        h = max(spread)
+        wider = spread[h].copy()
+        np.maximum(wider[:, :-h], spread[h][:, h:], out=wider[:, :-h])
+        spread[2 * h] = wider
+    choice = np.full(grid.shape, ESCAPE, np.uint8)
+    for s in _ORDER[-2::-1]:
+        k = int(COUNTS[s])
+        h = max(x for x in spread if x <= k)
+        fits = np.maximum(spread[h][:, :BLOCK], spread[h][:, k - h : k - h + BLOCK]) <= WIDTHS[s]
+        choice[:, :BLOCK][fits] = s
+    choice, flat = choice.reshape(-1), grid.reshape(-1)
     found = []
-    pos, end = starts[ends > starts], ends[ends > starts]
+    pos = np.flatnonzero(sizes) * across
+    end = pos + sizes[sizes > 0]
     while len(pos):  # one word of every block that goes on
         found.append(pos)
         pos = pos + COUNTS[choice[pos]]
@@ -61,14 +75,14 @@ def encode(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     words = np.zeros(int(room.sum()), np.uint64)
     for s in _ORDER[:-1]:
         if len(mine := np.flatnonzero(pick == s)):
-            j = np.arange(COUNTS[s])
-            where = first[mine][:, None] + j
-            part = np.where(where < end_of[first[mine]][:, None], ids[np.minimum(where, n - 1)], np.uint64(0))
-            words[slot[mine]] = np.bitwise_or.reduce(part << (j * WIDTHS[s]).astype(np.uint64), axis=1) | np.uint64(s << 60)
+            word = np.full(len(mine), s << 60, np.uint64)
+            for j in range(COUNTS[s]):
+                word |= flat[first[mine] + j] << np.uint64(j * WIDTHS[s])
+            words[slot[mine]] = word
     if len(mine := np.flatnonzero(pick == ESCAPE)):
         words[slot[mine]] = np.uint64(ESCAPE << 60)
-        words[slot[mine] + 1] = ids[first[mine]]
-    return words, np.append(slot, len(words))[np.searchsorted(first, starts)]
+        words[slot[mine] + 1] = flat[first[mine]]
+    return words, np.append(slot, len(words))[np.searchsorted(first, np.arange(len(starts)) * across)]
 
 
 def decode(words: np.ndarray, offsets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -116,20 +130,46 @@ def block_starts(sizes: np.ndarray) -> np.ndarray:
 
 
 _memory: dict[str, WordMemory] = {}
+#: A word of Latin letters between signs. The tokenizer parts letters from signs; an apostrophe before letters is another matter.
+_SIMPLE = re.compile(r"([!-&(-/:-@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+_LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
+#: Words and their parts that are remembered, at about 200 bytes each.
+WORDS, PARTS = 250_000, 900_000
 
 
 def word_ids(path: str) -> WordMemory:
-    """Ids of words (little-endian 32 bit) by a tokenizer that never joins over ASCII white space."""
+    """Ids of words (little-endian 32 bit) by a tokenizer that takes no account of case, parts letters from signs and never
+    joins over ASCII white space."""
     if path not in _memory:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
+        model, letters = tokenizer.model, {b: c for c, b in byte_letters().items()}
+        table = str.maketrans({chr(b): letters[b] for b in range(256)})
 
-        def work(words: list[bytes]) -> list[bytes]:
-            return [np.array(x.ids, np.uint32).tobytes() for x in tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        def one(part: str) -> bytes:
+            if part[0].isalpha() and _LETTERS.fullmatch(part):  # lower case and one run of letters: nothing to normalise or to part
+                return array("I", [t.id for t in model.tokenize(part.encode().decode("latin-1").translate(table))]).tobytes()
+            return array("I", tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
 
-        _memory[path] = WordMemory(work)
+        parts = WordMemory(lambda texts: map(one, texts), PARTS)
+
+        def work(words: list[bytes]) -> list[bytes]:
+            split = []
+            for word in words:
+                text = word.decode()
+                m = _SIMPLE.fullmatch(text)
+                if not m or "<" in m[1]:
+                    split.append((text,))
+                elif m[1] or m[3]:
+                    split.append((m[1], m[2].lower(), m[3]))
+                else:
+                    split.append((m[2].lower(),))
+            parts.know(p for s in split for p in s if p)
+            return [b"".join([parts[p] for p in s if p]) for s in split]
+
+        _memory[path] = WordMemory(work, WORDS)
     return _memory[path]
 
 

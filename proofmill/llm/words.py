@@ -8,11 +8,11 @@ from collections.abc import Callable, Iterable
 class WordMemory(dict):
     """Word to value. `fill` works out many words at once; beyond `most` words it starts afresh, which costs time only."""
 
-    def __init__(self, fill: Callable[[list[bytes]], Iterable], most: int = 500_000):
+    def __init__(self, fill: Callable[[list], Iterable], most: int = 500_000):
         super().__init__()
         self.work, self.most = fill, most
 
-    def know(self, words: Iterable[bytes]) -> None:
+    def know(self, words: Iterable) -> None:
         """Afterwards all of these words are in the memory."""
         words = set(words)
         new = list(words.difference(self))
