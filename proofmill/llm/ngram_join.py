@@ -31,6 +31,8 @@ SLOTS, PIVOTS, AGREE = 8, 2, 3
 #: The prefix order puts at most so many of the most frequent shingles last (2 MB for each task); any choice gives the same links.
 FREQUENT, OFTEN = 1 << 18, 8
 _RANGES = 256
+#: Groups of shingles by hash; what two sets' counts by group have in common bounds their overlap from above.
+GROUPS = 256
 
 
 def need(total, pct: int):
@@ -44,11 +46,12 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _sketches(k: int):
-    """A row for each document: set size, signature, and the least hash of each min-hash slot."""
+    """A row for each document: set size, signature, the least hash of each min-hash slot, and how its elements spread over
+    GROUPS groups by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, s1, s2, slots = [], [], [], []
+            size, s1, s2, slots, spread = [], [], [], [], []
             for _, s in _sets(batch, k):
                 x = mixed(s + np.uint64(len(s)))
                 slot = s & np.uint64(SLOTS - 1)
@@ -57,8 +60,9 @@ def _sketches(k: int):
                 s1.append(x.sum(dtype=np.uint64))
                 s2.append(np.bitwise_xor.reduce(mixed(x ^ np.uint64(0x5BD1E995))) if len(s) else np.uint64(0))
                 slots.append(signed(s[firsts]))
+                spread.append(np.minimum(np.bincount((s >> np.uint64(8)) & np.uint64(GROUPS - 1), minlength=GROUPS), 0xFFFF).astype(np.uint16).tobytes())
             halves = [pa.array(signed(np.array(x, np.uint64))) for x in (s1, s2)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), *halves, pa.array(slots, pa.list_(pa.int64()))], ["doc_id", "n", "s1", "s2", "slots"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), *halves, pa.array(slots, pa.list_(pa.int64())), pa.array(spread, pa.binary())], ["doc_id", "n", "s1", "s2", "slots", "spread"])
 
     return run
 
@@ -194,11 +198,28 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array([int(o) for o, _ in found], pa.int64()), pa.array([t for _, t in found], pa.int64())], ["a", "b", "o", "total"])
 
 
-def verified(documents: DataFrame, pairs: DataFrame, k: int, pct: int) -> DataFrame:
-    """Of the pairs (a, b), a stored table, those that reach the threshold, from their whole sets."""
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+def _within(pct: int):
+    """Pairs whose overlap, as their counts by group bound it, may reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, GROUPS).astype(np.int64) for c in ("x", "y"))
+            total = batch.column("n").to_numpy() + batch.column("m").to_numpy()
+            full = (x == 0xFFFF).any(1) | (y == 0xFFFF).any(1)  # such counts may be higher
+            ok = pa.array(full | (np.minimum(x, y).sum(1) >= need(total, pct)))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b")], ["a", "b"])
+
+    return run
+
+
+def verified(documents: DataFrame, docs: DataFrame, pairs: DataFrame, k: int, pct: int) -> DataFrame:
+    """Of the pairs (a, b), a stored table, those that reach the threshold, from their whole sets. docs: the sketches."""
+    spread = docs.select("doc_id", "n", "spread")
+    near = pairs.join(spread.toDF("a", "n", "x"), "a").join(spread.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
+    near = stored(near.mapInArrow(_within(pct), "a long, b long"))
+    ids = stored(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     sets = stored(with_ids(documents, ids).mapInArrow(_set_rows(k), "doc_id long, elements binary"))
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y")), "b")
+    both = near.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     found = both.select("a", "b", "x", "y").mapInArrow(_overlaps, "a long, b long, o long, total long")
     return found.where(F.lit(100) * F.col("o") >= F.lit(pct) * (F.col("total") - F.col("o"))).select("a", "b")
 
@@ -213,7 +234,7 @@ def jaccard_classes(documents: DataFrame, k: int = 5, percent: int = 75) -> Data
     """
     documents = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     spark = documents.sparkSession
-    docs = stored(documents.mapInArrow(_sketches(k), "doc_id long, n long, s1 long, s2 long, slots array<long>"))
+    docs = stored(documents.mapInArrow(_sketches(k), "doc_id long, n long, s1 long, s2 long, slots array<long>, spread binary"))
 
     # 1. equal sets
     key = ["n", "s1", "s2"]
@@ -229,7 +250,7 @@ def jaccard_classes(documents: DataFrame, k: int = 5, percent: int = 75) -> Data
     best = Window.partitionBy("rep").orderBy(F.desc("c"), "pivot")
     near = near.withColumn("k", F.row_number().over(best)).where(F.col("k") <= PIVOTS)
     near = stored(near.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct())
-    links = verified(documents, near, k, percent)
+    links = verified(documents, docs, near, k, percent)
     kinds = stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
     # 3. lists
@@ -243,7 +264,7 @@ def jaccard_classes(documents: DataFrame, k: int = 5, percent: int = 75) -> Data
     shared = shared.join(rep_kind, "doc_id").withColumns({"lo": F.min("kind").over(in_list), "hi": F.max("kind").over(in_list)}).where("lo <> hi")
     cross = shared.select("token", "doc_id", "kind", "n", "place").repartition("token").sortWithinPartitions("token", "n", "doc_id")
     cross = stored(cross.mapInArrow(_crossing(percent), "a long, b long").distinct())
-    more = verified(documents, cross, k, percent)
+    more = verified(documents, docs, cross, k, percent)
 
     # 4. components of both
     joined = kinds.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))

@@ -8,6 +8,7 @@ word's number of pieces is a sum along one walk over its bytes.
 from __future__ import annotations
 
 import json
+import uuid
 from collections import deque
 from collections.abc import Iterator
 
@@ -80,22 +81,24 @@ class Automaton:
         return count.tolist()
 
 
-_memory: dict[int, WordMemory] = {}
+_memory: dict[str, WordMemory] = {}
 
 
 def _counted(shared):
+    key = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if shared.id not in _memory:
+        if key not in _memory:
             _memory.clear()
-            _memory[shared.id] = WordMemory(shared.value.counts)
-        memory = _memory[shared.id]
+            _memory[key] = WordMemory(shared.value.counts)
+        memory = _memory[key]
         for batch in batches:
             n_words, n_tokens = [], []
-            for text in batch.column("text").to_pylist():
-                words = (text or "").encode().lower().split()
-                memory.know(words)
-                n_words.append(len(words))
-                n_tokens.append(sum(map(memory.__getitem__, words)))
+            for a in range(0, batch.num_rows, 256):
+                split = [(text or "").encode().lower().split() for text in batch.column("text").slice(a, 256).to_pylist()]
+                memory.know(w for words in split for w in words)
+                n_words += map(len, split)
+                n_tokens += [sum(map(memory.__getitem__, words)) for words in split]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
     return run
