@@ -64,10 +64,13 @@ def license_matches(documents: DataFrame, threshold: float = 0.75) -> DataFrame:
     lines = F.split(text, "\n")
     sentences = F.flatten(F.transform(lines, lambda x: F.split(F.regexp_replace(x, "([.!?]) +", "$1\u0001"), "\u0001")))
     units = F.array_distinct(F.concat(F.array(text), lines, sentences))
-    df = documents.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.explode(units).alias("unit")).select("doc_id", _words(F.col("unit")).alias("w"))
+    # explode_outer, `when` and coalesce instead of filters, also implied ones: Spark would push those below the arrays and
+    # work them out anew for each element
+    df = documents.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.explode_outer(units).alias("unit")).select("doc_id", _words(F.col("unit")).alias("w"))
     pairs = F.array_distinct(F.transform(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, i: F.xxhash64(a, F.get("w", i + 1))))
-    df = df.where(F.size("w") > 1).select("doc_id", F.xxhash64("w").alias("unit"), pairs.alias("pairs"), F.size(pairs).alias("m")).where((F.col("m") >= least) & (F.col("m") <= most))
-    hits = df.select("doc_id", "unit", "m", F.explode("pairs").alias("pair")).join(F.broadcast(templates), "pair").distinct()
+    df = df.select("doc_id", F.xxhash64("w").alias("unit"), pairs.alias("pairs")).select("doc_id", "unit", "pairs", F.coalesce(F.size("pairs"), F.lit(0)).alias("m"))
+    near = F.when((F.col("m") >= least) & (F.col("m") <= most), F.col("pairs"))
+    hits = df.select("doc_id", "unit", "m", F.explode_outer(near).alias("pair")).join(F.broadcast(templates), "pair").distinct()
     hits = hits.where((F.col("m") >= F.col("n") * (threshold / (2 - threshold))) & (F.col("m") <= F.col("n") * ((2 - threshold) / threshold)))
     dice = hits.groupBy("doc_id", "unit", "m", "license", "template", "n").agg(F.count("*").alias("both")).withColumn("dice", F.lit(2.0) * F.col("both") / (F.col("m") + F.col("n")))
     found = dice.where(F.col("dice") >= threshold)

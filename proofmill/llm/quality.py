@@ -53,7 +53,8 @@ def ratio_weights(documents: DataFrame, trusted: DataFrame) -> list[float]:
     """ln p_target - ln p_raw of each bucket, over all documents; as many numbers as buckets."""
     marks = stored(trusted.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct().withColumn("trusted", F.lit(1)))
     marked = documents.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(marks) if marks.count() <= BROADCAST_IDS else marks, "doc_id", "left")
-    seen = marked.select("trusted", F.explode(buckets(words_of(F.col("text").cast("string")))).alias("b")).groupBy("b").agg(F.count("*").alias("raw"), F.count("trusted").alias("target"))
+    split = marked.select("trusted", words_of(F.col("text").cast("string")).alias("words"))  # a column, so that it is split once and not for each word
+    seen = split.select("trusted", F.explode_outer(buckets(F.col("words"))).alias("b")).where("b is not null").groupBy("b").agg(F.count("*").alias("raw"), F.count("trusted").alias("target"))
     spread = documents.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(seen, "b", "left").na.fill(0)
     total = spread.agg(F.sum("raw").alias("r"), F.sum("target").alias("t"))
     w = F.log((F.col("target") + SMOOTHING) / (F.col("t") + SMOOTHING * BUCKETS)) - F.log((F.col("raw") + SMOOTHING) / (F.col("r") + SMOOTHING * BUCKETS))
