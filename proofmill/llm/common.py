@@ -57,6 +57,15 @@ def without_ids(df: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFr
     return df.join(F.broadcast(ids) if few else ids, column, "left_anti")
 
 
+def one_per_id(documents: DataFrame) -> DataFrame:
+    """doc_id and text of documents. Rows with a null doc_id are left out; of rows with the same doc_id the least text counts.
+    Where no doc_id comes twice, which one aggregate over ids tells, texts aren't shuffled."""
+    docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
+    if not docs.groupBy("doc_id").count().where("count > 1").take(1):
+        return docs
+    return stored(docs.groupBy("doc_id").agg(F.min("text").alias("text")))
+
+
 # ---------------------------------------------------------------- words and their hashes
 
 SPACE = np.zeros(256, bool)

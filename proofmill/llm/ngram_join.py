@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import distinct, hashed_words, mixed, shingle_hashes, signed, stored, with_ids
+from .common import distinct, hashed_words, mixed, one_per_id, shingle_hashes, signed, stored, with_ids
 from .components import components
 
 #: Min-hash slots of a set; so many pivots at most are compared with it; slots that must agree before that.
@@ -229,10 +229,10 @@ def jaccard_classes(documents: DataFrame, k: int = 5, percent: int = 75) -> Data
 
     Words are lower-cased (A-Z) runs of anything but ASCII white space; a set is its distinct k-word shingles, or the
     whole sequence if there are fewer words. Null or blank texts have the empty set, link with nothing and are a
-    component of their own. doc_id is taken as unique; rows with a null doc_id are left out, repeated doc_ids count once.
-    Other columns are ignored. Sets are compared by 64-bit hashes of shingles.
+    component of their own. Rows with a null doc_id are left out; of rows with one doc_id the least text counts, once. No
+    rows give no rows. Other columns are ignored. Sets are compared by 64-bit hashes of shingles.
     """
-    documents = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
+    documents = one_per_id(documents)
     spark = documents.sparkSession
     docs = stored(documents.mapInArrow(_sketches(k), "doc_id long, n long, s1 long, s2 long, slots array<long>, spread binary"))
 

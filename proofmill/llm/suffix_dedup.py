@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary_array, powers, rolling, signed, span, stored, text_buffer, with_ids, without_ids
+from .common import binary_array, one_per_id, powers, rolling, signed, span, stored, text_buffer, with_ids, without_ids
 
 #: Bytes of a k-gram; bytes of text hashed at once; bytes of an index; different segments of one owner above which windows are counted instead.
 GRAM, PIECE, BLOCK, WIDE = 96, 1 << 20, 1 << 20, 8_000
@@ -258,11 +258,13 @@ def cut_repeats(documents: DataFrame, length: int = 200, wide: int = WIDE) -> Da
 
     Texts are taken as UTF-8 bytes, null as empty; texts shorter than `length` are kept. All copies of a repeated text
     go, as strings are judged on the input. `kept` is what is left, decoded without broken characters; it is null where
-    nothing was removed. doc_id is taken as unique and not null. Extra columns are ignored.
+    nothing was removed. Rows with a null doc_id are left out; of rows with one doc_id the least text counts, once. No rows
+    give no rows. Extra columns are ignored.
     """
+    documents = one_per_id(documents)
     spans, copies = repeated_spans(documents, length, wide)
     spans = stored(spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
-    texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    texts = documents.select("doc_id", "text")
     cut = with_ids(texts, spans.select("doc_id")).join(spans, "doc_id").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept string")
     known = copies.select("doc_id", "n_bytes", ((F.col("copies") > 1) & (F.col("n_bytes") >= length)).alias("gone"))
     intact = texts.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
