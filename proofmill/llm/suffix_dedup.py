@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import binary_array, one_per_id, powers, rolling, signed, span, stored, text_buffer, with_ids, without_ids
 
 #: Bytes of a k-gram; bytes of text hashed at once; bytes of an index; different segments of one owner above which windows are counted instead.
-GRAM, PIECE, BLOCK, WIDE = 96, 1 << 20, 1 << 20, 8_000
+GRAM, PIECE, BLOCK, WIDE = 96, 1 << 18, 1 << 18, 1_000
 _POS = np.uint64((1 << 24) - 1)
 
 
