@@ -45,9 +45,18 @@ def pointer_tokens(pointer: str) -> list[str]:
     return [t.replace("~1", "/").replace("~0", "~") for t in pointer[1:].split("/")]
 
 
+def variant_name(name: str) -> str:
+    """The step of a variant path to a member. The paths know no escapes: a name with both kinds of quotes can't be written."""
+    if "'" not in name:
+        return f"['{name}']"
+    if '"' in name:
+        raise RuleError(f"no path leads to the name {name!r}")
+    return f'["{name}"]'
+
+
 def variant_path(tokens: list[str]) -> str:
     """A path for try_variant_get: array positions in brackets, names quoted."""
-    return "$" + "".join(f"[{t}]" if re.fullmatch(r"0|[1-9]\d*", t) else "['" + t.replace("\\", "\\\\").replace("'", "\\'") + "']" for t in tokens)
+    return "$" + "".join(f"[{t}]" if re.fullmatch(r"0|[1-9]\d*", t) else variant_name(t) for t in tokens)
 
 
 def value_at(pointer: str, payload: Column) -> Value:

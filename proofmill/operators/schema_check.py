@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.predicates import _equal, value_at
+from ..functions.predicates import _equal, value_at, variant_name
 from .diagnostics import diagnostic
 
 _KINDS = {
@@ -21,7 +21,7 @@ def violations(schema: dict, payload: Column, pointer: str = "/payload") -> list
     """(pointer, keyword, predicate that is true where the value violates it)."""
     out: list[tuple[str, str, Column]] = []
     v = value_at(pointer, payload)
-    path = "$" + "".join(f"['{t}']" for t in pointer.split("/")[2:])
+    path = "$" + "".join(map(variant_name, pointer.split("/")[2:]))
     found = F.try_variant_get(payload, path, "variant")
     kind, there = F.coalesce(F.schema_of_variant(found), F.lit("VOID")), found.isNotNull()
     no = lambda ok: there & ~F.coalesce(ok, F.lit(False))
@@ -53,7 +53,7 @@ def violations(schema: dict, payload: Column, pointer: str = "/payload") -> list
             if isinstance(want, str):
                 out.append((pointer, word, kind.startswith("ARRAY") & ~F.coalesce(hold(members, _member(want)), F.lit(False))))
     for name in schema.get("required", ()):
-        out.append((f"{pointer}/{name}", "required", kind.startswith("OBJECT") & F.try_variant_get(payload, f"{path}['{name}']", "variant").isNull()))
+        out.append((f"{pointer}/{name}", "required", kind.startswith("OBJECT") & F.try_variant_get(payload, path + variant_name(name), "variant").isNull()))
     for name, sub in (schema.get("properties") or {}).items():
         out += violations(sub, payload, f"{pointer}/{name}")
     return out

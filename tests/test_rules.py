@@ -93,7 +93,7 @@ def test_catalog_checks():
     catalog = {"template_id": "t", "provisions": [{"provision_id": "a", "effective_date": "2030-01-01", "rules": [{"rule_id": "r", "rule": "field_present", "params": {"record_type": "k", "field": "/payload/none"}}, {"rule_id": "r", "rule": "exists_where", "params": {"record_type": "k", "field": "/payload/x", "op": "ne", "value": None}}]}]}
     assert [c for c, _ in catalog_diagnostics(catalog, AT)] == ["EV-044", "EV-032"]
     assert [why for _, why in lint(catalog, {"k": {"x"}})] == ["k has no field none", "ne null holds where the field is missing"]
-    assert [p["provision_id"] for p in selected([{"provision_id": x} for x in ("art", "art-1", "b")], ["art-1.2", "b"])] == ["art-1", "b"]
+    assert [p["provision_id"] for p in selected([{"provision_id": x} for x in ("art", "art-1", "b")], ["art-1.2", "b"])] == ["art", "art-1", "b"]
     assert len(catalog_rules(catalog, ["a.1"])) == 2
     with pytest.raises(ValueError):
         provision_rules("t", {"provision_id": "a", "rules": [{"rule_id": "r", "rule": "has_record_type", "severity": "dire"}]})
