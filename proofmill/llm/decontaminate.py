@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, hashed_words, shingle_hashes
+from .common import LOWER, bounded_batches, hashed_words, shingle_hashes
 
 #: At a similarity of 0.75 the expected distance is 11 of 64 bits, with a deviation of 3.
 BLOCKS, RADIUS = 8, 24
@@ -44,8 +44,8 @@ class Items:
         self.ids, self.sizes = [ids[i] for i in keep], np.array([len(words[i]) for i in keep])
         bags = [shingle_hashes(words[i], k) for i in keep]
         spread = Counter(h for b in bags for h in set(b.tolist()))
-        self.common, self.spread = (np.array(x) for x in (sorted(spread), [spread[h] for h in sorted(spread)]))
-        self.common = self.common.astype(np.uint64)
+        self.common = np.array(sorted(spread), np.uint64)
+        self.spread = np.array([spread[h] for h in sorted(spread)])
         self.bags = [self._bag(b) for b in bags]
         self.prints = np.array([simhash(b, self.weights(b)) for b in bags], np.uint8).reshape(-1, 8)
         flat = [(h, i, j) for i, b in enumerate(bags) for j, h in enumerate(b.tolist())]
@@ -116,7 +116,7 @@ def benchmark_matches(documents: DataFrame, benchmark: DataFrame, k: int = 5, th
     compared with all documents in a pass of its own. Repeated documents and items are all reported; null doc_ids too.
     Other columns are ignored.
     """
-    documents = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    documents = bounded_batches(documents).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     block: list = []
     found = None
 
