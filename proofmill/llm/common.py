@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch: documents can be long, and a batch is held by the JVM and by a Python worker.
+BATCH = 1_000
 #: Above so many ids a filter by id is a shuffle join instead of a broadcast one (16 bytes an id: 16 MB at most).
 BROADCAST_IDS = 1_000_000
 
@@ -28,6 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, after its session's Arrow batches are set to at most BATCH rows; a lower setting stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH:
+        conf.set(name, str(BATCH))
+    return df
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df, written as a table in the shared folder and reread: cuts the lineage and outlives executors. The table goes when the driver ends."""
     spark = df.sparkSession

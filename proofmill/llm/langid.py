@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, stored, text_buffer, with_ids
+from .common import LOWER, bounded_batches, stored, text_buffer, with_ids
 
 BUCKETS, ORDERS, PIECE, ROWS = 8192, (1, 2, 3), 4096, 128
 #: The model is fitted on at most so many labelled documents of each language; so many of their pieces are landmarks.
@@ -85,7 +85,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(documents: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Learn from text and non-null lang of documents that aren't held out; None if there are none."""
-    labelled = documents.select(F.col("doc_id").cast("long"), F.col("lang").cast("string")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    labelled = bounded_batches(documents).select(F.col("doc_id").cast("long"), F.col("lang").cast("string")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = stored(labelled.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= sample).select("doc_id", "lang"))
     texts = with_ids(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null"), chosen.select("doc_id"))
@@ -141,6 +141,7 @@ ADDED = ("__lang_pred", "__lang_score")
 def tag_languages(documents: DataFrame, model: Model | None = None) -> DataFrame:
     """The rows and columns of documents, and the columns ADDED: a learnt language, or `und` with score 0 where the text
     is null or has no letter, or where nothing could be learnt; and the score from 0 to 1. Texts are read whole."""
+    documents = bounded_batches(documents)
     model = model or fit(documents) or NONE
     if not model.languages:
         return documents.select("*", F.lit("und").alias(ADDED[0]), F.lit(0.0).alias(ADDED[1]))

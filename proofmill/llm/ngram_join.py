@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import distinct, hashed_words, mixed, one_per_id, shingle_hashes, signed, stored, with_ids
+from .common import bounded_batches, distinct, hashed_words, mixed, one_per_id, shingle_hashes, signed, stored, with_ids
 from .components import components
 
 #: Min-hash slots of a set; so many pivots at most are compared with it; slots that must agree before that.
@@ -232,7 +232,7 @@ def jaccard_classes(documents: DataFrame, k: int = 5, percent: int = 75) -> Data
     component of their own. Rows with a null doc_id are left out; of rows with one doc_id the least text counts, once. No
     rows give no rows. Other columns are ignored. Sets are compared by 64-bit hashes of shingles.
     """
-    documents = one_per_id(documents)
+    documents = bounded_batches(one_per_id(documents))
     spark = documents.sparkSession
     docs = stored(documents.mapInArrow(_sketches(k), "doc_id long, n long, s1 long, s2 long, slots array<long>, spread binary"))
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary_array, one_per_id, powers, rolling, signed, span, stored, text_buffer, with_ids, without_ids
+from .common import binary_array, bounded_batches, one_per_id, powers, rolling, signed, span, stored, text_buffer, with_ids, without_ids
 
 #: Bytes of a k-gram; bytes of text hashed at once; bytes of an index; different segments of one owner above which windows are counted instead.
 GRAM, PIECE, BLOCK, WIDE = 96, 1 << 18, 1 << 18, 1_000
@@ -261,7 +261,7 @@ def cut_repeats(documents: DataFrame, length: int = 200, wide: int = WIDE) -> Da
     nothing was removed. Rows with a null doc_id are left out; of rows with one doc_id the least text counts, once. No rows
     give no rows. Extra columns are ignored.
     """
-    documents = one_per_id(documents)
+    documents = bounded_batches(one_per_id(documents))
     spans, copies = repeated_spans(documents, length, wide)
     spans = stored(spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
     texts = documents.select("doc_id", "text")

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .trie import END, Trie, laid_out
 from .words import WordMemory
 
@@ -111,4 +112,4 @@ def token_counts(documents: DataFrame, pieces: list[tuple[int, ...]]) -> DataFra
     with END matches only at a word's end. Null and blank texts have no words and no tokens. Other columns are ignored.
     """
     shared = documents.sparkSession.sparkContext.broadcast(Automaton(pieces))
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_counted(shared), "doc_id long, n_words long, n_tokens long")
+    return bounded_batches(documents).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_counted(shared), "doc_id long, n_words long, n_tokens long")

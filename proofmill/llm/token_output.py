@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary_array, stored
+from .common import binary_array, bounded_batches, stored
 from .token_counts import byte_letters
 from .words import WordMemory
 
@@ -223,7 +223,7 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def token_table(documents: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """The coded table, in ascending doc_id order. Null texts are empty and have the end id alone; rows keep repeats of
     a doc_id; null doc_ids come first. Other columns are ignored."""
-    ordered = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = bounded_batches(documents).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     coded = ordered.mapInArrow(_encoded(tokenizer, end_id), "doc_id long, n_tokens long, words binary, offsets binary")
     return coded.select(F.spark_partition_id().alias("shard"), "*")
 
