@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,6 +41,26 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def release() -> None:
+    """Hand freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(run):
+    """A task's function, after whose last batch the worker releases memory: workers wait for their next task beside busy ones."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df, written as a table in the shared folder and reread: cuts the lineage and outlives executors. The table goes when the driver ends."""
     spark = df.sparkSession

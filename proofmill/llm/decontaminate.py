@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, bounded_batches, hashed_words, shingle_hashes
+from .common import LOWER, bounded_batches, hashed_words, shingle_hashes, tidy
 
 #: At a similarity of 0.75 the expected distance is 11 of 64 bits, with a deviation of 3.
 BLOCKS, RADIUS = 8, 24
@@ -97,6 +97,7 @@ class Items:
 
 
 def _matched(items):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Items = items.value
         for batch in batches:

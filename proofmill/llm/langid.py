@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, bounded_batches, stored, text_buffer, with_ids
+from .common import LOWER, bounded_batches, stored, text_buffer, tidy, with_ids
 
 BUCKETS, ORDERS, PIECE, ROWS = 8192, (1, 2, 3), 4096, 128
 #: The model is fitted on at most so many labelled documents of each language; so many of their pieces are landmarks.
@@ -75,6 +75,7 @@ class Model:
 NONE = Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0), np.float32))
 
 
+@tidy
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, langs = batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist()
@@ -116,6 +117,7 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> Model | None:
 def _predicted(model):
     """Batches with two more columns, the language and its score."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
         for batch in batches:

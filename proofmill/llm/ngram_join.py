@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, distinct, hashed_words, mixed, one_per_id, shingle_hashes, signed, stored, with_ids
+from .common import bounded_batches, distinct, hashed_words, mixed, one_per_id, shingle_hashes, signed, stored, tidy, with_ids
 from .components import components
 
 #: Min-hash slots of a set; so many pivots at most are compared with it; slots that must agree before that.
@@ -49,6 +49,7 @@ def _sketches(k: int):
     """A row for each document: set size, signature, the least hash of each min-hash slot, and how its elements spread over
     GROUPS groups by hash."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, s1, s2, slots, spread = [], [], [], [], []
@@ -79,6 +80,7 @@ def _halves(k: int):
         parts = [i for i in range(_RANGES) if cut[i + 1] > cut[i]]
         return pa.RecordBatch.from_pydict({"part": parts, "blob": [x[cut[i] : cut[i + 1]].tobytes() for i in parts]}, _BLOB)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bag: list[np.ndarray] = []
         for batch in batches:
@@ -93,6 +95,7 @@ def _halves(k: int):
     return run
 
 
+@tidy
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blobs of one range, end to end in part order, to frequent half hashes and their counts."""
 
@@ -114,6 +117,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(k: int, pct: int, often):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         halves, counts = often.value
         for batch in batches:
@@ -152,6 +156,7 @@ def _crossing(pct: int):
                 other = doc[j][ok]
                 yield np.minimum(other, doc[i]), np.maximum(other, doc[i])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         names = ("token", "doc_id", "kind", "n", "place")
@@ -178,6 +183,7 @@ def _crossing(pct: int):
 
 
 def _set_rows(k: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
@@ -186,6 +192,7 @@ def _set_rows(k: int):
     return run
 
 
+@tidy
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = []
@@ -201,6 +208,7 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _within(pct: int):
     """Pairs whose overlap, as their counts by group bound it, may reach the threshold."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, GROUPS).astype(np.int64) for c in ("x", "y"))

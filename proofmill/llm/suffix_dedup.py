@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary_array, bounded_batches, one_per_id, powers, rolling, signed, span, stored, text_buffer, with_ids, without_ids
+from .common import binary_array, bounded_batches, one_per_id, powers, rolling, signed, span, stored, text_buffer, tidy, with_ids, without_ids
 
 #: Bytes of a k-gram; bytes of text hashed at once; bytes of an index; different segments of one owner above which windows are counted instead.
 GRAM, PIECE, BLOCK, WIDE = 96, 1 << 18, 1 << 18, 1_000
@@ -54,6 +54,7 @@ def owned(data: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarra
 
 
 def _owners(length: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = text_buffer(batch.column("text"))
@@ -70,6 +71,7 @@ def _owners(length: int):
 
 
 def _segments(length: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = text_buffer(batch.column("text"))
@@ -171,6 +173,7 @@ def _indexed(length: int):
         out = [(doc, a, b) for (doc, first, alone, _), flags in zip(rows, repeats([r[3] for r in rows], length), strict=True) if alone for a, b in spans_of(flags, first, length)]
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], schema=_SPANS)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, bool, bytes]] = []
         size, last = 0, None
@@ -188,6 +191,7 @@ def _indexed(length: int):
 
 
 def _windows(length: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for gram, doc, first, part in zip(*(batch.column(c).to_pylist() for c in ("gram", "doc_id", "first", "bytes")), strict=True):
@@ -208,6 +212,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+@tidy
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Text without its spans; the rest is decoded leniently, as a cut may fall inside of a character."""
     for batch in batches:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, tidy
 from .trie import END, Trie, laid_out
 from .words import WordMemory
 
@@ -88,6 +88,7 @@ _memory: dict[str, WordMemory] = {}
 def _counted(shared):
     key = uuid.uuid4().hex
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _memory:
             _memory.clear()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary_array, bounded_batches, stored
+from .common import binary_array, bounded_batches, stored, tidy
 from .token_counts import byte_letters
 from .words import WordMemory
 
@@ -176,6 +176,7 @@ def word_ids(path: str) -> WordMemory:
 def _encoded(path: str, end_id: int):
     end = np.array([end_id], np.uint32).tobytes()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = word_ids(path)
         for batch in batches:
@@ -210,6 +211,7 @@ def read_row(n: int, words: bytes, offsets: bytes) -> np.ndarray:
     return decode(np.frombuffer(words, np.uint64), np.frombuffer(offsets, np.uint32).astype(np.int64), np.append(starts[1:], n) - starts).astype(np.uint32)
 
 
+@tidy
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         size, crc = [], []

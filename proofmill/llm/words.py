@@ -19,5 +19,5 @@ class WordMemory(dict):
         if len(self) + len(new) > self.most and self:
             self.clear()
             new = list(words)
-        for a in range(0, len(new), 50_000):
-            self.update(zip(new[a : a + 50_000], self.work(new[a : a + 50_000]), strict=True))
+        for a in range(0, len(new), 20_000):
+            self.update(zip(new[a : a + 20_000], self.work(new[a : a + 20_000]), strict=True))
