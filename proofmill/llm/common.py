@@ -105,7 +105,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _U = np.uint64
 
 
