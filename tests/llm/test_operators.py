@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import sys
+import textwrap
 import zlib
 from pathlib import Path
 
@@ -315,6 +316,22 @@ def test_license_matches(spark, odd, with_nulls, none, sample):
     assert licenses.license_matches(odd).count() == licenses.license_matches(with_nulls).count() == licenses.license_matches(none).count() == 0
 
 
+def test_wrapped_and_whole_licences_inside_long_documents(spark):
+    rnd = random.Random(8)
+    prose = lambda n: " ".join(f"word{rnd.randrange(500)}" for _ in range(n))
+    texts = [(name, t) for name, ts in licenses.TEMPLATES.items() for t in ts]
+    docs = {}
+    for i, (name, t) in enumerate(texts):
+        wrapped = "\n".join(" * " + x for x in textwrap.wrap(t, 70 if len(t) > 100 else 20))
+        docs[2 * i] = (name, f"{prose(300 + 29 * i)}\n{wrapped}\n{prose(700)}")
+        docs[2 * i + 1] = (name, f"{prose(300 + 29 * i)} {t} {prose(700)}")
+    found: dict = {}
+    for r in licenses.license_matches(spark.createDataFrame([(d, t) for d, (_, t) in docs.items()], "doc_id long, text string")).collect():
+        found.setdefault(r.doc_id, {})[r.license] = r.dice
+    assert all(found.get(d, {}).get(name, 0) >= 0.75 for d, (name, _) in docs.items())
+    assert found[2 * [t for _, t in texts].index(licenses.TEMPLATES["MIT"][-1])]["MIT"] == 1  # no line nor sentence of it is found
+
+
 # ---------------------------------------------------------------- 9
 
 
