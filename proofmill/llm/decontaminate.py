@@ -4,7 +4,9 @@ Every word position of every document is looked up among the items' shingles; a
 can't be similar to one. Where one is shared, the window of the item's size on that diagonal gets a SimHash over its
 weighted shingles. The fingerprints' bytes are BLOCKS indexes: two fingerprints within RADIUS bits differ by at most
 RADIUS // BLOCKS bits in some byte, so looking up all bytes that near finds every one of them. Found items are verified
-by the weighted Jaccard similarity of the two bags of shingles.
+by the weighted Jaccard similarity of the two bags of shingles. A shingle's weight is counted over all items, whatever
+block they are compared in. A text of fewer words than a shingle's is one shingle, its whole sequence of words, so an item
+that short is similar to the windows that equal it.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, bounded_batches, hashed_words, shingle_hashes, tidy
+from .common import LOWER, bounded_batches, distinct, hashed_words, shingle_hashes, signed, tidy
 
 #: At a similarity of 0.75 the expected distance is 11 of 64 bits, with a deviation of 3.
 BLOCKS, RADIUS = 8, 24
@@ -37,15 +39,18 @@ def simhash(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
 class Items:
     """Benchmark items, their shingles, fingerprints and Hamming blocks."""
 
-    def __init__(self, ids: list[int], texts: list[str], k: int, threshold: float):
+    def __init__(self, ids: list[int], texts: list[str], k: int, threshold: float, common: np.ndarray, spread: np.ndarray):
+        """common: sorted shingles of several items, among all there are; spread: of how many."""
         self.k, self.threshold = k, threshold
         words = [w for _, w in hashed_words(pa.array(texts, pa.string()), _FOLD)]
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for i, w in enumerate(words):
+            if 0 < len(w) < k:
+                self.short.setdefault(len(w), {}).setdefault(int(shingle_hashes(w, k)[0]), []).append(ids[i])
         keep = [i for i, w in enumerate(words) if len(w) >= k]
         self.ids, self.sizes = [ids[i] for i in keep], np.array([len(words[i]) for i in keep])
         bags = [shingle_hashes(words[i], k) for i in keep]
-        spread = Counter(h for b in bags for h in set(b.tolist()))
-        self.common = np.array(sorted(spread), np.uint64)
-        self.spread = np.array([spread[h] for h in sorted(spread)])
+        self.common, self.spread = common, spread
         self.bags = [self._bag(b) for b in bags]
         self.prints = np.array([simhash(b, self.weights(b)) for b in bags], np.uint8).reshape(-1, 8)
         flat = [(h, i, j) for i, b in enumerate(bags) for j, h in enumerate(b.tolist())]
@@ -95,6 +100,26 @@ class Items:
                     best[i] = (similarity, start)
         return best
 
+    def short_matches(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item's id, first word, words) of the first window that equals an item of fewer than k words."""
+        for size, items in self.short.items():
+            own = shingle_hashes(words, size) if len(words) >= size else words[:0]
+            first = dict(zip(own[::-1].tolist(), range(len(own) - 1, -1, -1), strict=True)) if len(own) else {}
+            for h, ids in items.items():
+                if h in first:
+                    yield from ((i, first[h], size) for i in ids)
+
+
+def _spread(k: int):
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The different shingles of each item."""
+        for batch in batches:
+            own = [distinct(shingle_hashes(words, k)) for _, words in hashed_words(batch.column("text"), _FOLD) if len(words) >= k]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate([np.zeros(0, np.uint64), *own])))], ["h"])
+
+    return run
+
 
 def _matched(items):
     @tidy
@@ -102,7 +127,10 @@ def _matched(items):
         held: Items = items.value
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            rows = [(ids[row], held.ids[i], start, int(held.sizes[i]), similarity) for row, words in hashed_words(batch.column("text"), _FOLD) for i, (similarity, start) in held.matches(words).items()]
+            rows = []
+            for row, words in hashed_words(batch.column("text"), _FOLD):
+                rows += [(ids[row], held.ids[i], start, int(held.sizes[i]), similarity) for i, (similarity, start) in held.matches(words).items()]
+                rows += [(ids[row], i, start, size, 1.0) for i, start, size in held.short_matches(words)]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], ["doc_id", "item_id", "start", "n_words", "similarity"])
 
@@ -112,21 +140,26 @@ def _matched(items):
 def benchmark_matches(documents: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.75) -> DataFrame:
     """Rows (doc_id, item_id, start, n_words, similarity): the best window of each document for each item it is similar to.
 
-    Words are lower-cased (A-Z) and parted by ASCII white space and punctuation. Items with fewer than k words, null or
-    empty ones can't be told from chance and match nothing, nor do such documents. Items come in blocks of ITEMS, each
-    compared with all documents in a pass of its own. Repeated documents and items are all reported; null doc_ids too.
+    Words are lower-cased (A-Z) and parted by ASCII white space and punctuation. Items with fewer than k words match where
+    all their words follow one another in a document, with similarity 1; null and empty items or documents match nothing. Items
+    come in blocks of ITEMS, each compared with all documents in a pass of its own; weights are those of all items, of which
+    the driver and each task hold the shingles that several items have. Repeated documents and items are all reported; null doc_ids too.
     Other columns are ignored.
     """
     documents = bounded_batches(documents).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     block: list = []
     found = None
+    texts = bounded_batches(benchmark).select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
+    often = texts.mapInArrow(_spread(k), "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 1").toPandas()
+    common, spread = often["h"].to_numpy(np.int64).view(np.uint64), often["c"].to_numpy(np.int64)
+    order = np.argsort(common)
 
     def compared(rows: list) -> DataFrame:
-        items = Items([r[0] for r in rows], [r[1] for r in rows], k, threshold)
+        items = Items([r[0] for r in rows], [r[1] for r in rows], k, threshold, common[order], spread[order])
         shared = documents.sparkSession.sparkContext.broadcast(items)
         return documents.mapInArrow(_matched(shared), "doc_id long, item_id long, start long, n_words long, similarity double")
 
-    for row in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").orderBy("item_id").toLocalIterator():
+    for row in texts.orderBy("item_id").toLocalIterator():
         block.append(row)
         if len(block) == ITEMS:
             found = compared(block) if found is None else found.unionByName(compared(block))

@@ -236,6 +236,25 @@ def test_benchmark_matches(spark, odd, with_nulls, none, sample, sf_dir):
     assert _matches(none, more) == {} and _matches(odd, more.limit(0)) == {}
 
 
+def test_items_in_blocks_weigh_as_all_do(spark, sample, sf_dir, monkeypatch):
+    df, docs = sample
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    head = " ".join(f"w{i}" for i in range(12))
+    items |= {10**6 + i: f"{head} {' '.join(f'x{i}y{j}' for j in range(6))}" for i in range(7)}
+    own = docs | {10**6 + i: f"before {head} {' '.join(f'x{i}y{j}' for j in range(5))} after it" for i in range(7)}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "ITEMS", 3)
+    found, want = _matches(spark.createDataFrame(list(own.items()), "doc_id long, text string"), bench), brute.decontaminated(own, items)
+    assert set(found) == set(want) and np.allclose([found[k] for k in want], list(want.values()))
+
+
+def test_short_items_match_their_copies(spark):
+    docs = spark.createDataFrame([(1, "Two words."), (2, "before two WORDS after them, two words"), (3, "words two"), (4, "two"), (5, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "two words"), (2, "two words"), (3, "a b c d"), (4, ""), (5, "words two")], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.start, r.n_words, r.similarity) for r in decontaminate.benchmark_matches(docs, items).collect()}
+    assert found == {(1, 1): (0, 2, 1.0), (1, 2): (0, 2, 1.0), (2, 1): (1, 2, 1.0), (2, 2): (1, 2, 1.0), (3, 5): (0, 2, 1.0)}
+
+
 # ---------------------------------------------------------------- 6
 
 
