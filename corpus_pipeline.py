@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofmill.llm import decontaminate, langid, sentencepiece_nbest, suffix_dedup
-from proofmill.llm.common import stored, table, with_ids, without_ids
+from proofmill.llm.common import by_row, stored, table, with_ids, without_ids
 from proofmill.llm.ngram_join import jaccard_classes
 from proofmill.llm.queries import tokenizer_path
 
@@ -26,9 +26,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each group that is linked by Jaccard similarity."""
-    first = stored(jaccard_classes(docs).where("doc_id = component_id").select("doc_id"))
-    return with_ids(docs, first).select(docs.columns)
+    """The document of least doc_id of each group that is linked by Jaccard similarity. Each row is a document, also one
+    whose doc_id is null (these come last) or that of other rows too; of equal ids the least text comes first. Rows without
+    words are linked with nothing, so all stay."""
+
+    def firsts(rows: DataFrame) -> DataFrame:
+        first = stored(jaccard_classes(rows).where("doc_id = component_id").select("doc_id"))
+        return with_ids(rows, first).select(rows.columns)
+
+    return by_row(docs, firsts)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +43,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage that is similar to a benchmark item."""
-    matches = decontaminate.benchmark_matches(docs, table(spark, sf_dir, "benchmark"))
-    return without_ids(docs, stored(matches.select("doc_id").distinct())).select(docs.columns)
+    """Documents without a passage that is similar to a benchmark item. Each row is judged by its own text, whatever its doc_id."""
+
+    def clean(rows: DataFrame) -> DataFrame:
+        matches = decontaminate.benchmark_matches(rows, table(spark, sf_dir, "benchmark"))
+        return without_ids(rows, stored(matches.select("doc_id").distinct())).select(rows.columns)
+
+    return by_row(docs, clean)
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

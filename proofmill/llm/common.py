@@ -8,7 +8,7 @@ import ctypes
 import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +99,19 @@ def one_per_id(documents: DataFrame) -> DataFrame:
     return stored(docs.groupBy("doc_id").agg(F.min("text").alias("text")))
 
 
+def by_row(documents: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """work(documents), where each row is a document of its own: if a doc_id is null or comes twice, all rows are numbered in
+    the order of doc_id (null last) and text meanwhile. work returns the columns that it gets."""
+    ids = documents.groupBy(F.col("doc_id").cast("long").alias("id")).count()
+    if not ids.where("id is null or count > 1").take(1):
+        return work(documents)
+    own, place = f"id_{uuid.uuid4().hex}", f"place_{uuid.uuid4().hex}"
+    rows = documents.withColumns({own: F.col("doc_id"), place: F.monotonically_increasing_id()})
+    rows = rows.orderBy(F.col("doc_id").cast("long").asc_nulls_last(), F.col("text").cast("string"), place).drop(place)
+    rows = stored(rows.withColumn("doc_id", F.monotonically_increasing_id()))
+    return work(rows).select(*[F.col(own).alias(c) if c == "doc_id" else c for c in documents.columns])
+
+
 # ---------------------------------------------------------------- words and their hashes
 
 SPACE = np.zeros(256, bool)

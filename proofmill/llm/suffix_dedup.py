@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary_array, bounded_batches, one_per_id, powers, rolling, signed, span, stored, text_buffer, tidy, with_ids, without_ids
+from .common import binary_array, bounded_batches, by_row, one_per_id, powers, rolling, signed, span, stored, text_buffer, tidy, with_ids, without_ids
 
 #: Bytes of a k-gram; bytes of text hashed at once; bytes of an index; different segments of one owner above which windows are counted instead.
 GRAM, PIECE, BLOCK, WIDE = 96, 1 << 18, 1 << 18, 1_000
@@ -282,7 +282,12 @@ def cut_repeats(documents: DataFrame, length: int = 200, wide: int = WIDE) -> Da
 
 
 def cut_documents(documents: DataFrame, length: int = 200) -> DataFrame:
-    """documents with their repeats cut out of text and n_chars set anew; those of which only white space is left go."""
+    """documents with their repeats cut out of text and n_chars set anew; those of which only white space is left go. Each row
+    is a document, also one whose doc_id is null or that of other rows too."""
+    return by_row(documents, lambda rows: _cut_rows(rows, length))
+
+
+def _cut_rows(documents: DataFrame, length: int) -> DataFrame:
     cut = stored(cut_repeats(documents, length).where("n_removed > 0").select("doc_id", "kept"))
     kept = with_ids(documents.drop("text"), cut.select("doc_id")).join(cut.where("kept rlike '[^ \\\\t\\\\n\\\\r]'"), "doc_id")
     kept = kept.select(*[F.col("kept").alias("text") if c == "text" else F.char_length("kept").cast("long").alias(c) if c == "n_chars" else c for c in documents.columns])

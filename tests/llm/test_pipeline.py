@@ -52,3 +52,21 @@ def test_stages_keep_columns_and_stand_odd_rows(spark, sf_dir):
         assert out.count() > 0
     assert pipeline.language_id(spark, mixed, sf_dir).where("doc_id >= 1000000").count() == 0
     assert pipeline.STAGES[-1][1](spark, mixed.limit(0), sf_dir).count() == 0
+
+
+def test_each_row_is_a_document(spark, sf_dir):
+    words = lambda tag, n=60: " ".join(f"{tag}{i}" for i in range(n))
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("length(text) > 100").first().text
+    rows = [(7, words("a")), (7, words("a")), (7, words("b")), (None, words("b") + " more"), (None, words("c")), (None, words("c")), (8, None), (8, None), (3, words("d")), (9, words("d") + " end")]
+    docs = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, source int").repartition(3)
+    kept = sorted((str(r.doc_id), str(r.text)) for r in pipeline.near_duplicates(spark, docs, sf_dir).collect())
+    assert kept == sorted([("7", words("a")), ("7", words("b")), ("None", words("c")), ("8", "None"), ("8", "None"), ("3", words("d"))])
+
+    twice = "x" + words("p", 90)
+    docs = spark.createDataFrame([(1, "one " + twice), (1, "two " + twice), (None, "three " + twice), (None, "four alone"), (2, "five alone")], "doc_id long, text string")
+    cut = brute.repeats(dict(enumerate(r.text for r in docs.collect())))
+    want = sorted(zip(("1", "1", "None", "None", "2"), (x[4].decode() for x in cut.values())))
+    assert sorted((str(r.doc_id), r.text) for r in pipeline.repeated_passages(spark, docs, sf_dir).collect()) == want
+
+    docs = spark.createDataFrame([(1, item), (1, words("q")), (None, "see " + item), (None, words("r"))], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.text) for r in pipeline.decontaminated(spark, docs, sf_dir).collect()) == [("1", words("q")), ("None", words("r"))]
