@@ -235,6 +235,15 @@ def dangling_record_refs(spark, sf_dir):
     return found.groupBy("path").agg(F.count("*").cast("int").alias("n")).where("n > 1").select("n", "path")
 
 
+@query("dangling_refs_of_records", """SELECT 'EV-020' AS code, 'nothing is ' || ref AS message, path FROM (
+SELECT user_id::VARCHAR AS ref, event_id::VARCHAR AS path FROM events WHERE event_id % 50 <> 0 AND user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
+UNION ALL SELECT 'c1', event_id::VARCHAR FROM events WHERE event_type = 'purchase' UNION ALL SELECT 'a1', event_id::VARCHAR FROM events WHERE event_type = 'click' AND event_id % 2 = 1)""")
+def dangling_refs_of_records(spark, sf_dir):
+    """Every dangling reference of all records; dangling_record_refs has only purchases with several."""
+    defined = T.table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.lit("events").alias("package_id"), F.col("c_custkey").cast("string").alias("urn"))
+    return references.dangling(references.record_refs(T.event_records(spark, sf_dir)), defined).select("code", "message", "path")
+
+
 @query("duplicate_urn", "SELECT n || ' is first defined at ' || first AS message, path FROM (SELECT o_custkey AS n, o_orderkey::VARCHAR AS path, first_value(o_orderkey::VARCHAR) OVER w AS first, row_number() OVER w AS k FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)) WHERE k > 1")
 def duplicate_urn(spark, sf_dir):
     rows = T.table(spark, sf_dir, "orders").select(F.lit("p").alias("package_id"), F.col("o_custkey").cast("string").alias("urn"), F.col("o_orderkey").cast("string").alias("path"), F.col("o_orderkey").alias("seq"))

@@ -50,3 +50,9 @@ def test_entry_point_runs(spark):
     df = entry.entry(spark)
     assert {"provision_outcome", "provision_id"} <= set(df.columns) and df.count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_dangling_references_of_all_records(spark, sf_dir):
+    found = QUERIES["dangling_refs_of_records"](spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("cast(event_id as string) path", "event_type"), "path")
+    assert {r.event_type for r in found.select("event_type").distinct().collect()} > {"purchase"}
+    assert found.groupBy("path").count().where("count = 1").count() > 0
