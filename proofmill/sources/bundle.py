@@ -93,6 +93,18 @@ def actual_hashes(spark: SparkSession, root: str) -> DataFrame:
     return files.select("package_id", "path", F.sha2(body, 256).alias("sha256"))
 
 
+def read_packages(spark: SparkSession, root: str) -> DataFrame:
+    """package_id of each folder that has any file of a bundle, with a manifest or without."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.col("path").alias("file"))
+    return _placed(files).where("package_id <> ''").select("package_id").distinct()
+
+
+def read_roots(spark: SparkSession, root: str) -> DataFrame:
+    """(package_id, root) of the Merkle files; root is null where it can't be read."""
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "merkle-tree.json").text(root, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
+    return _placed(text).where("path = 'hashes/merkle-tree.json'").select("package_id", F.from_json("value", "root string")["root"].alias("root"))
+
+
 def indexed_hashes(spark: SparkSession, root: str) -> DataFrame:
     text = spark.read.text(f"{root}/*/hashes/content-hashes.json", wholetext=True).withColumn("file", F.col("_metadata.file_path"))
     return _placed(text).select("package_id", F.explode(F.from_json("value", "map<string,string>")).alias("path", "sha256"))

@@ -157,3 +157,19 @@ def test_schema_findings(spark):
     rows = [("p", f"r{i}", "k", p) for i, p in enumerate(payloads)] + [("p", "r9", "odd", "{}"), ("p", "r8", "x-odd", "{}")]
     found = {(r.code, r.message.split()[0], r.path) for r in schema_findings(spark.createDataFrame(rows, "package_id string, record_id string, record_type string, payload string"), {"k": schema}).collect()}
     assert found == {("EV-004", "required", "r2/payload/a"), ("EV-004", "minimum", "r2/payload/n"), ("EV-004", "pattern", "r3/payload/a"), ("EV-004", "type", "r3/payload/n"), ("EV-004", "maximum", "r3/payload/n"), ("EV-004", "enum", "r3/payload/e"), ("EV-004", "minItems", "r3/payload/l"), ("EV-004", "items", "r4/payload/l"), ("EV-003", "unknown", "r9")}
+
+
+def test_wrong_roots_manifests_versions_and_profiles_are_found(spark, tmp_path):
+    good = {"metadata": {"package_id": "p"}, "versioning": {"core_version": "1.2.0"}, "profiles": [{"profile_id": "known"}]}
+    for name, more in {"fine": {}, "root": {}, "broken": {}, "gone": {}, "unread": {}, "two": {"versioning": {"core_version": "2.0.0"}}, "odd": {"profiles": [{"profile_id": "known"}, {"profile_id": "other"}]}}.items():
+        bundle.write_bundle(str(tmp_path / name), {**good, **more}, {}, {"a.txt": b"hello"})
+    tree = tmp_path / "root/hashes/merkle-tree.json"
+    tree.write_text(json.dumps({**json.loads(tree.read_text()), "root": "0" * 64}))
+    (tmp_path / "unread/hashes/merkle-tree.json").write_text("{")
+    (tmp_path / "broken/manifest.json").write_text("{")
+    (tmp_path / "gone/manifest.json").unlink()
+    known = spark.createDataFrame([("known",)], "profile_id string")
+    where = str(tmp_path)
+    found = integrity.manifest_findings(bundle.read_packages(spark, where), bundle.read_manifests(spark, where), known)
+    found = found.unionByName(integrity.root_differences(bundle.read_roots(spark, where), bundle.indexed_hashes(spark, where)))
+    assert sorted((r.package_id, r.code) for r in found.collect()) == [("broken", "EV-002"), ("gone", "EV-002"), ("odd", "EV-030"), ("root", "EV-011"), ("two", "EV-001"), ("unread", "EV-011")]
