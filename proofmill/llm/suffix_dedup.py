@@ -1,11 +1,17 @@
 """Suffix-array dedup: remove every byte that lies in a long string found elsewhere too.
 
 Each window of `length` bytes is owned by the k-gram of least hash in it (the leftmost such), so equal windows are owned
-by equal k-grams and meet under one key. A long k-gram keeps short common phrases from being keys. Neighbouring windows with one owner make a segment. Segments that repeat whole
-are settled by counting. What is left under an owner with several different segments goes, each segment once, into a
-run-length index: the suffix array's Burrows-Wheeler transform is compressed to runs, text positions and longest common
-prefixes are kept for the run ends only, and matching statistics against all other places of the index are streamed
-from them in text order (between run ends they fall by one at each step).
+by equal k-grams and meet under one key. A long k-gram keeps short common phrases from being keys. Neighbouring windows
+with one owner make a segment. Every segment whose owner occurs again goes into a run-length index: once if it occurs
+once, twice if more often. The index's Burrows-Wheeler transform is compressed to runs, text positions and longest
+common prefixes are kept for the run ends only, and matching statistics against all other places of the index are
+streamed from them in text order (between run ends they fall by one at each step). What the index finds in a segment
+holds for each of its occurrences.
+
+An owner with very many segments is parted. A window has its owner somewhere inside, so either half of what is left lies
+before the owner or more than half behind it; those bytes make the owner longer, and the windows of a segment fall into
+two shorter segments under longer owners. That goes on until an owner has few segments, at the latest when it is a whole
+window. Longer owners are part of their windows too, so equal windows stay together.
 
 No window spans two documents or is owned twice, so a match of `length` bytes in an index is a repeat in the corpus.
 """
@@ -22,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import binary_array, bounded_batches, by_row, one_per_id, powers, rolling, signed, span, stored, text_buffer, tidy, with_ids, without_ids
 
-#: Bytes of a k-gram; bytes of text hashed at once; bytes of an index; different segments of one owner above which windows are counted instead.
+#: Bytes of a k-gram; bytes of text hashed at once; bytes of an index; segments of one owner above which it is parted.
 GRAM, PIECE, BLOCK, WIDE = 96, 1 << 18, 1 << 18, 1_000
 _POS = np.uint64((1 << 24) - 1)
 
@@ -70,15 +76,55 @@ def _owners(length: int):
     return run
 
 
+_PIECE = pa.schema([("gram", pa.int64()), ("seg", pa.int64()), ("bytes", pa.binary())])
+
+
 def _segments(length: int):
+    """The bytes of segments, from the texts that they are parts of."""
+
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = text_buffer(batch.column("text"))
-            for k, (doc, parts) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("parts").to_pylist(), strict=True)):
+            for k, parts in enumerate(batch.column("parts").to_pylist()):
                 text = data[at[k] : at[k + 1]]
-                rows = [(p["gram"], doc, p["first"], p["alone"], p["wide"], text[p["first"] : p["last"] + length].tobytes()) for p in parts]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.bool_()), pa.array([r[4] for r in rows], pa.bool_()), binary_array([r[5] for r in rows])], ["gram", "doc_id", "first", "alone", "wide", "bytes"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([p["gram"] for p in parts]), pa.array([p["seg"] for p in parts]), binary_array([text[p["first"] : p["last"] + length].tobytes() for p in parts])], schema=_PIECE
+                )
+
+    return run
+
+
+def halves(first: int, last: int, owner: int, size: int, length: int) -> list[tuple[int, int, int, int]]:
+    """(first window, last window, longer owner, its size): the windows first to last, which all hold the `size` bytes at
+    `owner`, by where more of what is left of a window lies: before the owner, or behind it."""
+    left = (length - size + 1) // 2
+    right = length - size - left + 1
+    found = [(first, min(last, owner - left), owner - left, size + left), (max(first, owner - left + 1), last, owner, size + right)]
+    return [x for x in found if x[0] <= x[1]]
+
+
+_HALF = pa.schema([("gram", pa.int64()), ("seg", pa.int64()), ("of_gram", pa.int64()), ("of_seg", pa.int64()), ("c", pa.int64()), ("at", pa.int64()), ("owner", pa.int64()), ("size", pa.int64()), ("bytes", pa.binary())])
+
+
+def _parted(length: int):
+    """Segments in two parts under longer owners. owner, size: where a segment's owner lies; null at first, as its hash tells."""
+
+    def halved(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for gram, seg, c, owner, size, part in zip(*(batch.column(x).to_pylist() for x in ("gram", "seg", "c", "owner", "size", "bytes")), strict=True):
+            sums = rolling(np.frombuffer(part, np.uint8))
+            if owner is None:
+                at = np.arange(length - GRAM + 1)
+                owner, size = int(np.argmin(span(sums, at, at + GRAM) & ~_POS)), GRAM
+            for first, last, longer, wide in halves(0, len(part) - length, owner, size, length):
+                key, own = signed(span(sums, np.array([longer, first]), np.array([longer + wide, last + length]))).tolist()
+                yield key, own, gram, seg, c, first, longer - first, wide, part[first : last + length]
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = list(halved(batch))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_HALF)], schema=_HALF)
 
     return run
 
@@ -163,26 +209,30 @@ def spans_of(flags: np.ndarray, at: int, length: int) -> list[tuple[int, int]]:
     return [(at + int(a), at + int(b) - 1 + length) for a, b in zip(np.flatnonzero(edge > 0), np.flatnonzero(edge < 0), strict=True)]
 
 
-_SPANS = pa.schema([("doc_id", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+_SPANS = pa.schema([("gram", pa.int64()), ("seg", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
 def _indexed(length: int):
-    """Spans of repeated windows; rows of one owner come end to end, an index takes whole owners."""
+    """Spans of repeated windows within segments. Rows come by owner and segment, end to end; an index takes whole owners."""
 
-    def flush(rows: list[tuple[int, int, bool, bytes]]) -> pa.RecordBatch:
-        out = [(doc, a, b) for (doc, first, alone, _), flags in zip(rows, repeats([r[3] for r in rows], length), strict=True) if alone for a, b in spans_of(flags, first, length)]
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], schema=_SPANS)
+    def flush(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        out, before = [], None
+        for (gram, seg, _), flags in zip(rows, repeats([r[2] for r in rows], length), strict=True):
+            if (gram, seg) != before:
+                out += [(gram, seg, a, b) for a, b in spans_of(flags, 0, length)]
+            before = gram, seg
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], schema=_SPANS)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bool, bytes]] = []
+        held: list[tuple[int, int, bytes]] = []
         size, last = 0, None
         for batch in batches:
-            for gram, doc, first, alone, part in zip(*(batch.column(c).to_pylist() for c in ("gram", "doc_id", "first", "alone", "bytes")), strict=True):
+            for gram, seg, part in zip(*(batch.column(c).to_pylist() for c in ("gram", "seg", "bytes")), strict=True):
                 if gram != last and size >= BLOCK:
                     yield flush(held)
                     held, size = [], 0
-                held.append((doc, first, alone, part))
+                held.append((gram, seg, part))
                 size, last = size + len(part), gram
         if held:
             yield flush(held)
@@ -190,18 +240,6 @@ def _indexed(length: int):
     return run
 
 
-def _windows(length: int):
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for gram, doc, first, part in zip(*(batch.column(c).to_pylist() for c in ("gram", "doc_id", "first", "bytes")), strict=True):
-                sums, n = rolling(np.frombuffer(part, np.uint8)), len(part) - length + 1
-                at = np.arange(n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, gram)), pa.array(signed(span(sums, at, at + length))), pa.array(np.full(n, doc)), pa.array(at + first)], ["gram", "window", "doc_id", "a"])
-
-    return run
-
-
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -229,6 +267,36 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(digest), pa.array(kept)], ["doc_id", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+def _of_owners(segments: DataFrame, wide: int) -> tuple[DataFrame, DataFrame]:
+    """Stored segments (gram, seg, c, ...) whose owner occurs again: those of owners with up to `wide` places in an index, and of wider ones."""
+    sizes = stored(segments.groupBy("gram").agg(F.sum(F.least("c", F.lit(2))).alias("n")).where(f"n = 1 or n > {max(2, wide)}"))
+    return segments.join(sizes, "gram", "left_anti"), segments.join(sizes.where("n > 1").select("gram"), "gram", "left_semi")
+
+
+def _found(pieces: DataFrame, length: int) -> DataFrame:
+    """(gram, seg, a, b): spans that repeat, of pieces (gram, seg, bytes)."""
+    return pieces.repartition("gram").sortWithinPartitions("gram", "seg").mapInArrow(_indexed(length), "gram long, seg long, a long, b long")
+
+
+def _parts_found(many: DataFrame, length: int, wide: int) -> DataFrame:
+    """As _found, of segments (gram, seg, c, owner, size, bytes) of wide owners, which are parted until none is wide."""
+    levels = []
+    while True:
+        parts = stored(many.mapInArrow(_parted(length), "gram long, seg long, of_gram long, of_seg long, c long, at long, owner long, size long, bytes binary"))
+        segments = parts.groupBy("gram", "seg").agg(F.sum("c").alias("c"), *[F.first(x).alias(x) for x in ("owner", "size", "bytes")])
+        few, many = _of_owners(stored(segments), wide)
+        twice = few.select("gram", "seg", F.explode(F.array_repeat("bytes", F.least("c", F.lit(2)).cast("int"))).alias("bytes"))
+        levels.append((parts, stored(_found(twice, length))))
+        if not many.take(1):
+            break
+    below = None
+    for parts, found in reversed(levels):
+        found = found if below is None else found.unionByName(below)
+        whole = parts.select("gram", "seg", "of_gram", "of_seg", "at").join(found, ["gram", "seg"])
+        below = stored(whole.select(F.col("of_gram").alias("gram"), F.col("of_seg").alias("seg"), (F.col("a") + F.col("at")).alias("a"), (F.col("b") + F.col("at")).alias("b")))
+    return below
+
+
 def repeated_spans(documents: DataFrame, length: int = 200, wide: int = WIDE) -> tuple[DataFrame, DataFrame]:
     """(spans, copies): byte spans (doc_id, a, b) to remove, over one document of each group of equal texts, and
     (doc_id, rep, copies) of all documents. A text with a copy is a repeat as a whole if it has `length` bytes."""
@@ -237,25 +305,28 @@ def repeated_spans(documents: DataFrame, length: int = 200, wide: int = WIDE) ->
     keyed = stored(keyed)
     key = ["n_bytes", "x", "y"]
     copies = stored(keyed.join(keyed.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), key).select("doc_id", "rep", "copies", "n_bytes"))
-    reps = stored(copies.where((F.col("doc_id") == F.col("rep")) & (F.col("n_bytes") >= length)).select("doc_id"))
-
-    occurring = stored(with_ids(texts, reps).mapInArrow(_owners(length), "gram long, seg long, doc_id long, first long, last long"))
-    segs = occurring.groupBy("gram", "seg").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "first", "last")).alias("at"))
-    owner = Window.partitionBy("gram")
-    segs = stored(segs.withColumns({"kinds": F.count("*").over(owner)}).where("kinds > 1 or c > 1"))
-
-    whole = occurring.join(segs.where("c > 1").select("gram", "seg"), ["gram", "seg"]).select("doc_id", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
-    parts = segs.where("kinds > 1").select("gram", "at.*", (F.col("c") == 1).alias("alone"), (F.col("kinds") > wide).alias("wide"))
-    parts = stored(parts.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "first", "last", "alone", "wide")).alias("parts")))
-    pieces = with_ids(texts, parts.select("doc_id")).join(parts, "doc_id").select("doc_id", "text", "parts")
-    pieces = pieces.mapInArrow(_segments(length), "gram long, doc_id long, first long, alone boolean, wide boolean, bytes binary")
-    few = pieces.where("not wide").drop("wide").repartition("gram").sortWithinPartitions("gram").mapInArrow(_indexed(length), "doc_id long, a long, b long")
-    spans = whole.unionByName(few)
-    if parts.where(F.exists("parts", lambda p: p["wide"])).take(1):
-        many = pieces.where("wide").select("gram", "doc_id", "first", "bytes").mapInArrow(_windows(length), "gram long, window long, doc_id long, a long")
-        twice = many.groupBy("gram", "window").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-        spans = spans.unionByName(many.join(twice, ["gram", "window"]).select("doc_id", "a", (F.col("a") + length).alias("b")))
-    return spans, copies
+    others = stored(copies.where("doc_id <> rep").select("doc_id"))
+
+    occurring = stored(without_ids(texts, others).mapInArrow(_owners(length), "gram long, seg long, doc_id long, first long, last long"))
+    again = stored(occurring.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram"))
+    places = stored(occurring.join(again, "gram", "left_semi"))
+    place = F.struct("doc_id", "first", "last")
+    segments = stored(places.groupBy("gram", "seg").agg(F.count("*").alias("c"), F.min(place).alias("lo"), F.max(place).alias("hi")))
+    few, many = _of_owners(segments, wide)
+
+    def pieces(at: DataFrame) -> DataFrame:
+        """The bytes of segments (gram, seg, at)."""
+        parts = stored(at.groupBy("at.doc_id").agg(F.collect_list(F.struct("gram", "seg", "at.first", "at.last")).alias("parts")))
+        return with_ids(texts, parts.select("doc_id")).join(parts, "doc_id").select("text", "parts").mapInArrow(_segments(length), "gram long, seg long, bytes binary")
+
+    twice = F.when(F.col("c") > 1, F.array("lo", "hi")).otherwise(F.array("lo"))
+    found = _found(pieces(few.select("gram", "seg", F.explode(twice).alias("at"))), length)
+    if many.take(1):
+        unknown = F.lit(None).cast("long")
+        hot = pieces(many.select("gram", "seg", F.col("lo").alias("at"))).join(many.select("gram", "seg", "c"), ["gram", "seg"])
+        found = found.unionByName(_parts_found(hot.withColumns({"owner": unknown, "size": unknown}), length, wide))
+    spans = places.select("gram", "seg", "doc_id", "first").join(stored(found), ["gram", "seg"])
+    return spans.select("doc_id", (F.col("a") + F.col("first")).alias("a"), (F.col("b") + F.col("first")).alias("b")), copies
 
 
 def cut_repeats(documents: DataFrame, length: int = 200, wide: int = WIDE) -> DataFrame:

@@ -380,7 +380,7 @@ def test_automaton_is_greedy(pieces, words):
 # ---------------------------------------------------------------- 10
 
 
-@pytest.mark.parametrize("wide", [1_000, 1])
+@pytest.mark.parametrize("wide", [1_000, 2])
 def test_repeats_are_cut(spark, odd, with_nulls, none, sample, wide):
     take = lambda df: {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.cut_repeats(df, wide=wide).collect()}
     for df, docs in ((odd, BY_ID), sample):
