@@ -9,6 +9,7 @@ The table has a row per document, ordered by doc_id within and across its shards
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -40,13 +41,13 @@ def encode(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     across = BLOCK + int(COUNTS[0])  # a row for each block, with zeros behind: they fit any selector and aren't read back
     grid = np.zeros((len(starts), across), np.uint64)
     grid[:, :BLOCK][np.arange(BLOCK) < sizes[:, None]] = ids
-    width = np.zeros(grid.shape, np.uint8)
-    for w in range(1, 61):
-        over = grid >> np.uint64(w - 1) > 0
-        if not over.any():
-            break
-        width += over
-    width[grid >> np.uint64(60) > 0] = 64
+    if int(ids.max()) < 1 << 53:  # a float's exponent is the width
+        width = np.frexp(grid.astype(np.float64))[1].astype(np.uint8)
+    else:
+        width = np.zeros(grid.shape, np.uint8)
+        for w in range(60):
+            width += grid >> np.uint64(w) > 0
+        width[grid >> np.uint64(60) > 0] = 64
     spread = {1: width}  # greatest width of so many ids from here on
     while max(spread) * 2 <= COUNTS[0]:
         h = max(spread)
@@ -129,48 +130,77 @@ def block_starts(sizes: np.ndarray) -> np.ndarray:
     return np.repeat(begin, many) + within * BLOCK
 
 
-_memory: dict[str, WordMemory] = {}
-#: A word of Latin letters between signs. The tokenizer parts letters from signs; an apostrophe before letters is another matter.
-_SIMPLE = re.compile(r"([!-&(-/:-@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
-_LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
-#: Words and their parts that are remembered, at about 200 bytes each.
-WORDS, PARTS = 250_000, 900_000
+#: Characters of plain text: white space, ASCII, Latin letters and general punctuation, none of which normalising joins with another.
+_PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ‐-‧]*")
+#: The rules of a tokenizer file under which plain text is parted as `_PARTS` parts it, in lower case.
+_NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+#: Parts that are remembered, at about 200 bytes each.
+PARTS = 700_000
 
 
-def word_ids(path: str) -> WordMemory:
-    """Ids of words (little-endian 32 bit) by a tokenizer that takes no account of case, parts letters from signs and never
-    joins over ASCII white space."""
-    if path not in _memory:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        model, letters = tokenizer.model, {b: c for c, b in byte_letters().items()}
-        table = str.maketrans({chr(b): letters[b] for b in range(256)})
+def _plain(text: str) -> bool:
+    """Whether text is parted by `_PARTS`; signs of added tokens aren't looked for in it."""
+    return "<|" not in text and _PLAIN.fullmatch(text) is not None
 
-        def one(part: str) -> bytes:
-            if part[0].isalpha() and _LETTERS.fullmatch(part):  # lower case and one run of letters: nothing to normalise or to part
-                return array("I", [t.id for t in model.tokenize(part.encode().decode("latin-1").translate(table))]).tobytes()
-            return array("I", tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
 
-        parts = WordMemory(lambda texts: map(one, texts), PARTS)
+class Ids:
+    """A tokenizer file's ids of texts, as little-endian 32-bit integers. Under the rules above parts of words are looked up in
+    a memory, filled by the model's merges for plain ones and by the whole tokenizer for others; other files encode whole texts."""
 
-        def work(words: list[bytes]) -> list[bytes]:
-            split = []
-            for word in words:
-                text = word.decode()
-                m = _SIMPLE.fullmatch(text)
-                if not m or "<" in m[1]:
-                    split.append((text,))
-                elif m[1] or m[3]:
-                    split.append((m[1], m[2].lower(), m[3]))
-                else:
-                    split.append((m[2].lower(),))
-            parts.know(p for s in split for p in s if p)
-            return [b"".join([parts[p] for p in s if p]) for s in split]
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-        _memory[path] = WordMemory(work, WORDS)
-    return _memory[path]
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        self.by_parts = rules["normalizer"] == _NORMAL and rules["pre_tokenizer"] == _SPLIT and not rules["post_processor"]
+        self.by_parts = self.by_parts and all(t["content"].startswith("<|") and not t["lstrip"] and not t["rstrip"] for t in rules["added_tokens"])
+        self.tokenizer = Tokenizer.from_file(path)
+        self.letters = str.maketrans({chr(b): c for c, b in byte_letters().items()})
+        self.memory = WordMemory(lambda parts: map(self._part, parts), PARTS)
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        if _plain(part):
+            return array("I", [t.id for t in self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        return self.whole(part)
+
+    @staticmethod
+    def parts(text: str) -> list[str]:
+        """Parts of a text; words with other than plain characters are whole, as nothing is joined over ASCII white space."""
+        if _plain(text):
+            return _PARTS.findall(text.lower())
+        words = (w.decode() for w in text.encode().split())
+        return [p for w in words for p in (_PARTS.findall(w.lower()) if _plain(w) else (w,))]
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        if not self.by_parts:
+            return [self.whole(t) for t in texts]
+        split = [self.parts(t) for t in texts]
+        self.memory.know(p for parts in split for p in parts)
+        return [b"".join(map(self.memory.__getitem__, parts)) for parts in split]
+
+
+_known: dict[str, Ids] = {}
+
+
+def _runs(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about `limit` together, at least a row each."""
+    a = 0
+    while a < len(sizes):
+        b, total = a + 1, sizes[a]
+        while b < len(sizes) and total + sizes[b] <= limit:
+            total += sizes[b]
+            b += 1
+        yield a, b
+        a = b
 
 
 def _encoded(path: str, end_id: int):
@@ -178,18 +208,12 @@ def _encoded(path: str, end_id: int):
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = word_ids(path)
+        if path not in _known:
+            _known[path] = Ids(path)
         for batch in batches:
-            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id")
-            a = 0
-            while a < len(texts):
-                b, size = a, 0
-                while b < len(texts) and (b == a or size < 2_000_000):
-                    size += len(texts[b] or "")
-                    b += 1
-                docs = [(t or "").encode().split() for t in texts[a:b]]
-                memory.know(w for d in docs for w in d)
-                flat = [b"".join([*map(memory.__getitem__, d), end]) for d in docs]
+            texts, ids = [t or "" for t in batch.column("text").to_pylist()], batch.column("doc_id")
+            for a, b in _runs([len(t) for t in texts], 2_000_000):
+                flat = [x + end for x in _known[path].of(texts[a:b])]
                 sizes = np.array([len(x) // 4 for x in flat])
                 starts = block_starts(sizes)
                 words, offsets = encode(np.frombuffer(b"".join(flat), np.uint32).astype(np.uint64), starts)
@@ -200,25 +224,31 @@ def _encoded(path: str, end_id: int):
                     parts.append(words[edge[i] : edge[j]].tobytes())
                     tables.append((offsets[i:j] - edge[i]).astype(np.uint32).tobytes())
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(sizes, pa.int64()), binary_array(parts), binary_array(tables)], ["doc_id", "n_tokens", "words", "offsets"])
-                a = b
 
     return run
 
 
-def read_row(n: int, words: bytes, offsets: bytes) -> np.ndarray:
-    """The ids of one row of the table, as unsigned 32-bit integers."""
-    starts = block_starts(np.array([n]))
-    return decode(np.frombuffer(words, np.uint64), np.frombuffer(offsets, np.uint32).astype(np.int64), np.append(starts[1:], n) - starts).astype(np.uint32)
+def read_rows(sizes: np.ndarray, words: list[bytes], offsets: list[bytes]) -> np.ndarray:
+    """The ids of rows of the table, end to end, as unsigned 32-bit integers."""
+    starts = block_starts(sizes)
+    ends = np.append(starts[1:], sizes.sum())
+    first = np.concatenate(([0], np.cumsum([len(w) // 8 for w in words])[:-1]))
+    base = np.repeat(first, [len(x) // 4 for x in offsets])
+    return decode(np.frombuffer(b"".join(words), np.uint64), np.frombuffer(b"".join(offsets), np.uint32) + base, ends - starts).astype(np.uint32)
 
 
 @tidy
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        sizes = batch.column("n_tokens").to_numpy(zero_copy_only=False).astype(np.int64)
+        words, offsets = (batch.column(c).to_pylist() for c in ("words", "offsets"))
         size, crc = [], []
-        for n, words, offsets in zip(*(batch.column(c).to_pylist() for c in ("n_tokens", "words", "offsets")), strict=True):
-            ids = read_row(n, words, offsets)
-            size.append(len(ids))
-            crc.append(zlib.crc32(ids.tobytes()))
+        for a, b in _runs(sizes.tolist(), 500_000):
+            ids = read_rows(sizes[a:b], words[a:b], offsets[a:b])
+            ends = np.cumsum(sizes[a:b])
+            for i, j in zip(ends - sizes[a:b], ends, strict=True):
+                size.append(int(j - i))
+                crc.append(zlib.crc32(ids[i:j]))
         yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(crc, pa.int64())], ["shard", "doc_id", "n_tokens", "ids_crc32"])
 
 

@@ -159,6 +159,32 @@ def test_token_digests(odd, with_nulls, none, sample):
     assert digest(with_nulls).count() == len(TEXTS) + 2 and digest(none).count() == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*"abZÀéßÿ0 9\n\t'’“…-#<|>.", "'s", "'re", "don't", "'Stone", "\u0301", "İ", "²", "ª", "\xa0", "\x1c", "\x85", "日", "ẞ", "<|endoftext|>", "<|"]), max_size=12).map("".join), max_size=4))
+def test_ids_are_the_librarys(texts):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    if path not in token_output._known:
+        token_output._known[path] = token_output.Ids(path)
+    library = Tokenizer.from_file(path)
+    assert [np.frombuffer(x, np.uint32).tolist() for x in token_output._known[path].of(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_other_tokenizer_files_encode_whole_texts(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(tokenizer_path("word_bpe_49k.json"), encoding="utf-8") as f:
+        rules = json.load(f)
+    rules["normalizer"] = None
+    (tmp_path / "other.json").write_text(json.dumps(rules))
+    other, text = token_output.Ids(str(tmp_path / "other.json")), "A Text that isn't lower case"
+    assert not other.by_parts
+    assert np.frombuffer(other.of([text])[0], np.uint32).tolist() == Tokenizer.from_file(str(tmp_path / "other.json")).encode(text, add_special_tokens=False).ids
+
+
 # ---------------------------------------------------------------- 3
 
 
