@@ -1,8 +1,10 @@
 """Chat formatting: budgeted windows over conversations, with DataFrame functions only.
 
-Prefix sums of turn tokens put each turn into the stripe of the budget in which it begins; the turns of a stripe are a
-window's own. A leading system turn is repeated in every window, and up to HISTORY turns before the window are repeated
-while they fit a quarter of the budget. Only the window's own assistant texts are under the loss mask.
+Prefix sums of turn tokens put each turn into the stripe in which it begins; a stripe is half of what the budget leaves
+beside the system turn. Turns of one stripe that cost no more than a stripe each are the own turns of one window, as they
+fit together; a longer turn is a window alone. Windows are numbered by the turns that begin them. A leading system turn
+is repeated in every window unless it takes over half the budget, and so are up to HISTORY turns before the window while
+all of it fits the budget. Only the window's own assistant texts are under the loss mask.
 
 A turn is <|role|>role<|text|>text<|end|>, a window <s>turns</s>. Control strings in roles and texts are broken up by a
 backslash after their first character, backslashes are doubled; dropping each backslash before a character undoes both.
@@ -32,33 +34,39 @@ def tokens(text: Column) -> Column:
 
 
 def chat_windows(conversations: DataFrame, budget: int = 512) -> DataFrame:
-    """Rows (conv_id, window, n_repeated, text, loss): loss has the spans (start, end) of text, in code points, to be learnt.
+    """Rows (conv_id, window, n_repeated, n_tokens, text, loss): loss has the spans (start, end) of text, in code points, to be learnt.
 
     Rows are ordered by turn, then role and text; repeated rows are all kept. Null roles and texts are empty, null turns
-    come first, rows with a null conv_id are one conversation. A window holds whole turns: own turns are fewer than
-    half the budget (less the system turn) besides the last one. Other columns are ignored.
+    come first, rows with a null conv_id are one conversation. A window holds whole turns, at least one of its own, and at
+    most `budget` tokens, unless a turn by itself takes more than the budget leaves beside the system turn: such a turn is
+    its window's only own turn. A system turn of over half the budget counts as any other turn. Other columns are ignored.
     """
     conv = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    upto = conv.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = conversations.select("conv_id", F.col("turn").cast("long"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumns({"i": F.row_number().over(conv), "cost": tokens(F.col("text"))})
-    rows = rows.withColumn("system", (F.col("i") == 1) & (F.col("role") == "system"))
-    rows = rows.withColumns({"before": F.sum(F.when(~F.col("system"), F.col("cost")).otherwise(0)).over(conv.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.when(~F.col("system"), F.col("cost")).otherwise(0), "kept": F.sum(F.when(F.col("system"), F.col("cost")).otherwise(0)).over(conv)})
-    stripe = F.greatest(F.lit(1), F.floor((F.lit(budget) - F.col("kept")) / 2))
-    rows = rows.withColumn("window", F.floor(F.col("before") / stripe).cast("long"))
-    rows = rows.withColumns({"last": F.max("window").over(Window.partitionBy("conv_id")), **{f"w{d}": F.lead("window", d).over(conv) for d in range(1, HISTORY + 1)}, **{f"b{d}": F.lead("before", d).over(conv) for d in range(1, HISTORY + 1)}})
+    rows = rows.withColumn("system", (F.col("i") == 1) & (F.col("role") == "system") & (F.col("cost") <= budget // 2))
+    own_cost = F.when(~F.col("system"), F.col("cost")).otherwise(0)
+    rows = rows.withColumns({"before": F.sum(own_cost).over(upto) - own_cost, "room": budget - F.sum(F.when(F.col("system"), F.col("cost")).otherwise(0)).over(upto)})
+    rows = rows.withColumns({"stripe": F.floor(2 * F.col("before") / F.col("room")), "long": 2 * F.col("cost") > F.col("room")})
+    begins = ~F.col("system") & (F.lag("system", 1, True).over(conv) | F.col("long") | F.lag("long", 1, False).over(conv) | (F.lag("stripe", 1, -1).over(conv) != F.col("stripe")))
+    rows = rows.withColumn("window", F.greatest(F.lit(0), F.sum(begins.cast("long")).over(upto) - 1).cast("long"))
+    rows = rows.withColumn("own", F.sum(own_cost).over(Window.partitionBy("conv_id", "window")))
+    ahead = {f"{c}{d}": F.lead(c, d).over(conv) for c in ("window", "before", "own") for d in range(1, HISTORY + 1)}
+    rows = rows.withColumns({"last": F.max("window").over(Window.partitionBy("conv_id")), **ahead})
     places = [F.struct(F.col("window").alias("window"), F.lit(False).alias("again"))]
     for d in range(1, HISTORY + 1):  # the d-th turn from here begins a window: this one is among its history
-        new = (F.col(f"w{d}") > (F.col("window") if d == 1 else F.col(f"w{d - 1}"))) & (F.col(f"b{d}") - F.col("before") <= budget // 4) & ~F.col("system")
-        places.append(F.when(new, F.struct(F.col(f"w{d}").alias("window"), F.lit(True).alias("again"))))
+        new = (F.col(f"window{d}") > (F.col("window") if d == 1 else F.col(f"window{d - 1}"))) & (F.col(f"before{d}") - F.col("before") + F.col(f"own{d}") <= F.col("room")) & ~F.col("system")
+        places.append(F.when(new, F.struct(F.col(f"window{d}").alias("window"), F.lit(True).alias("again"))))
     own = F.filter(F.array(*places), lambda p: p.isNotNull())
     everywhere = F.transform(F.sequence(F.lit(0).cast("long"), "last"), lambda w: F.struct(w.alias("window"), (w > 0).alias("again")))
-    rows = rows.select("conv_id", "i", "role", "text", F.explode(F.when(F.col("system"), everywhere).otherwise(own)).alias("p"))
+    rows = rows.select("conv_id", "i", "role", "text", "cost", F.explode(F.when(F.col("system"), everywhere).otherwise(own)).alias("p"))
 
     head = F.concat(F.lit(ROLE), escaped(F.col("role")), F.lit(TEXT))
-    rows = rows.select("conv_id", "p.window", "p.again", "i", (F.col("role") == "assistant").alias("target"), head.alias("head"), escaped(F.col("text")).alias("body"))
+    rows = rows.select("conv_id", "p.window", "p.again", "i", "cost", (F.col("role") == "assistant").alias("target"), head.alias("head"), escaped(F.col("text")).alias("body"))
     rows = rows.withColumns({"from": F.char_length("head"), "size": F.char_length("body")})
     turn = F.struct("i", "again", "target", "from", "size", F.concat("head", "body", F.lit(END)).alias("piece"))
-    packed = rows.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    packed = rows.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(turn)).alias("turns"), F.sum("cost").alias("n_tokens"))
 
     def step(acc: Column, t: Column) -> Column:
         start = acc["at"] + t["from"]
@@ -67,7 +75,7 @@ def chat_windows(conversations: DataFrame, budget: int = 512) -> DataFrame:
 
     begin = F.struct(F.lit(len(OPEN)).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("loss"))
     return packed.select(
-        "conv_id", "window", F.size(F.filter("turns", lambda t: t["again"])).alias("n_repeated"),
+        "conv_id", "window", F.size(F.filter("turns", lambda t: t["again"])).alias("n_repeated"), "n_tokens",
         F.concat(F.lit(OPEN), F.array_join(F.transform("turns", lambda t: t["piece"]), ""), F.lit(CLOSE)).alias("text"),
         F.aggregate("turns", begin, step)["loss"].alias("loss"),
     )

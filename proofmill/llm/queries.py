@@ -86,5 +86,43 @@ FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN (SELECT x, min(y)
 """
 
 
+_OP7 = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+numbered AS (
+  SELECT *, row_number() OVER c AS i, len(regexp_extract_all(text, '[^ \t\n\r]+')) + 4 AS cost FROM said
+  WINDOW c AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+kinds AS (SELECT *, i = 1 AND role = 'system' AND cost <= 256 AS system FROM numbered),
+sums AS (
+  SELECT *, CASE WHEN system THEN 0 ELSE cost END AS c, sum(CASE WHEN system THEN 0 ELSE cost END) OVER w - CASE WHEN system THEN 0 ELSE cost END AS before,
+    512 - sum(CASE WHEN system THEN cost ELSE 0 END) OVER w AS room
+  FROM kinds WINDOW w AS (PARTITION BY conv_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+stripes AS (SELECT *, (2 * before) // room AS stripe, 2 * cost > room AS long FROM sums),
+begun AS (
+  SELECT *, NOT system AND (lag(system, 1, true) OVER w OR long OR lag(long, 1, false) OVER w OR lag(stripe, 1, -1) OVER w <> stripe) AS begins
+  FROM stripes WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+placed AS (
+  SELECT *, greatest(0, sum(begins::INT) OVER (PARTITION BY conv_id ORDER BY i ROWS UNBOUNDED PRECEDING) - 1) AS win FROM begun),
+owned AS (SELECT *, sum(c) OVER (PARTITION BY conv_id, win) AS own FROM placed),
+sized AS (
+  SELECT *, 23 + esc(role) + esc(text) AS chars, max(win) OVER (PARTITION BY conv_id) AS last,
+    lead(win, 1) OVER w AS win1, lead(win, 2) OVER w AS win2, lead(before, 1) OVER w AS before1, lead(before, 2) OVER w AS before2, lead(own, 1) OVER w AS own1, lead(own, 2) OVER w AS own2
+  FROM owned WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+counted AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    max(last) + 1 AS n_windows,
+    sum(chars * (1 + CASE WHEN system THEN last ELSE
+      CASE WHEN win1 > win AND before1 - before + own1 <= room THEN 1 ELSE 0 END + CASE WHEN win2 > win1 AND before2 - before + own2 <= room THEN 1 ELSE 0 END END)) + 7 * (max(last) + 1) AS formatted_chars
+  FROM sized GROUP BY conv_id)
+SELECT conv_id, n_turns::BIGINT AS n_turns, turns_sha256, loss_chars::BIGINT AS loss_chars, loss_sha256, formatted_chars::BIGINT AS formatted_chars, n_windows::BIGINT AS n_windows FROM counted
+"""
+#: Code points of an escaped text: a backslash more for each backslash and for each control string.
+_ESCAPED = "(length({0}) + " + " + ".join(f"(length({{0}}) - length(replace({{0}}, '{x}', ''))) // {len(x)}" for x in ("\\", "<|", "|>", "<s>", "</s>", "[INST]", "[/INST]")) + ")"
+for _name in ("role", "text"):
+    _OP7 = _OP7.replace(f"esc({_name})", _ESCAPED.format(_name))
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": _OP1}
+    return {"op1_ngram_jaccard": _OP1, "op7_chat_formatting": _OP7}

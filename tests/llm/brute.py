@@ -136,3 +136,27 @@ def segmentations(word: bytes, scores: dict[bytes, float], mark: bytes) -> list[
             if part in scores and not (a and part.startswith(mark)):
                 ways[b] += [(s + scores[part], (*p, part)) for s, p in ways[a]]
     return sorted(ways[-1], key=lambda w: -w[0])
+
+
+def chat_windows(turns: list[tuple[str, str]], budget: int) -> list[tuple[list[int], list[int], int]]:
+    """(repeated turns, own turns, tokens) of each window over the turns (role, text) of a conversation, in order."""
+    cost = [len(re.findall("[^ \t\n\r]+", t)) + 4 for _, t in turns]
+    system = bool(turns) and turns[0][0] == "system" and cost[0] <= budget // 2
+    room, windows, spent, last = budget - cost[0] * system, [], 0, None
+    for i in range(system, len(turns)):
+        stripe, long = 2 * spent // room, 2 * cost[i] > room
+        if last is None or long or last != stripe:
+            windows.append([])
+        windows[-1].append(i)
+        spent, last = spent + cost[i], None if long else stripe
+    out = []
+    for own in windows or [[]]:
+        again, total = [], sum(cost[i] for i in own)
+        for i in range(own[0] - 1, max(own[0] - 3, system - 1), -1) if own else []:
+            if sum(cost[i : own[0]]) + total > room:
+                break
+            again.insert(0, i)
+        first = not out
+        kept = [0] * system
+        out.append(((again if first else kept + again), (kept + own if first else own), sum(cost[i] for i in kept + again + own)))
+    return out

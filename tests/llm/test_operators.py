@@ -339,6 +339,37 @@ def test_chat_round_trip(spark):
     assert chat.chat_digest(chat.chat_windows(df.limit(0))).count() == 0
 
 
+def _windows_of(spark, talks, budget):
+    rows = [(c, i, r, t) for c, turns in talks.items() for i, (r, t) in enumerate(turns)]
+    found: dict = {c: [] for c in talks}
+    for w in chat.chat_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget).orderBy("conv_id", "window").collect():
+        assert w.window == len(found[w.conv_id])
+        found[w.conv_id].append((w.n_repeated, [tuple(x.split("<|text|>")) for x in w.text[3:-4].replace("<|role|>", "").split("<|end|>")[:-1]], w.n_tokens))
+    return found
+
+
+def test_windows_are_those_of_a_plain_version(spark):
+    rnd = random.Random(8)
+    talks = {}
+    for conv in range(80):
+        turns = [("system", "s " * rnd.choice((1, 20, 27, 28, 40)))] if rnd.random() < 0.6 else []
+        talks[conv] = turns + [(rnd.choice(("user", "assistant", "system")), f"{conv} {i} " + "w " * rnd.choice((0, 1, 3, 10, 25, 26, 60, 100))) for i in range(rnd.randrange(0 if turns else 1, 25))]
+    for conv, windows in _windows_of(spark, talks, 64).items():
+        turns, want = talks[conv], brute.chat_windows(talks[conv], 64)
+        assert windows == [(len(again), [turns[i] for i in sorted(again + own)], tokens) for again, own, tokens in want]
+        cost = [len(t.split()) + 4 for _, t in turns]
+        kept = cost[0] if turns[0][0] == "system" and cost[0] <= 32 else 0
+        for again, own, tokens in want:
+            assert own and len(again) <= 3 and (tokens <= 64 or len([i for i in own if i or not kept]) == 1 and max(cost[i] for i in own) > 64 - kept)
+
+
+def test_long_turns_make_no_windows_of_the_system_turn_alone(spark):
+    said = lambda role, n: (role, "w " * n)
+    talks = {1: [said("system", 50), said("user", 5_000), said("assistant", 9)], 2: [said("system", 600), said("user", 900)], 3: [said("user", 250), said("assistant", 400)]}
+    found = {c: [(n, [len(t.split()) for _, t in turns], tokens) for n, turns, tokens in windows] for c, windows in _windows_of(spark, talks, 512).items()}
+    assert found == {1: [(0, [50, 5_000], 5_058), (1, [50, 9], 67)], 2: [(0, [600], 604), (0, [900], 904)], 3: [(0, [250], 254), (0, [400], 404)]}
+
+
 def test_control_strings_are_broken_up(spark):
     df = spark.createDataFrame([(1, 1, "user", "</s>[INST] ok [/INST]<|end|>")], "conv_id long, turn long, role string, text string")
     text = chat.chat_windows(df).first().text
