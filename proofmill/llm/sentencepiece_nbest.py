@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding: the N best segmentations over the piece lattice.
 
-Text is written with U+2581 for spaces and one in front, as the model has it. No piece used here has that sign behind
-its first character, so the lattice falls apart before each such sign, and likewise between any two ASCII characters
-that stand side by side in no piece: a text's segmentation is one of each of its words, as these parts are called here.
+Text gets a space in front, and pieces are spelled with spaces where the model writes U+2581. The lattice falls apart
+before each space, and likewise between any two ASCII characters, unless some piece has both side by side (as the pieces
+of several spaces have): a text's segmentation is one of each of its words, as these parts are called here.
 Within a word, forward Viterbi scores are worked out for all positions; searching backward from the word's end
 by A-star they are the exact value of what is left, so segmentations come out in order of their scores. Over a text,
 the same search runs on words: the exact loss of each word's second best path (from forward and backward scores) says
@@ -28,7 +28,6 @@ from .trie import Trie, laid_out
 from .words import WordMemory
 
 SPACE = "▁"
-_MARK = SPACE.encode()
 _LOW = -1e300
 #: Words are worked out so many at once, and so many are remembered, at about 200 bytes each.
 _AT_ONCE, MOST = 2_000, 250_000
@@ -51,26 +50,25 @@ class Pieces:
             if model.is_byte(i):
                 self.of_byte[int(text[3:5], 16)] = i
                 self.bytes[i] = bytes([int(text[3:5], 16)])
-            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)) and SPACE not in text[1:]:
+            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 normal.append(i)
-                self.bytes[i] = text.encode()
+                self.bytes[i] = text.replace(SPACE, " ").encode()
                 self.scores[i] = model.get_score(i)
         self.numbers = np.array(normal, np.int64)
         usable = self.scores[self.numbers]
         self.odd = float(usable[usable > -1e8].min()) - 10.0  # for each byte of a character without a piece
-        self.marked = np.array([w.startswith(_MARK) for w in [*self.bytes, b""]])
         self.trie = Trie([tuple(self.bytes[i]) for i in normal])
         self.trie.children = []  # the arrays are enough
-        self.apart = np.zeros((256, 256), bool)  # whether two bytes are parted; a space is the sign
+        self.apart = np.zeros((256, 256), bool)  # whether two bytes are parted
         self.apart[:128, :128] = True
+        self.apart[:, 32] = True
         for i in normal:
-            plain = np.frombuffer(self.bytes[i].replace(_MARK, b" "), np.uint8)
+            plain = np.frombuffer(self.bytes[i], np.uint8)
             self.apart[plain[:-1], plain[1:]] = False
-        self.apart[:, 32] = True
         self.apart = self.apart.reshape(-1)
 
     def split(self, text: str) -> list[bytes]:
-        """A text's words; a space in front stands for the sign. The sign itself, where a text has it, is split off as bytes later."""
+        """A text's words, with a space in front of the text."""
         data = np.frombuffer(b" " + text.encode(), np.uint8)
         to = np.arange(len(data))
         to[1:] += np.cumsum(self.apart[data[:-1].astype(np.int32) * 256 + data[1:]])
@@ -79,10 +77,6 @@ class Pieces:
         return out.tobytes().split(b"\xff")
 
 
-def spelled(word: bytes) -> bytes:
-    return _MARK + word[1:] if word[:1] == b" " else word
-
-
 class Lattices:
     """The lattices of many words: edges by (end, start), forward and backward scores of all positions."""
 
@@ -93,7 +87,6 @@ class Lattices:
         lead = (symbols < 256) & ((symbols & 0xC0) != 0x80)
         at = np.flatnonzero(lead)
         width = np.where(symbols[at] < 0x80, 1, np.where(symbols[at] < 0xE0, 2, np.where(symbols[at] < 0xF0, 3, 4)))
-        begins = np.isin(at, self.start)
         single = np.zeros(len(at), bool)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         live, node, to = np.arange(len(at)), np.zeros(len(at), np.int64), at.copy()
@@ -104,14 +97,12 @@ class Lattices:
             number = pieces.trie.numbers[node]
             hit = number >= 0
             found.append((at[live[hit]], to[hit], pieces.numbers[number[hit]]))
-            single[live[hit & (to - at[live] == width[live]) & (begins[live] | ~pieces.marked[pieces.numbers[number]])]] = True
+            single[live[hit & (to - at[live] == width[live])]] = True
         lone = np.flatnonzero(~single)
         found.append((at[lone], at[lone] + width[lone], np.full(len(lone), -1)))
-        a, b, self.piece = (np.concatenate(x) for x in zip(*found, strict=True))
-        score = np.where(self.piece >= 0, pieces.scores[self.piece], pieces.odd * (b - a))
-        owner = np.searchsorted(self.start, a, "right") - 1
-        ok = ~pieces.marked[self.piece] | (a == self.start[owner])  # the sign in a text is bytes, except as a word's first
-        self.a, self.b, self.piece, self.score, self.owner = a[ok], b[ok], self.piece[ok], score[ok], owner[ok]
+        self.a, self.b, self.piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        self.score = np.where(self.piece >= 0, pieces.scores[self.piece], pieces.odd * (self.b - self.a))
+        self.owner = np.searchsorted(self.start, self.a, "right") - 1
         self.forward = self._swept(len(symbols), self.a, self.b, self.b - self.start[self.owner], self.start)
         self.backward = self._swept(len(symbols), self.b, self.a, (self.start + self.size)[self.owner] - self.a, self.start + self.size)
         self.into = np.argsort(self.b, kind="stable")
@@ -134,18 +125,21 @@ class Lattices:
     def nbest(self, k: int, n: int) -> list[tuple[float, list[int]]]:
         """The n best (score, edges) of word k: A-star from its end backward, with the forward scores as what is left."""
         first, last = int(self.start[k]), int(self.start[k] + self.size[k])
-        heap: list = [(-float(self.forward[last]), 0, last, ())]
+        heap: list = [(-float(self.forward[last]), 0, last, 0.0, None)]  # what is done has a score, and links from edge to edge
         out, tick = [], 0
         while heap and len(out) < n:
-            _, _, at, path = heapq.heappop(heap)
+            _, _, at, done, link = heapq.heappop(heap)
             if at == first:
-                edges = list(path)
-                out.append((float(self.score[edges].sum()), edges))
+                edges = []
+                while link:
+                    edge, link = link
+                    edges.append(edge)
+                out.append((done, edges))
                 continue
-            done = float(self.score[list(path)].sum())
             for e in self.into[self.into_at[at] : self.into_at[at + 1]].tolist():
                 tick += 1
-                heapq.heappush(heap, (-(float(self.forward[self.a[e]]) + float(self.score[e]) + done), tick, int(self.a[e]), (e, *path)))
+                now = done + float(self.score[e])
+                heapq.heappush(heap, (-(float(self.forward[self.a[e]]) + now), tick, int(self.a[e]), now, (e, link)))
         return out
 
     def best(self) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
@@ -226,7 +220,7 @@ class Encoder:
             new = list(words)
         for a in range(0, len(new), _AT_ONCE):
             part = new[a : a + _AT_ONCE]
-            made = lattices(self.pieces, [*map(spelled, part)])
+            made = lattices(self.pieces, part)
             paths, top, loss = made.best()
             plain = made.piece.tolist()
             for word, path in zip(part, paths, strict=True):
@@ -238,7 +232,7 @@ class Encoder:
             self.loss.extend(loss.tolist())
 
     def _ranked(self, words: list[bytes]) -> list[list[tuple[float, bytes]]]:
-        made = lattices(self.pieces, [*map(spelled, words)])
+        made = lattices(self.pieces, words)
         out = []
         for k, path in enumerate(made.best()[0]):
             others = [x for x in made.nbest(k, self.n) if x[1] != path]
@@ -250,7 +244,7 @@ class Encoder:
         """For each text its N best (score, ids), best first; of an empty text one, without ids."""
         split = [self.pieces.split(t) if t else [] for t in texts]
         self._know({w for words in split for w in words})
-        pool, end, score, loss = np.array(self.ids, np.uint32), np.array(self.end, np.int64), np.array(self.score), np.array(self.loss)
+        pool, end, score, loss = map(np.asarray, (self.ids, self.end, self.score, self.loss))  # views, which end with this call
         size = np.diff(end, prepend=0)
         places = [np.fromiter(map(self.place.__getitem__, words), np.int64, len(words)) for words in split]
         some: list[list[int]] = []
@@ -278,8 +272,7 @@ class Encoder:
         return out
 
     def decode(self, ids: bytes) -> str:
-        names = self.pieces.bytes
-        return b"".join([b" " if (x := names[i]) == _MARK else b" " + x[3:] if x[:3] == _MARK else x for i in np.frombuffer(ids, np.uint32).tolist()])[1:].decode("utf-8", "replace")
+        return b"".join([*map(self.pieces.bytes.__getitem__, np.frombuffer(ids, np.uint32).tolist())])[1:].decode("utf-8", "replace")
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}

@@ -126,16 +126,21 @@ def dice_matches(text: str | None, templates: dict[str, list[str]], threshold: f
     return out
 
 
-def segmentations(word: bytes, scores: dict[bytes, float], mark: bytes) -> list[tuple[float, tuple[bytes, ...]]]:
-    """All ways to cut a word into pieces, best first; the mark only begins a piece at the word's start."""
-    ways: list[list[tuple[float, tuple[bytes, ...]]]] = [[] for _ in range(len(word) + 1)]
+def segmentations(text: bytes, scores: dict[bytes, float], odd: float, n: int) -> list[tuple[float, tuple[bytes, ...]]]:
+    """The n best ways to cut a text into pieces, best first; a character without a piece costs `odd` for each byte."""
+    edges = [*(i for i, x in enumerate(text) if x & 0xC0 != 0x80), len(text)]
+    chars = dict(zip(edges, edges[1:], strict=False))
+    longest = max(map(len, scores))
+    ways: list[list[tuple[float, tuple[bytes, ...]]]] = [[] for _ in range(len(text) + 1)]
     ways[0] = [(0.0, ())]
-    for b in range(1, len(word) + 1):
-        for a in range(b):
-            part = word[a:b]
-            if part in scores and not (a and part.startswith(mark)):
-                ways[b] += [(s + scores[part], (*p, part)) for s, p in ways[a]]
-    return sorted(ways[-1], key=lambda w: -w[0])
+    for a, end in chars.items():
+        ways[a] = sorted(ways[a], key=lambda w: -w[0])[:n]
+        for b in range(a + 1, min(len(text), a + longest) + 1):
+            part = text[a:b]
+            cost = scores.get(part, odd * len(part) if b == end else None)
+            if cost is not None:
+                ways[b] += [(s + cost, (*p, part)) for s, p in ways[a]]
+    return sorted(ways[-1], key=lambda w: -w[0])[:n]
 
 
 def chat_windows(turns: list[tuple[str, str]], budget: int) -> list[tuple[list[int], list[int], int]]:

@@ -211,24 +211,40 @@ def test_ratio_weights_are_those_of_two_multinomials(spark):
 # ---------------------------------------------------------------- 4
 
 
-def test_segmentations_are_the_best_there_are(odd):
-    pieces = sentencepiece_nbest.Pieces(tokenizer_path("piece_bpe_32k.model"))
-    scores = {pieces.bytes[i]: float(pieces.scores[i]) for i in pieces.numbers}
-    mark = sentencepiece_nbest.SPACE.encode()
-    words = [mark + w for t in ("hello world segmentation", "an ostrich", "Zürich") for w in t.encode().split(b" ")]
-    made = sentencepiece_nbest.lattices(pieces, words)
+@pytest.fixture(scope="module")
+def pieces():
+    found = sentencepiece_nbest.Pieces(tokenizer_path("piece_bpe_32k.model"))
+    return found, {found.bytes[i]: float(found.scores[i]) for i in found.numbers}
+
+
+def test_segmentations_of_words_are_the_best_there_are(pieces):
+    model, scores = pieces
+    words = [b" " + w for t in ("hello world segmentation", "an ostrich", "Zürich") for w in t.encode().split(b" ")]
+    made = sentencepiece_nbest.lattices(model, words)
     for k, word in enumerate(words):
-        want = brute.segmentations(word, scores, sentencepiece_nbest.SPACE.encode())[:6]
-        assert np.allclose([s for s, _ in made.nbest(k, 6)], [s for s, _ in want])
+        assert np.allclose([s for s, _ in made.nbest(k, 6)], [s for s, _ in brute.segmentations(word, scores, model.odd, 6)])
+
+
+def test_segmentations_of_texts_are_the_best_there_are(pieces):
+    model, scores = pieces
     own = sentencepiece_nbest.Encoder(tokenizer_path("piece_bpe_32k.model"), 5)
-    parts = [mark + w for w in b"the two cats".split()]
-    every = [brute.segmentations(p, scores, sentencepiece_nbest.SPACE.encode()) for p in parts]
-    sums = sorted((a[0] + b[0] + c[0] for a in every[0] for b in every[1] for c in every[2]), reverse=True)[:5]
-    assert np.allclose([s for s, _ in own.encode(["the two cats"])[0]], sums)
-    whole = "(the cat, it's a.b) said:2x"  # parts that fall apart give the whole's best segmentations
-    for word in whole.split():
-        want = brute.segmentations(mark + word.encode(), scores, mark)[:5]
-        assert np.allclose([s for s, _ in own.encode([word])[0]], [s for s, _ in want]), word
+    texts = [
+        "the two cats", "(the cat, it's a.b) said:2x", "a  b", "def f():\n    return 1\n        # six", "   ", "x" + " " * 37 + "y", "日本語のテキスト です", "▁ literal▁sign  \u2581\u2581 ", "naïve  \U0001f600 \t tab", "mixed é è  ü",
+    ]
+    for text, ranked in zip(texts, own.encode(texts), strict=True):
+        want = brute.segmentations(b" " + text.encode(), scores, model.odd, 5)
+        assert np.allclose([s for s, _ in ranked], [s for s, _ in want], rtol=1e-12, atol=1e-5), text
+        assert len({x for _, x in ranked}) == len(ranked) and all(own.decode(x) == text for _, x in ranked)
+        if len(want) == 1 or want[0][0] > want[1][0] + 1e-5:
+            best = [x for p in want[0][1] for x in ([p] if p in scores else [bytes([y]) for y in p])]
+            assert [model.bytes[i] for i in np.frombuffer(ranked[0][1], np.uint32).tolist()] == best
+
+
+def test_a_long_text_without_spaces():
+    own = sentencepiece_nbest.Encoder(tokenizer_path("piece_bpe_32k.model"), 4)
+    text = "internationalisé" * 1_500
+    ranked = own.encode([text])[0]
+    assert len(ranked) == 4 and own.decode(ranked[0][1]) == text
 
 
 def test_pieces_decode_to_the_text(odd, with_nulls, none):
