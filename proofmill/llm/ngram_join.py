@@ -1,17 +1,19 @@
 """N-gram Jaccard join: exact set similarity join over word shingles by skipping along set relations.
 
-Index lists are ordered by set size and carry positions, so that stretches of a list that the size or position bound
-rules out are skipped as blocks. A set that is highly similar to another takes over that set's answers (its class);
-only what leads outside of the class is looked for in the lists.
+Index lists are ordered by set size and carry positions. What a set's own size and position rule out is the end of a
+list; of the rest, blocks in which no entry's position allows a set of that size are skipped as a whole. A set that is
+highly similar to another (its pivot) takes over that set's answers.
 
-1. Equal sets fall into one class by a 128-bit signature; their least doc_id stands for them.
+1. Equal sets fall into one class by a 128-bit signature; their least doc_id stands for them in all that follows.
 2. Each set is compared with the pivots it shares most min-hash slots with; verified links give classes (components).
 3. Every set lists its prefix (rarest shingles first). A list whose entries all are of one class is skipped whole, as
-   its answers follow from the class; of the others only pairs between classes that pass the bounds are compared.
-4. Components over both kinds of links.
+   its answers follow from the class; of the others only pairs between classes that pass the bounds are kept.
+4. Such a pair's answer is derived from its pivots': the overlap of two pivots differs from that of two sets by no more
+   than what the sets and their pivots don't share. Where that doesn't decide, the two sets are compared.
+5. Components over all links.
 
 Every link at or above the threshold joins two documents of one component; none is lost: a pair of sets that isn't
-compared in step 3 either is in one class already or can't reach the threshold.
+found in step 3 either is in one class already or can't reach the threshold.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, distinct, hashed_words, mixed, one_per_id, shingle_hashes, signed, stored, tidy, with_ids
+from .common import bounded_batches, distinct, hashed_words, mixed, one_per_id, shingle_hashes, signed, stored, tidy, with_ids, without_ids
 from .components import components
 
 #: Min-hash slots of a set; so many pivots at most are compared with it; slots that must agree before that.
@@ -31,6 +33,8 @@ SLOTS, PIVOTS, AGREE = 8, 2, 3
 #: The prefix order puts at most so many of the most frequent shingles last (2 MB for each task); any choice gives the same links.
 FREQUENT, OFTEN = 1 << 18, 8
 _RANGES = 256
+#: Entries of a list that are skipped together.
+ENTRIES = 64
 #: Groups of shingles by hash; what two sets' counts by group have in common bounds their overlap from above.
 GROUPS = 256
 
@@ -142,19 +146,26 @@ def _prefixes(k: int, pct: int, often):
     return run
 
 
+def of_list(doc: np.ndarray, kind: np.ndarray, n: np.ndarray, place: np.ndarray, pct: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of different classes in a list, by rising size, that pass the size and position bounds."""
+    far = (n - place) * (100 + pct) // pct - n  # the largest partner that an entry's position allows
+    end = np.searchsorted(n, np.minimum(100 * n // pct, far), "right")
+    blocks = np.arange(0, len(n), ENTRIES)
+    farthest, lo, hi = np.maximum.reduceat(far, blocks), np.minimum.reduceat(kind, blocks), np.maximum.reduceat(kind, blocks)
+    for i in range(len(n) - 1):
+        if end[i] <= i + 1:
+            continue
+        first, last = (i + 1) // ENTRIES, (int(end[i]) - 1) // ENTRIES + 1
+        open_ = np.flatnonzero((farthest[first:last] >= n[i]) & ((lo[first:last] != kind[i]) | (hi[first:last] != kind[i]))) + first
+        j = (open_[:, None] * ENTRIES + np.arange(ENTRIES)).reshape(-1)
+        j = j[(j > i) & (j < end[i])]
+        other = doc[j[(far[j] >= n[i]) & (kind[j] != kind[i])]]
+        if len(other):
+            yield np.minimum(other, doc[i]), np.maximum(other, doc[i])
+
+
 def _crossing(pct: int):
-    """Pairs of different classes in each list that pass the size and position bounds. Lists come end to end, by rising size."""
-
-    def of_list(doc: np.ndarray, kind: np.ndarray, n: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        most = (100 * n) // pct  # larger partners are a block that is skipped
-        end = np.searchsorted(n, most, "right")
-        for i in range(len(doc) - 1):
-            j = slice(i + 1, end[i])
-            least = need(n[i] + n[j], pct)
-            ok = (kind[j] != kind[i]) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= least)
-            if ok.any():
-                other = doc[j][ok]
-                yield np.minimum(other, doc[i]), np.maximum(other, doc[i])
+    """Pairs of each list (of_list). Lists come end to end, by rising size."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +174,7 @@ def _crossing(pct: int):
 
         def emit(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             edges = np.flatnonzero(np.diff(columns[0])) + 1
-            pairs = [p for a, b in zip([0, *edges], [*edges, len(columns[0])], strict=True) for p in of_list(*(c[a:b] for c in columns[1:]))]
+            pairs = [p for a, b in zip([0, *edges], [*edges, len(columns[0])], strict=True) for p in of_list(*(c[a:b] for c in columns[1:]), pct)]
             if pairs:
                 both = np.unique(np.stack([np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
@@ -220,16 +231,34 @@ def _within(pct: int):
     return run
 
 
-def verified(documents: DataFrame, docs: DataFrame, pairs: DataFrame, k: int, pct: int) -> DataFrame:
-    """Of the pairs (a, b), a stored table, those that reach the threshold, from their whole sets. docs: the sketches."""
-    spread = docs.select("doc_id", "n", "spread")
+def overlaps(documents: DataFrame, docs: DataFrame, pairs: DataFrame, k: int, pct: int) -> DataFrame:
+    """(a, b, o, total): overlap and sum of the sizes of those pairs (a, b), a stored table, that may reach the threshold,
+    from their whole sets. docs: the sketches."""
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    spread = with_ids(docs.select("doc_id", "n", "spread"), ids)
     near = pairs.join(spread.toDF("a", "n", "x"), "a").join(spread.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
     near = stored(near.mapInArrow(_within(pct), "a long, b long"))
     ids = stored(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     sets = stored(with_ids(documents, ids).mapInArrow(_set_rows(k), "doc_id long, elements binary"))
     both = near.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    found = both.select("a", "b", "x", "y").mapInArrow(_overlaps, "a long, b long, o long, total long")
-    return found.where(F.lit(100) * F.col("o") >= F.lit(pct) * (F.col("total") - F.col("o"))).select("a", "b")
+    return both.select("a", "b", "x", "y").mapInArrow(_overlaps, "a long, b long, o long, total long")
+
+
+def _linked(o: Column, total: Column, pct: int) -> Column:
+    return F.lit(100) * o >= F.lit(pct) * (total - o)
+
+
+def derived(cross: DataFrame, found: DataFrame, near: DataFrame, pct: int) -> tuple[DataFrame, DataFrame]:
+    """(links, open) of the pairs (a, b) in cross, from the overlaps found (a, b, o) between their pivots and near (doc_id,
+    pivot, n, lost, more): what a set lacks of its pivot and has beyond it. A pair without overlap found stays open."""
+    of = lambda x: near.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("pivot", "n", "lost", "more")])
+    pairs = cross.join(of("a"), "a").join(of("b"), "b").withColumns({"p": F.least("pivot_a", "pivot_b"), "q": F.greatest("pivot_a", "pivot_b")})
+    pairs = pairs.join(found.select(F.col("a").alias("p"), F.col("b").alias("q"), "o"), ["p", "q"], "left")
+    total = F.col("n_a") + F.col("n_b")
+    least, most = F.col("o") - F.col("lost_a") - F.col("lost_b"), F.col("o") + F.col("more_a") + F.col("more_b")
+    sure, never = F.coalesce(_linked(least, total, pct), F.lit(False)), F.coalesce(~_linked(most, total, pct), F.lit(False))
+    pairs = stored(pairs.select("a", "b", sure.alias("sure"), never.alias("never")))
+    return pairs.where("sure").select("a", "b"), pairs.where("not sure and not never").select("a", "b")
 
 
 def jaccard_classes(documents: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
@@ -258,23 +287,38 @@ def jaccard_classes(documents: DataFrame, k: int = 5, percent: int = 75) -> Data
     best = Window.partitionBy("rep").orderBy(F.desc("c"), "pivot")
     near = near.withColumn("k", F.row_number().over(best)).where(F.col("k") <= PIVOTS)
     near = stored(near.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct())
-    links = verified(documents, docs, near, k, percent)
+    found = stored(overlaps(documents, docs, near, k, percent))
+    linked = _linked(F.col("o"), F.col("total"), percent)
+    links = found.where(linked).select("a", "b")
     kinds = stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
     # 3. lists
+    documents = without_ids(documents, stored(member.where("doc_id <> rep").select("doc_id")))
     counts = documents.mapInArrow(_halves(k), "part int, blob binary").repartition("part").sortWithinPartitions("part").mapInArrow(_counted, "h long, c long")
     often = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).toPandas().sort_values("h")
     often = spark.sparkContext.broadcast((often["h"].to_numpy().astype(np.uint32), often["c"].to_numpy().astype(np.int64)))
     lists = documents.mapInArrow(_prefixes(k, percent, often), "token long, doc_id long, n int, place int")
     in_list = Window.partitionBy("token")
     shared = lists.withColumn("m", F.count("*").over(in_list)).where("m > 1").drop("m")
-    rep_kind = member.where("doc_id = rep").select("doc_id").join(kinds.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("kind"))
-    shared = shared.join(rep_kind, "doc_id").withColumns({"lo": F.min("kind").over(in_list), "hi": F.max("kind").over(in_list)}).where("lo <> hi")
+    shared = shared.join(kinds, shared.doc_id == kinds.node, "left").withColumn("kind", F.coalesce("component", "doc_id"))
+    shared = shared.withColumns({"lo": F.min("kind").over(in_list), "hi": F.max("kind").over(in_list)}).where("lo <> hi")
     cross = shared.select("token", "doc_id", "kind", "n", "place").repartition("token").sortWithinPartitions("token", "n", "doc_id")
     cross = stored(cross.mapInArrow(_crossing(percent), "a long, b long").distinct())
-    more = verified(documents, docs, cross, k, percent)
 
-    # 4. components of both
+    # 4. answers from pivots: of a set's links the one with the least doc_id is its pivot's; a set without one is its own
+    sizes = docs.select("doc_id", "n")
+    ends = stored(cross.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    pivot = found.where(linked).groupBy(F.col("b").alias("doc_id")).agg(F.min_by(F.struct(F.col("a").alias("pivot"), "o", "total"), "a").alias("p"))
+    near = with_ids(sizes, ends).join(pivot, "doc_id", "left").select("doc_id", "n", F.coalesce("p.pivot", "doc_id").alias("pivot"), F.coalesce(F.col("p.total") - F.col("n") - F.col("p.o"), F.lit(0)).alias("lost"), F.coalesce(F.col("n") - F.col("p.o"), F.lit(0)).alias("more"))
+    near = stored(near)
+    of = lambda x: near.select(F.col("doc_id").alias(x), F.col("pivot").alias(f"p{x}"))
+    heads = cross.join(of("a"), "a").join(of("b"), "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
+    found = stored(overlaps(documents, docs, stored(heads), k, percent))
+    sure, rest = derived(cross, found, near, percent)
+    rest = rest.join(found.select("a", "b"), ["a", "b"], "left_anti")
+    more = found.where(linked).select("a", "b").unionByName(sure).unionByName(overlaps(documents, docs, stored(rest), k, percent).where(linked).select("a", "b"))
+
+    # 5. components of both
     joined = kinds.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
     whole = components(joined)
     found = member.join(whole, member.rep == whole.node, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))

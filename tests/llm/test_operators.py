@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from proofmill.llm import chat, decontaminate, langid, licenses, quality, sentencepiece_nbest, suffix_dedup, token_counts, token_output  # noqa: E402
+from proofmill.llm import chat, decontaminate, langid, licenses, ngram_join, quality, sentencepiece_nbest, suffix_dedup, token_counts, token_output  # noqa: E402
 from proofmill.llm.components import components  # noqa: E402
 from proofmill.llm.ngram_join import jaccard_classes  # noqa: E402
 from proofmill.llm.queries import tokenizer_path  # noqa: E402
@@ -114,6 +114,32 @@ def test_components_of_paths_and_stars(spark):
     assert found == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(1000, 1100), 1000)}
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 40), st.integers(0, 12), st.integers(0, 3)), min_size=2, max_size=200), st.sampled_from([50, 75, 90]))
+def test_skipped_blocks_hold_no_pairs(entries, pct):
+    rows = sorted((n, i, kind, min(place, n - 1)) for i, (n, place, kind) in enumerate(entries))
+    n, doc, kind, place = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+    fits = lambda p, q: p[2] != q[2] and 100 * max(p[0], q[0]) // pct >= 0 and 100 * min(p[0], q[0]) >= pct * max(p[0], q[0]) and min(p[0] - p[3], q[0] - q[3]) >= ngram_join.need(p[0] + q[0], pct)
+    want = {tuple(sorted((p[1], q[1]))) for i, p in enumerate(rows) for q in rows[i + 1 :] if fits(p, q)}
+    assert {(int(a), int(b)) for x, y in ngram_join.of_list(doc, kind, n, place, pct) for a, b in zip(x, y, strict=True)} == want
+
+
+def test_answers_are_derived_from_pivots(spark):
+    """Two classes of near copies whose members link crosswise only in part."""
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(2_000)]
+    base = [rnd.choice(words) for _ in range(300)]
+    other = base[:262] + [rnd.choice(words) for _ in range(40)]
+    docs = {}
+    for i in range(60):
+        text = list(base if i % 2 else other)
+        for _ in range(rnd.randrange(0, 5)):
+            text[rnd.randrange(len(text))] = rnd.choice(words)
+        docs[i + 1] = " ".join(text)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_classes(df).collect()} == brute.jaccard(docs)
+
+
 # ---------------------------------------------------------------- 2
 
 
