@@ -7,7 +7,9 @@ Nothing is cast across types: the string "10" isn't greater than the number 5. P
 from __future__ import annotations
 
 import json
+import operator
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Limits on patterns and on the strings they are matched with.
 PATTERN_CHARS, INPUT_CHARS = 1_024, 1_000_000
+#: From here on doubles don't tell all integers apart.
+EXACT = 1 << 53
 OPERATORS = ("eq", "ne", "gt", "gte", "lt", "lte", "in", "regex")
 
 _ENVELOPE = ("record_id", "record_type", "timestamp", "lifecycle_phase", "obligation_role", "confidentiality", "redaction_method", "trust_level")
@@ -28,10 +32,11 @@ class RuleError(ValueError):
 
 @dataclass(frozen=True)
 class Value:
-    """present; num where it is a number or boolean; str where it is a string; nested as canonical JSON where it is an array or object."""
+    """present; num where it is a number or boolean; whole, exactly, where it is an integer; str where it is a string; nested as canonical JSON where it is an array or object."""
 
     present: Column
     num: Column
+    whole: Column
     str: Column
     nested: Column
 
@@ -62,27 +67,36 @@ def variant_path(tokens: list[str]) -> str:
 def value_at(pointer: str, payload: Column) -> Value:
     """What a pointer finds in a record whose payload is the given VARIANT column."""
     tokens = pointer_tokens(pointer)
-    null_num, null_str = F.lit(None).cast("double"), F.lit(None).cast("string")
+    null_num, null_whole, null_str = F.lit(None).cast("double"), F.lit(None).cast("decimal(38,0)"), F.lit(None).cast("string")
     if tokens and tokens[0] == "payload":
         v = F.try_variant_get(payload, variant_path(tokens[1:]), "variant")
         kind = F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
         is_num = kind.isin("BIGINT", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT") | kind.startswith("DECIMAL")
         num = F.when(is_num, F.try_variant_get(v, "$", "double")).when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("int").cast("double"))
+        whole = F.when(kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | kind.rlike(r"^DECIMAL\(\d+, *0\)$"), F.try_variant_get(v, "$", "decimal(38,0)"))
         nested = F.when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.to_json(v))
-        return Value(v.isNotNull() & (kind != "VOID"), num, F.when(kind == "STRING", F.try_variant_get(v, "$", "string")), nested)
+        return Value(v.isNotNull() & (kind != "VOID"), num, whole, F.when(kind == "STRING", F.try_variant_get(v, "$", "string")), nested)
     if len(tokens) == 1 and tokens[0] in _ENVELOPE:
         c = F.col(tokens[0])
-        return Value(c.isNotNull(), null_num, c.cast("string"), null_str)
+        return Value(c.isNotNull(), null_num, null_whole, c.cast("string"), null_str)
     if len(tokens) == 2 and tokens[0] == "entity_refs" and tokens[1] in _REFS:
-        return Value(F.col(tokens[1]).isNotNull(), null_num, null_str, F.to_json(tokens[1]))
-    return Value(F.lit(False), null_num, null_str, null_str)
+        return Value(F.col(tokens[1]).isNotNull(), null_num, null_whole, null_str, F.to_json(tokens[1]))
+    return Value(F.lit(False), null_num, null_whole, null_str, null_str)
+
+
+def _numbers(v: Value, operand: bool | int | float, holds: Callable[[Column, Column], Column]) -> Column:
+    """holds(value, operand): exactly between integers that doubles don't tell apart, else as doubles."""
+    as_double = holds(v.num, F.lit(float(operand)))
+    if isinstance(operand, int) and EXACT <= abs(operand) < 10**38:
+        return F.when(v.whole.isNotNull(), holds(v.whole, F.lit(str(operand)).cast("decimal(38,0)"))).otherwise(as_double)
+    return as_double
 
 
 def _equal(v: Value, operand: Any) -> Column:
     if operand is None:
         return F.lit(False)
     if isinstance(operand, bool | int | float):
-        return F.coalesce(v.num == F.lit(float(operand)), F.lit(False))
+        return F.coalesce(_numbers(v, operand, operator.eq), F.lit(False))
     if isinstance(operand, str):
         return F.coalesce(v.str == F.lit(operand), F.lit(False))
     return F.coalesce(v.nested == F.to_json(F.parse_json(F.lit(json.dumps(operand)))), F.lit(False))
@@ -105,14 +119,10 @@ def compared(v: Value, op: str, operand: Any) -> Column:
     if op == "ne":
         return ~v.present | ~_equal(v, operand)
     if op in ("gt", "gte", "lt", "lte"):
+        holds = {"gt": operator.gt, "gte": operator.ge, "lt": operator.lt, "lte": operator.le}[op]
         if isinstance(operand, bool | int | float):
-            left, right = v.num, F.lit(float(operand))
-        elif isinstance(operand, str):
-            left, right = v.str, F.lit(operand)
-        else:
-            return F.lit(False)
-        holds = {"gt": left > right, "gte": left >= right, "lt": left < right, "lte": left <= right}[op]
-        return v.present & F.coalesce(holds, F.lit(False))
+            return v.present & F.coalesce(_numbers(v, operand, holds), F.lit(False))
+        return v.present & F.coalesce(holds(v.str, F.lit(operand)), F.lit(False)) if isinstance(operand, str) else F.lit(False)
     if op == "in":
         found = F.lit(False)
         for x in operand if isinstance(operand, list) else []:

@@ -12,13 +12,16 @@ CODES = [
     ("010", "fatal", "integrity", "file hash differs"), ("011", "fatal", "integrity", "Merkle root differs"),
     ("012", "fatal", "integrity", "signature invalid"), ("013", "fatal", "integrity", "signature algorithm not allowed"),
     ("014", "fatal", "integrity", "hash index incomplete"), ("020", "error", "reference", "reference to nothing"),
-    ("021", "error", "reference", "identifier defined twice"), ("022", "error", "reference", "attachment not found"),
-    ("023", "error", "reference", "record file not found"), ("025", "error", "reference", "record count differs"),
+    ("021", "error", "reference", "identifier defined twice"), ("022", "error", "reference", "record file not found"),
+    ("023", "error", "reference", "attachment not found"), ("025", "error", "reference", "record count differs"),
     ("026", "error", "reference", "record id used twice"), ("027", "warning", "reference", "attachment hash differs"),
-    ("030", "error", "profile", "unknown profile"), ("031", "warning", "profile", "other catalog version"),
-    ("032", "info", "profile", "provision not effective yet"), ("044", "error", "evaluation", "rule id used twice"),
+    ("030", "error", "profile", "unknown profile"), ("031", "error", "profile", "other catalog version"),
+    ("032", "info", "profile", "provision not effective yet"), ("033", "error", "profile", "catalog of another core version"),
+    ("040", "error", "evaluation", "required evidence missing"), ("041", "warning", "evaluation", "evidence too old"),
+    ("042", "info", "evaluation", "gap acknowledged"), ("043", "error", "evaluation", "pointer invalid"), ("044", "error", "evaluation", "rule id used twice"),
     ("045", "error", "evaluation", "rule can't be evaluated"), ("050", "fatal", "format", "malformed line"),
-    ("051", "fatal", "format", "JSON not canonical"), ("052", "fatal", "format", "unsafe path"), ("060", "warning", "merge", "merge conflict"),
+    ("051", "fatal", "format", "JSON not canonical"), ("052", "error", "format", "unsafe path"),
+    ("053", "error", "format", "extension changes an outcome"), ("060", "warning", "merge", "merge conflict"),
 ]
 SEVERITY = {c: s for c, s, _, _ in CODES}
 CATEGORY = {c: k for c, _, k, _ in CODES}

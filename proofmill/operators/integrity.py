@@ -33,16 +33,20 @@ def root_differences(roots: DataFrame, hashes: DataFrame) -> DataFrame:
     return diagnostic(both, "011", F.when(F.col("root").isNull(), "no root can be read").otherwise("Merkle root differs"), F.lit("hashes/merkle-tree.json"))
 
 
-def manifest_findings(packages: DataFrame, manifests: DataFrame, profiles: DataFrame) -> DataFrame:
+def manifest_findings(packages: DataFrame, manifests: DataFrame) -> DataFrame:
     """Findings from packages (package_id) and their manifests (package_id, m): none, or one without metadata or with a
-    version that isn't a number; a core version other than 1; profiles that aren't among profiles (profile_id)."""
+    version that isn't a number; a core version other than 1. Such packages aren't looked into any further."""
     major = F.split(F.coalesce("m.versioning.core_version", F.lit("1.0.0")), r"\.")[0].try_cast("int")
     df = packages.select("package_id").distinct().join(manifests, "package_id", "left").withColumns({"none": F.col("m").isNull() | F.col("m.metadata").isNull(), "major": major})
     missing = diagnostic(df.where("none or major is null"), "002", F.lit("manifest missing or invalid"), F.lit("manifest.json"))
     other = diagnostic(df.where("not none and major <> 1"), "001", F.concat(F.lit("core version "), "m.versioning.core_version"), F.lit("/versioning/core_version"))
-    asked = df.where("not none").select("package_id", F.explode("m.profiles.profile_id").alias("profile_id"))
-    unknown = asked.join(profiles.select("profile_id").distinct(), "profile_id", "left_anti")
-    return missing.unionByName(other).unionByName(diagnostic(unknown, "030", F.concat(F.lit("no catalog "), F.coalesce("profile_id", F.lit("null"))), F.lit("/profiles")))
+    return missing.unionByName(other)
+
+
+def unknown_profiles(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """Findings from profiles asked for (package_id, profile_id) that aren't among the known ones (profile_id)."""
+    unknown = asked.join(known.select("profile_id").distinct(), "profile_id", "left_anti")
+    return diagnostic(unknown, "030", F.concat(F.lit("no catalog "), F.coalesce("profile_id", F.lit("null"))), F.lit("/profiles"))
 
 
 def bundle_digests(hashes: DataFrame) -> DataFrame:

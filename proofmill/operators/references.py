@@ -19,6 +19,28 @@ def record_refs(records: DataFrame) -> DataFrame:
     return records.select("package_id", F.explode(all_refs).alias("ref"), F.col("record_id").alias("path"))
 
 
+def manifest_refs(manifests: DataFrame) -> DataFrame:
+    """The references of relationships, components and datasets in manifests (package_id, m), as (package_id, ref, path)."""
+
+    def each(column: str, ref: str, name: str) -> DataFrame:
+        rows = manifests.select("package_id", F.posexplode(f"m.entities.{column}").alias("i", "x"))
+        refs = F.col(f"x.{ref}") if ref == "subject_refs" else F.array(f"x.{ref}")
+        return rows.select("package_id", F.explode(refs).alias("ref"), F.concat(F.lit(f"/entities/{column}/"), F.col("i").cast("string"), F.lit(f"/{name}")).alias("path"))
+
+    out = each("relationships", "source_ref", "source_ref").unionByName(each("relationships", "target_ref", "target_ref"))
+    return out.unionByName(each("components", "subject_refs", "subject_refs")).unionByName(each("datasets", "subject_refs", "subject_refs"))
+
+
+def manifest_urns(manifests: DataFrame) -> DataFrame:
+    """What manifests define, as (package_id, urn, path, seq): the package, subjects, components, datasets and actors."""
+    out = manifests.select("package_id", F.col("m.metadata.package_id").alias("urn"), F.lit("/metadata/package_id").alias("path"), F.lit(0).alias("kind"), F.lit(0).alias("i"))
+    lists = (("m.subjects", "subject_id", "/subjects"), ("m.entities.components", "component_id", "/entities/components"), ("m.entities.datasets", "dataset_id", "/entities/datasets"), ("m.entities.actors", "actor_id", "/entities/actors"))
+    for kind, (column, name, place) in enumerate(lists, 1):
+        rows = manifests.select("package_id", F.posexplode(column).alias("i", "x"))
+        out = out.unionByName(rows.select("package_id", F.col(f"x.{name}").alias("urn"), F.concat(F.lit(f"{place}/"), F.col("i").cast("string")).alias("path"), F.lit(kind).alias("kind"), "i"))
+    return out.where("urn <> ''").select("package_id", "urn", "path", F.struct("kind", "i").alias("seq"))
+
+
 def defined_twice(defined: DataFrame) -> DataFrame:
     """All definitions of an identifier but the first: defined has (package_id, urn, path, seq)."""
     order = Window.partitionBy("package_id", "urn").orderBy("seq", "path")
@@ -32,8 +54,8 @@ def repeated_records(records: DataFrame) -> DataFrame:
     return diagnostic(rows.where("k > 1"), "026", F.concat(F.lit("occurrence "), F.col("k").cast("string")), F.col("record_id"))
 
 
-def missing_files(listed: DataFrame, files: DataFrame, code: str = "023") -> DataFrame:
-    """Listed paths (package_id, path) without a file (package_id, path)."""
+def missing_files(listed: DataFrame, files: DataFrame, code: str = "022") -> DataFrame:
+    """Listed paths (package_id, path) without a file (package_id, path): record files, or attachments by code 023."""
     return diagnostic(listed.join(files.select("package_id", "path").distinct(), ["package_id", "path"], "left_anti"), code, F.lit("no such file"), F.col("path"))
 
 

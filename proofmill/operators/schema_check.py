@@ -9,11 +9,17 @@ from pyspark.sql import functions as F
 from ..functions.predicates import _equal, value_at, variant_name
 from .diagnostics import diagnostic
 
+
+
+def _is_number(kind: Column) -> Column:
+    return kind.isin("BIGINT", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT") | kind.startswith("DECIMAL")
+
+
+#: Whether a value of this kind, as a number this, is of a type; 1.0 is an integer.
 _KINDS = {
-    "string": lambda k: k == "STRING", "boolean": lambda k: k == "BOOLEAN", "null": lambda k: k == "VOID",
-    "array": lambda k: k.startswith("ARRAY"), "object": lambda k: k.startswith("OBJECT"),
-    "number": lambda k: k.isin("BIGINT", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT") | k.startswith("DECIMAL"),
-    "integer": lambda k: k.isin("BIGINT", "INT", "SMALLINT", "TINYINT"),
+    "string": lambda k, _: k == "STRING", "boolean": lambda k, _: k == "BOOLEAN", "null": lambda k, _: k == "VOID",
+    "array": lambda k, _: k.startswith("ARRAY"), "object": lambda k, _: k.startswith("OBJECT"),
+    "number": lambda k, _: _is_number(k), "integer": lambda k, v: _is_number(k) & F.coalesce(v == F.floor(v), F.lit(False)),
 }
 
 
@@ -29,7 +35,7 @@ def violations(schema: dict, payload: Column, pointer: str = "/payload") -> list
         kinds = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
         ok = F.lit(False)
         for k in kinds:
-            ok = ok | _KINDS[k](kind)
+            ok = ok | _KINDS[k](kind, v.num)
         out.append((pointer, "type", no(ok)))
     if "enum" in schema:
         ok = F.lit(False)
@@ -60,7 +66,7 @@ def violations(schema: dict, payload: Column, pointer: str = "/payload") -> list
 
 
 def _member(want: str):
-    return lambda m: _KINDS[want](F.coalesce(F.schema_of_variant(m), F.lit("VOID")))
+    return lambda m: _KINDS[want](F.coalesce(F.schema_of_variant(m), F.lit("VOID")), F.try_variant_get(m, "$", "double"))
 
 
 def schema_findings(records: DataFrame, schemas: dict[str, dict]) -> DataFrame:

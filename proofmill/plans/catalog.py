@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections import Counter
 from dataclasses import dataclass, field
+from pathlib import Path
 from typing import Any
 
+from ..functions.canonical import canonical
+
 EXISTS = {"has_record_type", "attachment_exists", "exists_where", "attachment_kind_exists", "bundle_signed", "record_attested"}
 FORALL = {"field_present", "field_value", "evidence_freshness", "entity_linked"}
 REQUIRED = {
@@ -17,6 +21,25 @@ REQUIRED = {
 }
 SEVERITIES = ("fail", "warning", "info")
 
+# A catalog's members and what they are where they are left out; a digest is over all of them.
+_CATALOG = {
+    "template_id": None, "template_name": "", "version": "1.0.0", "jurisdiction": "", "source_legislation": "", "instrument_type": "", "legal_force": "",
+    "instrument_status": "final", "default_effective_date": None, "superseded_by": None, "applicable_system_types": [], "provisions": [], "test_vectors": [],
+}
+_PROVISION = {
+    "provision_id": None, "provision_name": "", "normative_text_ref": "", "description": "", "effective_date": None, "applicable_to": [], "sub_provisions": [],
+    "required_evidence_types": [], "minimum_evidence_count": {}, "evidence_freshness_max_days": None, "retention_years": None, "evaluation": [],
+    "tiered_requirements": None, "evaluation_scope": None,
+}
+_PART = {"provision_id": None, "normative_text_ref": "", "description": ""}
+_RULE = {"rule_id": None, "rule": None, "params": {}, "severity": "fail", "message": "", "scope": None, "condition": None}
+_SCOPE = {"risk_classifications": [], "obligation_roles": [], "lifecycle_phases": [], "modalities": []}
+_CONDITION = {"if_provision_effective": None, "if_system_type": []}
+
+
+class UnknownProfile(LookupError):
+    """No catalog has this id."""
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -56,11 +79,13 @@ class Rule:
 
 
 def provision_rules(profile_id: str, provision: dict) -> list[Rule]:
-    """The rules of one provision; one without rules gets one for each evidence type that it requires."""
-    raw = provision.get("rules") or [
-        {"rule_id": f"{provision['provision_id']}-requires-{kind}", "rule": "has_record_type", "params": {"type": kind, "min_count": (provision.get("minimum_evidence_count") or {}).get(kind, 1)}, "severity": "fail"}
+    """The rules of one provision, which catalogs have under `evaluation` (or `rules`); one without rules gets one for each
+    evidence type that it requires."""
+    least = provision.get("minimum_evidence_count") or {}
+    raw = provision.get("evaluation") or provision.get("rules") or [
+        {"rule_id": f"{provision['provision_id']}-{kind}-exists", "rule": "has_record_type", "params": {"type": kind, "min_count": least.get(kind, 1)}, "message": f"needs {least.get(kind, 1)} of {kind}"}
         for kind in provision.get("required_evidence_types") or []
-    ]
+    ]
     out = []
     for r in raw:
         if r.get("severity", "fail") not in SEVERITIES:
@@ -92,12 +117,52 @@ def read_catalog(path: str) -> dict:
         return json.load(f)
 
 
+def catalog_ids(folder: str) -> list[str]:
+    """The ids of a folder's catalogs, which are the names of its JSON files."""
+    return sorted(p.stem for p in Path(folder).glob("*.json"))
+
+
+def find_catalog(folder: str, profile_id: str) -> dict:
+    if profile_id not in catalog_ids(folder):
+        raise UnknownProfile(profile_id)
+    return read_catalog(str(Path(folder) / f"{profile_id}.json"))
+
+
+def provision_ids(catalog: dict) -> list[str]:
+    return [p["provision_id"] for p in catalog.get("provisions") or []]
+
+
+def _filled(value: dict, members: dict) -> dict:
+    return {k: value.get(k, default) for k, default in members.items()}
+
+
+def catalog_digest(catalog: dict) -> str:
+    """SHA-256 of the canonical catalog with all of its known members; others are left out."""
+    whole = _filled(catalog, _CATALOG)
+    whole["provisions"] = [_filled(p, _PROVISION) for p in whole["provisions"]]
+    for p in whole["provisions"]:
+        p["sub_provisions"] = [_filled(x, _PART) for x in p["sub_provisions"]]
+        p["evaluation"] = [_filled(r, _RULE) for r in p["evaluation"]]
+        for r in p["evaluation"]:
+            r["scope"] = r["scope"] if r["scope"] is None else _filled(r["scope"], _SCOPE)
+            r["condition"] = r["condition"] if r["condition"] is None else _filled(r["condition"], _CONDITION)
+    return f"sha256:{hashlib.sha256(canonical(whole).encode()).hexdigest()}"
+
+
+def repeated_rule_ids(catalog: dict) -> list[str]:
+    """Rule ids, once for each time that they come again."""
+    rules = [r for p in catalog["provisions"] for r in provision_rules(catalog["template_id"], p)]
+    return [k for k, n in Counter(r.rule_id for r in rules).items() for _ in range(n - 1)]
+
+
+def late_provisions(catalog: dict, instant: str) -> list[str]:
+    """Provisions that aren't effective yet."""
+    return [p["provision_id"] for p in catalog["provisions"] if p.get("effective_date") and instant < p["effective_date"]]
+
+
 def catalog_diagnostics(catalog: dict, instant: str) -> list[tuple[str, str]]:
     """(code, message): rule ids used twice, provisions that aren't effective yet."""
-    rules = [r for p in catalog["provisions"] for r in provision_rules(catalog["template_id"], p)]
-    twice = [k for k, n in Counter(r.rule_id for r in rules).items() if n > 1]
-    late = [p["provision_id"] for p in catalog["provisions"] if p.get("effective_date") and instant < p["effective_date"]]
-    return [("EV-044", f"duplicate rule id {k}") for k in twice] + [("EV-032", f"{p} isn't effective yet") for p in late]
+    return [("EV-044", f"duplicate rule id {k}") for k in repeated_rule_ids(catalog)] + [("EV-032", f"{p} isn't effective yet") for p in late_provisions(catalog, instant)]
 
 
 def lint(catalog: dict, fields: dict[str, set[str]]) -> list[tuple[str, str]]:

@@ -50,6 +50,14 @@ def error_union(diagnostics: DataFrame, results: DataFrame) -> DataFrame:
     return diagnostics.unionByName(failed, allowMissingColumns=True)
 
 
+def exit_codes(packages: DataFrame, diagnostics: DataFrame, summary: DataFrame) -> DataFrame:
+    """(package_id, exit_code) of each package, as exit_code."""
+    fatal = diagnostics.where("severity = 'fatal'").select("package_id", F.lit(2).alias("c"))
+    missed = summary.where("provision_outcome = 'not-satisfied'").select("package_id", F.lit(1).alias("c"))
+    worst = fatal.unionByName(missed).groupBy("package_id").agg(F.max("c").alias("c"))
+    return packages.select("package_id").distinct().join(worst, "package_id", "left").select("package_id", F.coalesce("c", F.lit(0)).alias("exit_code"))
+
+
 def exit_code(diagnostics: DataFrame, summary: DataFrame) -> DataFrame:
     """One row: 2 with a fatal diagnostic, else 1 with a provision that isn't satisfied, else 0."""
     fatal = diagnostics.agg(F.max(F.when(F.col("severity") == "fatal", 2).otherwise(0)).alias("c"))

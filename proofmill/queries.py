@@ -150,10 +150,10 @@ for _name, _some in (("op_attachment_exists", _ORDER_RULES[:2]), ("op_attachment
 CATALOG = {
     "template_id": "demo",
     "provisions": [
-        {"provision_id": "art-1", "rules": [{"rule_id": "1a", "rule": "has_record_type", "params": {"type": "purchase", "min_count": 12}, "severity": "fail"}, {"rule_id": "1b", "rule": "exists_where", "params": {"record_type": "view", "field": "/payload/k", "op": "gt", "value": 97}, "severity": "warning"}]},
-        {"provision_id": "art-2", "applicable_to": ["BUILDING", "MACHINERY"], "rules": [{"rule_id": "2a", "rule": "evidence_freshness", "params": {"max_days": 30}, "severity": "warning"}, {"rule_id": "2b", "rule": "record_attested", "params": {"record_type": "click", "min_count": 5}, "severity": "info"}]},
-        {"provision_id": "art-3", "rules": [{"rule_id": "3a", "rule": "no_such_rule", "severity": "warning"}, {"rule_id": "3b", "rule": "has_record_type", "params": {"type": "signup", "min_count": 10}, "severity": "fail"}]},
-        {"provision_id": "art-4", "rules": [{"rule_id": "4a", "rule": "has_record_type", "params": {"type": "view"}, "severity": "fail", "scope": {"risk_classifications": ["BUILDING"]}}]},
+        {"provision_id": "art-1", "evaluation": [{"rule_id": "1a", "rule": "has_record_type", "params": {"type": "purchase", "min_count": 12}, "severity": "fail"}, {"rule_id": "1b", "rule": "exists_where", "params": {"record_type": "view", "field": "/payload/k", "op": "gt", "value": 97}, "severity": "warning"}]},
+        {"provision_id": "art-2", "applicable_to": ["BUILDING", "MACHINERY"], "evaluation": [{"rule_id": "2a", "rule": "evidence_freshness", "params": {"max_days": 30}, "severity": "warning"}, {"rule_id": "2b", "rule": "record_attested", "params": {"record_type": "click", "min_count": 5}, "severity": "info"}]},
+        {"provision_id": "art-3", "evaluation": [{"rule_id": "3a", "rule": "no_such_rule", "severity": "warning"}, {"rule_id": "3b", "rule": "has_record_type", "params": {"type": "signup", "min_count": 10}, "severity": "fail"}]},
+        {"provision_id": "art-4", "evaluation": [{"rule_id": "4a", "rule": "has_record_type", "params": {"type": "view"}, "severity": "fail", "scope": {"risk_classifications": ["BUILDING"]}}]},
     ],
 }
 _CATALOG_SPECS = [
@@ -266,7 +266,7 @@ def count_mismatch(spark, sf_dir):
     return references.count_differences(expected, orders).select("code", "message", "path")
 
 
-@query("missing_file", "SELECT 'EV-023' AS code, o_orderkey::VARCHAR AS path FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+@query("missing_file", "SELECT 'EV-022' AS code, o_orderkey::VARCHAR AS path FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def missing_file(spark, sf_dir):
     listed = T.table(spark, sf_dir, "orders").select(F.lit("p").alias("package_id"), F.col("o_orderkey").cast("string").alias("path"))
     files = T.table(spark, sf_dir, "lineitem").select(F.lit("p").alias("package_id"), F.col("l_orderkey").cast("string").alias("path"))

@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from ..functions.canonical import canonical, canonical_or_none
 from ..operators.diagnostics import diagnostic
 
-MANIFEST = "manifest.json"
+#: A manifest's name as it is written, and the pattern of names that are read.
+MANIFEST, MANIFESTS = "manifest.json", "*manifest.json"
+INDEX = "hashes/content-hashes.json"
 MAX_BYTES, MAX_FILES, MAX_FILE = 10 << 30, 100_000, 1 << 30
 
 RECORD = (
@@ -38,45 +40,73 @@ MANIFEST_SCHEMA = (
 )
 
 
-def _placed(df: DataFrame, column: str = "file") -> DataFrame:
-    """package_id and the path within the bundle, from a file's path."""
-    parts = r"^.*/([^/]+)/((?:records|artifacts|hashes|signatures)/.*|manifest\.json)$"
-    return df.withColumns({"package_id": F.regexp_extract(column, parts, 1), "path": F.regexp_extract(column, parts, 2)})
+def _under(root: str, only: str | None) -> str:
+    return root if only is None else f"{root.rstrip('/')}/{only}"
 
 
-def read_manifests(spark: SparkSession, root: str) -> DataFrame:
-    """package_id and the manifest's members; `m` is null where a manifest isn't JSON."""
-    text = spark.read.text(f"{root}/*/{MANIFEST}", wholetext=True).withColumn("file", F.col("_metadata.file_path"))
-    return _placed(text).select("package_id", F.from_json("value", MANIFEST_SCHEMA).alias("m"))
+def _placed(spark: SparkSession, df: DataFrame, root: str, column: str = "file") -> DataFrame:
+    """package_id and the path within the bundle, from a file's path: the first step below root, and the others."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    depth = len(place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toUri().getPath().rstrip("/").split("/"))
+    inside = F.regexp_replace(column, "^[A-Za-z0-9+.-]+:(//[^/]*)?", "")  # the path without scheme and host
+    steps = F.transform(F.split(inside, "/"), lambda s: F.url_decode(F.replace(s, F.lit("+"), F.lit("%2B"))))
+    return df.withColumns({"package_id": F.get(steps, F.lit(depth)), "path": F.array_join(F.slice(steps, depth + 2, F.greatest(F.lit(0), F.size(steps) - depth - 1)), "/")})
 
 
-def read_lines(spark: SparkSession, root: str) -> DataFrame:
-    """Lines of all record files that aren't blank: package_id, path, seq (file offset order is kept by line), value."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(root)
-    files = _placed(files.withColumn("file", F.col("path")).drop("path").where("file rlike '/records/'"))
-    lines = F.posexplode(F.split(F.decode("content", "utf-8"), "\r?\n"))
-    return files.select("package_id", "path", lines.alias("line", "value")).where("value rlike '[^ \\t]'").withColumn("seq", F.struct("path", "line"))
+def _texts(spark: SparkSession, root: str, only: str | None, names: str, whole: bool = True) -> DataFrame:
+    """Text files by a pattern of their names: value, file, package_id, path."""
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", names).text(_under(root, only), wholetext=whole)
+    return _placed(spark, text.withColumns({"file": F.col("_metadata.file_path"), "block": F.col("_metadata.file_block_start"), "nth": F.monotonically_increasing_id()}), root)
 
 
-def read_records(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+def read_manifests(spark: SparkSession, root: str, only: str | None = None, manifest: str = MANIFESTS) -> DataFrame:
+    """package_id and the manifest's members; `m` is null where a manifest isn't JSON. manifest: a pattern of its name."""
+    return _texts(spark, root, only, manifest).where("not contains(path, '/')").select("package_id", F.from_json("value", MANIFEST_SCHEMA).alias("m"))
+
+
+def read_lines(spark: SparkSession, root: str, only: str | None = None) -> DataFrame:
+    """Lines of all record files that aren't blank: package_id, path, line (from 0), value. Files are split: a block's first
+    line has the number of lines of the blocks before, of which there is a row each."""
+    lines = _texts(spark, root, only, "*.jsonl", whole=False).where("startswith(path, 'records/')")
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("nth").alias("first"))
+    before = blocks.withColumn("before", F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")).drop("n")
+    numbered = lines.join(before, ["file", "block"]).withColumn("line", F.col("before") + F.col("nth") - F.col("first"))
+    return numbered.where("value rlike '[^ \\t]'").select("package_id", "path", "line", "value")
+
+
+def read_records(spark: SparkSession, root: str, only: str | None = None, listed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(records, diagnostics): malformed lines are findings instead of records. Absent trust level, confidentiality and
-    media types get their defaults."""
-    lines = read_lines(spark, root).withColumns({"r": F.from_json("value", RECORD), "ok": F.try_parse_json("value").isNotNull() & F.ltrim("value").startswith("{")})
+    media types get their defaults. listed: only these files (package_id, path) count; else all there are. seq orders a
+    package's records by file and line."""
+    lines = read_lines(spark, root, only)
+    if listed is not None:
+        lines = lines.join(listed, ["package_id", "path"], "left_semi")
+    files = lines.select("package_id", "path").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("package_id").orderBy("path")))
+    lines = lines.withColumns({"r": F.from_json("value", RECORD), "ok": F.try_parse_json("value").isNotNull() & F.ltrim("value").startswith("{")})
     bad = diagnostic(lines.where("not ok"), "050", F.concat(F.lit("malformed line "), (F.col("line") + 1).cast("string")), F.col("path"))
     refs = lambda c: F.coalesce(F.col(f"r.entity_refs.{c}"), F.array().cast("array<string>")).alias(c)
     attachments = F.transform("r.attachments", lambda a: F.struct(a["path"].alias("path"), a["hash"].alias("hash"), F.coalesce(a["media_type"], F.lit("application/octet-stream")).alias("media_type"), a["attachment_type"].alias("attachment_type")))
-    records = lines.where("ok").select(
-        "package_id", "path", F.row_number().over(Window.partitionBy("package_id").orderBy("path", "line")).cast("long").alias("seq"), "r.record_id", "r.record_type", "r.provisions_addressed", "r.timestamp", "r.lifecycle_phase", "r.obligation_role",
+    records = lines.where("ok").join(files, ["package_id", "path"]).select(
+        "package_id", "path", (F.col("nth").cast("long") * (1 << 40) + F.col("line")).alias("seq"), "r.record_id", "r.record_type", "r.provisions_addressed", "r.timestamp", "r.lifecycle_phase", "r.obligation_role",
         F.coalesce("r.confidentiality", F.lit("public")).alias("confidentiality"), "r.redaction_method", F.coalesce("r.trust_level", F.lit("self-attested")).alias("trust_level"),
         *map(refs, ("subject_refs", "component_refs", "dataset_refs", "actor_refs")), F.to_json("r.payload").alias("payload"), attachments.alias("attachments"), F.col("r.attestation.signature").alias("attestation_signature"), F.col("value").alias("raw"),
     )
     return records, bad
 
 
-def actual_hashes(spark: SparkSession, root: str) -> DataFrame:
+def _files(spark: SparkSession, root: str, only: str | None) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_under(root, only)).withColumn("file", F.col("path")).drop("path")
+    return _placed(spark, files, root).where("path <> ''")
+
+
+def bundle_files(spark: SparkSession, root: str, only: str | None = None) -> DataFrame:
+    """(package_id, path) of all files; they aren't read."""
+    return _files(spark, root, only).select("package_id", "path")
+
+
+def actual_hashes(spark: SparkSession, root: str, only: str | None = None) -> DataFrame:
     """(package_id, path, sha256) of manifests, records and artifacts: of canonical JSON for .json, of canonical lines for .jsonl, else of bytes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).withColumn("file", F.col("path")).drop("path")
-    files = _placed(files).where("path rlike '^(records|artifacts)/' or path = 'manifest.json'")
+    files = _files(spark, root, only).where("path rlike '^(records|artifacts)/' or path rlike '^[^/]*manifest[.]json$'")
 
     @F.pandas_udf("binary")
     def normal(content: pd.Series, path: pd.Series) -> pd.Series:
@@ -93,21 +123,34 @@ def actual_hashes(spark: SparkSession, root: str) -> DataFrame:
     return files.select("package_id", "path", F.sha2(body, 256).alias("sha256"))
 
 
-def read_packages(spark: SparkSession, root: str) -> DataFrame:
-    """package_id of each folder that has any file of a bundle, with a manifest or without."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.col("path").alias("file"))
-    return _placed(files).where("package_id <> ''").select("package_id").distinct()
+def read_packages(spark: SparkSession, root: str, only: str | None = None) -> DataFrame:
+    """package_id of each folder that has any file, with a manifest or without."""
+    return bundle_files(spark, root, only).select("package_id").distinct()
 
 
-def read_roots(spark: SparkSession, root: str) -> DataFrame:
+def read_roots(spark: SparkSession, root: str, only: str | None = None) -> DataFrame:
     """(package_id, root) of the Merkle files; root is null where it can't be read."""
-    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "merkle-tree.json").text(root, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
-    return _placed(text).where("path = 'hashes/merkle-tree.json'").select("package_id", F.from_json("value", "root string")["root"].alias("root"))
+    return _texts(spark, root, only, "merkle-tree.json").where("path = 'hashes/merkle-tree.json'").select("package_id", F.from_json("value", "root string")["root"].alias("root"))
+
+
+def indexed_hashes(spark: SparkSession, root: str, only: str | None = None) -> DataFrame:
+    return _texts(spark, root, only, "content-hashes.json").where(F.col("path") == INDEX).select("package_id", F.explode(F.from_json("value", "map<string,string>")).alias("path", "sha256"))
+
+
+def read_signatures(spark: SparkSession, root: str, only: str | None = None) -> DataFrame:
+    """(package_id, path, content) of signatures that aren't blank."""
+    text = _texts(spark, root, only, "*.jws").where("path rlike '^signatures/[^/]+$' and value rlike '[^ \\t\\r\\n]'")
+    return text.select("package_id", "path", F.col("value").alias("content"))
 
 
-def indexed_hashes(spark: SparkSession, root: str) -> DataFrame:
-    text = spark.read.text(f"{root}/*/hashes/content-hashes.json", wholetext=True).withColumn("file", F.col("_metadata.file_path"))
-    return _placed(text).select("package_id", F.explode(F.from_json("value", "map<string,string>")).alias("path", "sha256"))
+def located(path: str, into: str) -> tuple[str, str | None]:
+    """(root, name) of a bundle's folder or archive, which is unpacked under `into`; (path, None) of a folder of bundles."""
+    if Path(path).is_file():
+        found = Path(unpack(path, into))
+        return str(found.parent), found.name
+    if any(Path(path).glob(MANIFESTS)):
+        return str(Path(path).resolve().parent), Path(path).resolve().name
+    return path, None
 
 
 def write_bundle(folder: str, manifest: dict, records: dict[str, list[dict]], artifacts: dict[str, bytes] = {}) -> str:  # noqa: B006

@@ -17,6 +17,7 @@ from proofmill.functions.canonical import canonical, leaf, merkle_root, number_t
 from proofmill.operators import bundles, integrity
 from proofmill.operators.references import unsafe_paths
 from proofmill.operators.schema_check import schema_findings
+from proofmill.plans.validate import asked_profiles
 from proofmill.sources import bundle
 
 
@@ -170,6 +171,39 @@ def test_wrong_roots_manifests_versions_and_profiles_are_found(spark, tmp_path):
     (tmp_path / "gone/manifest.json").unlink()
     known = spark.createDataFrame([("known",)], "profile_id string")
     where = str(tmp_path)
-    found = integrity.manifest_findings(bundle.read_packages(spark, where), bundle.read_manifests(spark, where), known)
+    manifests = bundle.read_manifests(spark, where)
+    found = integrity.manifest_findings(bundle.read_packages(spark, where), manifests)
+    found = found.unionByName(integrity.unknown_profiles(asked_profiles(manifests, None), known))
     found = found.unionByName(integrity.root_differences(bundle.read_roots(spark, where), bundle.indexed_hashes(spark, where)))
     assert sorted((r.package_id, r.code) for r in found.collect()) == [("broken", "EV-002"), ("gone", "EV-002"), ("odd", "EV-030"), ("root", "EV-011"), ("two", "EV-001"), ("unread", "EV-011")]
+
+
+def test_artifacts_in_a_folder_named_records_are_no_records(spark, root):
+    (root / "b1/artifacts/records").mkdir()
+    (root / "b1/artifacts/records/a b.jsonl").write_text('{"record_id": "no"}\n')
+    assert bundle.read_records(spark, str(root))[0].count() == 3
+    assert {(r.package_id, r.path) for r in bundle.bundle_files(spark, str(root)).collect()} >= {("b1", "artifacts/records/a b.jsonl"), ("b1", "manifest.json")}
+    assert [r.package_id for r in bundle.read_packages(spark, str(root)).collect()] == ["b1"]
+
+
+def test_lines_are_numbered_in_files_read_in_blocks(spark, tmp_path):
+    (tmp_path / "b/records").mkdir(parents=True)
+    for name, n in (("one", 3_000), ("two", 5)):
+        (tmp_path / f"b/records/{name}.jsonl").write_text("".join(f'{{"record_id": "{name}{i}", "payload": {{"x": "{"y" * (i % 50)}"}}}}\n' + "\n" * (i % 3 == 0) for i in range(n)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10k")
+    try:
+        records, bad = bundle.read_records(spark, str(tmp_path))
+        rows = records.orderBy("seq").select("record_id", "seq").collect()
+        lines = {r.value[15:].split('"')[0]: r.line for r in bundle.read_lines(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert [r.record_id for r in rows] == [f"one{i}" for i in range(3_000)] + [f"two{i}" for i in range(5)] and bad.count() == 0
+    assert lines == {f"{name}{i}": i + (i + 2) // 3 for name, n in (("one", 3_000), ("two", 5)) for i in range(n)}
+
+
+def test_whole_numbers_with_a_point_are_integers(spark):
+    rows = [("p", f"r{i}", "k", p) for i, p in enumerate(('{"n":1.0,"l":[2.0]}', '{"n":1.5,"l":[0.5]}', '{"n":2e3}', '{"n":"1"}'))]
+    schema = {"properties": {"n": {"type": "integer"}, "l": {"items": {"type": "integer"}}}}
+    found = {r.path for r in schema_findings(spark.createDataFrame(rows, "package_id string, record_id string, record_type string, payload string"), {"k": schema}).collect()}
+    assert found == {"r1/payload/n", "r1/payload/l", "r3/payload/n"}

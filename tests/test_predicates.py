@@ -60,3 +60,13 @@ def test_null_payloads_are_missing(spark):
     df = spark.createDataFrame([(None,), ("not json",), ('{"v": null}',)], "payload string").withColumn("p", F.try_parse_json("payload"))
     value = value_at("/payload/v", F.col("p"))
     assert [tuple(r) for r in df.select(compared(value, "ne", 1), compared(value, "eq", 1)).collect()] == [(True, False)] * 3
+
+
+def test_integers_beyond_doubles_are_compared_exactly(spark):
+    big = 1 << 53
+    values = [big - 1, big, big + 1, big + 2, -big - 1, 10**20, 10**20 + 1, float(big), 1.5]
+    df = spark.createDataFrame([(i, json.dumps({"v": v})) for i, v in enumerate(values)], "i int, payload string").withColumn("p", F.parse_json("payload"))
+    value = value_at("/payload/v", F.col("p"))
+    cases = [(op, o) for op in ("eq", "ne", "gt", "gte", "lt", "lte") for o in (big, big + 1, -big - 1, 10**20 + 1)]
+    for r in df.select("i", *[compared(value, op, o).alias(f"c{k}") for k, (op, o) in enumerate(cases)]).collect():
+        assert [r[f"c{k}"] for k in range(len(cases))] == [expected(op, values[r.i], o) for op, o in cases]

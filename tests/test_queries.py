@@ -22,7 +22,7 @@ def test_only_two_queries_have_no_sql():
 
 def test_registry_codes_are_unique(spark, sf_dir):
     codes = [r.code for r in QUERIES["diagnostic_registry"](spark, sf_dir).collect()]
-    assert len(codes) == len(set(codes)) == 25
+    assert len(codes) == len(set(codes)) == 31
 
 
 def test_shards_by_bytes_are_those_of_a_plain_loop(spark, sf_dir):
