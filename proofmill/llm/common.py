@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -28,6 +29,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests, local mode)."""
     if not (found := spark.conf.get("spark.checkpoint.dir", None)):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='proofmill-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
