@@ -514,3 +514,38 @@ def test_cut_documents_keep_their_columns(odd):
     assert out.columns == odd.columns
     want = {d: x[4].decode("utf-8", "ignore") if x[1] else BY_ID[d] for d, x in brute.repeats(BY_ID).items()}
     assert {r.doc_id: r.text for r in out.collect()} == {d: t for d, t in want.items() if not (brute.repeats({d: BY_ID[d]})[d][0] and brute.repeats(BY_ID)[d][1] and not t.strip(" \t\n\r"))}
+
+
+# ---------------------------------------------------------------- very long texts
+
+
+def test_words_of_very_long_texts_hash_as_alone():
+    import pyarrow as pa
+
+    from proofmill.llm.common import CHUNK, hashed_words
+
+    rnd = random.Random(4)
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(60_000)]
+    words[30_000] = "x" * (CHUNK + 1_000)
+    text = "".join(w + rnd.choice((" ", "\n", "  ")) for w in words)
+    assert len(text) > 2 * CHUNK
+    alone = [h for _, h in hashed_words(pa.array(words))]
+    assert (next(hashed_words(pa.array([text])))[1] == np.concatenate(alone)).all()
+
+
+def test_windows_have_one_owner_also_over_the_edges_of_pieces():
+    rnd = np.random.default_rng(6)
+    length, edge = 200, suffix_dedup.PIECE
+    passage = rnd.integers(97, 123, 900, np.uint8)
+    data = rnd.integers(97, 123, 2 * edge + 5_000, np.uint8)
+    for at in (1_000, edge - 400, 2 * edge - 150):
+        data[at : at + 900] = passage
+    next_window, owners = 0, {}
+    for gram, _, first, last in suffix_dedup.owned(data, length):
+        for g, a, b in zip(gram.tolist(), first.tolist(), last.tolist(), strict=True):
+            assert a == next_window
+            next_window = b + 1
+            owners.update(dict.fromkeys(range(a, b + 1), g))
+    assert next_window == len(data) - length + 1
+    for i in range(900 - length + 1):
+        assert owners[1_000 + i] == owners[edge - 400 + i] == owners[2 * edge - 150 + i]
