@@ -1,12 +1,13 @@
 """Benchmark decontamination: SimHash of item-sized windows, found by multi-index Hamming blocks, verified exactly.
 
-Every word position of every document is looked up among the items' shingles; a window that shares none with any item
-can't be similar to one. Where one is shared, the window of the item's size on that diagonal gets a SimHash over its
-weighted shingles. The fingerprints' bytes are BLOCKS indexes: two fingerprints within RADIUS bits differ by at most
-RADIUS // BLOCKS bits in some byte, so looking up all bytes that near finds every one of them. Found items are verified
-by the weighted Jaccard similarity of the two bags of shingles. A shingle's weight is counted over all items, whatever
-block they are compared in. A text of fewer words than a shingle's is one shingle, its whole sequence of words, so an item
-that short is similar to the windows that equal it.
+Every window of an item's size gets a SimHash of BITS bits over its weighted shingles, rolled along the document, unless
+the shingles that it shares with all items of that size together weigh too little for any of them to be similar. The
+fingerprint is cut into BLOCKS blocks of 16 bits, each with an index of its own: two fingerprints within RADIUS bits differ
+by at most RADIUS // BLOCKS bits in some block, and an item is listed under all values that near to its block's value, so
+that one look-up in each index finds every item of the window's size within the radius. Found items are verified by the weighted Jaccard
+similarity of the two bags of shingles. A shingle's weight is counted over all items, whatever pass they are compared in.
+A text of fewer words than a shingle's is one shingle, its whole sequence of words, so an item that short is similar to
+the windows that equal it.
 """
 
 from __future__ import annotations
@@ -19,21 +20,64 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, bounded_batches, distinct, hashed_words, shingle_hashes, signed, tidy
+from .common import LOWER, bounded_batches, distinct, hashed_words, mixed, shingle_hashes, signed, tidy
 
-#: At a similarity of 0.75 the expected distance is 11 of 64 bits, with a deviation of 3.
-BLOCKS, RADIUS = 8, 24
-#: Items are compared so many at a time; a task holds one such set.
-ITEMS = 5_000
+#: At a similarity of 0.75 the expected distance is 22 of 128 bits, with a deviation of 4.3: the radius is four deviations above.
+BITS, BLOCKS, RADIUS = 128, 8, 39
+#: Items are compared so many at a time; a task holds one such set, of which the indexes take 80 KB an item.
+ITEMS = 1_000
+#: Weights in fingerprints are whole numbers of this part of one, so that sums are exact in any order.
+UNIT = 1 << 20
 _FOLD = LOWER.copy()
 _FOLD[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 32
-_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1)
-
-
-def simhash(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The 8 bytes of the fingerprint of a weighted bag."""
-    bits = np.unpackbits(shingles.view(np.uint8).reshape(-1, 8), axis=1).astype(np.float64) * 2 - 1
-    return np.packbits((weights @ bits) > 0)
+_COUNT = np.unpackbits(np.arange(1 << 16, dtype=np.uint16).view(np.uint8).reshape(-1, 2), axis=1).sum(1).astype(np.uint8)
+_NEAR = np.flatnonzero(_COUNT <= RADIUS // BLOCKS).astype(np.uint16)
+
+
+def simhashes(shingles: np.ndarray, weights: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Fingerprints, as BLOCKS numbers of 16 bits, of the windows of `size` shingles at sorted `starts`; shingles that no
+    window covers are left out of the sums."""
+    out = np.zeros((len(starts), BITS // 8), np.uint8)
+    for part in np.split(np.arange(len(starts)), np.flatnonzero(np.diff(starts) > size) + 1):
+        if not len(part):
+            continue
+        at = starts[part] - starts[part[0]]
+        own = shingles[starts[part[0]] : starts[part[-1]] + size]
+        heavy = np.round(weights[starts[part[0]] : starts[part[-1]] + size] * UNIT).astype(np.int64)[:, None]
+        raw = np.concatenate([own[:, None], mixed(own ^ np.uint64(0xD6E8FEB86659FD93))[:, None]], axis=1).view(np.uint8)
+        for b in range(BITS // 8):  # eight bits at a time: sums take 64 bytes a shingle
+            sums = np.zeros((len(own) + 1, 8), np.int64)
+            np.cumsum(np.where(np.unpackbits(raw[:, b : b + 1], axis=1), heavy, -heavy), axis=0, out=sums[1:])
+            out[part, b] = np.packbits(sums[at + size] - sums[at] > 0, axis=1)[:, 0]
+    return out.view(np.uint16)
+
+
+class HammingBlocks:
+    """Indexes of fingerprints by each of their blocks; items are in the order of their size."""
+
+    def __init__(self, prints: np.ndarray):
+        self.prints = prints
+        item = np.arange(len(prints), dtype=np.uint32)[:, None]
+        self.lists = [np.sort(((prints[:, b, None] ^ _NEAR).astype(np.uint32) << 16 | item).ravel()) for b in range(BLOCKS)]
+
+    def looked_up(self, prints: np.ndarray, first: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (row of prints, item), each once, of the items from `first` to before `end` that are near in some block."""
+        pairs = [np.zeros(0, np.int64)]
+        for b in range(BLOCKS):
+            value = prints[:, b].astype(np.uint32) << 16
+            lo, hi = np.searchsorted(self.lists[b], value | np.uint32(first)), np.searchsorted(self.lists[b], value | np.uint32(end))
+            many = hi - lo
+            row = np.repeat(np.arange(len(prints)), many)
+            place = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(len(row))
+            pairs.append(row << 16 | (self.lists[b][place] & 0xFFFF).astype(np.int64))
+        found = distinct(np.concatenate(pairs))
+        return found >> 16, found & 0xFFFF
+
+    def within(self, prints: np.ndarray, first: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs (row of prints, item) of these items within RADIUS bits."""
+        row, item = self.looked_up(prints, first, end)
+        near = _COUNT[prints[row] ^ self.prints[item]].sum(1, dtype=np.int64) <= RADIUS
+        return row[near], item[near]
 
 
 class Items:
@@ -47,18 +91,17 @@ class Items:
         for i, w in enumerate(words):
             if 0 < len(w) < k:
                 self.short.setdefault(len(w), {}).setdefault(int(shingle_hashes(w, k)[0]), []).append(ids[i])
-        keep = [i for i, w in enumerate(words) if len(w) >= k]
-        self.ids, self.sizes = [ids[i] for i in keep], np.array([len(words[i]) for i in keep])
+        keep = sorted((i for i, w in enumerate(words) if len(w) >= k), key=lambda i: len(words[i]))
+        self.ids, self.sizes = [ids[i] for i in keep], np.array([len(words[i]) for i in keep], np.int64)
         bags = [shingle_hashes(words[i], k) for i in keep]
         self.common, self.spread = common, spread
         self.bags = [self._bag(b) for b in bags]
-        self.prints = np.array([simhash(b, self.weights(b)) for b in bags], np.uint8).reshape(-1, 8)
-        flat = [(h, i, j) for i, b in enumerate(bags) for j, h in enumerate(b.tolist())]
-        flat.sort()
-        self.shingle = np.array([x[0] for x in flat], np.uint64)
-        self.item, self.offset = np.array([x[1] for x in flat], np.int64), np.array([x[2] for x in flat], np.int64)
-        apart = _BITS[np.arange(256)[:, None] ^ np.arange(256)]
-        self.near = [[np.flatnonzero(apart[v][self.prints[:, b]] <= RADIUS // BLOCKS) for v in range(256)] for b in range(BLOCKS)]
+        self.total = np.array([sum(b.values()) for b in self.bags])
+        first = np.zeros(1, np.int64)
+        self.index = HammingBlocks(np.concatenate([np.zeros((0, BLOCKS), np.uint16), *(simhashes(b, self.weights(b), first, len(b)) for b in bags)]))
+        # (shingle, size) once each, sorted: the shingles that items of a size have
+        pairs = sorted({(h, size) for b, size in zip(bags, self.sizes.tolist(), strict=True) for h in b.tolist()})
+        self.shingle, self.size_of = np.array([p[0] for p in pairs], np.uint64), np.array([p[1] for p in pairs], np.int64)
 
     def weights(self, shingles: np.ndarray) -> np.ndarray:
         """One over the number of items that a shingle is in; 1 if it is in none."""
@@ -74,32 +117,57 @@ class Items:
         return bag
 
     def matches(self, words: np.ndarray) -> dict[int, tuple[float, int]]:
-        """item -> (similarity, first word) of its best window in a document's words."""
+        """item -> (similarity, first word) of its best window in a document's words; of equal ones the first."""
         best: dict[int, tuple[float, int]] = {}
         if len(words) < self.k or not len(self.shingle):
             return best
         own = shingle_hashes(words, self.k)
         lo, hi = np.searchsorted(self.shingle, own), np.searchsorted(self.shingle, own, "right")
         hits = np.flatnonzero(hi > lo)
-        starts: set[tuple[int, int]] = set()
-        for p in hits:
-            for e in range(lo[p], hi[p]):
-                size = min(int(self.sizes[self.item[e]]), len(words))
-                starts.add((min(max(0, int(p - self.offset[e])), len(words) - size), size))
-        for start, size in sorted(starts):
-            window = own[start : start + size - self.k + 1]
-            fingerprint = simhash(window, self.weights(window))
-            found = np.unique(np.concatenate([self.near[b][fingerprint[b]] for b in range(BLOCKS)]))
-            found = found[_BITS[self.prints[found] ^ fingerprint].sum(1) <= RADIUS]
-            bag = self._bag(window) if len(found) else {}
-            total = sum(bag.values())
-            for i in found.tolist():
+        if not len(hits):
+            return best
+        weights = self.weights(own)
+        sums = np.concatenate([[0.0], np.cumsum(weights)])
+        many = (hi - lo)[hits]
+        place = np.repeat(hits, many)
+        sizes = self.size_of[np.repeat(lo[hits] - (np.cumsum(many) - many), many) + np.arange(len(place))]
+        for size in np.unique(sizes).tolist():
+            at = place[sizes == size]
+            span = min(size, len(words)) - self.k + 1
+            begun, total, shared = self._promising(at, weights, sums, span)
+            if not len(begun):
+                continue
+            first, end = np.searchsorted(self.sizes, [size, size + 1])
+            row, item = self.index.within(simhashes(own, weights, begun, span), int(first), int(end))
+            most = shared[row] / np.maximum(total[row] + self.total[item] - shared[row], 1e-9)
+            bags: dict[int, dict[int, float]] = {}
+            for j in np.lexsort((row, -most)).tolist():  # the likeliest first; those that can't be better are skipped
+                r, i = int(row[j]), int(item[j])
+                if most[j] + 1e-9 < max(self.threshold, best.get(i, (0.0, 0))[0]):
+                    continue
+                start = int(begun[r])
+                bag = bags[r] if r in bags else bags.setdefault(r, self._bag(own[start : start + span]))
                 both = sum(min(w, bag[h]) for h, w in self.bags[i].items() if h in bag)
-                similarity = both / (total + sum(self.bags[i].values()) - both)
-                if similarity >= self.threshold and similarity > best.get(i, (0.0, 0))[0]:
-                    best[i] = (similarity, start)
+                similarity = both / (sum(bag.values()) + self.total[i] - both)
+                if similarity >= self.threshold and (i not in best or (similarity, -start) > (best[i][0], -best[i][1])):
+                    best[i] = (float(similarity), start)
         return best
 
+    def _promising(self, at: np.ndarray, weights: np.ndarray, sums: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first shingle, weight, weight of the shingles at the sorted places `at`) of each window of `span` shingles whose part
+        at those places is no less than the threshold allows: what two bags share is at least that part of either."""
+        last = len(weights) - span
+        shared = np.concatenate([[0.0], np.cumsum(weights[at])])
+        # windows that begin from `low` on and hold a place: runs of starts, each once
+        low, high = np.maximum(at - span + 1, 0), np.minimum(at, last)
+        low[1:] = np.maximum(low[1:], high[:-1] + 1)
+        many = np.maximum(high - low + 1, 0)
+        begun = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        total = sums[begun + span] - sums[begun]
+        part = shared[np.searchsorted(at, begun + span)] - shared[np.searchsorted(at, begun)]
+        good = part >= self.threshold * total - 1e-6
+        return begun[good], total[good], part[good]
+
     def short_matches(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(item's id, first word, words) of the first window that equals an item of fewer than k words."""
         for size, items in self.short.items():

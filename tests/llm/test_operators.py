@@ -316,6 +316,59 @@ def test_items_in_blocks_weigh_as_all_do(spark, sample, sf_dir, monkeypatch):
     assert set(found) == set(want) and np.allclose([found[k] for k in want], list(want.values()))
 
 
+def test_hamming_blocks_find_all_within_the_radius():
+    draw = np.random.default_rng(5)
+    items = draw.integers(0, 1 << 16, (120, decontaminate.BLOCKS), dtype=np.uint16)
+    flips = np.zeros((400, decontaminate.BITS), np.uint8)
+    for row in flips:
+        row[draw.permutation(decontaminate.BITS)[: draw.integers(0, 48)]] = 1
+    near = items[draw.integers(0, 120, 400)] ^ np.packbits(flips, axis=1).view(np.uint16)
+    apart = np.bitwise_count(near[:, None] ^ items[None]).sum(2, dtype=np.int64)
+    index = decontaminate.HammingBlocks(items)
+    for first, end in ((0, 120), (30, 31), (50, 50), (100, 120)):
+        row, item = index.within(near, first, end)
+        want = {(r, i) for r, i in np.argwhere(apart <= decontaminate.RADIUS).tolist() if first <= i < end}
+        assert set(zip(row.tolist(), item.tolist(), strict=True)) == want
+
+
+def test_rolled_fingerprints_are_those_of_each_window_alone():
+    draw = np.random.default_rng(6)
+    own, weights = draw.integers(0, 1 << 63, 300, dtype=np.uint64), 1 / draw.integers(1, 9, 300)
+    for size in (1, 7, 40):
+        starts = np.flatnonzero(draw.random(300 - size) < 0.2)
+        found = decontaminate.simhashes(own, weights, starts, size)
+        alone = [decontaminate.simhashes(own[s : s + size], weights[s : s + size], np.zeros(1, np.int64), size)[0] for s in starts.tolist()]
+        assert np.array_equal(found, np.array(alone, np.uint16).reshape(-1, decontaminate.BLOCKS))
+
+
+def test_random_windows_near_the_threshold(spark):
+    """Items with words changed, moved and left out, of several sizes, inside longer texts: what brute force finds is found."""
+    draw = np.random.default_rng(7)
+    items, docs = {}, {}
+    for i in range(150):
+        words = [f"w{x}" for x in draw.integers(0, 400, draw.integers(5, 70))]
+        items[i] = " ".join(words)
+        for j in range(5):
+            own = list(words)
+            for _ in range(j // 2 + 1 if len(own) > 30 else j // 2):
+                own[draw.integers(0, len(own))] = "changed"
+            around = [f"v{x}" for x in draw.integers(0, 400, 20)]
+            docs[10 * i + j] = " ".join([*around[: draw.integers(0, 20)], *own, *around])
+    frame = lambda rows, name: spark.createDataFrame(list(rows.items()), f"{name} long, text string")
+    found, want = _matches(frame(docs, "doc_id"), frame(items, "item_id")), brute.decontaminated(docs, items)
+    assert set(found) <= set(want) and len(set(want) - set(found)) <= 0.005 * len(want) and len(want) > 150
+    assert np.allclose([found[k] for k in found], [want[k] for k in found])
+
+
+def test_windows_of_a_very_long_text(spark):
+    """A passage far inside a text of over half a megabyte, with filler that shares words with the item."""
+    item = " ".join(f"i{i}" for i in range(60))
+    filler = " ".join(f"i{(7 * i) % 60} f{i % 977}" for i in range(40_000))
+    docs = spark.createDataFrame([(1, f"{filler} {item} {filler}"), (2, filler)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [(r.doc_id, r.item_id, r.start, r.similarity) for r in decontaminate.benchmark_matches(docs, items).collect()] == [(1, 1, 80_000, 1.0)]
+
+
 def test_short_items_match_their_copies(spark):
     docs = spark.createDataFrame([(1, "Two words."), (2, "before two WORDS after them, two words"), (3, "words two"), (4, "two"), (5, None)], "doc_id long, text string")
     items = spark.createDataFrame([(1, "two words"), (2, "two words"), (3, "a b c d"), (4, ""), (5, "words two")], "item_id long, text string")
