@@ -22,7 +22,7 @@ from .common import LOWER, bounded_batches, stored, text_buffer, tidy, with_ids
 
 BUCKETS, ORDERS, PIECE, ROWS = 8192, (1, 2, 3), 4096, 128
 #: The model is fitted on at most so many labelled documents of each language; so many of their pieces are landmarks.
-SAMPLE, LANDMARKS, RIDGE = 400, 160, 1e-3
+SAMPLE, LANDMARKS, RIDGE, SALTS = 400, 160, 1e-3, 32
 _FOLD = LOWER.copy()
 _FOLD[:65] = 32
 _FOLD[91:97] = _FOLD[123:128] = 32
@@ -84,15 +84,25 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([langs[r] for r in row]), pa.array([ids[r] for r in row], pa.int64()), pa.array(np.arange(len(row))), pa.array(packed, pa.binary())], ["lang", "doc_id", "k", "bits"])
 
 
+def _first(rows: DataFrame, order: list[Column | str], sample: int) -> DataFrame:
+    """The first `sample` rows of each lang in this order, with their rank r; ranked within SALTS parts of a language before,
+    so that no task gets more than SALTS * sample rows of one or a part of its rows."""
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
+    part = Window.partitionBy("lang", "salt").orderBy(*order)
+    few = rows.withColumn("salt", salt).withColumn("r", F.row_number().over(part)).where(F.col("r") <= sample).drop("salt")
+    return few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("r") <= sample)
+
+
 def fit(documents: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Learn from text and non-null lang of documents that aren't held out; None if there are none."""
-    labelled = bounded_batches(documents).select(F.col("doc_id").cast("long"), F.col("lang").cast("string")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = stored(labelled.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= sample).select("doc_id", "lang"))
-    texts = with_ids(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null"), chosen.select("doc_id"))
+    """Learn from text and non-null lang of documents that aren't held out; None if there are none. A doc_id that comes
+    several times is sampled once, with the least of its languages, and all its texts."""
+    rows = documents.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
+    labelled = bounded_batches(rows).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "lang")
+    once = labelled.groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    chosen = stored(_first(once, [F.xxhash64("doc_id"), "doc_id"], sample).select("doc_id", "lang"))
+    texts = with_ids(rows.where("text is not null and lang is not null").select("doc_id", "text"), chosen.select("doc_id"))
     pieces = texts.join(chosen, "doc_id").select("doc_id", "lang", "text").mapInArrow(_packed, "lang string, doc_id long, k long, bits binary")
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "k"), "doc_id", "k")
-    rows = pieces.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= sample).orderBy("lang", "r").select("lang", "r", "bits").collect()
+    rows = _first(pieces, [F.xxhash64("doc_id", "k"), "doc_id", "k", "bits"], sample).orderBy("lang", "r").select("lang", "r", "bits").collect()
     if not rows:
         return None
     x = np.unpackbits(np.array([np.frombuffer(r.bits, np.uint8) for r in rows]), axis=1).astype(np.float32)
