@@ -124,5 +124,22 @@ for _name in ("role", "text"):
     _OP7 = _OP7.replace(f"esc({_name})", _ESCAPED.format(_name))
 
 
+_OP10 = """
+WITH raw AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+blocks AS (SELECT doc_id, j, substring(h, 2 * j + 1, 1422) AS part, least(512, n - 199 - j) AS m FROM (SELECT *, unnest(range(0, n - 199, 512)) AS j FROM raw)),
+windows AS (SELECT doc_id, j + i AS i, md5(substring(part, 2 * i + 1, 400)) AS w FROM (SELECT *, unnest(range(0, m)) AS i FROM blocks)),
+twice AS (SELECT w FROM windows GROUP BY w HAVING count(*) > 1),
+starts AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM windows WHERE w IN (SELECT w FROM twice)),
+runs AS (SELECT doc_id, i, sum((p IS NULL OR i > p + 200)::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM starts),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM runs GROUP BY doc_id, run),
+cuts AS (SELECT doc_id, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id),
+ends AS (SELECT doc_id, h, n, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  list_prepend(0, coalesce(b, [])) AS lo, list_append(coalesce(a, []), n) AS hi FROM raw LEFT JOIN cuts USING (doc_id))
+SELECT doc_id, n::BIGINT AS n_bytes, n_removed::BIGINT AS n_removed, n_spans::BIGINT AS n_spans,
+  sha256(unhex(array_to_string(list_transform(range(1, len(lo) + 1), lambda i: substring(h, 2 * lo[i] + 1, 2 * (hi[i] - lo[i]))), ''))) AS kept_sha256
+FROM ends
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": _OP1, "op7_chat_formatting": _OP7}
+    return {"op1_ngram_jaccard": _OP1, "op7_chat_formatting": _OP7, "op10_suffix_dedup": _OP10}

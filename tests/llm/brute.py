@@ -5,6 +5,9 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from math import log, sqrt
+
+import xxhash
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -63,6 +66,34 @@ def quality(text: str | None) -> tuple[int, int, int, int, int, bool]:
     return n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered), n < 50 or 100 * len(covered) > 50 * n
 
 
+def _buckets(text: str | None, buckets: int) -> list[int]:
+    words = [w.lower().encode() for w in WORD.findall(text or "")]
+    one = [xxhash.xxh64_intdigest(w, 42) for w in words]
+    two = [xxhash.xxh64_intdigest(b, h) for h, b in zip(one, words[1:], strict=False)]
+    return [(h - (1 << 64) * (h >> 63)) % buckets for h in one + two]
+
+
+def quality_scores(docs: dict[int, str | None], trusted: set[int], buckets: int, smooth: float) -> dict[int, float | None]:
+    """doc -> mean of ln p_target - ln p_raw over its words and word pairs."""
+    found = {d: _buckets(t, buckets) for d, t in docs.items()}
+    raw = Counter(b for x in found.values() for b in x)
+    target = Counter(b for d in trusted & set(docs) for b in found[d])
+    p = lambda c, b: log((c[b] + smooth) / (c.total() + smooth * buckets))
+    return {d: sum(p(target, b) - p(raw, b) for b in x) / len(x) if x else None for d, x in found.items()}
+
+
+def spectrum(text: str, buckets: int, orders: tuple[int, ...]) -> set[int]:
+    """Buckets of the byte n-grams of a text: upper case folded, other ASCII than letters a space."""
+    raw = bytes(x + 32 if 65 <= x <= 90 else x if 97 <= x <= 122 or x > 127 else 32 for x in text.encode())
+    shift = 32 - (buckets - 1).bit_length()
+    grams = [(n, int.from_bytes(raw[i : i + n])) for n in orders for i in range(len(raw) - n + 1)]
+    return {((g + (n << 24)) * 0x9E3779B1 % (1 << 32)) >> shift for n, g in grams}
+
+
+def spectrum_kernel(a: set[int], b: set[int]) -> float:
+    return len(a & b) / sqrt(max(1, len(a)) * max(1, len(b)))
+
+
 _SIGNS = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
 
 

@@ -234,6 +234,20 @@ def test_ratio_weights_are_those_of_two_multinomials(spark):
     assert np.allclose(weights, smooth(good) - smooth(good + bad))
 
 
+def test_verdicts_are_those_of_plain_scores(spark, sample, sf_dir):
+    df, docs = sample
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    trusted = {r.doc_id for r in labels.collect() if r.quality == 1 and not r.toxic}
+    want = brute.quality_scores(docs, trusted, quality.BUCKETS, quality.SMOOTHING)
+    rows = quality.quality_verdicts(df, labels).collect()
+    assert len(rows) == len(docs) and {r.kept for r in rows} == {True, False}
+    for r in rows:
+        assert (r.score is None) == (want[r.doc_id] is None)
+        if r.score is not None:
+            assert abs(r.score - want[r.doc_id]) < 1e-9
+            assert r.kept == (not brute.quality(docs[r.doc_id])[5] and want[r.doc_id] >= quality.THRESHOLD)
+
+
 # ---------------------------------------------------------------- 4
 
 
@@ -404,6 +418,37 @@ def test_odd_texts_have_no_language(odd, with_nulls, none):
     assert {r.lang_pred for r in langid.predict_languages(unlabelled).collect()} == {"und"}
 
 
+def test_predictions_are_those_of_plain_kernels(spark, sample):
+    """Kernels worked out from sets of n-grams, with each row's landmarks and coefficients; a text counts by the lengths of its pieces."""
+    df, docs = sample
+    model = langid.fit(df)
+    marks = [set(np.flatnonzero(c).tolist()) for c in model.landmarks.T]
+    found = {r.doc_id: r for r in langid.predict_languages(df, model).collect()}
+    for d in sorted(docs)[:40]:
+        raw = (docs[d] or "").encode()
+        if found[d].lang_pred == "und" or len(raw) != len(docs[d]):  # pieces are cut between bytes
+            continue
+        cut = [docs[d][i : i + langid.PIECE] for i in range(0, len(raw), langid.PIECE)]
+        kernel = np.array([[brute.spectrum_kernel(brute.spectrum(t, langid.BUCKETS, langid.ORDERS), m) for m in marks] for t in cut])
+        values = np.average(kernel @ model.coefficients, axis=0, weights=[len(t) for t in cut])
+        assert abs(found[d].score - np.clip((values.max() + 1) / 2, 0, 1)) < 1e-3
+        assert values[model.languages.index(found[d].lang_pred)] >= values.max() - 1e-3
+
+
+def test_sample_of_languages_is_split_but_the_same(spark, monkeypatch):
+    rows = spark.range(3000).selectExpr("id doc_id", "if(id % 50 = 0, 'few', 'many') lang")
+    take = lambda: sorted(map(tuple, langid._first(rows, [F.xxhash64("doc_id"), "doc_id"], 100).select("lang", "r", "doc_id").collect()))
+    found = take()
+    monkeypatch.setattr(langid, "SALTS", 1)
+    assert found == take() and len(found) == 160
+
+
+def test_repeated_ids_are_sampled_once(spark):
+    rows = [(1, f"some text {i}", "bb" if i else "aa") for i in range(4)] + [(3, "another text", "bb"), (4, "the last text", "bb")]
+    model = langid.fit(spark.createDataFrame([r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2], "doc_id long, text string, lang string"))
+    assert set(model.languages) <= {"aa", "bb"} and model.landmarks.shape[1] <= 6
+
+
 # ---------------------------------------------------------------- 7
 
 
