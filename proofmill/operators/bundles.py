@@ -54,13 +54,15 @@ def plain_commitment(payload: Column) -> Column:
 
 
 def redacted(records: DataFrame, types: list[str] = (), levels: list[str] = (), method: str = "sha256-commitment", commit=commitment) -> DataFrame:
-    """Records of these types or levels of confidentiality with a commitment in place of their payload; with neither, none."""
+    """Records of these types or levels of confidentiality with a commitment in place of their payload; with neither, none.
+    Only the chosen records go through `commit`; the others are read beside them and stay as they are."""
+    if not types and not levels:
+        return records
     chosen = F.coalesce(F.col("record_type").isin(*types), F.lit(False)) | F.coalesce(F.col("confidentiality").isin(*levels), F.lit(False))
     h = commit(F.col("payload"))
-    hidden = F.concat(F.lit('{"_redacted":true,"_commitment":"sha256:'), h, F.lit('"}'))
-    pick = lambda new, old: F.when(chosen, new).otherwise(F.col(old)).alias(old)
-    changed = {"payload": pick(hidden, "payload"), "confidentiality": pick(F.lit("hash-committed"), "confidentiality"), "redaction_method": pick(F.concat(F.lit(f"{method}:"), h), "redaction_method")}
-    return records.select(*[changed.get(c, F.col(c)) for c in records.columns])
+    changed = {"payload": F.concat(F.lit('{"_redacted":true,"_commitment":"sha256:'), h, F.lit('"}')), "confidentiality": F.lit("hash-committed"), "redaction_method": F.concat(F.lit(f"{method}:"), h)}
+    hidden = records.where(chosen).select(*[changed[c].alias(c) if c in changed else F.col(c) for c in records.columns])
+    return records.where(~chosen).unionByName(hidden)
 
 
 def redaction_holds(method: Column, payload: Column, commit=commitment) -> Column:
@@ -69,9 +71,21 @@ def redaction_holds(method: Column, payload: Column, commit=commitment) -> Colum
 
 
 def sharded(records: DataFrame, rows: int = SHARD_RECORDS) -> DataFrame:
-    """records with `position` (by timestamp text and record_id within package and type) and `shard`, by number of rows."""
-    order = Window.partitionBy("package_id", "record_type").orderBy("timestamp", "record_id")
-    return records.withColumn("position", F.row_number().over(order)).withColumn("shard", (F.floor((F.col("position") - 1) / rows) + 1).cast("int"))
+    """records with `position` (by timestamp text and record_id within package and type) and `shard`, by number of rows.
+
+    Records are numbered within the hour that their timestamp's text begins with, and counts of the hours before are added, so
+    a large type isn't sorted in one task. Null timestamps come first, as an hour of their own."""
+    kind, hour = ["package_id", "record_type"], F.substring(F.col("timestamp").cast("string"), 1, 13)
+    within = Window.partitionBy(*kind, "__hour").orderBy("timestamp", "record_id")
+    before = Window.partitionBy(*kind).orderBy("__hour").rowsBetween(Window.unboundedPreceding, -1)
+    timed = records.withColumn("__hour", hour)
+    counts = timed.groupBy(*kind, "__hour").agg(F.count("*").alias("n")).withColumn("__before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    left, right = timed.withColumn("__n", F.row_number().over(within)).alias("r"), counts.alias("c")
+    same = F.lit(True)
+    for c in (*kind, "__hour"):
+        same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}"))
+    placed = left.join(right, same).select("r.*", (F.col("__n") + F.col("__before")).cast("long").alias("position")).drop("__n", "__hour")
+    return placed.withColumn("shard", (F.floor((F.col("position") - 1) / rows) + 1).cast("int"))
 
 
 def sharded_by_size(records: DataFrame, rows: int = SHARD_RECORDS, size: int = SHARD_BYTES) -> DataFrame:

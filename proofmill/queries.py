@@ -419,7 +419,7 @@ _SORTED = "SELECT event_type AS record_type, event_id::VARCHAR AS record_id, row
 
 @query("sort_and_shard", f"SELECT record_type, record_id, position::INTEGER AS position, ((position - 1) // 300 + 1)::INTEGER AS shard FROM ({_SORTED})")
 def shard(spark, sf_dir):
-    return bundles.sharded(T.event_records(spark, sf_dir), 300).select("record_type", "record_id", "position", "shard")
+    return bundles.sharded(T.event_records(spark, sf_dir), 300).select("record_type", "record_id", F.col("position").cast("int").alias("position"), "shard")
 
 
 @query("record_files_index", f"""WITH s AS (SELECT record_type, (position - 1) // 300 + 1 AS shard FROM ({_SORTED})), m AS (SELECT record_type, max(shard) AS many FROM s GROUP BY 1)

@@ -207,3 +207,21 @@ def test_whole_numbers_with_a_point_are_integers(spark):
     schema = {"properties": {"n": {"type": "integer"}, "l": {"items": {"type": "integer"}}}}
     found = {r.path for r in schema_findings(spark.createDataFrame(rows, "package_id string, record_id string, record_type string, payload string"), {"k": schema}).collect()}
     assert found == {"r1/payload/n", "r1/payload/l", "r3/payload/n"}
+
+
+def test_shards_of_many_hours_and_null_timestamps(spark):
+    rows = [("p", "t" if i % 3 else None, f"r{i:03d}", None if i % 11 == 0 else f"2024-01-0{i % 3 + 1}T{(i * 7) % 24:02d}:{i % 60:02d}:00Z") for i in range(200)]
+    found = bundles.sharded(spark.createDataFrame(rows, "package_id string, record_type string, record_id string, timestamp string"), 30).collect()
+    assert len(found) == 200
+    for kind in ("t", None):
+        own = sorted((r for r in rows if r[1] == kind), key=lambda r: (r[3] or "", r[2]))
+        want = {r[2]: (i + 1, i // 30 + 1) for i, r in enumerate(own)}
+        assert {r.record_id: (r.position, r.shard) for r in found if r.record_type == kind} == want
+
+
+def test_only_chosen_records_are_redacted(spark):
+    kinds = "package_id string, record_type string, record_id string, payload string, confidentiality string, redaction_method string"
+    df = spark.createDataFrame([("p", "a", "1", "{}", "public", None), ("p", None, "2", "{}", None, None), ("p", "b", "3", None, "secret", "old")], kinds)
+    found = {r.record_id: (r.confidentiality, r.redaction_method and r.redaction_method[:10]) for r in bundles.redacted(df, types=["a"]).collect()}
+    assert found == {"1": ("hash-committed", "sha256-com"), "2": (None, None), "3": ("secret", "old")}
+    assert bundles.redacted(df).collect() == df.collect()
