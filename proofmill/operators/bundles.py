@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.canonical import canonical_json
+from .diagnostics import diagnostic
 
 SHARD_RECORDS, SHARD_BYTES = 100_000, 256 * 1024 * 1024
 STRATEGIES = ("keep_latest", "keep_all", "fail")
@@ -37,6 +38,12 @@ def conflicts(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg((F.count("*") - 1).alias("n")).where("n > 0")
 
 
+def conflict_findings(rows: DataFrame, key: str, package: str) -> DataFrame:
+    """A finding for each time that a key comes again among the merged inputs; `package` names what they are merged into."""
+    again = conflicts(rows, [key]).select(F.lit(package).alias("package_id"), key, F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i"))
+    return diagnostic(again, "060", F.concat(F.lit(f"{key} comes from several inputs: "), F.coalesce(F.col(key).cast("string"), F.lit("none"))), F.col(key))
+
+
 def first_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     others = [c for c in rows.columns if c not in key]
     return rows.groupBy(*key).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("r")).select(*key, *[F.col("r")[c].alias(c) for c in others]).select(rows.columns)

@@ -391,6 +391,12 @@ def merge_conflicts(spark, sf_dir):
     return bundles.conflicts(_items(spark, sf_dir), ["record_id"])
 
 
+@query("merge_conflict_findings", f"""SELECT 'merged' AS package_id, 'EV-060' AS code, 'warning' AS severity, record_id AS path
+FROM (SELECT record_id, unnest(range(1, count(*))) AS i FROM ({_ITEMS}) GROUP BY record_id)""")
+def merge_conflict_findings(spark, sf_dir):
+    return bundles.conflict_findings(_items(spark, sf_dir), "record_id", "merged").select("package_id", "code", "severity", "path")
+
+
 @query("merge_first_wins", f"SELECT * FROM ({_ITEMS}) QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY pkg, seq, s2) = 1")
 def merge_first(spark, sf_dir):
     return bundles.first_wins(_items(spark, sf_dir), ["record_id"], ["pkg", "seq", "s2"])
