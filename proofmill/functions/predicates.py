@@ -64,18 +64,22 @@ def variant_path(tokens: list[str]) -> str:
     return "$" + "".join(f"[{t}]" if re.fullmatch(r"0|[1-9]\d*", t) else variant_name(t) for t in tokens)
 
 
+def value_of(v: Column) -> Value:
+    """The readings of a VARIANT column."""
+    kind = F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+    is_num = kind.isin("BIGINT", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT") | kind.startswith("DECIMAL")
+    num = F.when(is_num, F.try_variant_get(v, "$", "double")).when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("int").cast("double"))
+    whole = F.when(kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | kind.rlike(r"^DECIMAL\(\d+, *0\)$"), F.try_variant_get(v, "$", "decimal(38,0)"))
+    nested = F.when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.to_json(v))
+    return Value(v.isNotNull() & (kind != "VOID"), num, whole, F.when(kind == "STRING", F.try_variant_get(v, "$", "string")), nested)
+
+
 def value_at(pointer: str, payload: Column) -> Value:
     """What a pointer finds in a record whose payload is the given VARIANT column."""
     tokens = pointer_tokens(pointer)
     null_num, null_whole, null_str = F.lit(None).cast("double"), F.lit(None).cast("decimal(38,0)"), F.lit(None).cast("string")
     if tokens and tokens[0] == "payload":
-        v = F.try_variant_get(payload, variant_path(tokens[1:]), "variant")
-        kind = F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
-        is_num = kind.isin("BIGINT", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT") | kind.startswith("DECIMAL")
-        num = F.when(is_num, F.try_variant_get(v, "$", "double")).when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("int").cast("double"))
-        whole = F.when(kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | kind.rlike(r"^DECIMAL\(\d+, *0\)$"), F.try_variant_get(v, "$", "decimal(38,0)"))
-        nested = F.when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.to_json(v))
-        return Value(v.isNotNull() & (kind != "VOID"), num, whole, F.when(kind == "STRING", F.try_variant_get(v, "$", "string")), nested)
+        return value_of(F.try_variant_get(payload, variant_path(tokens[1:]), "variant"))
     if len(tokens) == 1 and tokens[0] in _ENVELOPE:
         c = F.col(tokens[0])
         return Value(c.isNotNull(), null_num, null_whole, c.cast("string"), null_str)

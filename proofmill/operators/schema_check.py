@@ -1,14 +1,21 @@
-"""A JSON Schema subset compiled to predicates: type, required, properties, enum, const, pattern, minimum, maximum,
-minItems, items and contains. Formats aren't enforced, unknown members are allowed."""
+"""A JSON Schema subset compiled to Columns over VARIANT values: type, enum, const, pattern, minimum, maximum, minItems, items,
+contains, required, properties, additionalProperties, oneOf, anyOf, allOf and references within a schema. Formats aren't enforced."""
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.predicates import _equal, value_at, variant_name
+from ..functions.predicates import _equal, value_of, variant_name
 from .diagnostics import diagnostic
 
+#: Schemas of a published folder that aren't of payloads.
+MANIFEST, ENVELOPE, NOT_PAYLOADS = "manifest", "record-envelope", ("manifest", "record-envelope", "assessment-bundle", "template")
+#: Members with these keywords are looked into one by one; of others an array has one violation, `items`.
+_DEEP = {"properties", "required", "additionalProperties", "items", "$ref", "allOf"}
+_FOUND = "array<struct<word:string,pointer:string>>"
 
 
 def _is_number(kind: Column) -> Column:
@@ -23,50 +30,124 @@ _KINDS = {
 }
 
 
-def violations(schema: dict, payload: Column, pointer: str = "/payload") -> list[tuple[str, str, Column]]:
-    """(pointer, keyword, predicate that is true where the value violates it)."""
-    out: list[tuple[str, str, Column]] = []
-    v = value_at(pointer, payload)
-    path = "$" + "".join(map(variant_name, pointer.split("/")[2:]))
-    found = F.try_variant_get(payload, path, "variant")
-    kind, there = F.coalesce(F.schema_of_variant(found), F.lit("VOID")), found.isNotNull()
-    no = lambda ok: there & ~F.coalesce(ok, F.lit(False))
+def _referred(root: dict, ref: str) -> dict:
+    if not ref.startswith("#"):
+        raise ValueError(f"{ref!r} isn't within the schema")
+    found: Any = root
+    for step in ref[1:].split("/")[1:]:
+        found = found[step.replace("~1", "/").replace("~0", "~")]
+    return found
+
+
+def _terms(schema: Any, base: Column, path: str, pointer: str, root: dict, within: tuple[str, ...]) -> tuple[list[Column], list[Column]]:
+    """(single, many): Columns that are a violation or null, and Columns that are arrays of violations, of the value at `path` of
+    `base`. Pointers are relative to base. within: the references that led here."""
+    if isinstance(schema, bool):
+        there = F.try_variant_get(base, path, "variant").isNotNull()
+        return ([] if schema else [F.when(there, F.struct(F.lit("false").alias("word"), F.lit(pointer).alias("pointer")))]), []
+    found = F.try_variant_get(base, path, "variant")
+    v, kind, there = value_of(found), F.coalesce(F.schema_of_variant(found), F.lit("VOID")), found.isNotNull()
+    bad: list[tuple[str, str, Column]] = []
+    single: list[Column] = []
+    many: list[Column] = []
+
+    def also(sub: Any, more: str = "", name: str = "", refs: tuple[str, ...] = within) -> None:
+        one, several = _terms(sub, base, path + more, pointer + name, root, refs)
+        single.extend(one)
+        many.extend(several)
+
+    def holds(sub: Any) -> Column:
+        return F.size(problems(sub, base, root, path, "", within)) == 0
+
+    def say(word: str, ok: Column) -> None:
+        bad.append((pointer, word, there & ~F.coalesce(ok, F.lit(False))))
+
+    if (ref := schema.get("$ref")) is not None:
+        if ref in within:
+            raise ValueError(f"the schema contains itself by {ref!r}")
+        also(_referred(root, ref), refs=(*within, ref))
     if "type" in schema:
         kinds = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
         ok = F.lit(False)
         for k in kinds:
             ok = ok | _KINDS[k](kind, v.num)
-        out.append((pointer, "type", no(ok)))
+        say("type", ok)
     if "enum" in schema:
         ok = F.lit(False)
         for x in schema["enum"]:
-            ok = ok | ((kind == "VOID") if x is None else _equal(v, x))
-        out.append((pointer, "enum", no(ok)))
+            ok = ok | _same(v, kind, x)
+        say("enum", ok)
     if "const" in schema:
-        out.append((pointer, "const", no(_equal(v, schema["const"]))))
+        say("const", _same(v, kind, schema["const"]))
     if "pattern" in schema:
-        out.append((pointer, "pattern", v.str.isNotNull() & ~F.rlike(v.str, F.lit(schema["pattern"]))))
+        bad.append((pointer, "pattern", v.str.isNotNull() & ~F.rlike(v.str, F.lit(schema["pattern"]))))
     if "minimum" in schema:
-        out.append((pointer, "minimum", F.coalesce((v.num < float(schema["minimum"])) & (kind != "BOOLEAN"), F.lit(False))))
+        bad.append((pointer, "minimum", F.coalesce((v.num < float(schema["minimum"])) & (kind != "BOOLEAN"), F.lit(False))))
     if "maximum" in schema:
-        out.append((pointer, "maximum", F.coalesce((v.num > float(schema["maximum"])) & (kind != "BOOLEAN"), F.lit(False))))
+        bad.append((pointer, "maximum", F.coalesce((v.num > float(schema["maximum"])) & (kind != "BOOLEAN"), F.lit(False))))
+    for word, want in (("oneOf", lambda n: n == 1), ("anyOf", lambda n: n >= 1)):
+        if word in schema:
+            passed = F.lit(0)
+            for sub in schema[word]:
+                passed = passed + F.when(holds(sub), 1).otherwise(0)
+            say(word, want(passed))
+    for sub in schema.get("allOf", ()):
+        also(sub)
+
     if {"minItems", "items", "contains"} & set(schema):
-        members = F.try_variant_get(payload, path, "array<variant>")
+        members = F.when(kind.startswith("ARRAY"), F.try_variant_get(base, path, "array<variant>"))
         if "minItems" in schema:
-            out.append((pointer, "minItems", F.coalesce(F.size(members) < schema["minItems"], F.lit(False))))
-        for word, hold in (("items", F.forall), ("contains", F.exists)):
-            want = (schema.get(word) or {}).get("type")
-            if isinstance(want, str):
-                out.append((pointer, word, kind.startswith("ARRAY") & ~F.coalesce(hold(members, _member(want)), F.lit(False))))
+            bad.append((pointer, "minItems", F.coalesce(F.size(members) < schema["minItems"], F.lit(False))))
+        if (item := schema.get("items", True)) is not True:
+            if isinstance(item, dict) and _DEEP & set(item):
+                many.append(_each(members, lambda m, i: (m, i.cast("string")), item, pointer, root, within))
+            else:
+                fit = F.forall(members, lambda m: F.size(problems(item, m, root, "$", "", within)) == 0)
+                bad.append((pointer, "items", kind.startswith("ARRAY") & ~F.coalesce(fit, F.lit(False))))
+        if "contains" in schema:
+            fits = F.exists(members, lambda m: F.size(problems(schema["contains"], m, root, "$", "", within)) == 0)
+            bad.append((pointer, "contains", kind.startswith("ARRAY") & ~F.coalesce(fits, F.lit(False))))
     for name in schema.get("required", ()):
-        out.append((f"{pointer}/{name}", "required", kind.startswith("OBJECT") & F.try_variant_get(payload, path + variant_name(name), "variant").isNull()))
-    for name, sub in (schema.get("properties") or {}).items():
-        out += violations(sub, payload, f"{pointer}/{name}")
-    return out
+        bad.append((f"{pointer}/{name}", "required", kind.startswith("OBJECT") & F.try_variant_get(base, path + variant_name(name), "variant").isNull()))
+    named = schema.get("properties") or {}
+    for name, sub in named.items():
+        also(sub, variant_name(name), "/" + name)
+    if (rest := schema.get("additionalProperties", True)) is not True:
+        members = F.when(kind.startswith("OBJECT"), F.map_entries(F.try_variant_get(base, path, "map<string,variant>")))
+        others = F.filter(members, lambda e: ~e["key"].isin(*named)) if named else members
+        if rest is False:
+            bad.append((pointer, "additionalProperties", F.coalesce(F.size(others) > 0, F.lit(False))))
+        else:
+            many.append(_each(others, lambda e, _: (e["value"], e["key"]), rest, pointer, root, within))
+    single += [F.when(is_bad, F.struct(F.lit(word).alias("word"), F.lit(at).alias("pointer"))) for at, word, is_bad in bad]
+    return single, many
+
+
+def _same(v, kind: Column, x: Any) -> Column:
+    return (kind == "VOID") if x is None else _equal(v, x)
 
 
-def _member(want: str):
-    return lambda m: _KINDS[want](F.coalesce(F.schema_of_variant(m), F.lit("VOID")), F.try_variant_get(m, "$", "double"))
+def _each(members: Column, parts, schema: Any, pointer: str, root: dict, within: tuple[str, ...]) -> Column:
+    """The violations of a schema by members of an array or object; parts gives a member's value and step."""
+
+    def of_member(m: Column, i: Column) -> Column:
+        value, step = parts(m, i)
+        return F.transform(problems(schema, value, root, "$", "", within), lambda x: F.struct(x["word"].alias("word"), F.concat(F.lit(pointer + "/"), step, x["pointer"]).alias("pointer")))
+
+    return F.coalesce(F.flatten(F.transform(members, of_member)), F.array().cast(_FOUND))
+
+
+def problems(schema: Any, value: Column, root: dict | None = None, path: str = "$", pointer: str = "", within: tuple[str, ...] = ()) -> Column:
+    """Array of (word, pointer): each violated keyword of a schema by the value at `path` of a VARIANT; empty where there is
+    no value. Members that are objects or arrays are looked into one by one; of oneOf and anyOf only the keyword is reported."""
+    single, many = _terms(schema, value, path, pointer, schema if root is None else root, within)
+    own = F.filter(F.array(*single), lambda x: x.isNotNull()) if single else F.array().cast(_FOUND)
+    return F.concat(own.cast(_FOUND), *many) if many else own.cast(_FOUND)
+
+
+def _findings(rows: DataFrame, found: Column, code: str, start: Column) -> DataFrame:
+    at = rows.select("package_id", start.alias("start"), F.explode(found).alias("x"))
+    return diagnostic(at, code, F.concat("x.word", F.lit(" violated")), F.concat("start", F.col("x.pointer")))
 
 
 def schema_findings(records: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -75,8 +156,19 @@ def schema_findings(records: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     parsed = records.withColumn("__p", F.try_parse_json("payload"))
     unknown = records.where(~F.col("record_type").isin(*schemas) & ~F.col("record_type").startswith("x-"))
     out = diagnostic(unknown, "003", F.concat(F.lit("unknown type "), "record_type"), F.col("record_id"))
-    checks = [F.when((F.col("record_type") == kind) & bad, F.struct(F.lit(word).alias("word"), F.lit(pointer).alias("pointer"))) for kind, schema in schemas.items() for pointer, word, bad in violations(schema, F.col("__p"))]
-    if not checks:
+    if not schemas:
         return out
-    rows = parsed.where("payload is not null and payload <> '{}'").select("package_id", "record_id", F.explode(F.filter(F.array(*checks), lambda x: x.isNotNull())).alias("x"))
-    return out.unionByName(diagnostic(rows, "004", F.concat("x.word", F.lit(" violated")), F.concat("record_id", F.col("x.pointer"))))
+    found = F.array().cast(_FOUND)
+    for kind, schema in schemas.items():
+        found = F.when(F.col("record_type") == kind, problems(schema, F.col("__p"), pointer="/payload")).otherwise(found)
+    return out.unionByName(_findings(parsed.where("payload is not null and payload <> '{}'"), found, "004", F.col("record_id")))
+
+
+def envelope_findings(records: DataFrame, schema: dict) -> DataFrame:
+    """A 004 for each violation of the schema of record envelopes by records (package_id, record_id, raw as JSON text)."""
+    return _findings(records, problems(schema, F.try_parse_json("raw")), "004", F.coalesce("record_id", F.lit("")))
+
+
+def manifest_findings(manifests: DataFrame, schema: dict) -> DataFrame:
+    """A 002 for each violation of the schema of manifests by manifests (package_id, raw as JSON text)."""
+    return _findings(manifests, problems(schema, F.try_parse_json("raw")), "002", F.lit(""))

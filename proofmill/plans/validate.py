@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import integrity, references
 from ..operators.diagnostics import diagnostic
-from ..operators.schema_check import schema_findings
+from ..operators.schema_check import ENVELOPE, MANIFEST, NOT_PAYLOADS, envelope_findings, manifest_findings, schema_findings
 from ..sources import bundle
 from .catalog import catalog_digest, catalog_rules, late_provisions, repeated_rule_ids
 from .rollup import exit_codes, gaps, provision_summary
@@ -74,11 +74,20 @@ def structure_findings(spark: SparkSession, root: str, only: str | None, manifes
     ])
 
 
+def schema_parts(manifests: DataFrame, records: DataFrame, schemas: dict[str, dict]) -> list[DataFrame]:
+    """What schemas say of manifests, envelopes and payloads."""
+    payloads = {name: schema for name, schema in schemas.items() if name not in NOT_PAYLOADS}
+    out = [manifest_findings(manifests, schemas[MANIFEST])] if MANIFEST in schemas else []
+    out += [envelope_findings(records, schemas[ENVELOPE])] if ENVELOPE in schemas else []
+    return out + ([schema_findings(records, payloads)] if payloads else [])
+
+
 def validate(spark: SparkSession, root: str, catalogs: list[dict], instant: str, profiles: list[str] | None = None, schemas: dict[str, dict] | None = None, only: str | None = None, manifest: str = bundle.MANIFESTS, evidence: bool = True) -> Validation:
     """All packages under root (or the one named `only`) against the catalogs that their manifests name, or `profiles`.
 
     A package without a readable manifest, or of another core version, has that finding alone. Record files are those that
-    the manifest lists. schemas: of payloads, by record type; without them payloads aren't checked.
+    the manifest lists. schemas: of payloads, by record type, and of manifests and envelopes by the names `manifest` and
+    `record-envelope`, as read_schemas gives them; what has no schema isn't checked.
     """
     packages = bundle.read_packages(spark, root, only)
     all_manifests = bundle.read_manifests(spark, root, only, manifest)
@@ -109,7 +118,7 @@ def validate(spark: SparkSession, root: str, catalogs: list[dict], instant: str,
     summary = provision_summary(results, gaps(records))
 
     parts = [barred, malformed, structure_findings(spark, root, only, manifests, records), integrity.unknown_profiles(asked, known), *own_findings]
-    findings = _union(parts + ([schema_findings(records, schemas)] if schemas else []))
+    findings = _union(parts + schema_parts(manifests, records, schemas or {}))
     return Validation(findings, results, summary, asked.join(known, "profile_id").select("package_id", "profile_id", "version", "digest"), exit_codes(packages, findings, summary))
 
 

@@ -60,8 +60,8 @@ def _texts(spark: SparkSession, root: str, only: str | None, names: str, whole:
 
 
 def read_manifests(spark: SparkSession, root: str, only: str | None = None, manifest: str = MANIFESTS) -> DataFrame:
-    """package_id and the manifest's members; `m` is null where a manifest isn't JSON. manifest: a pattern of its name."""
-    return _texts(spark, root, only, manifest).where("not contains(path, '/')").select("package_id", F.from_json("value", MANIFEST_SCHEMA).alias("m"))
+    """package_id, the manifest's members and its text; `m` is null where a manifest isn't JSON. manifest: a pattern of its name."""
+    return _texts(spark, root, only, manifest).where("not contains(path, '/')").select("package_id", F.from_json("value", MANIFEST_SCHEMA).alias("m"), F.col("value").alias("raw"))
 
 
 def read_lines(spark: SparkSession, root: str, only: str | None = None) -> DataFrame:
