@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, langid, licenses, quality, sentencepiece_nbest, suffix_dedup, token_counts, token_output
+from . import byte_bpe, chat, decontaminate, divergence, langid, licenses, quality, sentencepiece_nbest, spelling, suffix_dedup, token_counts, token_output
 from .common import stored, table
 from .ngram_join import jaccard_classes
 
@@ -62,10 +62,27 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.cut_repeats(table(spark, sf_dir, "documents"), length=200).drop("kept")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    coded = byte_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return byte_bpe.digest(byte_bpe.decode(coded, path))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"), least_docs=3, top=200)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_ngram_jaccard, op2_token_output, op3_quality_rules, op4_sentencepiece_nbest, op5_decontamination,
         op6_language_id, op7_chat_formatting, op8_license_scan, op9_token_counts, op10_suffix_dedup,
+        op11_byte_bpe, op12_spelling_variants, op13_source_divergence,
     )
     return {f.__name__: f for f in found}
 
@@ -141,5 +158,66 @@ FROM ends
 """
 
 
+#: One byte b of a CRC-32, from the state acc: the table's entry of a byte is the sum of those of its bits.
+_BIT = [0] * 8
+for _k in range(8):
+    _c = 1 << _k
+    for _ in range(8):
+        _c = (_c >> 1) ^ (0xEDB88320 if _c & 1 else 0)
+    _BIT[_k] = _c
+_CRC = "xor(acc, b)"
+_STEP = "acc >> 8"
+for _k, _c in enumerate(_BIT):
+    _STEP = f"xor({_STEP}, (({_CRC} >> {_k}) & 1) * {_c})"
+_OP12 = r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, w, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS w FROM documents) GROUP BY ALL),
+coded AS (SELECT w, n, hex(encode(doc_id || ':' || w)) AS x FROM runs),
+bytes AS (SELECT w, n, list_transform(range(0, len(x) // 2), lambda i: ('0x' || substring(x, 2 * i + 1, 2))::BIGINT) AS s FROM coded),
+sums AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295, s), lambda acc, b: {step}), 4294967295) AS h FROM bytes),
+written AS (SELECT CASE WHEN h % 199 = 0 THEN substring(w, 1, h % length(w)) || substring(w, h % length(w) + 2) ELSE w END AS word, n FROM sums),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM written GROUP BY word HAVING length(word) >= 6 AND sum(n) >= 5),
+short AS (SELECT DISTINCT word, i, substring(word, 1, i - 1) || substring(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other FROM short a JOIN short b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT s.word, w.word FROM short s JOIN words w ON w.word = s.rest
+  UNION SELECT w.word, s.word FROM short s JOIN words w ON w.word = s.rest),
+ranked AS (
+  SELECT near.word, near.other, w.n, o.n AS m, count(*) OVER (PARTITION BY near.word) AS n_near,
+    row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, hex(encode(near.other))) AS r
+  FROM near JOIN words w ON w.word = near.word JOIN words o ON o.word = near.other),
+forms AS (
+  SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.m >= 5 * w.n THEN r.other END AS form, CASE WHEN r.m >= 5 * w.n THEN r.m END AS form_n
+  FROM words w LEFT JOIN (SELECT * FROM ranked WHERE r = 1) r ON r.word = w.word),
+up AS (SELECT word, word AS at FROM forms UNION ALL SELECT up.word, f.form FROM up JOIN forms f ON f.word = up.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, up.at AS root, f.n, f.n_near::BIGINT AS n_near, f.form_n
+FROM forms f JOIN up ON up.word = f.word JOIN forms last ON last.word = up.at AND last.form IS NULL
+""".replace("{step}", _STEP)
+
+_OP13 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+found AS (SELECT k, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS c FROM found GROUP BY lang, term HAVING count(DISTINCT k) >= 3),
+counts AS (SELECT lang, source, term, count(*) AS c FROM found SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+langs AS (SELECT lang, count(*) AS v, sum(c)::HUGEINT AS n FROM kept GROUP BY lang),
+groups AS (
+  SELECT g.lang, g.source, coalesce(l.v, 0) AS v, coalesce(s.n, 0)::HUGEINT AS n, l.n AS lang_n
+  FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN (SELECT lang, source, sum(c) AS n FROM counts GROUP BY ALL) s ON s.lang = g.lang AND s.source = g.source LEFT JOIN langs l ON l.lang = g.lang),
+given AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 1)) // (g.n + g.v) AS p, 1 + (1000000000::HUGEINT * (k.c + 1)) // (g.lang_n + g.v) AS q
+  FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value FROM given x JOIN given y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) f
+    ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM given WHERE c > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, hex(encode(item)))::INT AS rank FROM (FROM pairs UNION ALL FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": _OP1, "op7_chat_formatting": _OP7, "op10_suffix_dedup": _OP10}
+    return {"op1_ngram_jaccard": _OP1, "op7_chat_formatting": _OP7, "op10_suffix_dedup": _OP10, "op12_spelling_variants": _OP12, "op13_source_divergence": _OP13}
