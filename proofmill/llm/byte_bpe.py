@@ -5,7 +5,7 @@ neighbours apart. So the machine reads bytes and keeps a hypothesis for each pla
 encoding up to there, and the bytes since, which must begin some token. One hypothesis has no bytes left over: it is the
 encoding of all that was read. What the hypotheses' encodings have in common is decided and leaves the machine at once;
 what they don't have in common is a bounded number of tokens. A set of hypotheses after what was decided is a state;
-states and steps are made when a text first needs them, and forgotten when they are too many.
+states and steps are made when a text first needs them. A bounded number is kept; beyond that, states are made and forgotten.
 
 Decoding feeds the bytes of ids through a state machine over UTF-8, whose steps over whole tokens are made once a token.
 """
@@ -13,8 +13,9 @@ Decoding feeds the bytes of ids through a state machine over UTF-8, whose steps
 from __future__ import annotations
 
 import base64
+import re
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,10 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, tidy
 from .words import WordMemory
 
-#: States of a worker's machine and pairs it remembers; beyond that it starts afresh, which costs time only.
-STATES = 200_000
-#: Longer matches of the pattern aren't remembered as a whole.
-REMEMBERED = 64
+#: States that a worker's machine keeps; beyond those it goes on with states that it forgets. Pairs and tokens it remembers.
+STATES, PAIRS = 200_000, 1_000_000
+#: Longer matches of the pattern aren't remembered as a whole; so many others are.
+REMEMBERED, MATCHES = 64, 400_000
 #: Ids that the decoder takes at once.
 CHUNK = 4096
 
@@ -49,97 +50,153 @@ class Merges:
     def __init__(self, tokens: list[bytes]):
         self.tokens = tokens
         self.rank = {t: i for i, t in enumerate(tokens) if t}
-        self.begun = {t[:i] for t in self.rank for i in range(1, len(t))}  # what some longer token begins with
-        self._apart: dict[tuple[int, int], bool] = {}
-        self._whole: dict[int, bool] = {}
+        self._apart: dict[int, bool] = {}
+        self._spines: dict[tuple[int, int], list[tuple[bytes, int]] | None] = {}
 
-    def merged(self, parts: list[bytes]) -> list[bytes]:
-        """Parts, after the neighbours of least rank, leftmost first, are merged until none are left to merge."""
+    def merged(self, parts: list[bytes], below: int | None = None) -> list[bytes]:
+        """Parts, after the neighbours of least rank (of those below a rank), leftmost first, are merged until none are left."""
         parts, rank = list(parts), self.rank
-        ranks = [rank.get(a + b, -1) for a, b in zip(parts, parts[1:], strict=False)]
-        while open_ := [r for r in ranks if r >= 0]:
-            i = ranks.index(min(open_))
+        below = len(self.tokens) if below is None else below
+        ranks = [rank.get(a + b, below) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks and (least := min(ranks)) < below:
+            i = ranks.index(least)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
             ranks.pop(i)
             for j in (i - 1, i):
                 if 0 <= j < len(ranks):
-                    ranks[j] = rank.get(parts[j] + parts[j + 1], -1)
+                    ranks[j] = rank.get(parts[j] + parts[j + 1], below)
         return parts
 
     def whole(self, token: int) -> bool:
         """Whether the merges make the token of its own bytes."""
-        if (known := self._whole.get(token)) is None:
-            t = self.tokens[token]
-            known = self._whole[token] = len(self.merged([t[i : i + 1] for i in range(len(t))])) == 1
-        return known
+        t = self.tokens[token]
+        return len(t) == 1 or len(self.merged([t[i : i + 1] for i in range(len(t))])) == 1
+
+    def spine(self, token: int, side: int) -> list[tuple[bytes, int]] | None:
+        """The tokens at one end of a token (0: left, 1: right) as its merges make them, the whole token first, each with its
+        rank; None if some part has a greater rank than what is made of it."""
+        if (token, side) not in self._spines:
+            out, t, at = [], self.tokens[token], token
+            while len(t) > 1:
+                out.append((t, at))
+                parts = self.merged([t[i : i + 1] for i in range(len(t))], at)
+                if len(parts) != 2 or max((self.rank[p] for p in parts if len(p) > 1), default=-1) > at:
+                    out = None
+                    break
+                t = parts[side]
+                at = self.rank[t]
+            self._spines[token, side] = None if out is None else [*out, (t, -1)]
+        return self._spines[token, side]
 
     def apart(self, a: int, b: int) -> bool:
         """Whether the merges leave tokens a and b side by side."""
-        if (known := self._apart.get((a, b))) is None:
-            if len(self._apart) > STATES:
+        key = a * len(self.tokens) + b
+        if (known := self._apart.get(key)) is None:
+            if len(self._apart) > PAIRS:
                 self._apart.clear()
-            x, y = self.tokens[a], self.tokens[b]
-            known = self._apart[a, b] = self.merged([bytes([c]) for c in x + y]) == [x, y]
+            known = self._apart[key] = self._left_apart(a, b)
         return known
 
+    def _left_apart(self, a: int, b: int) -> bool:
+        """By the spines that meet: whatever stands on both sides of the seam stays until one of them is merged into more.
+        Meanwhile a merge of both comes first if its rank is less; of equal ranks the left one comes first."""
+        right, left = self.spine(a, 1), self.spine(b, 0)
+        if right is None or left is None:  # ranks that don't follow the order of merges
+            x, y = self.tokens[a], self.tokens[b]
+            return self.merged([bytes([c]) for c in x + y]) == [x, y]
+        rank, i, j, end = self.rank, len(right) - 1, len(left) - 1, len(self.tokens)
+        while True:
+            more_a, more_b = right[i - 1][1] if i else end, left[j - 1][1] if j else end
+            across = rank.get(right[i][0] + left[j][0], end)
+            if across < more_a and across <= more_b and across < end:
+                return False
+            if not i and not j:
+                return True
+            if more_a <= more_b:
+                i -= 1
+            else:
+                j -= 1
+
+
+class _State:
+    """Hypotheses of (last token, or -1; node of the bytes since; tokens that aren't decided), and steps from here.
+    Without steps it isn't kept."""
+
+    __slots__ = ("held", "steps")
+
+    def __init__(self, held: tuple, steps: dict | None):
+        self.held, self.steps = held, steps
+
+    @property
+    def rest(self) -> tuple[int, ...]:
+        return self.held[-1][2]  # the hypothesis without bytes left over is the last
+
 
 class Transducer:
     """encode(piece): the ids of one match of the pattern."""
 
     def __init__(self, tokens: list[bytes]):
         self.merges = Merges(tokens)
+        self.whole: dict[int, bool] = {}
+        # a trie of the tokens: node * 256 + byte to node, the token at a node, whether a node has more below it
+        self.next: dict[int, int] = {}
+        self.token, self.inner = [-1], [True]
+        for i, t in enumerate(tokens):
+            node = 0
+            for c in t:
+                self.inner[node] = True
+                to = self.next.get(node * 256 + c)
+                if to is None:
+                    to = self.next[node * 256 + c] = len(self.token)
+                    self.token.append(-1)
+                    self.inner.append(False)
+                node = to
+            if t:
+                self.token[node] = i
+        self.states: dict[tuple, _State] = {}
         self.lookahead = 0  # the most bytes that were read and not decided
-        self._reset()
-
-    def _reset(self) -> None:
-        self.number: dict[tuple, int] = {}
-        self.held: list[tuple] = []
-        self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self.rest: list[tuple[int, ...]] = []
-        self._state((-1, (((), b""),)))
-
-    def _state(self, held: tuple) -> int:
-        """The number of a state: the last token decided (or -1), and hypotheses of (tokens since, bytes since)."""
-        if (known := self.number.get(held)) is None:
-            known = self.number[held] = len(self.held)
-            self.held.append(held)
-            self.steps.append({})
-            self.rest.append(next(tokens for tokens, since in held[1] if not since))
-            self.lookahead = max(self.lookahead, sum(len(self.merges.tokens[t]) for t in self.rest[-1]))
+        self.start = self._state(((-1, 0, ()),))
+
+    def _state(self, held: tuple) -> _State:
+        if (known := self.states.get(held)) is None:
+            if len(self.states) >= STATES:
+                return _State(held, None)
+            known = self.states[held] = _State(held, {})
+            self.lookahead = max(self.lookahead, sum(len(self.merges.tokens[t]) for t in known.rest))
         return known
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def _step(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
         """The state after one more byte, and what that byte decides."""
-        if len(self.held) > STATES:
-            held = self.held[state]
-            self._reset()
-            state = self._state(held)
-        decided, hypotheses = self.held[state]
-        merges, now = self.merges, []
-        for tokens, since in hypotheses:
-            longer = since + bytes([byte])
-            if longer in merges.begun:
-                now.append((tokens, longer))
-            token, last = merges.rank.get(longer), tokens[-1] if tokens else decided
-            if token is not None and merges.whole(token) and (last < 0 or merges.apart(last, token)):
-                now.append(((*tokens, token), b""))
-        shared = 0
-        shortest = min(len(tokens) for tokens, _ in now)
-        while shared < shortest and len({tokens[shared] for tokens, _ in now}) == 1:
+        now, done, follow, apart = [], None, self.next, self.merges.apart
+        for last, node, tokens in state.held:
+            if (to := follow.get(node * 256 + byte)) is None:
+                continue
+            if self.inner[to]:
+                now.append((last, to, tokens))
+            if done is None and (token := self.token[to]) >= 0 and (last < 0 or apart(last, token)):
+                if (is_whole := self.whole.get(token)) is None:
+                    is_whole = self.whole[token] = self.merges.whole(token)
+                if is_whole:
+                    done = (token, 0, (*tokens, token))
+        now.append(done)
+        out, shared = now[0][2], 0
+        while shared < len(out) and all(len(h[2]) > shared and h[2][shared] == out[shared] for h in now):
             shared += 1
-        out = now[0][0][:shared]
-        to = self._state((out[-1] if out else decided, tuple((tokens[shared:], since) for tokens, since in now)))
-        self.steps[state][byte] = to, out
+        out = out[:shared]
+        to = self._state(tuple((last, node, tokens[shared:]) for last, node, tokens in now) if shared else tuple(now))
+        if state.steps is not None and to.steps is not None:
+            state.steps[byte] = to, out
         return to, out
 
     def encode(self, piece: bytes) -> list[int]:
         if (token := self.merges.rank.get(piece)) is not None:
             return [token]
-        state, ids = 0, []
+        state, ids = self.start, []
         for byte in piece:
-            state, out = self.steps[state].get(byte) or self._step(state, byte)
-            ids += out
-        return [*ids, *self.rest[state]]
+            state, out = (state.steps and state.steps.get(byte)) or self._step(state, byte)
+            if out:
+                ids += out
+        return [*ids, *state.rest]
 
 
 _kept: dict[str, tuple] = {}
@@ -153,28 +210,36 @@ def _of_worker(key: str, make):
     return _kept[key]
 
 
+def splitters(pattern: str) -> tuple:
+    """(of any text, of ASCII text): functions from a text to the pattern's matches. For ASCII alone, letters and digits are
+    written out, which the plainer of the two libraries takes."""
+    plain = re.sub(r"(?<!\\)\[[^\]]*\]", lambda m: m[0].replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9"), pattern)
+    plain = plain.replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
+    any_text = regex.compile(pattern).findall
+    return any_text, any_text if r"\p" in plain.lower() else re.compile(plain, re.ASCII).findall
+
+
 def _encoded(shared, pattern: str):
     key = uuid.uuid4().hex
 
     def make():
         machine = Transducer(shared.value)
-        return machine, WordMemory(lambda pieces: [machine.encode(p.encode()) for p in pieces], most=200_000), regex.compile(pattern)
+        coded = lambda p: np.array(machine.encode(p.encode()), np.int32).tobytes()
+        return coded, WordMemory(lambda pieces: map(coded, pieces), most=MATCHES), *splitters(pattern)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine, memory, split = _of_worker(key, make)
+        coded, memory, split, split_ascii = _of_worker(key, make)
         for batch in batches:
-            ids, ends = [], [0]
-            for text in batch.column("text"):
-                pieces = split.findall(text.as_py() or "")
-                memory.know(p for p in pieces if len(p) <= REMEMBERED)
-                own: list[int] = []
-                for p in pieces:
-                    own += memory[p] if len(p) <= REMEMBERED else machine.encode(p.encode())
-                ids.append(np.array(own, np.int32))
-                ends.append(ends[-1] + len(own))
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            ids = []
+            for value in batch.column("text"):
+                text = value.as_py() or ""
+                pieces = split_ascii(text) if text.isascii() else split(text)
+                long = {p for p in pieces if len(p) > REMEMBERED}
+                memory.know(set(pieces).difference(long))
+                ids.append(b"".join([coded(p) if p in long else memory[p] for p in pieces] if long else map(memory.__getitem__, pieces)))
+            ends = np.cumsum([0, *map(len, ids)]) // 4
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "ids"])
 
     return run

@@ -66,14 +66,15 @@ def test_long_pieces_are_decided_as_they_are_read(machine, library):
     assert machine.lookahead <= 4 * max(map(len, machine.merges.tokens))
 
 
-def test_transducer_starts_afresh_beyond_its_bound(library, monkeypatch):
+def test_transducer_forgets_states_beyond_its_bound(library, monkeypatch):
     monkeypatch.setattr(byte_bpe, "STATES", 50)
+    monkeypatch.setattr(byte_bpe, "PAIRS", 50)
     machine = byte_bpe.Transducer(byte_bpe.read_ranks(PATH))
     rnd = random.Random(4)
     for _ in range(60):
         piece = "".join(rnd.choices("abcdeé", k=120)).encode()
         assert machine.encode(piece) == library._encode_single_piece(piece)
-        assert len(machine.held) <= 52
+        assert len(machine.states) <= 50
 
 
 def test_rules_without_merges_from_bytes_still_take_whole_tokens():
@@ -84,6 +85,14 @@ def test_rules_without_merges_from_bytes_still_take_whole_tokens():
         assert machine.encode(text.encode()) == library.encode_ordinary(text)
 
 
+def test_ascii_texts_are_split_alike():
+    any_text, ascii_text = byte_bpe.splitters(public_tokenizers.PATTERN)
+    rnd = random.Random(6)
+    for _ in range(500):
+        text = "".join(rnd.choice(["a", "Z", "9", " ", "  ", "\n", "\t", "\x0b", "\x1c", "\x1f", "'s", "'ll", "'", ".", "_", "\x7f"]) for _ in range(30))
+        assert any_text(text) == ascii_text(text)
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.integers(0, 255), max_size=30), st.integers(1, 5))
 def test_streamed_text_is_that_of_all_bytes(data, step):
