@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, tidy
-from .words import WordMemory
 
 #: States that a worker's machine keeps; beyond those it goes on with states that it forgets. Pairs and tokens it remembers.
 STATES, PAIRS = 200_000, 1_000_000
@@ -154,7 +153,7 @@ class Transducer:
             if t:
                 self.token[node] = i
         self.states: dict[tuple, _State] = {}
-        self.lookahead = 0  # the most bytes that were read and not decided
+        self.lookahead = 0  # the most tokens that weren't decided at once
         self.start = self._state(((-1, 0, ()),))
 
     def _state(self, held: tuple) -> _State:
@@ -162,28 +161,42 @@ class Transducer:
             if len(self.states) >= STATES:
                 return _State(held, None)
             known = self.states[held] = _State(held, {})
-            self.lookahead = max(self.lookahead, sum(len(self.merges.tokens[t]) for t in known.rest))
+            if len(known.rest) > self.lookahead:
+                self.lookahead = len(known.rest)
+        return known
+
+    def _ends(self, token: int) -> bool:
+        """Whether a token is the encoding of its own bytes."""
+        if (known := self.whole.get(token)) is None:
+            known = self.whole[token] = self.merges.whole(token)
         return known
 
     def _step(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
         """The state after one more byte, and what that byte decides."""
-        now, done, follow, apart = [], None, self.next, self.merges.apart
+        now, done, follow, token_at, inner, apart = [], None, self.next, self.token, self.inner, self.merges.apart
         for last, node, tokens in state.held:
-            if (to := follow.get(node * 256 + byte)) is None:
+            to = follow.get(node * 256 + byte)
+            if to is None:
                 continue
-            if self.inner[to]:
+            if inner[to]:
                 now.append((last, to, tokens))
-            if done is None and (token := self.token[to]) >= 0 and (last < 0 or apart(last, token)):
-                if (is_whole := self.whole.get(token)) is None:
-                    is_whole = self.whole[token] = self.merges.whole(token)
-                if is_whole:
+            if done is None:
+                token = token_at[to]
+                if token >= 0 and (last < 0 or apart(last, token)) and self._ends(token):
                     done = (token, 0, (*tokens, token))
         now.append(done)
-        out, shared = now[0][2], 0
-        while shared < len(out) and all(len(h[2]) > shared and h[2][shared] == out[shared] for h in now):
-            shared += 1
-        out = out[:shared]
-        to = self._state(tuple((last, node, tokens[shared:]) for last, node, tokens in now) if shared else tuple(now))
+        out = now[0][2]
+        if out:
+            for h in now:
+                while h[2][: len(out)] != out:
+                    out = out[:-1]
+                if not out:
+                    break
+        if out:
+            shared = len(out)
+            to = self._state(tuple([(last, node, tokens[shared:]) for last, node, tokens in now]))
+        else:
+            to = self._state(tuple(now))
         if state.steps is not None and to.steps is not None:
             state.steps[byte] = to, out
         return to, out
@@ -205,7 +218,8 @@ _kept: dict[str, tuple] = {}
 def _of_worker(key: str, make):
     """What a worker makes once for the broadcast of that key."""
     if key not in _kept:
-        _kept.clear()
+        while len(_kept) > 1:  # a worker may take turns at encoding and decoding
+            _kept.pop(next(iter(_kept)))
         _kept[key] = make()
     return _kept[key]
 
@@ -219,25 +233,33 @@ def splitters(pattern: str) -> tuple:
     return any_text, any_text if r"\p" in plain.lower() else re.compile(plain, re.ASCII).findall
 
 
+class _Matches(dict):
+    """A match of the pattern to the bytes of its ids, of four bytes each. Long ones aren't kept; beyond so many it starts afresh."""
+
+    def __init__(self, machine: Transducer):
+        super().__init__()
+        self.machine = machine
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = np.array(self.machine.encode(piece.encode()), np.int32).tobytes()
+        if len(piece) <= REMEMBERED:
+            if len(self) >= MATCHES:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 def _encoded(shared, pattern: str):
     key = uuid.uuid4().hex
 
-    def make():
-        machine = Transducer(shared.value)
-        coded = lambda p: np.array(machine.encode(p.encode()), np.int32).tobytes()
-        return coded, WordMemory(lambda pieces: map(coded, pieces), most=MATCHES), *splitters(pattern)
-
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coded, memory, split, split_ascii = _of_worker(key, make)
+        matches, split, split_ascii = _of_worker(key, lambda: (_Matches(Transducer(shared.value)), *splitters(pattern)))
         for batch in batches:
             ids = []
             for value in batch.column("text"):
                 text = value.as_py() or ""
-                pieces = split_ascii(text) if text.isascii() else split(text)
-                long = {p for p in pieces if len(p) > REMEMBERED}
-                memory.know(set(pieces).difference(long))
-                ids.append(b"".join([coded(p) if p in long else memory[p] for p in pieces] if long else map(memory.__getitem__, pieces)))
+                ids.append(b"".join(map(matches.__getitem__, split_ascii(text) if text.isascii() else split(text))))
             ends = np.cumsum([0, *map(len, ids)]) // 4
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "ids"])
