@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, tidy
 
 #: States that a worker's machine keeps; beyond those it goes on with states that it forgets. Pairs and tokens it remembers.
-STATES, PAIRS = 200_000, 1_000_000
+STATES, PAIRS = 80_000, 300_000
 #: Longer matches of the pattern aren't remembered as a whole; so many others are.
-REMEMBERED, MATCHES = 64, 400_000
+REMEMBERED, MATCHES = 64, 150_000
 #: Ids that the decoder takes at once.
 CHUNK = 4096
 
