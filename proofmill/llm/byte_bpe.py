@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +27,9 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, tidy
 
 #: States that a worker's machine keeps; beyond those it goes on with states that it forgets. Pairs and tokens it remembers.
-STATES, PAIRS = 80_000, 300_000
-#: Longer matches of the pattern aren't remembered as a whole; so many others are.
-REMEMBERED, MATCHES = 64, 150_000
+STATES, PAIRS = 100_000, 300_000
+#: Longer matches of the pattern aren't remembered as a whole; of others two generations of so many are.
+REMEMBERED, MATCHES = 64, 250_000
 #: Ids that the decoder takes at once.
 CHUNK = 4096
 
@@ -224,28 +225,56 @@ def _of_worker(key: str, make):
     return _kept[key]
 
 
+def _latin(name: str) -> str:
+    """The characters below U+0100 that a class of the pattern has, as ranges."""
+    has = [regex.fullmatch(name, chr(c)) is not None for c in range(256)]
+    begins = [c for c in range(256) if has[c] and not (c and has[c - 1])]
+    ends = [c for c in range(256) if has[c] and not (c < 255 and has[c + 1])]
+    return "".join(f"\\x{a:02x}-\\x{b:02x}" for a, b in zip(begins, ends, strict=True))
+
+
 def splitters(pattern: str) -> tuple:
-    """(of any text, of ASCII text): functions from a text to the pattern's matches. For ASCII alone, letters and digits are
-    written out, which the plainer of the two libraries takes."""
-    plain = re.sub(r"(?<!\\)\[[^\]]*\]", lambda m: m[0].replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9"), pattern)
-    plain = plain.replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
+    """(of any text, of texts below U+0100): functions from a text to the pattern's matches. Below U+0100 letters, digits and
+    spaces are written out, which the plainer of the two libraries takes."""
+    classes = {name: _latin(name) for name in (r"\p{L}", r"\p{N}", r"\s")}
+
+    def written(text: str, alone: bool) -> str:
+        for name, ranges in classes.items():
+            text = text.replace(name, f"[{ranges}]" if alone else ranges)
+        return text.replace(r"\S", f"[^{classes[r'\s']}]") if alone else text
+
+    plain = "".join(written(part, alone=i % 2 == 0) for i, part in enumerate(re.split(r"(?<!\\)(\[[^\]]*\])", pattern)))
     any_text = regex.compile(pattern).findall
-    return any_text, any_text if r"\p" in plain.lower() else re.compile(plain, re.ASCII).findall
+    return any_text, any_text if re.search(r"\\[pPswdSWDbB]", plain) else re.compile(plain).findall
+
+
+def split_by(any_text, latin_text, text: str) -> list[str]:
+    if text.isascii():
+        return latin_text(text)
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return any_text(text)
+    return latin_text(text)
 
 
 class _Matches(dict):
-    """A match of the pattern to the bytes of its ids, of four bytes each. Long ones aren't kept; beyond so many it starts afresh."""
+    """A match of the pattern to the bytes of its ids, of four bytes each. Long ones aren't kept. When there are MATCHES, they
+    become the old ones, of which those that come again are taken over; the old ones before them go."""
 
     def __init__(self, machine: Transducer):
         super().__init__()
-        self.machine = machine
+        self.machine, self.old = machine, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.machine.encode(piece.encode()), np.int32).tobytes()
-        if len(piece) <= REMEMBERED:
-            if len(self) >= MATCHES:
-                self.clear()
-            self[piece] = ids
+        if (ids := self.old.get(piece)) is None:
+            ids = array("i", self.machine.encode(piece.encode())).tobytes()
+            if len(piece) > REMEMBERED:
+                return ids
+        if len(self) >= MATCHES:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
         return ids
 
 
@@ -254,12 +283,11 @@ def _encoded(shared, pattern: str):
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matches, split, split_ascii = _of_worker(key, lambda: (_Matches(Transducer(shared.value)), *splitters(pattern)))
+        matches, *split = _of_worker(key, lambda: (_Matches(Transducer(shared.value)), *splitters(pattern)))
         for batch in batches:
             ids = []
             for value in batch.column("text"):
-                text = value.as_py() or ""
-                ids.append(b"".join(map(matches.__getitem__, split_ascii(text) if text.isascii() else split(text))))
+                ids.append(b"".join(map(matches.__getitem__, split_by(*split, value.as_py() or ""))))
             ends = np.cumsum([0, *map(len, ids)]) // 4
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "ids"])
@@ -309,6 +337,9 @@ class Decoder:
     def __init__(self, tokens: list[bytes]):
         self.tokens, self.moves = tokens, {}
         self.clean = np.array([self._moved(t)[_ACCEPT] == _ACCEPT for t in tokens], bool)
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.sizes = np.array(list(map(len, tokens)), np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
         self.state, self.open = _ACCEPT, b""
 
     def _moved(self, token: bytes) -> tuple[int, ...]:
@@ -319,28 +350,40 @@ class Decoder:
             out.append(state)
         return tuple(out)
 
+    def _joined(self, ids: np.ndarray) -> str:
+        """The text of tokens that begin and end between characters."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        return self.bytes[np.repeat(self.starts[ids] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)].tobytes().decode()
+
     def feed(self, ids: np.ndarray) -> str:
         text = []
         for a in range(0, len(ids), CHUNK):
             part = ids[a : a + CHUNK]
             if self.state == _ACCEPT and self.clean[part].all():
-                text.append(b"".join(map(self.tokens.__getitem__, part.tolist())).decode())
+                text.append(self._joined(part))
                 continue
-            held = [self.open]
+            tokens, moves, state, held = self.tokens, self.moves, self.state, [self.open]
             for t in part.tolist():
-                if (move := self.moves.get(t)) is None:
-                    move = self.moves[t] = self._moved(self.tokens[t])
-                held.append(self.tokens[t])
-                self.state = move[self.state]
-                if self.state == _ACCEPT:
-                    text.append(b"".join(held).decode())
-                    held = []
-                elif self.state == _REJECT:
+                held.append(tokens[t])
+                move = moves.get(t)
+                if move is None:
+                    move = moves[t] = self._moved(tokens[t])
+                state = move[state]
+                if state == _REJECT:
                     text.append(self._mended(b"".join(held)))
-                    held = [self.open]
-            self.open = b"".join(held)
+                    state, held = self.state, [self.open]
+            data = b"".join(held)
+            cut = len(data) - self._left_over(data) if state != _ACCEPT else len(data)
+            text.append(data[:cut].decode())
+            self.state, self.open = state, data[cut:]
         return "".join(text)
 
+    @staticmethod
+    def _left_over(data: bytes) -> int:
+        """Bytes at the end that begin a character: its lead byte is the last that doesn't continue one."""
+        return next(k for k in (1, 2, 3) if data[-k] >= 0xC0)
+
     def _mended(self, data: bytes) -> str:
         """The text of bytes that aren't UTF-8, byte by byte; a beginning of a character at their end stays open."""
         text, state, start = [], _ACCEPT, 0
