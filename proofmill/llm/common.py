@@ -163,6 +163,43 @@ def span(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mixed((sums[end] - sums[start]) * down[start])
 
 
+#: Words are told apart by polynomials modulo two primes: modulo a power of two there are different words of a thousand
+#: letters with equal hashes for every base.
+PRIMES, _BASES = (2**31 - 1, 2**31 - 19), (1_103_515_245, 1_812_433_253)
+_SUMMED = 1 << 22  # so many terms below 2**40 stay below 2**63
+_prime_powers: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _powers_of(base: int, prime: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.int64)
+    done = 1
+    while done < n:
+        more = min(done, n - done)
+        out[done : done + more] = out[:more] * pow(base, done, prime) % prime
+        done += more
+    return out
+
+
+def prime_powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each prime base**i and base**-i for i up to n."""
+    if not _prime_powers or len(_prime_powers[0][0]) <= n:
+        _prime_powers[:] = [(_powers_of(b, p, n + 1), _powers_of(pow(b, -1, p), p, n + 1)) for b, p in zip(_BASES, PRIMES, strict=True)]
+    return _prime_powers
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each stretch [start, end) of data, the same wherever its bytes stand."""
+    halves, letters = [], data.astype(np.int64) + 1
+    for (up, down), prime in zip(prime_powers(max(CHUNK, len(data))), PRIMES, strict=True):
+        sums = np.zeros(len(data) + 1, np.int64)
+        for a in range(0, len(data), _SUMMED):
+            b = min(len(data), a + _SUMMED)
+            np.cumsum(letters[a:b] * up[a:b], out=sums[a + 1 : b + 1])
+            sums[a + 1 : b + 1] += sums[a] % prime
+        halves.append((sums[end] - sums[start]) % prime * down[start] % prime)
+    return mixed((halves[0].astype(np.uint64) << _U(31)) ^ halves[1].astype(np.uint64))
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a column, end to end, and where each row begins (and the last ends); null is empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -206,7 +243,7 @@ def hashed_words(column: pa.Array, fold: np.ndarray = LOWER) -> Iterator[tuple[i
             continue
         part = fold[part]
         start, end = word_spans(part, own)
-        words = span(rolling(part), start, end) if len(start) else np.zeros(0, np.uint64)
+        words = word_hashes(part, start, end) if len(start) else np.zeros(0, np.uint64)
         cut = np.searchsorted(start, own)
         for k in range(b - a):
             yield a + k, words[cut[k] : cut[k + 1]]
@@ -225,8 +262,7 @@ def _long_row(data: np.ndarray) -> np.ndarray:
         part = data[a:b]
         start, end = word_spans(part, np.array([0, len(part)]))
         if len(start):
-            powers(max(CHUNK, len(part)))
-            found.append(span(rolling(part), start, end))
+            found.append(word_hashes(part, start, end))
         a = b
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
