@@ -66,7 +66,7 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = tokenizer_path("byte_bpe_50k.tiktoken")
-    coded = byte_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    coded = stored(byte_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN))  # so no worker has to do both
     return byte_bpe.digest(byte_bpe.decode(coded, path))
 
 
