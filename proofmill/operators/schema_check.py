@@ -1,5 +1,8 @@
 """A JSON Schema subset compiled to Columns over VARIANT values: type, enum, const, pattern, minimum, maximum, minItems, items,
-contains, required, properties, additionalProperties, oneOf, anyOf, allOf and references within a schema. Formats aren't enforced."""
+contains, required, properties, additionalProperties, oneOf, anyOf, allOf and references within a schema. Formats aren't enforced.
+
+`problems` compiles one schema into one expression; findings over tables walk the values by an automaton of all schemas
+(schema_walk), whose plan doesn't grow with the schemas."""
 
 from __future__ import annotations
 
@@ -9,19 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import _equal, value_of, variant_name
-from .diagnostics import diagnostic
+from .diagnostics import CATEGORY, SEVERITY, diagnostic
+from .schema_walk import DEEP, _is_number, _referred, violations
 
 #: Schemas of a published folder that aren't of payloads.
 MANIFEST, ENVELOPE, NOT_PAYLOADS = "manifest", "record-envelope", ("manifest", "record-envelope", "assessment-bundle", "template")
-#: Members with these keywords are looked into one by one; of others an array has one violation, `items`.
-_DEEP = {"properties", "required", "additionalProperties", "items", "$ref", "allOf"}
 _FOUND = "array<struct<word:string,pointer:string>>"
 
 
-def _is_number(kind: Column) -> Column:
-    return kind.isin("BIGINT", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT") | kind.startswith("DECIMAL")
-
-
 #: Whether a value of this kind, as a number this, is of a type; 1.0 is an integer.
 _KINDS = {
     "string": lambda k, _: k == "STRING", "boolean": lambda k, _: k == "BOOLEAN", "null": lambda k, _: k == "VOID",
@@ -30,15 +28,6 @@ _KINDS = {
 }
 
 
-def _referred(root: dict, ref: str) -> dict:
-    if not ref.startswith("#"):
-        raise ValueError(f"{ref!r} isn't within the schema")
-    found: Any = root
-    for step in ref[1:].split("/")[1:]:
-        found = found[step.replace("~1", "/").replace("~0", "~")]
-    return found
-
-
 def _terms(schema: Any, base: Column, path: str, pointer: str, root: dict, within: tuple[str, ...]) -> tuple[list[Column], list[Column]]:
     """(single, many): Columns that are a violation or null, and Columns that are arrays of violations, of the value at `path` of
     `base`. Pointers are relative to base. within: the references that led here."""
@@ -99,7 +88,7 @@ def _terms(schema: Any, base: Column, path: str, pointer: str, root: dict, withi
         if "minItems" in schema:
             bad.append((pointer, "minItems", F.coalesce(F.size(members) < schema["minItems"], F.lit(False))))
         if (item := schema.get("items", True)) is not True:
-            if isinstance(item, dict) and _DEEP & set(item):
+            if isinstance(item, dict) and DEEP & set(item):
                 many.append(_each(members, lambda m, i: (m, i.cast("string")), item, pointer, root, within))
             else:
                 fit = F.forall(members, lambda m: F.size(problems(item, m, root, "$", "", within)) == 0)
@@ -145,30 +134,50 @@ def problems(schema: Any, value: Column, root: dict | None = None, path: str = "
     return F.concat(own.cast(_FOUND), *many) if many else own.cast(_FOUND)
 
 
-def _findings(rows: DataFrame, found: Column, code: str, start: Column) -> DataFrame:
-    at = rows.select("package_id", start.alias("start"), F.explode(found).alias("x"))
-    return diagnostic(at, code, F.concat("x.word", F.lit(" violated")), F.concat("start", F.col("x.pointer")))
+def _findings(values: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+    """Findings for values (package_id, code, start, text, schema), walked by the automaton of all schemas."""
+    found = violations(values.select("package_id", "code", "start", "text", "schema"), schemas)
+    of = lambda table: F.when(F.col("code") == "002", table["002"]).otherwise(table["004"])
+    return found.select("package_id", F.concat(F.lit("EV-"), "code").alias("code"), of(SEVERITY).alias("severity"), of(CATEGORY).alias("category"), F.concat("word", F.lit(" violated")).alias("message"), F.concat("start", "at").alias("path"))
 
 
-def schema_findings(records: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """Findings for records (package_id, record_id, record_type, payload as JSON text) by schemas of payloads. Unknown types
-    are 003 unless they are extensions (x-); every violated keyword is a 004; empty payloads aren't checked."""
-    parsed = records.withColumn("__p", F.try_parse_json("payload"))
-    unknown = records.where(~F.col("record_type").isin(*schemas) & ~F.col("record_type").startswith("x-"))
-    out = diagnostic(unknown, "003", F.concat(F.lit("unknown type "), "record_type"), F.col("record_id"))
-    if not schemas:
-        return out
-    found = F.array().cast(_FOUND)
-    for kind, schema in schemas.items():
-        found = F.when(F.col("record_type") == kind, problems(schema, F.col("__p"), pointer="/payload")).otherwise(found)
-    return out.unionByName(_findings(parsed.where("payload is not null and payload <> '{}'"), found, "004", F.col("record_id")))
+def _value(code: str, start: Column, text: str, schema: Column) -> Column:
+    return F.struct(F.lit(code).alias("code"), start.alias("start"), F.col(text).alias("text"), schema.alias("schema"))
+
 
+def _of_payload() -> Column:
+    return F.when(F.col("payload").isNotNull() & (F.col("payload") != "{}"), _value("004", F.concat("record_id", F.lit("/payload")), "payload", F.col("record_type")))
 
-def envelope_findings(records: DataFrame, schema: dict) -> DataFrame:
-    """A 004 for each violation of the schema of record envelopes by records (package_id, record_id, raw as JSON text)."""
-    return _findings(records, problems(schema, F.try_parse_json("raw")), "004", F.coalesce("record_id", F.lit("")))
 
+def _of_envelope() -> Column:
+    return _value("004", F.coalesce("record_id", F.lit("")), "raw", F.lit(ENVELOPE))
 
-def manifest_findings(manifests: DataFrame, schema: dict) -> DataFrame:
-    """A 002 for each violation of the schema of manifests by manifests (package_id, raw as JSON text)."""
-    return _findings(manifests, problems(schema, F.try_parse_json("raw")), "002", F.lit(""))
+
+def _values(rows: DataFrame, *values: Column) -> DataFrame:
+    return rows.select("package_id", F.inline(F.filter(F.array(*values), lambda x: x.isNotNull())))
+
+
+def unknown_types(records: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+    """A 003 for each record of a type without schema that isn't an extension (x-)."""
+    unknown = records.where(~F.col("record_type").isin(*schemas) & ~F.col("record_type").startswith("x-"))
+    return diagnostic(unknown, "003", F.concat(F.lit("unknown type "), "record_type"), F.col("record_id"))
+
+
+def schema_findings(records: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+    """Findings for records (package_id, record_id, record_type, payload as JSON text) by schemas of payloads. Unknown types
+    are 003 unless they are extensions (x-); every violated keyword is a 004; empty payloads aren't checked."""
+    out = unknown_types(records, schemas)
+    return out.unionByName(_findings(_values(records, _of_payload()), schemas)) if schemas else out
+
+
+def all_findings(manifests: DataFrame, records: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+    """What schemas by name say of manifests (package_id, raw), of records' envelopes (raw) and of payloads, in one walk of
+    one reading of the records: a 002 for each violation by a manifest, a 004 by a record, 003 for unknown types. A
+    manifest or an envelope is checked if its schema is there, payloads if any schema of theirs is."""
+    payloads = {name: schema for name, schema in schemas.items() if name not in NOT_PAYLOADS}
+    of_records = [*([_of_payload()] if payloads else []), *([_of_envelope()] if ENVELOPE in schemas else [])]
+    parts = [_values(records, *of_records)] if of_records else []
+    parts += [_values(manifests, _value("002", F.lit(""), "raw", F.lit(MANIFEST)))] if MANIFEST in schemas else []
+    held = payloads | {name: schemas[name] for name in (MANIFEST, ENVELOPE) if name in schemas}
+    values = parts[0] if len(parts) < 2 else parts[0].unionByName(parts[1])
+    return _findings(values, held).unionByName(unknown_types(records, payloads)) if payloads else _findings(values, held)

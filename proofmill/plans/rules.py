@@ -1,5 +1,5 @@
-"""Rules as one plan: records are flagged once for all rules, counted by (package, subject, rule), and joined to a frame
-of all (subject, rule) pairs, so that rules without any record have an outcome too.
+"""Rules as one plan: records answer the atoms of all rules once, answers are counted by (package, subject, atom), and
+joined to a frame of all (subject, rule) pairs, so that rules without any record have an outcome too.
 
 records:    package_id, record_id, record_type, timestamp, lifecycle_phase, obligation_role, subject_refs,
             component_refs, dataset_refs, actor_refs, payload (JSON text), attachments (path, media_type,
@@ -8,93 +8,57 @@ subjects:   package_id, subject_id, risk, modalities
 packages:   package_id, package_time
 signatures: package_id, alg
 
-Joins are on counts, a row per package, subject and rule at most. The flags are aggregated before they are shuffled, so
+Joins are on counts, a row per package, subject and atom at most. Answers are aggregated before they are shuffled, so
 neither a hot package nor a hot subject gathers its records in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.predicates import RuleError, compared, value_at
+from .atoms import Atoms, answered, atoms_of
 from .catalog import Rule
 
-ENTITY = {"subject": "subject_refs", "component": "component_refs", "dataset": "dataset_refs", "actor": "actor_refs"}
 #: Keys of counts that aren't of one subject: records without a subject, and all records of a package.
 SHARED, ALL = "\u0000shared", "\u0000all"
+_TABLE = (
+    "rule int, profile_id string, provision_id string, rule_id string, severity string, message string, existential boolean, min_count int, signed boolean, algs array<string>, "
+    "defect string, late boolean, if_system_type array<string>, risks array<string>, needs array<string>, applicable_to array<string>, package_scope boolean, atom int"
+)
+_REFS = "array<struct<seq:bigint,record_id:string>>"
 
 
-def _time(text: Column) -> Column:
-    """An ISO 8601 text as a timestamp; null if it isn't one. Without a zone it is taken as UTC (the session's zone)."""
-    return F.try_to_timestamp(F.replace(text, F.lit("Z"), F.lit("+00:00")))
-
-
-def _matches(rule: Rule) -> Column:
-    """Whether a record is in the rule's scope and of its type. Freshness looks at all types but extensions."""
-    p = rule.params
-    kind = p.get("type") if rule.operator == "has_record_type" else p.get("record_type")
-    ok = ~F.col("record_type").startswith("x-") if rule.operator == "evidence_freshness" else F.col("record_type") == F.lit(kind)
-    if rule.roles:
-        ok = ok & F.coalesce("obligation_role", F.lit("")).isin(*rule.roles)
-    if rule.phases:
-        ok = ok & F.coalesce("lifecycle_phase", F.lit("")).isin(*rule.phases)
-    return F.coalesce(ok, F.lit(False))
-
-
-def _satisfied(rule: Rule, instant: str) -> Column:
-    p = rule.params
-    if rule.operator == "has_record_type":
-        return F.lit(True)
-    if rule.operator == "field_present":
-        return value_at(p["field"], F.col("__payload")).present
-    if rule.operator in ("field_value", "exists_where"):
-        return compared(value_at(p["field"], F.col("__payload")), p["op"], p["value"])
-    if rule.operator == "evidence_freshness":
-        base = p.get("reference_date", "validation_time")
-        ref = F.col("__package_time") if base == "package_time" else F.lit((rule.effective_date or instant) if base == "obligation_effective_date" else instant)
-        since = _time(ref) - F.make_dt_interval(F.lit(int(p["max_days"])))
-        return _time(ref).isNull() | F.coalesce(_time(F.col("timestamp")) >= since, F.lit(False))
-    if rule.operator == "attachment_exists":
-        media = p.get("media_type")
-        return F.coalesce(F.exists("attachments", lambda a: F.lit(True) if media is None else F.coalesce(a["media_type"] == media, F.lit(False))), F.lit(False))
-    if rule.operator == "attachment_kind_exists":
-        return F.coalesce(F.exists("attachments", lambda a: F.coalesce(a["attachment_type"] == p["attachment_type"], F.lit(False))), F.lit(False))
-    if rule.operator == "entity_linked":
-        refs = ENTITY.get(p["entity_type"])
-        return F.coalesce(F.size(refs) > 0, F.lit(False)) if refs else F.lit(False)
-    return F.coalesce(F.length("attestation_signature") > 0, F.lit(False))  # record_attested
-
-
-def compiled(rules: list[Rule], instant: str) -> tuple[list[tuple[int, Column, Column]], dict[int, str]]:
-    """((number, in scope, satisfied) of each rule over records, and why the others can't be evaluated."""
-    plans, defects = [], {}
+def rule_table(spark: SparkSession, rules: list[Rule], atoms: Atoms, instant: str) -> DataFrame:
+    """The rules as rows; what doesn't depend on data is decided here."""
+    rows = []
     for i, r in enumerate(rules):
-        if why := r.defect():
-            defects[i] = why
-        elif r.operator != "bundle_signed":
-            try:
-                plans.append((i, _matches(r), _satisfied(r, instant)))
-            except (RuleError, TypeError, ValueError) as e:
-                defects[i] = str(e)
-    return plans, defects
+        defect, least = atoms.defects.get(i), 1
+        try:
+            least = r.min_count
+        except (TypeError, ValueError) as e:
+            defect = defect or str(e)
+        algs = r.params.get("required_alg")
+        late = bool(r.if_effective and r.effective_date is not None and instant < r.effective_date)
+        rows.append((
+            i, r.profile_id, r.provision_id, r.rule_id, r.severity, r.message, r.existential, least, r.operator == "bundle_signed", [algs] if isinstance(algs, str) else list(algs or []),
+            defect, late, list(r.if_system_type), list(r.risks), list(r.modalities), list(r.applicable_to), r.package_scope, atoms.of_rule.get(i),
+        ))
+    return spark.createDataFrame(rows, _TABLE)
+
+
+def _keys(refs: Column) -> Column:
+    """The subjects that a record counts for; SHARED if it names none."""
+    refs = F.coalesce(F.array_distinct(refs), F.array().cast("array<string>"))
+    return F.when(F.size(refs) == 0, F.array(F.lit(SHARED))).otherwise(refs)
 
 
 def flagged(records: DataFrame, packages: DataFrame, rules: list[Rule], instant: str) -> DataFrame:
     """(package_id, key, rule, seq, record_id, satisfied): a row for each record, rule in whose scope it is, and key."""
-    plans, _ = compiled(rules, instant)
-    if any(r.params.get("reference_date") == "package_time" for r in rules):
-        records = records.join(packages.select("package_id", F.col("package_time").alias("__package_time")), "package_id", "left")
-    else:
-        records = records.withColumn("__package_time", F.lit(None).cast("string"))
-    records = records.withColumn("__payload", F.try_parse_json("payload"))
-    flags = [F.when(match, F.struct(F.lit(i).alias("rule"), ok.alias("ok"))) for i, match, ok in plans]
-    none = F.array().cast("array<struct<rule:int,ok:boolean>>")
-    flags = F.filter(F.array(*flags), lambda x: x.isNotNull()) if flags else none
-    refs = F.coalesce(F.array_distinct("subject_refs"), F.array().cast("array<string>"))
-    keys = F.concat(F.when(F.size(refs) == 0, F.array(F.lit(SHARED))).otherwise(refs), F.array(F.lit(ALL)))
-    rows = records.select("package_id", "record_id", "seq", keys.alias("keys"), F.explode(flags).alias("f"))
-    return rows.select("package_id", F.explode("keys").alias("key"), F.col("f.rule").alias("rule"), "seq", "record_id", F.col("f.ok").alias("satisfied"))
+    atoms = atoms_of(rules, instant)
+    of_atom = records.sparkSession.createDataFrame([(a, r) for r, a in atoms.of_rule.items()], "atom int, rule int")
+    rows = answered(records, packages, atoms).join(F.broadcast(of_atom), "atom")
+    return rows.select("package_id", F.explode(F.concat(_keys(F.col("subject_refs")), F.array(F.lit(ALL)))).alias("key"), "rule", "seq", "record_id", "satisfied")
 
 
 def evidence_rows(records: DataFrame, packages: DataFrame, rules: list[Rule], instant: str) -> DataFrame:
@@ -102,52 +66,62 @@ def evidence_rows(records: DataFrame, packages: DataFrame, rules: list[Rule], in
     return flagged(records, packages, rules, instant).where("satisfied").drop("satisfied")
 
 
-def _literal(rules: list[Rule], defects: dict[int, str], instant: str) -> Column:
-    """The rules as an array of structs; what doesn't depend on data is decided here."""
-    if not rules:  # no rows, but of the same type
-        return F.slice(_literal([Rule("", "", "", "bundle_signed", {})], {}, instant), 1, 0)
-    text = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
-    rows = []
-    for i, r in enumerate(rules):
-        late = r.if_effective and r.effective_date is not None and instant < r.effective_date
-        algs = r.params.get("required_alg")
-        rows.append(F.struct(
-            F.lit(i).alias("rule"), F.lit(r.profile_id).alias("profile_id"), F.lit(r.provision_id).alias("provision_id"), F.lit(r.rule_id).alias("rule_id"),
-            F.lit(r.severity).alias("severity"), F.lit(r.message).alias("message"), F.lit(r.existential).alias("existential"), F.lit(r.min_count).alias("min_count"),
-            F.lit(r.operator == "bundle_signed").alias("signed"), text([algs] if isinstance(algs, str) else algs or []).alias("algs"),
-            F.lit(defects.get(i)).cast("string").alias("defect"), F.lit(r.operator == "entity_linked" and r.params.get("entity_type") not in ENTITY).alias("odd_entity"),
-            F.lit(late).alias("late"), text(r.if_system_type).alias("if_system_type"), text(r.risks).alias("risks"), text(r.modalities).alias("needs"),
-            text(r.applicable_to).alias("applicable_to"), F.lit(r.package_scope).alias("package_scope"),
-        ))
-    return F.array(*rows)
+def _counts(records: DataFrame, packages: DataFrame, atoms: Atoms, evidence: bool) -> tuple[DataFrame, DataFrame]:
+    """(by key, by package): matching, satisfying and failing records of each atom. A record of several subjects is a
+    package's under the first of them alone, so the package's counts come from those by key."""
+    rows = answered(records, packages, atoms).select("package_id", "record_id", "seq", "atom", "satisfied", "fails", F.posexplode(_keys(F.col("subject_refs"))).alias("i", "key"))
+    first = F.col("i") == 0
+    sums = [F.count("*").alias("n"), F.count_if("satisfied").alias("ok"), F.count_if("fails").alias("bad")]
+    sums += [F.count_if(first).alias("n3"), F.count_if(first & F.col("satisfied")).alias("ok3"), F.count_if(first & F.col("fails")).alias("bad3")]
+    none = F.array().cast(_REFS)
+    one = F.struct(F.col("seq").cast("long").alias("seq"), F.col("record_id").cast("string").alias("record_id"))
+    gather = [F.collect_list(F.when(F.col("satisfied"), one)).cast(_REFS).alias("refs"), F.collect_list(F.when(F.col("satisfied") & first, one)).cast(_REFS).alias("refs3")]
+    by_key = rows.groupBy("package_id", "key", "atom").agg(*sums, *gather) if evidence else rows.groupBy("package_id", "key", "atom").agg(*sums).withColumns({"refs": none, "refs3": none})
+    refs = F.flatten(F.collect_list("refs3")) if evidence else F.first("refs3")
+    whole = by_key.groupBy("package_id", "atom").agg(F.sum("n3").alias("n3"), F.sum("ok3").alias("ok3"), F.sum("bad3").alias("bad3"), refs.alias("refs3"))
+    return by_key.drop("n3", "ok3", "bad3", "refs3"), whole
+
+
+def is_selected(declared: Column, provision: Column) -> Column:
+    """Whether a profile's declared provisions, if there are any, have this one: by exact id or as a parent."""
+    part = lambda d: (d == provision) | d.startswith(F.concat(provision, F.lit("."))) | d.startswith(F.concat(provision, F.lit("-")))
+    return F.coalesce(F.size(declared) == 0, F.lit(True)) | F.coalesce(F.exists(declared, part), F.lit(False))
 
 
-def rule_results(records: DataFrame, subjects: DataFrame, packages: DataFrame, rules: list[Rule], instant: str, signatures: DataFrame | None = None, evidence: bool = True) -> DataFrame:
+def _asked_of_all(packages: DataFrame, subjects: DataFrame, rules: list[Rule]) -> DataFrame:
+    """All profiles of the rules, asked of each package."""
+    names = sorted({r.profile_id for r in rules})
+    every = packages.select("package_id").union(subjects.select("package_id")).distinct()
+    return every.select("package_id", F.explode(F.array(*map(F.lit, names)).cast("array<string>")).alias("profile_id"), F.lit(None).cast("array<string>").alias("declared"))
+
+
+def rule_results(records: DataFrame, subjects: DataFrame, packages: DataFrame, rules: list[Rule], instant: str, signatures: DataFrame | None = None, evidence: bool = True, asked: DataFrame | None = None) -> DataFrame:
     """A row for each package, subject and rule that applies: outcome passed, failed, skipped or error.
 
-    Rules of package scope, and all rules of packages without subjects, are evaluated once with a null subject_id over all
-    records; else a subject's records are its own and those without a subject. evidence adds the satisfying record ids in
-    order, gathered in one row; leave it out where those can be very many and use evidence_rows.
+    asked: the profiles of each package and the provisions it declares (package_id, profile_id, declared); without it
+    all rules are asked of all packages. Rules of package scope, and all rules of packages without subjects, are
+    evaluated once with a null subject_id over all records; else a subject's records are its own and those without a
+    subject. evidence adds the satisfying record ids in order, gathered in one row; leave it out where those can be very
+    many and use evidence_rows. A rule is an error if a record can't be judged by it: a date without a zone against one
+    with a zone, an unknown kind of entity.
     """
-    _, defects = compiled(rules, instant)
-    counted = flagged(records, packages, rules, instant).groupBy("package_id", "key", "rule")
-    sums = [F.count("*").alias("n"), F.count_if("satisfied").alias("ok")]
-    refs_type = "array<struct<seq:bigint,record_id:string>>"
-    refs = F.collect_list(F.when(F.col("satisfied"), F.struct(F.col("seq").cast("long").alias("seq"), F.col("record_id").cast("string").alias("record_id"))))
-    counts = counted.agg(*sums, (refs if evidence else F.array().cast(refs_type)).cast(refs_type).alias("refs"))
-
-    literal = _literal(rules, defects, instant)
+    spark = records.sparkSession
+    atoms = atoms_of(rules, instant)
+    by_key, whole = _counts(records, packages, atoms, evidence)
+    table = F.broadcast(rule_table(spark, rules, atoms, instant))
+    asked = _asked_of_all(packages, subjects, rules) if asked is None else asked.select("package_id", "profile_id", "declared")
+
     subjects = subjects.select("package_id", F.col("subject_id").cast("string").alias("subject_id"), F.coalesce("risk", F.lit("")).alias("risk"), F.coalesce("modalities", F.array().cast("array<string>")).alias("modalities"))
     listed = subjects.groupBy("package_id").agg(F.count("*").alias("many"))
-    alone = packages.select("package_id").distinct().join(listed, "package_id", "left").select("package_id", F.lit(None).cast("string").alias("subject_id"), F.lit("").alias("risk"), F.array().cast("array<string>").alias("modalities"), F.filter(literal, lambda r: r["package_scope"] | F.col("many").isNull()).alias("r"))
-    each = subjects.withColumn("r", F.filter(literal, lambda r: ~r["package_scope"]))
-    frame = each.unionByName(alone).select("package_id", "subject_id", "risk", "modalities", F.inline("r"))
-    frame = frame.where((F.col("risk") == "") | (F.size("applicable_to") == 0) | F.array_contains("applicable_to", F.col("risk")))
-
-    own = counts.where(~F.col("key").isin(SHARED, ALL)).select("package_id", F.col("key").alias("subject_id"), "rule", *[F.col(c).alias(f"{c}1") for c in ("n", "ok", "refs")])
-    shared = counts.where(F.col("key") == SHARED).select("package_id", "rule", *[F.col(c).alias(f"{c}2") for c in ("n", "ok", "refs")])
-    whole = counts.where(F.col("key") == ALL).select("package_id", "rule", *[F.col(c).alias(f"{c}3") for c in ("n", "ok", "refs")])
-    df = frame.join(own, ["package_id", "subject_id", "rule"], "left").join(shared, ["package_id", "rule"], "left").join(whole, ["package_id", "rule"], "left")
+    alone = packages.select("package_id").distinct().join(listed, "package_id", "left").select("package_id", F.lit(None).cast("string").alias("subject_id"), F.lit("").alias("risk"), F.array().cast("array<string>").alias("modalities"), F.col("many").isNull().alias("only"))
+    frame = subjects.withColumn("only", F.lit(False)).unionByName(alone).join(asked, "package_id").join(table, "profile_id")
+    frame = frame.where((F.col("subject_id").isNull() & (F.col("package_scope") | F.col("only"))) | (F.col("subject_id").isNotNull() & ~F.col("package_scope")))
+    frame = frame.where(is_selected(F.col("declared"), F.col("provision_id")) & ((F.col("risk") == "") | (F.size("applicable_to") == 0) | F.array_contains("applicable_to", F.col("risk"))))
+
+    counts = ("n", "ok", "bad", "refs")
+    own = by_key.where(F.col("key") != SHARED).select("package_id", F.col("key").alias("subject_id"), "atom", *[F.col(c).alias(f"{c}1") for c in counts])
+    shared = by_key.where(F.col("key") == SHARED).select("package_id", "atom", *[F.col(c).alias(f"{c}2") for c in counts])
+    df = frame.join(own, ["package_id", "subject_id", "atom"], "left").join(shared, ["package_id", "atom"], "left").join(whole, ["package_id", "atom"], "left")
     if signatures is None:
         df = df.withColumn("signed_by", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>")))
     else:
@@ -162,8 +136,8 @@ def rule_results(records: DataFrame, subjects: DataFrame, packages: DataFrame, r
     df = df.withColumns({"n_match": F.when(F.col("signed"), F.coalesce(signs, F.lit(0))).otherwise(both("n")), "n_satisfied": F.when(F.col("signed"), F.coalesce(signs, F.lit(0))).otherwise(both("ok"))})
     skip = F.col("late") | ((F.col("risk") != "") & (F.size("if_system_type") > 0) & ~F.array_contains("if_system_type", F.col("risk"))) | ((F.size("risks") > 0) & ~F.array_contains("risks", F.col("risk")))
     passed = F.when(F.col("existential"), F.col("n_satisfied") >= F.col("min_count")).otherwise(F.col("n_satisfied") == F.col("n_match"))
-    outcome = F.when(skip, "skipped").when(F.col("defect").isNotNull() | (F.col("odd_entity") & (F.col("n_match") > 0)), "error").when(passed, "passed").otherwise("failed")
-    none = F.array().cast(refs_type)
+    outcome = F.when(skip, "skipped").when(F.col("defect").isNotNull() | (both("bad") > 0), "error").when(passed, "passed").otherwise("failed")
+    none = F.array().cast(_REFS)
     order = F.array_sort(F.when(package, F.coalesce("refs3", none)).otherwise(F.concat(F.coalesce("refs1", none), F.coalesce("refs2", none))))
     ids = F.when(off | (outcome == "skipped"), F.array().cast("array<string>")).otherwise(F.transform(order, lambda x: x["record_id"]))
     return df.select("package_id", "subject_id", "profile_id", "provision_id", "rule_id", "severity", "message", "n_match", "n_satisfied", outcome.alias("outcome"), ids.alias("evidence_refs"), "rule")

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import integrity, references
 from ..operators.diagnostics import diagnostic
-from ..operators.schema_check import ENVELOPE, MANIFEST, NOT_PAYLOADS, envelope_findings, manifest_findings, schema_findings
+from ..operators.schema_check import all_findings
 from ..sources import bundle
 from .catalog import catalog_digest, catalog_rules, late_provisions, repeated_rule_ids
 from .rollup import exit_codes, gaps, provision_summary
-from .rules import rule_results
+from .rules import is_selected, rule_results
 
 
 @dataclass
@@ -46,11 +46,6 @@ def asked_profiles(manifests: DataFrame, profiles: list[str] | None) -> DataFram
     return wanted.join(own, ["package_id", "profile_id"], "left")
 
 
-def _is_selected(declared: Column, provision: Column) -> Column:
-    part = lambda d: (d == provision) | d.startswith(F.concat(provision, F.lit("."))) | d.startswith(F.concat(provision, F.lit("-")))
-    return F.coalesce(F.size(declared) == 0, F.lit(True)) | F.coalesce(F.exists(declared, part), F.lit(False))
-
-
 def structure_findings(spark: SparkSession, root: str, only: str | None, manifests: DataFrame, records: DataFrame) -> DataFrame:
     """What is wrong with hashes, signatures and references of the packages that have these manifests."""
     mine = lambda df: df.join(manifests.select("package_id"), "package_id", "left_semi")
@@ -74,20 +69,13 @@ def structure_findings(spark: SparkSession, root: str, only: str | None, manifes
     ])
 
 
-def schema_parts(manifests: DataFrame, records: DataFrame, schemas: dict[str, dict]) -> list[DataFrame]:
-    """What schemas say of manifests, envelopes and payloads."""
-    payloads = {name: schema for name, schema in schemas.items() if name not in NOT_PAYLOADS}
-    out = [manifest_findings(manifests, schemas[MANIFEST])] if MANIFEST in schemas else []
-    out += [envelope_findings(records, schemas[ENVELOPE])] if ENVELOPE in schemas else []
-    return out + ([schema_findings(records, payloads)] if payloads else [])
-
-
-def validate(spark: SparkSession, root: str, catalogs: list[dict], instant: str, profiles: list[str] | None = None, schemas: dict[str, dict] | None = None, only: str | None = None, manifest: str = bundle.MANIFESTS, evidence: bool = True) -> Validation:
+def validate(spark: SparkSession, root: str, catalogs: list[dict], instant: str, profiles: list[str] | None = None, schemas: dict[str, dict] | None = None, only: str | None = None, manifest: str = bundle.MANIFESTS, evidence: bool = False) -> Validation:
     """All packages under root (or the one named `only`) against the catalogs that their manifests name, or `profiles`.
 
     A package without a readable manifest, or of another core version, has that finding alone. Record files are those that
     the manifest lists. schemas: of payloads, by record type, and of manifests and envelopes by the names `manifest` and
-    `record-envelope`, as read_schemas gives them; what has no schema isn't checked.
+    `record-envelope`, as read_schemas gives them; what has no schema isn't checked. All rules of all catalogs are one table, which the
+    records are read for once. evidence: as in rule_results.
     """
     packages = bundle.read_packages(spark, root, only)
     all_manifests = bundle.read_manifests(spark, root, only, manifest)
@@ -101,27 +89,27 @@ def validate(spark: SparkSession, root: str, catalogs: list[dict], instant: str,
     times = manifests.select("package_id", F.col("m.metadata.timestamp").alias("package_time"))
     subjects = manifests.select("package_id", F.inline("m.subjects")).select("package_id", "subject_id", F.col("risk_classification").alias("risk"), "modalities")
     headers = integrity.signature_headers(bundle.read_signatures(spark, root, only)).where("code is null or code = '013'").select("package_id", "alg")
-    wanted = {r.profile_id for r in asked.join(F.broadcast(known.select("profile_id")), "profile_id", "left_semi").select("profile_id").distinct().collect()}
-    catalogs = [c for c in catalogs if c["template_id"] in wanted]  # at most a row a catalog; others would only make the plan longer
-    own_findings, own_results = [], []
-    for c in catalogs:
-        chosen = asked.where(F.col("profile_id") == c["template_id"]).select("package_id", "declared")
-        repeated = chosen.select("package_id", F.explode(F.array(*map(F.lit, repeated_rule_ids(c))).cast("array<string>")).alias("rule_id"))
-        own_findings.append(diagnostic(repeated, "044", F.concat(F.lit("rule id used again: "), "rule_id"), F.lit(c["template_id"])))
-        late = chosen.select("package_id", "declared", F.explode(F.array(*map(F.lit, late_provisions(c, instant))).cast("array<string>")).alias("provision_id"))
-        own_findings.append(diagnostic(late.where(_is_selected(F.col("declared"), F.col("provision_id"))), "032", F.concat("provision_id", F.lit(" isn't effective yet")), F.lit(c["template_id"])))
-        if rules := catalog_rules(c):
-            mine = lambda df, chosen=chosen: df.join(chosen.select("package_id"), "package_id", "left_semi")
-            found = rule_results(mine(records), mine(subjects), mine(times), rules, instant, mine(headers), evidence)
-            own_results.append(found.join(chosen, "package_id").where(_is_selected(F.col("declared"), F.col("provision_id"))).drop("declared"))
-    results = _union(own_results) if own_results else rule_results(records.limit(0), subjects.limit(0), times.limit(0), [], instant)
+    rules = [r for c in catalogs for r in catalog_rules(c)]
+    asking = times.join(asked.join(F.broadcast(known.select("profile_id")), "profile_id", "left_semi").select("package_id").distinct(), "package_id", "left_semi")
+    results = rule_results(records, subjects, asking, rules, instant, headers, evidence, asked)
     summary = provision_summary(results, gaps(records))
 
-    parts = [barred, malformed, structure_findings(spark, root, only, manifests, records), integrity.unknown_profiles(asked, known), *own_findings]
-    findings = _union(parts + schema_parts(manifests, records, schemas or {}))
+    parts = [barred, malformed, structure_findings(spark, root, only, manifests, records), integrity.unknown_profiles(asked, known), *catalog_findings(spark, asked, catalogs, instant)]
+    parts += [all_findings(manifests, records, schemas)] if set(schemas or {}) - {"assessment-bundle", "template"} else []
+    findings = _union(parts)
     return Validation(findings, results, summary, asked.join(known, "profile_id").select("package_id", "profile_id", "version", "digest"), exit_codes(packages, findings, summary))
 
 
+def catalog_findings(spark: SparkSession, asked: DataFrame, catalogs: list[dict], instant: str) -> list[DataFrame]:
+    """Of the profiles asked of packages: rule ids that are used again, and declared provisions that aren't effective yet."""
+    said = lambda of: F.broadcast(spark.createDataFrame([(c["template_id"], x) for c in catalogs for x in of(c)], "profile_id string, id string"))
+    repeated, late = asked.join(said(repeated_rule_ids), "profile_id"), asked.join(said(lambda c: late_provisions(c, instant)), "profile_id")
+    return [
+        diagnostic(repeated, "044", F.concat(F.lit("rule id used again: "), "id"), F.col("profile_id")),
+        diagnostic(late.where(is_selected(F.col("declared"), F.col("id"))), "032", F.concat("id", F.lit(" isn't effective yet")), F.col("profile_id")),
+    ]
+
+
 def validate_path(spark: SparkSession, path: str, into: str, catalogs: list[dict], instant: str, **more) -> Validation:
     """validate for a bundle's folder, its archive (which is unpacked under `into`), or a folder of bundles."""
     root, only = bundle.located(path, into)
