@@ -75,6 +75,11 @@ _SPECS: dict[str, list[tuple]] = {
     "missing_path_semantics": [(_rule("exists_where", f"missing-{op}", record_type="view", field="/payload/none", op=op, value=v), "event_type = 'view'", "true" if op == "ne" else "false", {}) for op, v in (("eq", 1), ("ne", 1), ("gt", 1), ("gte", 1), ("lt", 1), ("lte", 1), ("in", [1]), ("regex", "1"))],
     "type_gating": [(_rule("exists_where", "text", record_type="view", field="/payload/k", op="eq", value="1"), "event_type = 'view'", "false", {}), (_rule("exists_where", "order", record_type="view", field="/record_type", op="gt", value=1), "event_type = 'view'", "false", {}), (_rule("exists_where", "regex", record_type="view", field="/payload/k", op="regex", value="1"), "event_type = 'view'", "false", {})],
     "rule_errors": [(_rule("no_such_operator", "unknown"), "false", "false", {"error": "true"}), (_rule("field_value", "no-value", record_type="view", field="/payload/k", op="eq"), "false", "false", {"error": "true"}), (_rule("field_value", "bad-regex", record_type="view", field="/record_type", op="regex", value="("), "false", "false", {"error": "true"}), (_rule("field_value", "long-regex", record_type="view", field="/record_type", op="regex", value="a" * 1025), "false", "false", {"error": "true"})],
+    "pointers_outside_payload": [
+        (_rule("field_present", "signature", record_type="signup", field="/attestation/signature"), "event_type = 'signup'", "value > 50", {}), (_rule("exists_where", "subject", record_type="view", field="/entity_refs/subject_refs/0", op="regex", value="^1", min_count=2), "event_type = 'view'", "NOT r.shared AND r.subject_id LIKE '1%'", {}),
+        (_rule("field_value", "component", record_type="purchase", field="/entity_refs/component_refs", op="eq", value=["c1"]), "event_type = 'purchase'", "true", {}), (_rule("field_present", "actor", record_type="click", field="/entity_refs/actor_refs/0"), "event_type = 'click'", "event_id % 2 = 1", {}),
+        (_rule("exists_where", "phase", record_type="view", field="/lifecycle_phase", op="in", value=["design", 1]), "event_type = 'view'", "phase = 'design'", {}), (_rule("field_present", "beyond", record_type="view", field="/entity_refs/subject_refs/1"), "event_type = 'view'", "false", {}),
+    ],
     "scope_role": [(replace(_rule("has_record_type", "role", type="view", min_count=8), roles=("deployer",)), "event_type = 'view' AND role = 'deployer'", "true", {}), (replace(_rule("has_record_type", "no-role", type="view"), roles=("",)), "event_type = 'view' AND coalesce(role, '') = ''", "true", {})],
     "scope_phase": [(replace(_rule("field_value", "phase", record_type="click", field="/payload/k", op="lt", value=95), phases=("design", "deployment")), "event_type = 'click' AND phase IN ('design', 'deployment')", "k < 95", {})],
     "scope_modality": [(replace(_rule("has_record_type", "modality", type="view", min_count=5), modalities=("ASIA", "EUROPE")), "event_type = 'view'", "true", {"off": "s.modality NOT IN ('ASIA', 'EUROPE')"}), (replace(_rule("field_present", "modality-all", record_type="view", field="/payload/none"), modalities=("ASIA",)), "event_type = 'view'", "false", {"off": "s.modality <> 'ASIA'"})],
@@ -286,6 +291,51 @@ def attachment_hash(spark, sf_dir):
 _SCHEMA = {"type": "object", "required": ["k", "j"], "properties": {"k": {"type": "integer", "minimum": 3, "maximum": 97, "enum": list(range(90))}}}
 
 
+#: Thresholds of the catalogs of `catalogs_as_table`, each a catalog of three rules.
+_MANY = range(40)
+
+
+@query("catalogs_as_table", """WITH k AS (SELECT event_id, event_type, event_id % 3 AS phase, json_extract(props, '$.k')::DOUBLE AS k FROM events), c AS (SELECT unnest(range(40)) AS i)
+SELECT 'cat-' || i AS profile_id, 'views' AS rule_id, count(*) AS n_match, count(*) AS n_satisfied, CASE WHEN count(*) >= 15 * i THEN 'passed' ELSE 'failed' END AS outcome FROM c, k WHERE event_type = 'view' AND (i % 2 = 0 OR phase = 0) GROUP BY i
+UNION ALL SELECT 'cat-' || i, 'clicks', count(*), count(*) FILTER (k > 5 * (i % 10)), CASE WHEN count(*) FILTER (k > 5 * (i % 10)) >= i THEN 'passed' ELSE 'failed' END FROM c, k WHERE event_type = 'click' GROUP BY i
+UNION ALL SELECT 'cat-' || i, 'signups', count(*), count(*) FILTER (k <= 80 + i), CASE WHEN count(*) FILTER (k > 80 + i) = 0 THEN 'passed' ELSE 'failed' END FROM c, k WHERE event_type = 'signup' GROUP BY i""")
+def catalogs_as_table(spark, sf_dir):
+    """Rules of forty catalogs, asked of the package as a whole; half of the clicks' questions are the same in several."""
+    rules = []
+    for i in _MANY:
+        views = {"rule_id": "views", "rule": "has_record_type", "params": {"type": "view", "min_count": 15 * i}} | ({} if i % 2 == 0 else {"scope": {"lifecycle_phases": ["design"]}})
+        clicks = {"rule_id": "clicks", "rule": "exists_where", "params": {"record_type": "click", "field": "/payload/k", "op": "gt", "value": 5 * (i % 10), "min_count": i}}
+        signups = {"rule_id": "signups", "rule": "field_value", "params": {"record_type": "signup", "field": "/payload/k", "op": "lte", "value": 80 + i}}
+        rules += catalog_rules({"template_id": f"cat-{i}", "provisions": [{"provision_id": "art-1", "evaluation_scope": "package", "evaluation": [views, clicks, signups]}]})
+    return _events_rules(spark, sf_dir, rules).select("profile_id", "rule_id", "n_match", "n_satisfied", "outcome")
+
+
+#: The schema of an order with its items: of the kinds of keywords that published schemas have, and one that refers to itself.
+_ORDER_SCHEMA = {
+    "$defs": {"item": {"type": "object", "required": ["flag"], "properties": {"flag": {"enum": ["A", "N"]}, "q": {"type": "integer", "maximum": 45}, "part": {"oneOf": [{"minimum": 100}, {"maximum": 150}]}, "items": {"items": {"$ref": "#/$defs/item"}}}, "additionalProperties": {"type": "string"}}},
+    "type": "object", "properties": {"items": {"minItems": 2, "items": {"$ref": "#/$defs/item"}}, "status": {"const": "O"}}, "additionalProperties": False,
+}
+
+
+@query("schema_walk", """WITH o AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderpriority = '1-URGENT'),
+i AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_returnflag) - 1 AS n, l_quantity::INT AS q, l_partkey AS part, l_returnflag AS flag FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o)),
+f AS (SELECT o_orderkey AS k, '/status' AS p, 'const' AS w FROM o WHERE o_orderstatus <> 'O' UNION ALL SELECT o_orderkey, '', 'additionalProperties' FROM o WHERE o_orderkey % 7 = 0
+UNION ALL SELECT o_orderkey, '/items', 'minItems' FROM o WHERE (SELECT count(*) FROM i WHERE i.k = o_orderkey) < 2 UNION ALL SELECT k, '/items/' || n || '/flag', 'enum' FROM i WHERE flag NOT IN ('A', 'N') AND n % 5 <> 4
+UNION ALL SELECT k, '/items/' || n || '/flag', 'required' FROM i WHERE n % 5 = 4 UNION ALL SELECT k, '/items/' || n || '/q', 'maximum' FROM i WHERE q > 45 UNION ALL SELECT k, '/items/' || n || '/part', 'oneOf' FROM i WHERE part BETWEEN 100 AND 150
+UNION ALL SELECT k, '/items/' || n || '/items/0/flag', 'required' FROM i WHERE n = 1)
+SELECT 'EV-004' AS code, w || ' violated' AS message, k || '/payload' || p AS path FROM f""")
+def schema_walk(spark, sf_dir):
+    """Orders with their items as documents; each second item holds an item of its own."""
+    o, item = T.table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'"), F.struct("l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
+    items = T.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(item)).alias("l"))
+    inner = F.array(F.struct(F.lit("x").alias("other")))
+    each = F.transform("l", lambda x, n: F.struct(F.when(n % 5 != 4, x["l_returnflag"]).alias("flag"), x["l_quantity"].cast("int").alias("q"), x["l_partkey"].alias("part"), F.when(n == 1, inner).alias("items")))
+    empty = F.array().cast("array<struct<flag:string,q:int,part:bigint,items:array<struct<other:string>>>>")
+    text = F.to_json(F.struct(F.coalesce(each, empty).alias("items"), F.col("o_orderstatus").alias("status"), F.when(F.col("o_orderkey") % 7 == 0, 1).alias("odd")))
+    rows = o.join(items, "o_orderkey", "left").select(F.lit("orders").alias("package_id"), F.col("o_orderkey").cast("string").alias("record_id"), F.lit("order").alias("record_type"), text.alias("payload"))
+    return schema_check.schema_findings(rows, {"order": _ORDER_SCHEMA}).select("code", "message", "path")
+
+
 @query("schema_check", """WITH v AS (SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events WHERE event_type = 'view'), e AS (
 SELECT event_id, '/payload/j' AS p, 'required' AS w FROM v UNION ALL SELECT event_id, '/payload/k', 'minimum' FROM v WHERE k < 3 UNION ALL SELECT event_id, '/payload/k', 'maximum' FROM v WHERE k > 97 UNION ALL SELECT event_id, '/payload/k', 'enum' FROM v WHERE k >= 90 OR k < 0)
 SELECT 'EV-004' AS code, w || ' violated' AS message, event_id || p AS path FROM e UNION ALL SELECT 'EV-003', 'unknown type ' || event_type, event_id::VARCHAR FROM events WHERE event_type <> 'view'""")
