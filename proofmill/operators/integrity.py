@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.canonical import leaf, merkle_root
 from .diagnostics import diagnostic
+from .merkle import merkle_roots
 
 ALGORITHMS = ("RS256", "ES256")
 
@@ -21,12 +21,6 @@ def hash_differences(expected: DataFrame, actual: DataFrame) -> DataFrame:
     )
 
 
-def merkle_roots(hashes: DataFrame) -> DataFrame:
-    """(package_id, n_leaves, root): leaves in path order. A package's leaves, one a file, are folded in one row."""
-    rows = hashes.groupBy("package_id").agg(F.array_sort(F.collect_list(F.struct("path", leaf(F.col("path"), F.col("sha256")).alias("leaf")))).alias("x"))
-    return rows.select("package_id", F.size("x").cast("long").alias("n_leaves"), merkle_root(F.col("x.leaf")).alias("root"))
-
-
 def root_differences(roots: DataFrame, hashes: DataFrame) -> DataFrame:
     """Findings from Merkle files (package_id, root) whose root isn't that of the hashes (package_id, path, sha256), or can't be read."""
     both = roots.join(merkle_roots(hashes).select("package_id", F.col("root").alias("have")), "package_id", "left").where("root is null or have is null or root <> have")

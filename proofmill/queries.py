@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.urn import is_urn, urn_kind, urn_uuid
-from .operators import bundles, integrity, references, schema_check
+from .operators import bundles, integrity, merkle, references, schema_check
 from .operators.diagnostics import registry
 from .plans.catalog import Rule, catalog_rules, provision_rules
 from .plans.rollup import error_union, exit_code, gaps, profile_summary, provision_summary
@@ -380,8 +380,19 @@ def hash_diff(spark, sf_dir):
 @query("merkle_root", f"""WITH RECURSIVE f AS ({_FILES}), l AS (SELECT package_id, row_number() OVER (PARTITION BY package_id ORDER BY path) - 1 AS i, sha256(encode(path) || '\\x00'::BLOB || encode(sha256)) AS h, 0 AS lvl, count(*) OVER (PARTITION BY package_id) AS n FROM f),
 t AS (SELECT package_id, i, h, lvl, n FROM l UNION ALL SELECT package_id, i // 2, CASE WHEN count(*) = 2 THEN sha256(unhex(min_by(h, i)) || unhex(max_by(h, i))) ELSE min(h) END, lvl + 1, (n + 1) // 2 FROM t WHERE n > 1 GROUP BY package_id, i // 2, lvl, n)
 SELECT package_id, (SELECT count(*) FROM f WHERE f.package_id = t.package_id) AS n_leaves, h AS root FROM t WHERE n = 1""")
-def merkle(spark, sf_dir):
-    return integrity.merkle_roots(T.file_hashes(spark, sf_dir))
+def merkle_root(spark, sf_dir):
+    return merkle.merkle_roots(T.file_hashes(spark, sf_dir))
+
+
+@query("merkle_proofs", f"""WITH RECURSIVE f AS ({_FILES}), l AS (SELECT package_id, path, row_number() OVER (PARTITION BY package_id ORDER BY path) - 1 AS i, sha256(encode(path) || '\\x00'::BLOB || encode(sha256)) AS h, 0 AS lvl, count(*) OVER (PARTITION BY package_id) AS n FROM f),
+t AS (SELECT package_id, i, h, lvl, n FROM l UNION ALL SELECT package_id, i // 2, CASE WHEN count(*) = 2 THEN sha256(unhex(min_by(h, i)) || unhex(max_by(h, i))) ELSE min(h) END, lvl + 1, (n + 1) // 2 FROM t WHERE n > 1 GROUP BY package_id, i // 2, lvl, n)
+SELECT l.package_id, l.path, l.i::BIGINT AS i, coalesce(string_agg(CASE WHEN t.i % 2 = 0 THEN '<' ELSE '>' END || t.h, '' ORDER BY t.lvl), '') AS proof, true AS holds
+FROM l LEFT JOIN t ON t.package_id = l.package_id AND t.i = xor(l.i >> t.lvl, 1) GROUP BY l.package_id, l.path, l.i""")
+def merkle_proofs(spark, sf_dir):
+    files = T.file_hashes(spark, sf_dir)
+    proofs = merkle.merkle_proofs(files).join(merkle.merkle_roots(files), "package_id")
+    text = F.array_join(F.transform("proof", lambda s: F.concat(F.when(s["left"], "<").otherwise(">"), s["hash"])), "")
+    return proofs.select("package_id", "path", F.col("i").cast("long").alias("i"), text.alias("proof"), (merkle.proven_root(F.col("leaf"), F.col("proof")) == F.col("root")).alias("holds"))
 
 
 @query("bundle_digest", f"""SELECT package_id, 'sha256:' || sha256('{{' || string_agg('"' || path || '":"' || sha256 || '"', ',' ORDER BY path) || '}}') AS digest FROM ({_FILES}) GROUP BY package_id""")
