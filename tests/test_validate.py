@@ -12,6 +12,7 @@ import pytest
 from proofmill.plans.catalog import UnknownProfile, catalog_digest, catalog_ids, catalog_rules, find_catalog, provision_ids, read_catalog
 from proofmill.plans.validate import validate, validate_path
 from proofmill.sources import bundle
+from proofmill.sources.schemas import read_schemas
 
 AT = "2025-06-01T00:00:00Z"
 CATALOG = {
@@ -21,8 +22,8 @@ CATALOG = {
         {"provision_id": "art-3", "effective_date": "2030-01-01", "evaluation_scope": "package", "evaluation": [{"rule_id": "a", "rule": "bundle_signed", "params": {}, "condition": {"if_provision_effective": True}}]},
     ],
 }
-#: Folders of catalogs and of golden bundles with their assessments, in the published form.
-CATALOGS, GOLDEN = os.environ.get("CATALOG_DIR"), os.environ.get("GOLDEN_DIR")
+#: Folders of catalogs, of golden bundles and of test vectors with their assessments, and of schemas, in the published form.
+CATALOGS, GOLDEN, VECTORS, SCHEMAS = (os.environ.get(x) for x in ("CATALOG_DIR", "GOLDEN_DIR", "VECTOR_DIR", "SCHEMA_DIR"))
 
 
 def manifest(profiles=({"profile_id": "cat", "applicable_provisions": []},), **more):
@@ -90,16 +91,29 @@ def test_published_catalogs_give_all_of_their_rules():
     assert (len(catalogs), sum(len(provision_ids(c)) for c in catalogs), len(rules)) == (11, 61, 201) and not [r for r in rules if r.defect()]
 
 
+def published(spark, folder):
+    """The bundles of a folder as one call, held against the assessments beside them: outcomes, findings, digests."""
+    catalogs, schemas = [read_catalog(str(p)) for p in sorted(Path(CATALOGS).glob("*.json"))], read_schemas(SCHEMAS) if SCHEMAS else None
+    want = {p.name.removesuffix(".acef-assessment.json"): json.loads(p.read_text()) for p in Path(folder).glob("*assessment.json")}
+    (instant,) = {w["evaluation_instant"] for w in want.values()}
+    found = validate(spark, str(folder), catalogs, instant, schemas=schemas)
+    summary, results, findings, profiles = (x.collect() for x in (found.summary, found.results, found.findings, found.profiles))
+    assert {r.package_id for r in summary} <= set(want)
+    for name, w in want.items():
+        mine = lambda rows, name=name: [r for r in rows if r.package_id == name]
+        assert Counter((r.profile_id, r.provision_id, r.subject_id, r.provision_outcome, r.fail_count, r.warning_count, r.skipped_count) for r in mine(summary)) == Counter((s["profile_id"], s["provision_id"], (s["subject_scope"] or [None])[0], s["provision_outcome"], s["fail_count"], s["warning_count"], s["skipped_count"]) for s in w["provision_summary"]), name
+        assert Counter((r.rule_id, r.subject_id, r.outcome) for r in mine(results)) == Counter((r["rule_id"], (r["subject_scope"] or [None])[0], r["outcome"]) for r in w["results"]), name
+        codes = lambda found: Counter(c[-3:] for c in found if SCHEMAS or c[-3:] > "004")
+        assert codes(r.code for r in mine(findings)) == codes(e["code"] for e in w.get("structural_errors") or []), name
+        assert {f"{r.profile_id}:{r.version}": r.digest for r in mine(profiles)} == (w.get("template_digests") or {}), name
+    return len(want)
+
+
 @pytest.mark.skipif(not (CATALOGS and GOLDEN), reason="no folder of golden bundles")
 def test_golden_bundles_have_their_published_outcomes(spark):
-    catalogs = [read_catalog(str(p)) for p in sorted(Path(CATALOGS).glob("*.json"))]
-    names = sorted(p.name for p in Path(GOLDEN).iterdir() if p.is_dir())
-    assert len(names) == 6
-    for name in names:
-        want = json.loads(next(Path(GOLDEN).glob(f"{name}*assessment.json")).read_text())
-        found = validate(spark, GOLDEN, catalogs, want["evaluation_instant"], only=name)
-        assert Counter((r.profile_id, r.provision_id, r.subject_id, r.provision_outcome, r.fail_count, r.warning_count, r.skipped_count) for r in found.summary.collect()) == Counter((s["profile_id"], s["provision_id"], (s["subject_scope"] or [None])[0], s["provision_outcome"], s["fail_count"], s["warning_count"], s["skipped_count"]) for s in want["provision_summary"]), name
-        assert Counter(r.outcome for r in found.results.collect()) == Counter(r["outcome"] for r in want["results"]), name
-        later = lambda codes: Counter(c[-3:] for c in codes if c[-3:] > "004")  # noqa: E731  no schemas are given here
-        assert later(r.code for r in found.findings.collect()) == later(e["code"] for e in want.get("structural_errors") or []), name
-        assert {f"{r.profile_id}:{r.version}": r.digest for r in found.profiles.collect()} == (want.get("template_digests") or {}), name
+    assert published(spark, GOLDEN) == 6
+
+
+@pytest.mark.skipif(not (CATALOGS and VECTORS), reason="no folder of test vectors")
+def test_vectors_have_their_published_outcomes(spark):
+    assert sum(published(spark, p) for p in sorted(Path(VECTORS).iterdir()) if p.is_dir()) == 19
