@@ -29,8 +29,10 @@ from .words import WordMemory
 
 SPACE = "▁"
 _LOW = -1e300
-#: Words are worked out so many at once, and so many are remembered, at about 200 bytes each.
-_AT_ONCE, MOST = 2_000, 250_000
+#: Words are worked out so many, or so many bytes of them, at once; so many are remembered, with so many bytes of words and ids.
+_AT_ONCE, _BYTES_AT_ONCE, MOST, MOST_BYTES = 2_000, 1 << 16, 250_000, 1 << 25
+#: Texts are encoded so many, or so many bytes of them, at once.
+_ROWS, _ROW_BYTES = 256, 1 << 20
 
 
 class Pieces:
@@ -184,6 +186,20 @@ def lattices(pieces: Pieces, words: list[bytes]) -> Lattices:
     return made
 
 
+def portions(words: list, most: int, most_bytes: int) -> Iterator[list]:
+    """words in order, in runs of at most so many and so many bytes; one that is longer stands alone."""
+    part: list = []
+    held = 0
+    for w in words:
+        if part and (len(part) == most or held + len(w) > most_bytes):
+            yield part
+            part, held = [], 0
+        part.append(w)
+        held += len(w)
+    if part:
+        yield part
+
+
 def combined(choices: list[list[float]], n: int) -> list[tuple[float, tuple[int, ...]]]:
     """The n least sums of one loss from each ascending list, with the choices made."""
     heap, out, seen = [(sum(c[0] for c in choices), (0,) * len(choices))], [], {(0,) * len(choices)}
@@ -201,7 +217,7 @@ def combined(choices: list[list[float]], n: int) -> list[tuple[float, tuple[int,
 
 class Encoder:
     """What has been worked out for words lies in a few arrays: where a word is in them, its ids' end, score and loss of the
-    second best path. Beyond MOST words it starts afresh, which costs time only."""
+    second best path. Beyond MOST words or MOST_BYTES it starts afresh, which costs time only."""
 
     def __init__(self, path: str, n: int):
         self.pieces, self.n = Pieces(path), n
@@ -210,16 +226,16 @@ class Encoder:
 
     def forget(self) -> None:
         self.place: dict[bytes, int] = {}
+        self.held = 0
         self.ids, self.end, self.score, self.loss = array("I"), array("q"), array("d"), array("d")
         self.more.clear()
 
     def _know(self, words: set[bytes]) -> None:
         new = list(words.difference(self.place))
-        if len(self.place) + len(new) > MOST and self.place:
+        if self.place and (len(self.place) + len(new) > MOST or self.held > MOST_BYTES):
             self.forget()
             new = list(words)
-        for a in range(0, len(new), _AT_ONCE):
-            part = new[a : a + _AT_ONCE]
+        for part in portions(new, _AT_ONCE, _BYTES_AT_ONCE):
             made = lattices(self.pieces, part)
             paths, top, loss = made.best()
             plain = made.piece.tolist()
@@ -227,11 +243,15 @@ class Encoder:
                 ids = [plain[e] for e in path]
                 self.place[word] = len(self.place)
                 self.ids.extend(made.ids(path) if -1 in ids else ids)
+                self.held += len(word) + 4 * len(ids)
                 self.end.append(len(self.ids))
             self.score.extend(top.tolist())
             self.loss.extend(loss.tolist())
 
     def _ranked(self, words: list[bytes]) -> list[list[tuple[float, bytes]]]:
+        return [r for part in portions(words, _AT_ONCE, _BYTES_AT_ONCE) for r in self._ranked_at_once(part)]
+
+    def _ranked_at_once(self, words: list[bytes]) -> list[list[tuple[float, bytes]]]:
         made = lattices(self.pieces, words)
         out = []
         for k, path in enumerate(made.best()[0]):
@@ -289,11 +309,11 @@ def _encoded(path: str, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, n)
         for batch in batches:
-            ids = batch.column("doc_id")
-            for a in range(0, batch.num_rows, 256):
-                texts = batch.column("text").slice(a, 256).to_pylist()
-                ranked = own.encode([t or "" for t in texts])
-                yield pa.RecordBatch.from_arrays([ids.slice(a, 256), pa.array([[s for s, _ in r] for r in ranked], pa.list_(pa.float64())), pa.array([[len(x) // 4 for _, x in r] for r in ranked], pa.list_(pa.int64())), binary_array([r[0][1] for r in ranked]), pa.array([[zlib.crc32(x) for _, x in r] for r in ranked], pa.list_(pa.int64())), pa.array([own.decode(r[0][1]) == (t or "") for r, t in zip(ranked, texts, strict=True)])], ["doc_id", "scores", "sizes", "ids", "crcs", "restored"])
+            ids, at = batch.column("doc_id"), 0
+            for texts in portions([t or "" for t in batch.column("text").to_pylist()], _ROWS, _ROW_BYTES):
+                ranked = own.encode(texts)
+                a, at = at, at + len(texts)
+                yield pa.RecordBatch.from_arrays([ids.slice(a, len(texts)), pa.array([[s for s, _ in r] for r in ranked], pa.list_(pa.float64())), pa.array([[len(x) // 4 for _, x in r] for r in ranked], pa.list_(pa.int64())), binary_array([r[0][1] for r in ranked]), pa.array([[zlib.crc32(x) for _, x in r] for r in ranked], pa.list_(pa.int64())), pa.array([own.decode(r[0][1]) == t for r, t in zip(ranked, texts, strict=True)])], ["doc_id", "scores", "sizes", "ids", "crcs", "restored"])
         own.forget()
 
     return run
