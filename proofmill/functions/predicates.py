@@ -89,9 +89,9 @@ def found_at(v: Column, tokens: list[str]) -> Column:
     return v
 
 
-def value_of(v: Column) -> Value:
-    """The readings of a VARIANT column."""
-    kind = F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+def value_of(v: Column, kind: Column | None = None) -> Value:
+    """The readings of a VARIANT column. kind: its type, where that is known already."""
+    kind = F.coalesce(F.schema_of_variant(v), F.lit("VOID")) if kind is None else kind
     is_num = kind.isin("BIGINT", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT") | kind.startswith("DECIMAL")
     num = F.when(is_num, F.try_variant_get(v, "$", "double")).when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("int").cast("double"))
     whole = F.when(kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | kind.rlike(r"^DECIMAL\(\d+, *0\)$"), F.try_variant_get(v, "$", "decimal(38,0)"))

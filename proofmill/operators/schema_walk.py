@@ -2,17 +2,20 @@
 
 Schemas are compiled to an automaton. A state is what one (sub)schema asks of a value; an object's member or an array's
 element leads on to the states of the subschemas for it. Documents are rows (document, path, state, value): a level of the
-walk joins them to the table of states and opens what they hold. Levels are narrow steps of one plan, which doesn't grow
-with the number of schemas or their keywords. A schema may contain itself; then the depth of the documents, counted once,
-says how many levels there are.
+walk joins them to the table of states; what a state says of its value goes on as it is, and what the value holds is open
+to the next level. Levels are narrow steps of one plan, which doesn't grow with the number of schemas or their keywords. A
+schema may contain itself; then the depth of the documents, counted once, says how many levels there are.
 
 Of oneOf, anyOf, contains and items of plain values only the keyword is reported. Each branch, or each element, is
 walked under a condition that the row carries; how many of them failed is counted by condition, from the innermost out.
+Where there are conditions, documents are dealt out by a hash of theirs before the walk, so that one is walked and counted
+in one place: there is one walk, and no shuffle behind it.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -117,42 +120,41 @@ def _closed(known: dict[tuple[str, int], list[int]]) -> None:
 
 def _measured(out: Automaton) -> None:
     """levels and inner: the longest walk, and the most conditions on one."""
-    to: list[list[tuple[int, int]]] = []  # of each state: (next state, 1 if under a condition)
+    to: list[set[tuple[int, int]]] = []  # of each state: (next state, 1 if under a condition)
     for r in out.rows:
         plain = [*r["members"].values(), r.get("rest") or [], r.get("elements") or []]
         under = [r.get("each") or [], r.get("some") or [], *(b for _, _, branches in r["choices"] for b in branches)]
-        to.append([(x, 0) for xs in plain for x in xs] + [(x, 1) for xs in under for x in xs])
-    best: dict[int, tuple[int, int]] = {}
-    open_: set[int] = set()
-    cyclic = False
-
-    def walk(state: int) -> tuple[int, int]:
-        nonlocal cyclic
-        if state in open_:
-            cyclic = True
-            return 0, 0
-        if state not in best:
-            open_.add(state)
-            below = [(1 + d, u + c) for x, u in to[state] for d, c in (walk(x),)]
-            open_.discard(state)
-            best[state] = max((d for d, _ in below), default=0), max((c for _, c in below), default=0)
-        return best[state]
-
-    ends = [walk(x) for xs in out.roots.values() for x in xs]
+        to.append({(x, 0) for xs in plain for x in xs} | {(x, 1) for xs in under for x in xs})
     # a condition within itself can't be counted from the innermost out
     seen: dict[int, set[int]] = {}
+
+    def reached(first: int) -> set[int]:
+        if first not in seen:
+            seen[first], todo = {first}, [first]
+            while todo:
+                for x, _ in to[todo.pop()]:
+                    if x not in seen[first]:
+                        seen[first].add(x)
+                        todo.append(x)
+        return seen[first]
+
     for start, steps in enumerate(to):
-        for first in {x for x, u in steps if u}:
-            if first not in seen:
-                seen[first], todo = {first}, [first]
-                while todo:
-                    for x, _ in to[todo.pop()]:
-                        if x not in seen[first]:
-                            seen[first].add(x)
-                            todo.append(x)
-            if start in seen[first]:
-                raise ValueError("a schema contains itself within oneOf, anyOf, contains or items of plain values")
-    out.levels, out.inner = None if cyclic else max((d for d, _ in ends), default=0), max((c for _, c in ends), default=0)
+        if any(u and start in reached(x) for x, u in steps):
+            raise ValueError("a schema contains itself within oneOf, anyOf, contains or items of plain values")
+    from_roots = set().union(*(reached(x) for xs in out.roots.values() for x in xs))
+    cyclic = any(x in reached(y) for x in from_roots for y, _ in to[x])
+
+    def longest(weigh: Callable[[int], int]) -> int:
+        """The longest walk from a root by the weights of its steps; no cycle of states may have any."""
+        best, moved = dict.fromkeys(from_roots, 0), True
+        while moved:
+            moved = False
+            for x in from_roots:
+                if (most := max((best[y] + weigh(u) for y, u in to[x]), default=0)) > best[x]:
+                    best[x], moved = most, True
+        return max((best[x] for xs in out.roots.values() for x in xs), default=0)
+
+    out.levels, out.inner = None if cyclic else longest(lambda _: 1), longest(lambda u: u)
 
 
 def state_table(spark: SparkSession, automaton: Automaton) -> DataFrame:
@@ -174,107 +176,121 @@ def _is_number(kind: Column) -> Column:
     return kind.isin("BIGINT", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT") | kind.startswith("DECIMAL")
 
 
-def _violations() -> Column:
-    """Array of (word, at): what a row's state s says of its value v."""
+def _read(rows: DataFrame) -> DataFrame:
+    """Rows with the readings of their value, made once each: __members, __elements, __kind, __value."""
+    rows = rows.withColumn("__members", F.try_variant_get("v", "$", "map<string,variant>"))
+    rows = rows.withColumn("__elements", F.when(F.col("__members").isNull(), F.try_variant_get("v", "$", "array<variant>")))
+    plain = F.coalesce(F.schema_of_variant("v"), F.lit("VOID"))
+    rows = rows.withColumn("__kind", F.when(F.col("__members").isNotNull(), "OBJECT").when(F.col("__elements").isNotNull(), "ARRAY").otherwise(plain))
+    v, compared = value_of(F.col("v"), F.col("__kind")), F.col("s.enum").isNotNull() | F.col("s.const").isNotNull()
+    readings = {n: getattr(v, n) for n in _READINGS}
+    readings["nested"] = F.when(compared, v.nested)
+    return rows.withColumn("__value", F.struct(*[c.alias(n) for n, c in readings.items()]))
+
+
+_SAID = "struct<word:string,id:int,total:int>"
+_ROW = f"array<struct<at:string,state:int,v:variant,trail:{_TRAIL},said:{_SAID}>>"
+
+
+def _saying(word: Column, at: Column, i: Column | None = None, total: Column | None = None) -> Column:
+    """A row that isn't open any more: a violation or, with an id, a condition on a value and how many branches it has."""
+    none = F.lit(None).cast("int")
+    said = F.struct(word.alias("word"), (none if i is None else i).alias("id"), (none if total is None else total.cast("int")).alias("total"))
+    return F.struct(at.alias("at"), none.alias("state"), F.lit(None).cast("variant").alias("v"), F.col("trail").alias("trail"), said.alias("said"))
+
+
+def _violations() -> list[Column]:
+    """Arrays of rows: what a row's state s says of its value."""
     s = lambda name: F.col(f"s.{name}")
-    v, kind = value_of(F.col("v")), F.coalesce(F.schema_of_variant("v"), F.lit("VOID"))
+    v, kind, members = Value(*(F.col(f"__value.{n}") for n in _READINGS)), F.col("__kind"), F.col("__members")
     number = _is_number(kind)
     is_of = lambda t: (
-        F.when(t == "string", kind == "STRING").when(t == "boolean", kind == "BOOLEAN").when(t == "null", kind == "VOID").when(t == "array", kind.startswith("ARRAY"))
-        .when(t == "object", kind.startswith("OBJECT")).when(t == "number", number).when(t == "integer", number & F.coalesce(v.num == F.floor(v.num), F.lit(False)))
+        F.when(t == "string", kind == "STRING").when(t == "boolean", kind == "BOOLEAN").when(t == "null", kind == "VOID").when(t == "array", kind == "ARRAY")
+        .when(t == "object", kind == "OBJECT").when(t == "number", number).when(t == "integer", number & F.coalesce(v.num == F.floor(v.num), F.lit(False)))
     )
     among = lambda xs: F.exists(xs, lambda x: F.when(x["null"], kind == "VOID").otherwise(same(v, Value(*(x[n] for n in _READINGS)))))
-    members = F.try_variant_get("v", "$", "map<string,variant>")
     here = [
         ("false", s("never")), ("type", s("types").isNotNull() & ~F.exists(s("types"), is_of)), ("enum", s("enum").isNotNull() & ~among(s("enum"))), ("const", s("const").isNotNull() & ~among(s("const"))),
         ("pattern", v.str.isNotNull() & ~F.rlike(v.str, s("pattern"))), ("minimum", (v.num < s("minimum")) & (kind != "BOOLEAN")), ("maximum", (v.num > s("maximum")) & (kind != "BOOLEAN")),
-        ("minItems", F.size(F.try_variant_get("v", "$", "array<variant>")) < s("min_items")),
-        ("additionalProperties", s("closed") & F.exists(F.map_keys(members), lambda k: ~F.map_contains_key(s("members"), k))),
+        ("minItems", F.size("__elements") < s("min_items")), ("additionalProperties", s("closed") & F.exists(F.map_keys(members), lambda k: ~F.map_contains_key(s("members"), k))),
     ]
-    single = F.filter(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(word).alias("word"), F.col("at").alias("at"))) for word, bad in here]), lambda x: x.isNotNull())
-    absent = F.filter(s("required"), lambda r: kind.startswith("OBJECT") & ~F.coalesce(F.map_contains_key(members, r), F.lit(False)))
-    return F.concat(single, F.coalesce(F.transform(absent, lambda r: F.struct(F.lit("required").alias("word"), F.concat(F.col("at"), F.lit("/"), r).alias("at"))), F.array().cast("array<struct<word:string,at:string>>")))
-
+    single = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(word)) for word, bad in here]))
+    absent = F.filter(s("required"), lambda r: (kind == "OBJECT") & ~F.coalesce(F.map_contains_key(members, r), F.lit(False)))
+    return [F.transform(single, lambda w: _saying(w, F.col("at"))), F.transform(absent, lambda r: _saying(F.lit("required"), F.concat(F.col("at"), F.lit("/"), r)))]
 
-def _marks() -> Column:
-    """Array of (id, word, total) of the conditions that a row's state has on its value."""
-    elements = F.size(F.try_variant_get("v", "$", "array<variant>"))
-    mark = lambda i, word, total: F.struct(i.alias("id"), word.alias("word"), total.cast("int").alias("total"))
-    of_arrays = [F.when((elements >= 0) & wanted, mark(F.col(f"s.{i}"), F.lit(word), elements)) for i, word, wanted in (("each_id", "items", F.size("s.each") > 0), ("some_id", "contains", F.col("s.some").isNotNull()))]
-    return F.concat(F.filter(F.array(*of_arrays), lambda x: x.isNotNull()), F.transform("s.choices", lambda c: mark(c["id"], c["word"], F.size(c["branches"]))))
 
+def _marks() -> list[Column]:
+    """Arrays of rows: the conditions that a row's state has on its value."""
+    elements, at = F.size("__elements"), F.col("at")
+    of_arrays = [F.when((elements >= 0) & wanted, _saying(F.lit(word), at, F.col(f"s.{i}"), elements)) for i, word, wanted in (("each_id", "items", F.size("s.each") > 0), ("some_id", "contains", F.col("s.some").isNotNull()))]
+    return [F.array_compact(F.array(*of_arrays)), F.transform("s.choices", lambda c: _saying(c["word"], at, c["id"], F.size(c["branches"])))]
 
-_ROW = "array<struct<at:string,state:int,v:variant,trail:array<struct<id:int,at:string,branch:int>>,open:boolean>>"
 
-
-def _opened() -> Column:
-    """The row itself, closed, and what its state leads to."""
-    none = F.array().cast(_ROW)
+def _opened() -> list[Column]:
+    """Arrays of rows: what a row's state leads to."""
 
     def rows(states: Column, at: Column, v: Column, trail: Column) -> Column:
-        return F.transform(states, lambda t: F.struct(at.alias("at"), t.alias("state"), v.alias("v"), trail.alias("trail"), F.lit(True).alias("open")))
+        return F.transform(states, lambda t: F.struct(at.alias("at"), t.alias("state"), v.alias("v"), trail.alias("trail"), F.lit(None).cast(_SAID).alias("said")))
 
     def under(i: Column, branch: Column) -> Column:
         return F.concat("trail", F.array(F.struct(i.alias("id"), F.col("at").alias("at"), branch.cast("int").alias("branch"))))
 
     empty = F.array().cast("array<int>")
     below = lambda step: F.concat(F.col("at"), F.lit("/"), step)
-    members = F.map_entries(F.try_variant_get("v", "$", "map<string,variant>"))
-    elements = F.transform(F.try_variant_get("v", "$", "array<variant>"), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    elements = F.transform("__elements", lambda x, i: F.struct(i.alias("i"), x.alias("x")))
     is_told = (F.cardinality("s.members") > 0) | (F.size("s.rest") > 0)
-    of_object = F.when(is_told, F.flatten(F.transform(members, lambda m: rows(F.coalesce(F.try_element_at("s.members", m["key"]), "s.rest", empty), below(m["key"]), m["value"], F.col("trail")))))
+    of_object = F.when(is_told, F.flatten(F.transform(F.map_entries("__members"), lambda m: rows(F.coalesce(F.try_element_at("s.members", m["key"]), "s.rest", empty), below(m["key"]), m["value"], F.col("trail")))))
     in_array = lambda e: F.concat(
         rows(F.coalesce("s.elements", empty), below(e["i"].cast("string")), e["x"], F.col("trail")), rows(F.coalesce("s.each", empty), below(e["i"].cast("string")), e["x"], under(F.col("s.each_id"), e["i"])),
         rows(F.coalesce("s.some", empty), below(e["i"].cast("string")), e["x"], under(F.col("s.some_id"), e["i"])),
     )
     of_array = F.when((F.size("s.elements") > 0) | (F.size("s.each") > 0) | (F.size("s.some") > 0), F.flatten(F.transform(elements, in_array)))
     branches = F.flatten(F.transform("s.choices", lambda c: F.flatten(F.transform(c["branches"], lambda b, i: rows(b, F.col("at"), F.col("v"), under(c["id"], i))))))
-    own = F.array(F.struct("at", "state", "v", "trail", F.lit(False).alias("open")))
-    return F.concat(own.cast(_ROW), F.when(F.col("open"), F.concat(*[F.coalesce(x.cast(_ROW), none) for x in (of_object, of_array, branches)])).otherwise(none))
+    return [of_object, of_array, branches]
 
 
 def violations(values: DataFrame, schemas: dict[str, Any]) -> DataFrame:
     """(columns of values but text and schema, word, at): each violated keyword, and the JSON pointer of where.
 
     values has text, the JSON of a value, and schema, the name of the schema it is held against. Texts that aren't JSON
-    and names without schema have no violations. Other columns must be scalars, and not named doc, word or at.
+    and names without schema have no violations. Other columns must be scalars, and not named doc, place, word or at.
     """
     automaton, spark = compiled(schemas), values.sparkSession
     keep = [c for c in values.columns if c not in ("text", "schema")]
     levels = automaton.levels
     if levels is None:
-        deepest = values.agg(F.max(_depth(F.col("text"))).alias("d")).first().d or 0
-        levels = (deepest + 1) * (1 + automaton.inner)
+        # each step goes into the document, but for those to a branch, which are conditions
+        levels = (values.agg(F.max(_depth(F.col("text"))).alias("d")).first().d or 0) + automaton.inner
     roots = spark.createDataFrame([(name, x) for name, xs in automaton.roots.items() for x in xs], "schema string, state int")
     table = state_table(spark, automaton)
     table = F.broadcast(table.select("state", F.struct(*[c for c in table.columns if c != "state"]).alias("s")))
+    values = values.withColumn("place", F.xxhash64(*keep, "text", "schema"))
+    if automaton.inner:
+        values = values.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "place")
     rows = values.withColumns({"v": F.try_parse_json("text"), "doc": F.monotonically_increasing_id()}).where("v is not null").join(F.broadcast(roots), "schema")
-    rows = rows.select(*keep, "doc", F.lit("").alias("at"), "state", "v", F.array().cast(_TRAIL).alias("trail"), F.lit(True).alias("open"))
-    opened = F.inline(_opened())
-    for _ in range(levels):
-        rows = rows.join(table, "state").select(*keep, "doc", opened)
-    rows = rows.join(table, "state")
+    rows = rows.select(*keep, "place", "doc", F.lit("").alias("at"), "state", "v", F.array().cast(_TRAIL).alias("trail"), F.lit(None).cast(_SAID).alias("said"))
+    own = F.array(F.struct("at", "state", "v", "trail", "said")).cast(_ROW)
+    none = F.array().cast(_ROW)
+    for level in range(levels + 1):
+        parts = [*_violations(), *(_marks() if automaton.inner else []), *(_opened() if level < levels else [])]
+        stepped = F.when(F.col("said").isNotNull(), own).otherwise(F.concat(*[F.coalesce(x.cast(_ROW), none) for x in parts]))
+        rows = _read(rows.join(table, "state", "left")).select(*keep, "place", "doc", F.inline(stepped))
+    rows = rows.select(*keep, "place", "doc", "trail", "at", "said.word", "said.id", "said.total")
     if not automaton.inner:
-        return rows.select(*keep, F.inline(_violations()))
-    said = F.concat(
-        F.transform(_violations(), lambda x: F.struct(F.col("trail").alias("trail"), x["word"].alias("word"), x["at"].alias("at"), F.lit(None).cast("int").alias("id"), F.lit(None).cast("int").alias("total"))),
-        F.transform(_marks(), lambda m: F.struct(F.col("trail").alias("trail"), m["word"].alias("word"), F.col("at").alias("at"), m["id"].alias("id"), m["total"].alias("total"))),
-    )
-    said = rows.select(*keep, "doc", F.inline(said))
-    plain, conditional = said.where("id is null and size(trail) = 0"), said.where("id is not null or size(trail) > 0")
+        return rows.select(*keep, "word", "at")
     # the innermost first: violations under a condition count a branch as failed, and may make a violation of what is above
-    found = [plain.select(*keep, "word", "at")]
+    rows = rows.withColumn("times", F.lit(1).cast("long"))
     for depth in range(automaton.inner, 0, -1):
-        last, above = F.element_at("trail", -1), F.slice("trail", 1, depth - 1)
-        marks = conditional.where((F.size("trail") == depth - 1) & F.col("id").isNotNull()).select(*keep, "doc", F.col("trail"), "id", "at", "word", "total", F.lit(None).cast("int").alias("branch"))
-        failed = conditional.where((F.size("trail") == depth) & F.col("id").isNull())
-        failed = failed.select(*keep, "doc", above.alias("trail"), last["id"].alias("id"), last["at"].alias("at"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("int").alias("total"), last["branch"].alias("branch"))
-        counted = marks.unionByName(failed).groupBy(*keep, "doc", "trail", "id", "at").agg(F.max("word").alias("word"), F.max("total").alias("total"), F.count_distinct("branch").alias("failed"))
-        passed = F.col("total") - F.col("failed")
-        bad = counted.where(F.when(F.col("word") == "oneOf", passed != 1).when(F.col("word") == "items", F.col("failed") > 0).otherwise(passed <= 0))
-        if depth == 1:
-            found.append(bad.select(*keep, "word", "at"))
-        else:
-            up = bad.select(*keep, "doc", "trail", "word", "at", F.lit(None).cast("int").alias("id"), F.lit(None).cast("int").alias("total"))
-            conditional = conditional.where(F.size("trail") < depth).unionByName(up)
-    return found[0].unionByName(found[1])
+        last, under = F.element_at("trail", -1), F.col("id").isNull() & (F.size("trail") == depth)
+        told = rows.select(
+            *keep, "place", "doc", F.when(under, F.slice("trail", 1, depth - 1)).otherwise(F.col("trail")).alias("trail"), F.when(under, last["id"]).otherwise(F.col("id")).alias("id"),
+            F.when(under, last["at"]).otherwise(F.col("at")).alias("at"), F.when(F.col("id").isNull() & ~under, F.col("word")).alias("own"), F.when(F.col("id").isNotNull(), F.col("word")).alias("word"), "total",
+            F.when(under, last["branch"]).alias("branch"), "times",
+        )
+        counted = told.groupBy(*keep, "place", "doc", "trail", "id", "at", "own").agg(F.max("word").alias("word"), F.max("total").alias("total"), F.count_distinct("branch").alias("failed"), F.sum("times").alias("times"))
+        passed, here = F.col("total") - F.col("failed"), F.col("id").isNotNull() & (F.size("trail") == depth - 1)
+        bad = F.when(F.col("word") == "oneOf", passed != 1).when(F.col("word") == "items", F.col("failed") > 0).otherwise(passed <= 0)
+        rows = counted.where(~here | bad).select(
+            *keep, "place", "doc", "trail", "at", F.coalesce("own", "word").alias("word"), F.when(~here, F.col("id")).alias("id"), F.when(~here, F.col("total")).alias("total"), F.when(here, F.lit(1).cast("long")).otherwise(F.col("times")).alias("times"),
+        )
+    return rows.select(*keep, "word", "at", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select(*keep, "word", "at")

@@ -327,7 +327,7 @@ SELECT 'EV-004' AS code, w || ' violated' AS message, k || '/payload' || p AS pa
 def schema_walk(spark, sf_dir):
     """Orders with their items as documents; each second item holds an item of its own."""
     o, item = T.table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'"), F.struct("l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
-    items = T.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(item)).alias("l"))
+    items = T.table(spark, sf_dir, "lineitem").join(o.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(item)).alias("l"))
     inner = F.array(F.struct(F.lit("x").alias("other")))
     each = F.transform("l", lambda x, n: F.struct(F.when(n % 5 != 4, x["l_returnflag"]).alias("flag"), x["l_quantity"].cast("int").alias("q"), x["l_partkey"].alias("part"), F.when(n == 1, inner).alias("items")))
     empty = F.array().cast("array<struct<flag:string,q:int,part:bigint,items:array<struct<other:string>>>>")

@@ -80,3 +80,21 @@ def test_the_plan_does_not_grow_with_schemas(spark):
     rows = spark.createDataFrame([("{}", "s0")], "text string, schema string")
     lines = [len(violations(rows, {f"s{k}": one for k in range(n)})._jdf.queryExecution().optimizedPlan().toString().splitlines()) for n in (1, 40)]
     assert lines[0] == lines[1]
+
+
+def test_documents_are_walked_once_and_counted_where_they_are(spark):
+    inner = {"oneOf": [{"anyOf": [{"type": "string"}, {"minimum": 2}]}, {"items": {"type": "string"}, "type": "array"}]}
+    rows = spark.createDataFrame([("{}", "t", "d1")], "text string, schema string, name string")
+    found = violations(rows, {"t": {"properties": {"a": inner, "b": {"items": inner}}}})
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD [text#") == 1
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_conditions_beyond_a_cycle_are_counted(spark):
+    to = lambda name: {"$ref": f"#/$defs/{name}"}
+    schema = {
+        "$defs": {"a": {"properties": {"n": to("b"), "c": {"oneOf": [{"type": "string"}, {"type": "null"}]}}}, "b": {"properties": {"m": to("a")}}},
+        "properties": {"a": to("a")}, "oneOf": [{"properties": {"b": to("b")}}, {"type": "string"}],
+    }
+    assert compiled({"t": schema}).inner == 2
+    assert walked(spark, {"t": schema}, [{"b": {"m": {"c": 5}}}, {"b": {"m": {"c": "s"}}}]) == [("t", 0, "oneOf", "")]
