@@ -3,6 +3,7 @@
 Many rules of many catalogs ask the same of a record: that it is of a type, that a pointer finds something, that what it
 finds compares with an operand. Each such question is an atom, a row of a table that is joined to the records by their
 type. One plan answers all of them, however many rules and catalogs there are: pointers, operators and operands are data.
+What a pointer finds is looked up and read once a record, however many atoms ask about it.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ SCHEMA = (
     "atom int, kind string, roles array<string>, phases array<string>, test string, inside boolean, steps array<string>, op string, operand string, "
     "pattern string, wanted string, days int, since string, by_package boolean"
 )
+#: Tests of what a pointer finds.
+VALUED = ("present", "compare")
 _READINGS = ("present", "num", "whole", "str", "nested")
 
 
@@ -37,10 +40,21 @@ class Atoms:
     outside: bool = False  # a pointer leads out of payloads
     by_package: bool = False
     lists: int = 0  # so many lists within each other are ordered
+    of_subjects: set[int] = field(default_factory=set)  # atoms of rules that are asked of each subject
 
     @property
-    def any_type(self) -> bool:
-        return any(r[1] == ANY for r in self.rows)
+    def kinds(self) -> set[str]:
+        return {r[1] for r in self.rows}
+
+    @property
+    def tests(self) -> set[str]:
+        return {r[4] for r in self.rows}
+
+    def places(self) -> tuple[dict[tuple, int], list[int]]:
+        """The distinct (kind, whether a value is found, inside, steps) with their numbers, and the number of each atom's."""
+        keys = [(r[1], r[4] in VALUED, r[5], tuple(r[6])) if r[4] in VALUED else (r[1], False, False, ()) for r in self.rows]
+        numbers: dict[tuple, int] = {}
+        return numbers, [numbers.setdefault(k, len(numbers)) for k in keys]
 
 
 def _question(rule: Rule, instant: str) -> dict[str, Any]:
@@ -91,12 +105,16 @@ def atoms_of(rules: list[Rule], instant: str) -> Atoms:
             if asked.get("op") in ("gt", "gte", "lt", "lte"):
                 out.lists = max(out.lists, depth(json.loads(asked["operand"])))
         out.of_rule[i] = numbers[key]
+        if not r.package_scope:
+            out.of_subjects.add(numbers[key])
     return out
 
 
 def atom_table(spark: SparkSession, atoms: Atoms) -> DataFrame:
-    """The atoms with their operands read; as many rows as catalogs on the driver have questions."""
-    df = spark.createDataFrame(atoms.rows, SCHEMA).withColumn("o", F.try_parse_json("operand"))
+    """The atoms with their operands and instants read; as many rows as catalogs on the driver have questions. place: the
+    number of what they ask about; asked: whether a rule of theirs is asked of each subject."""
+    rows = [(*r, place, r[0] in atoms.of_subjects) for r, place in zip(atoms.rows, atoms.places()[1], strict=True)]
+    df = spark.createDataFrame(rows, SCHEMA + ", place int, asked boolean").withColumn("o", F.try_parse_json("operand")).withColumn("since", _instant(F.col("since")))
     read = lambda v: [getattr(v, n).alias(n) for n in _READINGS]
     one, each = value_of(F.col("o")), F.transform(F.try_variant_get("o", "$", "array<variant>"), lambda x: F.struct(*read(value_of(x))))
     return df.select("*", F.struct(*read(one)).alias("one"), F.when(F.col("op") == "in", each).alias("members"))
@@ -150,7 +168,7 @@ def _instant(text: Column) -> Column:
 def _answers(lists: int) -> tuple[Column, Column]:
     """(satisfied, fails): whether a record satisfies an atom, and whether it can't be told, which is an error of the rule."""
     a = lambda name: F.col(f"a.{name}")
-    v, operand = value_of(F.col("__v")), Value(*(F.col(f"a.one.{n}") for n in _READINGS), raw=F.col("a.o"))
+    v, operand = Value(*(F.col(f"__read.{n}") for n in _READINGS), raw=F.col("__v")), Value(*(F.col(f"a.one.{n}") for n in _READINGS), raw=F.col("a.o"))
     equal = same(v, operand)
     sign = order(v, operand, lists)
     member = F.exists("a.members", lambda m: same(v, Value(*(m[n] for n in _READINGS))))
@@ -160,8 +178,9 @@ def _answers(lists: int) -> tuple[Column, Column]:
         F.when(op == "ne", ~v.present | ~equal).when(~v.present, False).when(op == "eq", equal).when(op == "in", member).when(op == "regex", matched)
         .when(op == "gt", sign > 0).when(op == "gte", sign >= 0).when(op == "lt", sign < 0).when(op == "lte", sign <= 0)
     )
-    since, own = _instant(F.when(a("by_package"), F.col("__package_time")).otherwise(a("since"))), _instant(F.col("timestamp"))
-    fresh = since["at"].isNull() | (own["at"] >= since["at"] - F.make_dt_interval(a("days")))
+    since = lambda name: F.when(a("by_package"), F.col(f"__package_since.{name}")).otherwise(F.col(f"a.since.{name}"))
+    own = F.col("__own.at")
+    fresh = since("at").isNull() | (own >= since("at") - F.make_dt_interval(a("days")))
     linked = F.lit(None).cast("boolean")
     for name, column in ENTITY.items():
         linked = F.when(a("wanted") == name, F.size(column) > 0).otherwise(linked)
@@ -172,34 +191,48 @@ def _answers(lists: int) -> tuple[Column, Column]:
         F.when(test == "has_record_type", True).when(test == "present", F.col("__v").isNotNull() & ~F.is_variant_null("__v")).when(test == "compare", holds).when(test == "evidence_freshness", fresh)
         .when(test == "attachment_exists", attached).when(test == "attachment_kind_exists", of_kind).when(test == "entity_linked", linked).when(test == "record_attested", F.length("attestation_signature") > 0)
     )
-    mixed = since["at"].isNotNull() & own["at"].isNotNull() & (since["aware"] != own["aware"])
+    mixed = since("at").isNotNull() & own.isNotNull() & (since("aware") != F.col("__own.aware"))
     fails = F.when(test == "evidence_freshness", mixed).when(test == "entity_linked", ~a("wanted").isin(*ENTITY))
     return F.coalesce(ok, F.lit(False)), F.coalesce(fails, F.lit(False))
 
 
-def answered(records: DataFrame, packages: DataFrame, atoms: Atoms) -> DataFrame:
-    """(package_id, record_id, seq, subject_refs, atom, satisfied, fails): a row for each record and atom in whose scope it is."""
-    spark = records.sparkSession
-    if atoms.by_package:
-        records = records.join(packages.select("package_id", F.col("package_time").alias("__package_time")), "package_id", "left")
-    else:
-        records = records.withColumn("__package_time", F.lit(None).cast("string"))
+def _found(records: DataFrame, atoms: Atoms) -> DataFrame:
+    """A row for each record and place that atoms ask about: kind, place, and what is found there (__v) with its readings."""
+    spark, (numbers, _) = records.sparkSession, atoms.places()
+    places = spark.createDataFrame([(i, kind, valued, inside, list(steps)) for (kind, valued, inside, steps), i in numbers.items()], "place int, kind string, valued boolean, inside boolean, steps array<string>")
+    kinds = F.lit(ANY) if atoms.kinds == {ANY} else F.explode(F.array("record_type", F.lit(ANY))) if ANY in atoms.kinds else F.col("record_type")
+    records = records.withColumn("kind", kinds)
+    if not any(valued for _, valued, _, _ in numbers):
+        nothing = F.struct(F.lit(False).alias("present"), *[F.lit(None).cast(t).alias(n) for n, t in zip(_READINGS[1:], ("double", "decimal(38,0)", "string", "string"), strict=True)])
+        return records.join(F.broadcast(places.select("place", "kind")), "kind").withColumns({"__v": F.lit(None).cast("variant"), "__read": nothing})
     records = records.withColumn("__payload", F.try_parse_json("payload"))
     records = records.withColumn("__whole", whole_record(records) if atoms.outside else F.lit(None).cast("variant"))
-    # members are looked up in maps that are made once a record; steps below those are walked by each atom that has any
+    # members are looked up in maps that are made once a record; steps below those are walked for each place that has any
     members = lambda v: F.try_variant_get(v, "$", "map<string,variant>")
     records = records.withColumns({"__of_payload": members("__payload"), "__of_whole": members("__whole")})
-    table = atom_table(spark, atoms)
-    table = table.select("kind", F.struct(*[c for c in table.columns if c != "kind"]).alias("a"))
-    kinds = F.explode(F.array("record_type", F.lit(ANY))) if atoms.any_type else F.col("record_type")
-    rows = records.withColumn("kind", kinds).join(F.broadcast(table), "kind")
+    rows = records.join(F.broadcast(places), "kind")
+    either = lambda inner, outer: F.when(F.col("inside"), F.col(inner)).otherwise(F.col(outer))
+    base, step = either("__payload", "__whole"), F.get("steps", F.lit(0))
+    first = F.coalesce(F.try_element_at(either("__of_payload", "__of_whole"), step), below(base, step))
+    more = F.slice("steps", F.lit(2), F.greatest(F.lit(0), F.size("steps") - 1))
+    found = F.when(F.size("steps") == 0, base).when(F.size("steps") == 1, first).otherwise(F.aggregate(more, first, below))
+    rows = rows.withColumn("__v", F.when(F.col("valued"), found)).withColumn("__type", F.coalesce(F.schema_of_variant("__v"), F.lit("VOID")))
+    v = value_of(F.col("__v"), F.col("__type"))
+    return rows.withColumn("__read", F.struct(*[getattr(v, n).alias(n) for n in _READINGS]))
+
+
+def answered(records: DataFrame, packages: DataFrame, atoms: Atoms) -> DataFrame:
+    """(package_id, record_id, seq, subject_refs, atom, asked, satisfied, fails): a row for each record and atom in whose scope it is."""
+    if atoms.by_package:
+        records = records.join(packages.select("package_id", _instant(F.col("package_time")).alias("__package_since")), "package_id", "left")
+    else:
+        records = records.withColumn("__package_since", F.lit(None).cast("struct<at:timestamp,aware:boolean>"))
+    # instants are read once a record, not for each atom
+    records = records.withColumn("__own", _instant(F.col("timestamp")) if "evidence_freshness" in atoms.tests else F.lit(None).cast("struct<at:timestamp,aware:boolean>"))
+    table = atom_table(records.sparkSession, atoms)
+    table = table.select("place", F.struct(*[c for c in table.columns if c not in ("place", "kind", "inside", "steps")]).alias("a"))
+    rows = _found(records, atoms).join(F.broadcast(table), "place")
     within = lambda names, column: (F.size(names) == 0) | F.array_contains(names, F.coalesce(column, F.lit("")))
     rows = rows.where(within("a.roles", "obligation_role") & within("a.phases", "lifecycle_phase") & ((F.col("kind") != ANY) | ~F.col("record_type").startswith("x-")))
-    either = lambda inner, outer: F.when(F.col("a.inside"), F.col(inner)).otherwise(F.col(outer))
-    base, step = either("__payload", "__whole"), F.get("a.steps", F.lit(0))
-    first = F.coalesce(F.try_element_at(either("__of_payload", "__of_whole"), step), below(base, step))
-    more = F.slice("a.steps", F.lit(2), F.greatest(F.lit(0), F.size("a.steps") - 1))
-    found = F.when(F.size("a.steps") == 0, base).when(F.size("a.steps") == 1, first).otherwise(F.aggregate(more, first, below))
-    rows = rows.withColumn("__v", F.when(F.col("a.test").isin("present", "compare"), found))
     ok, fails = _answers(atoms.lists)
-    return rows.select("package_id", "record_id", "seq", "subject_refs", F.col("a.atom").alias("atom"), ok.alias("satisfied"), fails.alias("fails"))
+    return rows.select("package_id", "record_id", "seq", "subject_refs", F.col("a.atom").alias("atom"), F.col("a.asked").alias("asked"), ok.alias("satisfied"), fails.alias("fails"))

@@ -9,7 +9,8 @@ packages:   package_id, package_time
 signatures: package_id, alg
 
 Joins are on counts, a row per package, subject and atom at most. Answers are aggregated before they are shuffled, so
-neither a hot package nor a hot subject gathers its records in one task.
+neither a hot package nor a hot subject gathers its records in one task. Evidence of records without a subject is every
+subject's; it is joined last, and nothing is shuffled after it has been copied to them.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ from .catalog import Rule
 
 #: Keys of counts that aren't of one subject: records without a subject, and all records of a package.
 SHARED, ALL = "\u0000shared", "\u0000all"
+NOBODY = "\u0000nobody"
 _TABLE = (
     "rule int, profile_id string, provision_id string, rule_id string, severity string, message string, existential boolean, min_count int, signed boolean, algs array<string>, "
     "defect string, late boolean, if_system_type array<string>, risks array<string>, needs array<string>, applicable_to array<string>, package_scope boolean, atom int"
 )
 _REFS = "array<struct<seq:bigint,record_id:string>>"
+_COUNTS = ("n", "ok", "bad", "refs")
 
 
 def rule_table(spark: SparkSession, rules: list[Rule], atoms: Atoms, instant: str) -> DataFrame:
@@ -66,20 +69,25 @@ def evidence_rows(records: DataFrame, packages: DataFrame, rules: list[Rule], in
     return flagged(records, packages, rules, instant).where("satisfied").drop("satisfied")
 
 
-def _counts(records: DataFrame, packages: DataFrame, atoms: Atoms, evidence: bool) -> tuple[DataFrame, DataFrame]:
-    """(by key, by package): matching, satisfying and failing records of each atom. A record of several subjects is a
-    package's under the first of them alone, so the package's counts come from those by key."""
-    rows = answered(records, packages, atoms).select("package_id", "record_id", "seq", "atom", "satisfied", "fails", F.posexplode(_keys(F.col("subject_refs"))).alias("i", "key"))
-    first = F.col("i") == 0
-    sums = [F.count("*").alias("n"), F.count_if("satisfied").alias("ok"), F.count_if("fails").alias("bad")]
-    sums += [F.count_if(first).alias("n3"), F.count_if(first & F.col("satisfied")).alias("ok3"), F.count_if(first & F.col("fails")).alias("bad3")]
-    none = F.array().cast(_REFS)
+def _counts(records: DataFrame, packages: DataFrame, atoms: Atoms, evidence: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(own, shared, whole): matching, satisfying and failing records of each atom by subject, without a subject, and of the
+    package. Atoms that are asked of packages alone aren't counted by subject.
+
+    The three are read from one shuffle of the counts. So they tell rows apart by an aggregate: a condition on the key
+    would be moved to the records, which would be answered three times."""
+    none, whole = F.array().cast(_REFS), F.array(F.lit(ALL))
+    keys = F.when(F.col("asked"), F.concat(_keys(F.col("subject_refs")), whole)).otherwise(whole)
+    rows = answered(records, packages, atoms).select("package_id", "record_id", "seq", "atom", "satisfied", "fails", F.explode(keys).alias("key"))
+    # never null, so that no condition of the joins goes to the records either; a reference that is null is no subject's
+    rows = rows.withColumn("key", F.coalesce("key", F.lit(NOBODY)))
+    of = F.when(F.col("key") == SHARED, 1).when(F.col("key") == ALL, 2).otherwise(0)
     one = F.struct(F.col("seq").cast("long").alias("seq"), F.col("record_id").cast("string").alias("record_id"))
-    gather = [F.collect_list(F.when(F.col("satisfied"), one)).cast(_REFS).alias("refs"), F.collect_list(F.when(F.col("satisfied") & first, one)).cast(_REFS).alias("refs3")]
-    by_key = rows.groupBy("package_id", "key", "atom").agg(*sums, *gather) if evidence else rows.groupBy("package_id", "key", "atom").agg(*sums).withColumns({"refs": none, "refs3": none})
-    refs = F.flatten(F.collect_list("refs3")) if evidence else F.first("refs3")
-    whole = by_key.groupBy("package_id", "atom").agg(F.sum("n3").alias("n3"), F.sum("ok3").alias("ok3"), F.sum("bad3").alias("bad3"), refs.alias("refs3"))
-    return by_key.drop("n3", "ok3", "bad3", "refs3"), whole
+    refs = [F.collect_list(F.when(F.col("satisfied"), one)).cast(_REFS).alias("refs")] if evidence else []
+    counted = rows.groupBy("package_id", "key", "atom").agg(F.max(of).alias("of"), F.count("*").alias("n"), F.count_if("satisfied").alias("ok"), F.count_if("fails").alias("bad"), *refs)
+    # in order once here, so that lists of several keys are merged and not sorted anew for each subject
+    counted = counted.withColumn("refs", F.sort_array("refs") if evidence else none)
+    some = lambda which, *names: counted.where(F.col("of") == which).select("package_id", *names, "atom", *[F.col(c).alias(f"{c}{which + 1}") for c in _COUNTS])
+    return some(0, F.col("key").alias("subject_id")), some(1), some(2)
 
 
 def is_selected(declared: Column, provision: Column) -> Column:
@@ -107,26 +115,28 @@ def rule_results(records: DataFrame, subjects: DataFrame, packages: DataFrame, r
     """
     spark = records.sparkSession
     atoms = atoms_of(rules, instant)
-    by_key, whole = _counts(records, packages, atoms, evidence)
+    own, shared, whole = _counts(records, packages, atoms, evidence)
     table = F.broadcast(rule_table(spark, rules, atoms, instant))
     asked = _asked_of_all(packages, subjects, rules) if asked is None else asked.select("package_id", "profile_id", "declared")
 
     subjects = subjects.select("package_id", F.col("subject_id").cast("string").alias("subject_id"), F.coalesce("risk", F.lit("")).alias("risk"), F.coalesce("modalities", F.array().cast("array<string>")).alias("modalities"))
     listed = subjects.groupBy("package_id").agg(F.count("*").alias("many"))
     alone = packages.select("package_id").distinct().join(listed, "package_id", "left").select("package_id", F.lit(None).cast("string").alias("subject_id"), F.lit("").alias("risk"), F.array().cast("array<string>").alias("modalities"), F.col("many").isNull().alias("only"))
-    frame = subjects.withColumn("only", F.lit(False)).unionByName(alone).join(asked, "package_id").join(table, "profile_id")
-    frame = frame.where((F.col("subject_id").isNull() & (F.col("package_scope") | F.col("only"))) | (F.col("subject_id").isNotNull() & ~F.col("package_scope")))
-    frame = frame.where(is_selected(F.col("declared"), F.col("provision_id")) & ((F.col("risk") == "") | (F.size("applicable_to") == 0) | F.array_contains("applicable_to", F.col("risk"))))
-
-    counts = ("n", "ok", "bad", "refs")
-    own = by_key.where(F.col("key") != SHARED).select("package_id", F.col("key").alias("subject_id"), "atom", *[F.col(c).alias(f"{c}1") for c in counts])
-    shared = by_key.where(F.col("key") == SHARED).select("package_id", "atom", *[F.col(c).alias(f"{c}2") for c in counts])
-    df = frame.join(own, ["package_id", "subject_id", "atom"], "left").join(shared, ["package_id", "atom"], "left").join(whole, ["package_id", "atom"], "left")
-    if signatures is None:
-        df = df.withColumn("signed_by", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>")))
-    else:
+    by_alg = None
+    if signatures is not None:
         by_alg = signatures.groupBy("package_id", F.coalesce("alg", F.lit("")).alias("alg")).agg(F.count("*").alias("c")).groupBy("package_id").agg(F.map_from_entries(F.collect_list(F.struct("alg", "c"))).alias("signed_by"))
-        df = df.join(by_alg, "package_id", "left")
+
+    def frame(who: DataFrame) -> DataFrame:
+        """The rules that are asked of packages or subjects."""
+        df = who.join(asked, "package_id").join(table, "profile_id")
+        df = df.where(is_selected(F.col("declared"), F.col("provision_id")) & ((F.col("risk") == "") | (F.size("applicable_to") == 0) | F.array_contains("applicable_to", F.col("risk"))))
+        if by_alg is None:
+            return df.withColumn("signed_by", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>")))
+        return df.join(by_alg, "package_id", "left")
+
+    of_subjects = frame(subjects.withColumn("only", F.lit(False))).where(F.col("subject_id").isNotNull() & ~F.col("package_scope")).join(own, ["package_id", "subject_id", "atom"], "left").join(shared, ["package_id", "atom"], "left")
+    of_packages = frame(alone).where(F.col("package_scope") | F.col("only")).join(whole, ["package_id", "atom"], "left")
+    df = of_subjects.unionByName(of_packages, allowMissingColumns=True)
 
     package = F.col("subject_id").isNull()
     off = (F.size("needs") > 0) & (F.size("modalities") > 0) & ~F.arrays_overlap("needs", "modalities")
@@ -138,6 +148,6 @@ def rule_results(records: DataFrame, subjects: DataFrame, packages: DataFrame, r
     passed = F.when(F.col("existential"), F.col("n_satisfied") >= F.col("min_count")).otherwise(F.col("n_satisfied") == F.col("n_match"))
     outcome = F.when(skip, "skipped").when(F.col("defect").isNotNull() | (both("bad") > 0), "error").when(passed, "passed").otherwise("failed")
     none = F.array().cast(_REFS)
-    order = F.array_sort(F.when(package, F.coalesce("refs3", none)).otherwise(F.concat(F.coalesce("refs1", none), F.coalesce("refs2", none))))
-    ids = F.when(off | (outcome == "skipped"), F.array().cast("array<string>")).otherwise(F.transform(order, lambda x: x["record_id"]))
+    order = F.sort_array(F.when(package, F.coalesce("refs3", none)).otherwise(F.concat(F.coalesce("refs2", none), F.coalesce("refs1", none))))
+    ids = F.when(off | (outcome == "skipped"), F.array().cast("array<string>")).otherwise(order["record_id"]) if evidence else F.array().cast("array<string>")
     return df.select("package_id", "subject_id", "profile_id", "provision_id", "rule_id", "severity", "message", "n_match", "n_satisfied", outcome.alias("outcome"), ids.alias("evidence_refs"), "rule")
