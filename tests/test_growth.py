@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from contextlib import contextmanager
 
+import pytest
+
 from proofmill.queries import QUERIES
 
 
@@ -22,6 +24,12 @@ def shuffled(spark):
             spark.conf.set(k, v)
 
 
+def explained(df, capsys) -> str:
+    capsys.readouterr()
+    df.explain("formatted")
+    return capsys.readouterr().out
+
+
 def test_shared_evidence_is_joined_last(spark, sf_dir):
     """Behind a further join the evidence of all subjects could be shuffled by package, to one task."""
     with shuffled(spark):
@@ -33,3 +41,12 @@ def test_shared_evidence_is_joined_last(spark, sf_dir):
         if depth(line) < now:
             above, now = [*above, line.strip(" :+-").split()[0]], depth(line)
     assert above.count("Join") == 1 and "Aggregate" not in above
+
+
+@pytest.mark.parametrize("name", ["op_evidence_freshness"])
+def test_records_are_answered_once(spark, sf_dir, name, capsys):
+    with shuffled(spark):
+        text = explained(QUERIES[name](spark, sf_dir), capsys)
+    # the records of a scan that isn't reused have payloads or instants among their columns
+    read = re.findall(r"\) Scan parquet *\s*\nOutput \[\d+\]: (\[.*?\])\s*\n", text)
+    assert len([x for x in read if re.search(r"\bts#", x)]) == 1
