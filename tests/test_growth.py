@@ -7,7 +7,11 @@ from contextlib import contextmanager
 
 import pytest
 
+from proofmill.plans.atoms import atoms_of
+from proofmill.plans.catalog import Rule
+from proofmill.plans.rules import _counts
 from proofmill.queries import QUERIES
+from proofmill.sources import testdata as T
 
 
 @contextmanager
@@ -50,3 +54,14 @@ def test_records_are_answered_once(spark, sf_dir, name, capsys):
     # the records of a scan that isn't reused have payloads or instants among their columns
     read = re.findall(r"\) Scan parquet *\s*\nOutput \[\d+\]: (\[.*?\])\s*\n", text)
     assert len([x for x in read if re.search(r"\bts#", x)]) == 1
+
+
+def test_atoms_of_packages_are_not_counted_by_subject(spark, sf_dir):
+    ask = lambda kind, whole: Rule("p", "a", kind, "has_record_type", {"type": kind}, package_scope=whole)
+    records, packages = T.event_records(spark, sf_dir), T.packages(spark)
+    rules = [ask("view", True), ask("click", False), ask("purchase", True), ask("purchase", False)]
+    atoms = atoms_of(rules, T.EVENTS_AT)
+    own, shared, whole = _counts(records, packages, atoms, False)
+    both = {r.atom for r in own.select("atom").distinct().collect()}
+    assert both == {atoms.of_rule[1], atoms.of_rule[2]} == {r.atom for r in shared.collect()} and {r.atom for r in whole.collect()} == both | {atoms.of_rule[0]}
+    assert {r.atom: r.n3 for r in whole.collect()}[atoms.of_rule[0]] == records.where("record_type = 'view'").count()
