@@ -47,7 +47,7 @@ def test_shared_evidence_is_joined_last(spark, sf_dir):
     assert above.count("Join") == 1 and "Aggregate" not in above
 
 
-@pytest.mark.parametrize("name", ["op_evidence_freshness", "op_evidence_freshness_package_time"])
+@pytest.mark.parametrize("name", ["op_evidence_freshness", "op_evidence_freshness_package_time", "profile_summary"])
 def test_records_are_answered_once(spark, sf_dir, name, capsys):
     with shuffled(spark):
         text = explained(QUERIES[name](spark, sf_dir), capsys)
