@@ -75,9 +75,13 @@ def variant_path(tokens: list[str]) -> str | None:
 
 def below(v: Column, step: Column) -> Column:
     """What one step of a pointer finds in a VARIANT: an object's member of that name, or an array's element at that position."""
-    member = F.try_element_at(F.try_variant_get(v, "$", "map<string,variant>"), step)
+    return F.coalesce(F.try_element_at(F.try_variant_get(v, "$", "map<string,variant>"), step), at_position(v, step))
+
+
+def at_position(v: Column, step: Column) -> Column:
+    """An array's element at the position that a step names."""
     at = F.when(step.rlike("^(0|[1-9][0-9]{0,8})$"), step.cast("int"))
-    return F.coalesce(member, F.get(F.try_variant_get(v, "$", "array<variant>"), at))
+    return F.get(F.try_variant_get(v, "$", "array<variant>"), at)
 
 
 def found_at(v: Column, tokens: list[str]) -> Column:

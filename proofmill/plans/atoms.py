@@ -15,7 +15,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.predicates import INPUT_CHARS, OPERATORS, RuleError, Value, below, checked_pattern, depth, order, pointer_tokens, same, value_of
+from ..functions.predicates import EXACT, INPUT_CHARS, OPERATORS, RuleError, Value, at_position, below, checked_pattern, depth, order, pointer_tokens, same, value_of
 from .catalog import Rule
 
 ENTITY = {"subject": "subject_refs", "component": "component_refs", "dataset": "dataset_refs", "actor": "actor_refs"}
@@ -27,7 +27,7 @@ SCHEMA = (
 )
 #: Tests of what a pointer finds.
 VALUED = ("present", "compare")
-_READINGS = ("present", "num", "whole", "str", "nested")
+_READINGS = {"present": "boolean", "num": "double", "whole": "decimal(38,0)", "str": "string", "nested": "string"}
 
 
 @dataclass
@@ -50,6 +50,23 @@ class Atoms:
     def tests(self) -> set[str]:
         return {r[4] for r in self.rows}
 
+    @property
+    def ops(self) -> set[str]:
+        return {r[7] for r in self.rows if r[4] == "compare"}
+
+    @property
+    def readings(self) -> set[str]:
+        """The readings of a value that some operand can be compared with."""
+        out = set()
+        for op, text in ((r[7], r[8]) for r in self.rows if r[4] == "compare"):
+            operand = json.loads(text)
+            for x in operand if op == "in" and isinstance(operand, list) else [operand]:
+                if isinstance(x, bool | int | float):
+                    out |= {"num", "whole"} if isinstance(x, int) and abs(x) >= EXACT else {"num"}
+                elif x is not None:
+                    out.add("str" if isinstance(x, str) else "nested")
+        return out
+
     def places(self) -> tuple[dict[tuple, int], list[int]]:
         """The distinct (kind, whether a value is found, inside, steps) with their numbers, and the number of each atom's."""
         keys = [(r[1], r[4] in VALUED, r[5], tuple(r[6])) if r[4] in VALUED else (r[1], False, False, ()) for r in self.rows]
@@ -115,9 +132,22 @@ def atom_table(spark: SparkSession, atoms: Atoms) -> DataFrame:
     number of what they ask about; asked: whether a rule of theirs is asked of each subject."""
     rows = [(*r, place, r[0] in atoms.of_subjects) for r, place in zip(atoms.rows, atoms.places()[1], strict=True)]
     df = spark.createDataFrame(rows, SCHEMA + ", place int, asked boolean").withColumn("o", F.try_parse_json("operand")).withColumn("since", _instant(F.col("since")))
-    read = lambda v: [getattr(v, n).alias(n) for n in _READINGS]
-    one, each = value_of(F.col("o")), F.transform(F.try_variant_get("o", "$", "array<variant>"), lambda x: F.struct(*read(value_of(x))))
-    return df.select("*", F.struct(*read(one)).alias("one"), F.when(F.col("op") == "in", each).alias("members"))
+    df = df.withColumn("one", _read(value_of(F.col("o"))))
+    if "in" not in atoms.ops:
+        return df
+    each = F.transform(F.try_variant_get("o", "$", "array<variant>"), lambda x: _read(value_of(x)))
+    df = df.withColumn("__each", F.when(F.col("op") == "in", each))
+    # as `same` has it: numbers by their exact readings where both have one
+    plain = F.filter("__each", lambda m: m["whole"].isNull())
+    members = [F.col("__each")[n].alias(n) for n in ("num", "whole", "str", "nested")]
+    return df.withColumn("members", F.struct(*members, plain["num"].alias("plain"))).drop("__each")
+
+
+def _read(v: Value) -> Column:
+    """The readings of a value. Integers that doubles tell apart have no exact one: two such compare as doubles, and so does
+    one with any other number."""
+    whole = F.when(F.abs(v.num) >= float(EXACT), v.whole)
+    return F.struct(*[(whole if n == "whole" else getattr(v, n)).alias(n) for n in _READINGS])
 
 
 # ---------------------------------------------------------------- records
@@ -165,34 +195,49 @@ def _instant(text: Column) -> Column:
     return F.struct(F.when(formed, F.try_to_timestamp(F.regexp_replace(short, r"([+-]\d\d)(\d\d)$", "$1:$2"))).alias("at"), aware.alias("aware"))
 
 
-def _answers(lists: int) -> tuple[Column, Column]:
-    """(satisfied, fails): whether a record satisfies an atom, and whether it can't be told, which is an error of the rule."""
+def _answers(atoms: Atoms) -> tuple[Column, Column]:
+    """(satisfied, fails): whether a record satisfies an atom, and whether it can't be told, which is an error of the rule.
+
+    What no atom asks isn't part of them, nor are lambdas: so they are compiled as one with the joins about them."""
     a = lambda name: F.col(f"a.{name}")
-    v, operand = Value(*(F.col(f"__read.{n}") for n in _READINGS), raw=F.col("__v")), Value(*(F.col(f"a.one.{n}") for n in _READINGS), raw=F.col("a.o"))
-    equal = same(v, operand)
-    sign = order(v, operand, lists)
-    member = F.exists("a.members", lambda m: same(v, Value(*(m[n] for n in _READINGS))))
-    matched = (F.length(v.str) <= INPUT_CHARS) & F.rlike(v.str, a("pattern"))
-    op = a("op")
-    holds = (
-        F.when(op == "ne", ~v.present | ~equal).when(~v.present, False).when(op == "eq", equal).when(op == "in", member).when(op == "regex", matched)
-        .when(op == "gt", sign > 0).when(op == "gte", sign >= 0).when(op == "lt", sign < 0).when(op == "lte", sign <= 0)
-    )
-    since = lambda name: F.when(a("by_package"), F.col(f"__package_since.{name}")).otherwise(F.col(f"a.since.{name}"))
+    readings = atoms.readings
+
+    def value(of: str, raw: Column) -> Value:
+        return Value(*(F.col(f"{of}.{n}") if n in readings | {"present"} else F.lit(None).cast(t) for n, t in _READINGS.items()), raw=raw)
+
+    def chosen(asked: set[str], which: Column, answers: dict[str, Column]) -> Column:
+        out = F.lit(None).cast("boolean")
+        for name, answer in answers.items():
+            out = F.when(which == name, answer).otherwise(out) if name in asked else out
+        return out
+
+    v, operand = value("__read", F.col("__v")), value("a.one", a("o"))
+    equal, sign = same(v, operand), order(v, operand, atoms.lists)
+    text = F.col("__read.str")
+    answers = {
+        "eq": equal, "regex": (F.length(text) <= INPUT_CHARS) & F.rlike(text, a("pattern")),
+        "gt": sign > 0, "gte": sign >= 0, "lt": sign < 0, "lte": sign <= 0,
+    }
+    if "in" in atoms.ops:
+        among = lambda name, x: F.coalesce(F.array_contains(a(f"members.{name}"), x), F.lit(False))
+        number = F.when(v.whole.isNotNull(), among("whole", v.whole) | among("plain", v.num)).otherwise(among("num", v.num))
+        answers["in"] = number | among("str", v.str) | among("nested", v.nested)
+    answers = {op: v.present & x for op, x in answers.items()} | {"ne": ~v.present | ~equal}
+    since = F.when(a("by_package"), F.col("__package_since.at")).otherwise(F.col("a.since.at"))
+    of_zone = F.when(a("by_package"), F.col("__package_since.aware")).otherwise(F.col("a.since.aware"))
     own = F.col("__own.at")
-    fresh = since("at").isNull() | (own >= since("at") - F.make_dt_interval(a("days")))
     linked = F.lit(None).cast("boolean")
     for name, column in ENTITY.items():
         linked = F.when(a("wanted") == name, F.size(column) > 0).otherwise(linked)
-    test = a("test")
-    attached = F.exists("attachments", lambda x: a("wanted").isNull() | (x["media_type"] == a("wanted")))
-    of_kind = F.exists("attachments", lambda x: x["attachment_type"] == a("wanted"))
-    ok = (
-        F.when(test == "has_record_type", True).when(test == "present", F.col("__v").isNotNull() & ~F.is_variant_null("__v")).when(test == "compare", holds).when(test == "evidence_freshness", fresh)
-        .when(test == "attachment_exists", attached).when(test == "attachment_kind_exists", of_kind).when(test == "entity_linked", linked).when(test == "record_attested", F.length("attestation_signature") > 0)
-    )
-    mixed = since("at").isNotNull() & own.isNotNull() & (since("aware") != F.col("__own.aware"))
-    fails = F.when(test == "evidence_freshness", mixed).when(test == "entity_linked", ~a("wanted").isin(*ENTITY))
+    tests = {
+        "has_record_type": F.lit(True), "present": F.col("__v").isNotNull() & ~F.is_variant_null("__v"), "compare": chosen(atoms.ops, a("op"), answers),
+        "evidence_freshness": since.isNull() | (own >= since - F.make_dt_interval(a("days"))),
+        "attachment_exists": F.when(a("wanted").isNull(), F.size("attachments") > 0).otherwise(F.array_contains(F.col("attachments.media_type"), a("wanted"))),
+        "attachment_kind_exists": F.array_contains(F.col("attachments.attachment_type"), a("wanted")),
+        "entity_linked": linked, "record_attested": F.length("attestation_signature") > 0,
+    }
+    errors = {"evidence_freshness": since.isNotNull() & own.isNotNull() & (of_zone != F.col("__own.aware")), "entity_linked": ~a("wanted").isin(*ENTITY)}
+    ok, fails = (chosen(atoms.tests, a("test"), x) for x in (tests, errors))
     return F.coalesce(ok, F.lit(False)), F.coalesce(fails, F.lit(False))
 
 
@@ -203,7 +248,7 @@ def _found(records: DataFrame, atoms: Atoms) -> DataFrame:
     kinds = F.lit(ANY) if atoms.kinds == {ANY} else F.explode(F.array("record_type", F.lit(ANY))) if ANY in atoms.kinds else F.col("record_type")
     records = records.withColumn("kind", kinds)
     if not any(valued for _, valued, _, _ in numbers):
-        nothing = F.struct(F.lit(False).alias("present"), *[F.lit(None).cast(t).alias(n) for n, t in zip(_READINGS[1:], ("double", "decimal(38,0)", "string", "string"), strict=True)])
+        nothing = F.struct(*[(F.lit(False) if n == "present" else F.lit(None).cast(t)).alias(n) for n, t in _READINGS.items()])
         return records.join(F.broadcast(places.select("place", "kind")), "kind").withColumns({"__v": F.lit(None).cast("variant"), "__read": nothing})
     records = records.withColumn("__payload", F.try_parse_json("payload"))
     records = records.withColumn("__whole", whole_record(records) if atoms.outside else F.lit(None).cast("variant"))
@@ -213,12 +258,13 @@ def _found(records: DataFrame, atoms: Atoms) -> DataFrame:
     rows = records.join(F.broadcast(places), "kind")
     either = lambda inner, outer: F.when(F.col("inside"), F.col(inner)).otherwise(F.col(outer))
     base, step = either("__payload", "__whole"), F.get("steps", F.lit(0))
-    first = F.coalesce(F.try_element_at(either("__of_payload", "__of_whole"), step), below(base, step))
-    more = F.slice("steps", F.lit(2), F.greatest(F.lit(0), F.size("steps") - 1))
-    found = F.when(F.size("steps") == 0, base).when(F.size("steps") == 1, first).otherwise(F.aggregate(more, first, below))
+    found = first = F.coalesce(F.try_element_at(either("__of_payload", "__of_whole"), step), at_position(base, step))
+    if any(len(steps) > 1 for *_, steps in numbers):
+        more = F.slice("steps", F.lit(2), F.greatest(F.lit(0), F.size("steps") - 1))
+        found = F.when(F.size("steps") == 1, first).otherwise(F.aggregate(more, first, below))
+    found = F.when(F.size("steps") == 0, base).otherwise(found)
     rows = rows.withColumn("__v", F.when(F.col("valued"), found)).withColumn("__type", F.coalesce(F.schema_of_variant("__v"), F.lit("VOID")))
-    v = value_of(F.col("__v"), F.col("__type"))
-    return rows.withColumn("__read", F.struct(*[getattr(v, n).alias(n) for n in _READINGS]))
+    return rows.withColumn("__read", _read(value_of(F.col("__v"), F.col("__type"))))
 
 
 def answered(records: DataFrame, packages: DataFrame, atoms: Atoms) -> DataFrame:
@@ -234,5 +280,5 @@ def answered(records: DataFrame, packages: DataFrame, atoms: Atoms) -> DataFrame
     rows = _found(records, atoms).join(F.broadcast(table), "place")
     within = lambda names, column: (F.size(names) == 0) | F.array_contains(names, F.coalesce(column, F.lit("")))
     rows = rows.where(within("a.roles", "obligation_role") & within("a.phases", "lifecycle_phase") & ((F.col("kind") != ANY) | ~F.col("record_type").startswith("x-")))
-    ok, fails = _answers(atoms.lists)
+    ok, fails = _answers(atoms)
     return rows.select("package_id", "record_id", "seq", "subject_refs", F.col("a.atom").alias("atom"), F.col("a.asked").alias("asked"), ok.alias("satisfied"), fails.alias("fails"))

@@ -56,6 +56,15 @@ def test_records_are_answered_once(spark, sf_dir, name, capsys):
     assert len([x for x in read if re.search(r"\bts#", x)]) == 1
 
 
+@pytest.mark.parametrize("name", ["catalogs_as_table", "op_evidence_freshness_package_time", "op_attachment_exists", "op_field_value_in"])
+def test_answers_are_compiled_with_the_joins_about_them(spark, sf_dir, name):
+    """Else each record is written as a row for each atom in between, and its readings are read anew."""
+    with shuffled(spark):
+        lines = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().splitlines()
+    answers = [re.sub(r"^[ :+-]+", "", line) for line in lines if re.search(r"AS satisfied#", line)]
+    assert answers and all(line.startswith("*(") for line in answers)
+
+
 def test_atoms_of_packages_are_not_counted_by_subject(spark, sf_dir):
     ask = lambda kind, whole: Rule("p", "a", kind, "has_record_type", {"type": kind}, package_scope=whole)
     records, packages = T.event_records(spark, sf_dir), T.packages(spark)

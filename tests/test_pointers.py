@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import operator
 
 import pytest
 
@@ -88,6 +89,31 @@ def test_freshness_does_not_depend_on_the_session(spark, zone):
     assert found["no", "package"] == "passed" and found["None", "instant"] == "passed"  # no date to be fresh by, no record
 
 
+def test_integers_that_doubles_do_not_tell_apart(spark):
+    """Atoms with small and large operands, of all kinds, in one plan."""
+    big = 1 << 53
+    values = [big - 1, big, big + 1, -big - 1, 10**20, 10**20 + 1, 7, 7.5, True, "7", None, [big + 1], {"a": 1}]
+    asked = [(op, x) for op in ("eq", "ne", "gt", "gte", "lt", "lte") for x in (7, big, big + 1, -big - 1, 10**20 + 1, "7", [big + 1])]
+    asked += [("in", [big + 1, 7]), ("in", [1, "7", [big + 1]]), ("in", [7.5, 10**20]), ("in", "7"), ("in", [])]
+    rules = [rule("exists_where", str(i), field="/payload/v", op=op, value=x) for i, (op, x) in enumerate(asked)]
+    records = spark.createDataFrame([(f"p{k}", "r0", "log", AT, None, None, [], [], [], [], json.dumps({"v": v}), [], None, 0) for k, v in enumerate(values)], RECORD)
+    subjects = spark.createDataFrame([], "package_id string, subject_id string, risk string, modalities array<string>")
+    times = spark.createDataFrame([(f"p{k}", AT) for k in range(len(values))], "package_id string, package_time string")
+    found = {(r.package_id, r.rule_id): r.outcome == "passed" for r in rule_results(records, subjects, times, rules, AT, evidence=False).collect()}
+    for k, v in enumerate(values):
+        for i, (op, x) in enumerate(asked):
+            if op == "in":
+                want = isinstance(x, list) and v is not None and v in x
+            elif op in ("eq", "ne"):
+                want = (v is not None and v == x) == (op == "eq")
+            else:
+                try:
+                    want = {"gt": operator.gt, "gte": operator.ge, "lt": operator.lt, "lte": operator.le}[op](v, x)
+                except TypeError:
+                    want = False
+            assert found[f"p{k}", str(i)] is want, (v, op, x)
+
+
 def test_patterns_of_both_dialects(spark):
     rules = [rule("exists_where", x, field="/record_id", op="regex", value=v) for x, v in (("named", "^(?P<first>r)0"), ("theirs-only", "(?(1)a|b)"))]
     assert outcomes(spark, {"p": (AT, AT)}, rules, AT) == {("p", "named"): "passed", ("p", "theirs-only"): "error"}
