@@ -25,9 +25,12 @@ SCHEMA = (
     "atom int, kind string, roles array<string>, phases array<string>, test string, inside boolean, steps array<string>, op string, operand string, "
     "pattern string, wanted string, days int, since string, by_package boolean"
 )
+#: No two dates are so many days apart.
+DAYS = 10_000_000
 #: Tests of what a pointer finds.
 VALUED = ("present", "compare")
 _READINGS = {"present": "boolean", "num": "double", "whole": "decimal(38,0)", "str": "string", "nested": "string"}
+_DAY = 86_400_000_000
 
 
 @dataclass
@@ -89,7 +92,7 @@ def _question(rule: Rule, instant: str) -> dict[str, Any]:
                 asked["pattern"] = checked_pattern(p["value"])
     elif op == "evidence_freshness":
         base = p.get("reference_date", "validation_time")
-        asked |= {"days": int(p["max_days"]), "by_package": base == "package_time", "since": None if base == "package_time" else (rule.effective_date or instant) if base == "obligation_effective_date" else instant}
+        asked |= {"days": max(-DAYS, min(DAYS, int(p["max_days"]))), "by_package": base == "package_time", "since": None if base == "package_time" else (rule.effective_date or instant) if base == "obligation_effective_date" else instant}
     elif op in ("attachment_exists", "attachment_kind_exists"):
         asked["wanted"] = p.get("media_type") if op == "attachment_exists" else p["attachment_type"]
     elif op == "entity_linked":
@@ -185,14 +188,16 @@ def whole_record(records: DataFrame) -> Column:
 
 
 def _instant(text: Column) -> Column:
-    """(at, aware) of an ISO 8601 date or date and time: the instant, where a text without a zone is read as if in UTC, and
-    whether it has one. at is null if it isn't such a text. The session's zone has no part in it."""
-    text = F.replace(text, F.lit("Z"), F.lit("+00:00"))
-    aware = text.rlike(r"^.{10}.+[+-]\d\d(:?\d\d)?$")
-    zoned = F.when(aware, text).when(F.length(text) <= 10, F.concat(text, F.lit("T00:00:00+00:00"))).otherwise(F.concat(text, F.lit("+00:00")))
-    formed = text.rlike(r"^\d{4}-\d\d-\d\d([T ]\d\d(:\d\d(:\d\d([.,]\d+)?)?)?([+-]\d\d(:?\d\d)?)?)?$")
+    """(at, aware) of an ISO 8601 date or date and time: the instant in microseconds, where a text without a zone is read as
+    if in UTC, and whether it has one. at is null if it isn't such a text. The session's zone has no part in it."""
+    usual = text.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ$")
+    plus = F.replace(text, F.lit("Z"), F.lit("+00:00"))
+    aware = plus.rlike(r"^.{10}.+[+-]\d\d(:?\d\d)?$")
+    zoned = F.when(aware, plus).when(F.length(plus) <= 10, F.concat(plus, F.lit("T00:00:00+00:00"))).otherwise(F.concat(plus, F.lit("+00:00")))
+    formed = plus.rlike(r"^\d{4}-\d\d-\d\d([T ]\d\d(:\d\d(:\d\d([.,]\d+)?)?)?([+-]\d\d(:?\d\d)?)?)?$")
     short = F.regexp_replace(zoned, r"^(.{10})[T ](\d\d)([+-].*)$", "$1T$2:00$3")
-    return F.struct(F.when(formed, F.try_to_timestamp(F.regexp_replace(short, r"([+-]\d\d)(\d\d)$", "$1:$2"))).alias("at"), aware.alias("aware"))
+    full = F.when(usual, text).when(formed, F.regexp_replace(short, r"([+-]\d\d)(\d\d)$", "$1:$2"))
+    return F.struct(F.unix_micros(F.try_to_timestamp(full)).alias("at"), F.when(usual, True).otherwise(aware).alias("aware"))
 
 
 def _answers(atoms: Atoms) -> tuple[Column, Column]:
@@ -231,7 +236,7 @@ def _answers(atoms: Atoms) -> tuple[Column, Column]:
         linked = F.when(a("wanted") == name, F.size(column) > 0).otherwise(linked)
     tests = {
         "has_record_type": F.lit(True), "present": F.col("__v").isNotNull() & ~F.is_variant_null("__v"), "compare": chosen(atoms.ops, a("op"), answers),
-        "evidence_freshness": since.isNull() | (own >= since - F.make_dt_interval(a("days"))),
+        "evidence_freshness": since.isNull() | (own >= since - a("days").cast("long") * _DAY),
         "attachment_exists": F.when(a("wanted").isNull(), F.size("attachments") > 0).otherwise(F.array_contains(F.col("attachments.media_type"), a("wanted"))),
         "attachment_kind_exists": F.array_contains(F.col("attachments.attachment_type"), a("wanted")),
         "entity_linked": linked, "record_attested": F.length("attestation_signature") > 0,
@@ -272,9 +277,9 @@ def answered(records: DataFrame, packages: DataFrame, atoms: Atoms) -> DataFrame
     if atoms.by_package:
         records = records.join(packages.select("package_id", _instant(F.col("package_time")).alias("__package_since")), "package_id", "left")
     else:
-        records = records.withColumn("__package_since", F.lit(None).cast("struct<at:timestamp,aware:boolean>"))
+        records = records.withColumn("__package_since", F.lit(None).cast("struct<at:bigint,aware:boolean>"))
     # instants are read once a record, not for each atom
-    records = records.withColumn("__own", _instant(F.col("timestamp")) if "evidence_freshness" in atoms.tests else F.lit(None).cast("struct<at:timestamp,aware:boolean>"))
+    records = records.withColumn("__own", _instant(F.col("timestamp")) if "evidence_freshness" in atoms.tests else F.lit(None).cast("struct<at:bigint,aware:boolean>"))
     table = atom_table(records.sparkSession, atoms)
     table = table.select("place", F.struct(*[c for c in table.columns if c not in ("place", "kind", "inside", "steps")]).alias("a"))
     rows = _found(records, atoms).join(F.broadcast(table), "place")

@@ -89,6 +89,28 @@ def test_freshness_does_not_depend_on_the_session(spark, zone):
     assert found["no", "package"] == "passed" and found["None", "instant"] == "passed"  # no date to be fresh by, no record
 
 
+def fresh_in(spark, zone, days, stamps):
+    """Outcomes by time and reference date, at an instant thirty days before which the clocks of New York differed."""
+    at = "2024-03-31T00:30:00Z"
+    rules = [Rule("cat", "art-1", base, "evidence_freshness", {"max_days": days, "reference_date": base}) for base in ("validation_time", "package_time")]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        return outcomes(spark, {t: (at, t) for t in stamps}, rules, at)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_days_are_whole_days_where_clocks_change(spark, zone):
+    found = fresh_in(spark, zone, 30, ["2024-03-01T00:30:00Z", "2024-03-01T00:29:59Z"])
+    assert found == {(t, base): outcome for t, outcome in (("2024-03-01T00:30:00Z", "passed"), ("2024-03-01T00:29:59Z", "failed")) for base in ("validation_time", "package_time")}
+
+
+def test_all_dates_are_fresh_for_very_many_days(spark):
+    assert set(fresh_in(spark, "UTC", 10**9, ["2024-03-01T00:30:00Z", "0001-01-01T00:00:00Z"]).values()) == {"passed"}
+
+
 def test_integers_that_doubles_do_not_tell_apart(spark):
     """Atoms with small and large operands, of all kinds, in one plan."""
     big = 1 << 53
