@@ -9,7 +9,10 @@ schema may contain itself; then the depth of the documents, counted once, says h
 Of oneOf, anyOf, contains and items of plain values only the keyword is reported. Each branch, or each element, is
 walked under a condition that the row carries; how many of them failed is counted by condition, from the innermost out.
 Where there are conditions, documents are dealt out by a hash of theirs before the walk, so that one is walked and counted
-in one place: there is one walk, and no shuffle behind it.
+in one place: there is one walk, and no shuffle behind it. A oneOf or anyOf whose branches lead nowhere asks nothing but
+of the value itself, so it is settled where the value is read, without rows of its own.
+
+Rows that say nothing and lead nowhere end before a level's rows are made.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,9 +35,18 @@ _READINGS = ("present", "num", "whole", "str", "nested")
 _CONDITION = "struct<id:int,word:string,branches:array<array<int>>>"
 #: branch: a position among branches or elements; at: the pointer of the value that the condition is about.
 _TRAIL = "array<struct<id:int,at:string,branch:int>>"
+_TYPES = {"string", "boolean", "null", "array", "object", "number", "integer"}
+#: What a state asks of the value itself; names: the members that it has something to say of.
+_OWN = {
+    "never": "boolean", "types": "array<string>", "enum": "array<string>", "const": "string", "pattern": "string", "minimum": "double", "maximum": "double",
+    "min_items": "int", "required": "array<string>", "closed": "boolean", "names": "array<string>",
+}
+#: What says where a state leads to: needed for no more than the rows that lead on.
+_NEXT = ["required", "members", "rest", "elements", "each", "some", "each_id", "some_id", "choices"]
+_BRANCHES = f"array<array<struct<{','.join(f'{n}:{t}' for n, t in _OWN.items())}>>>"
 _STATE = (
-    "state int, never boolean, types array<string>, enum array<string>, const string, pattern string, minimum double, maximum double, min_items int, required array<string>, "
-    f"closed boolean, members map<string,array<int>>, rest array<int>, elements array<int>, each array<int>, some array<int>, each_id int, some_id int, choices array<{_CONDITION}>"
+    f"state int, {', '.join(f'{n} {t}' for n, t in _OWN.items())}, members map<string,array<int>>, rest array<int>, elements array<int>, each array<int>, some array<int>, "
+    f"each_id int, some_id int, choices array<{_CONDITION}>, settled array<struct<word:string,branches:{_BRANCHES}>>"
 )
 
 
@@ -157,18 +171,94 @@ def _measured(out: Automaton) -> None:
     out.levels, out.inner = None if cyclic else longest(lambda _: 1), longest(lambda u: u)
 
 
+def _leading(row: dict) -> list[list[int]]:
+    """The states that a row leads on to under the conditions that it is under itself."""
+    return [xs for xs in (*row["members"].values(), row.get("rest"), row.get("elements")) if xs]
+
+
+def _conditional(row: dict) -> list[list[int]]:
+    """The states that a row leads to under a condition of its own."""
+    return [xs for xs in (row.get("each"), row.get("some"), *(b for _, _, branches in row["choices"] for b in branches)) if xs]
+
+
+def settled(automaton: Automaton) -> Automaton:
+    """The automaton with the oneOf and anyOf that are about the value itself taken out of `choices`, as `settled`.
+
+    A value that comes into one state by two ways has two rows there, whose equal conditions are counted as one. That can't
+    be where no more than one of the states that a value is in leads on; schemas for which this isn't so stay as they are."""
+
+    def at_end(x: int) -> bool:
+        r = automaton.rows[x]
+        return not (_leading(r) or _conditional(r) or r.get("some") is not None or r["choices"])
+
+    rows = [dict(r) for r in automaton.rows]
+    for roots in automaton.roots.values():
+        seen, todo, single = set(), [roots], True
+        while todo:
+            together = todo.pop()
+            single = single and sum(bool(_leading(rows[x])) for x in together) < 2
+            for x in set(together) - seen:
+                seen.add(x)
+                todo += [*_leading(rows[x]), *_conditional(rows[x])]
+        for x in seen if single else ():
+            ends = [c for c in rows[x]["choices"] if all(at_end(y) for b in c[2] for y in b)]
+            rows[x]["settled"] = [(word, [[_own(automaton.rows[y]) for y in b] for b in branches]) for _, word, branches in ends]
+            rows[x]["choices"] = [c for c in rows[x]["choices"] if c not in ends]
+    # what asks nothing, as a state that only refers to another, needs no rows
+    asks = lambda r: r["never"] or r["closed"] or r.get("required") or any(r.get(k) is not None for k in ("types", "enum", "const", "pattern", "minimum", "maximum", "min_items"))
+    idle = {x for x, r in enumerate(rows) if not asks(r) and at_end(x)}
+    kept = lambda xs: xs and [x for x in xs if x not in idle]
+    for r in rows:
+        r["members"] = {k: kept(xs) for k, xs in r["members"].items()}
+        r |= {k: kept(r[k]) for k in ("rest", "elements", "each", "some") if k in r}
+        r["choices"] = [(i, word, [kept(b) for b in branches]) for i, word, branches in r["choices"]]
+    out = Automaton(rows, {name: kept(xs) for name, xs in automaton.roots.items()})
+    _measured(out)
+    return out
+
+
+def _own(row: dict) -> tuple:
+    """What a row asks of the value itself, as _OWN."""
+    known = {**row, "names": list(row["members"]), "types": row.get("types") if _TYPES.issuperset(row.get("types") or ()) else None}
+    return tuple(known.get(n) for n in _OWN)
+
+
 def state_table(spark: SparkSession, automaton: Automaton) -> DataFrame:
     """The states as rows, as many as the schemas on the driver have subschemas."""
     names = [f.name for f in spark.createDataFrame([], _STATE).schema]
-    df = spark.createDataFrame([tuple(r.get(n) for n in names) for r in automaton.rows], _STATE)
+    df = spark.createDataFrame([tuple({**r, **dict(zip(_OWN, _own(r), strict=True))}.get(n) for n in names) for r in automaton.rows], _STATE)
     read = lambda v: F.struct(*[getattr(v, n).alias(n) for n in _READINGS], F.is_variant_null(v.raw).alias("null"))
-    return df.withColumns({"enum": F.transform("enum", lambda t: read(value_of(F.parse_json(t)))), "const": F.when(F.col("const").isNotNull(), F.array(read(value_of(F.parse_json("const")))))})
 
+    def asked(s: Callable[[str], Column]) -> dict[str, Column]:
+        """Constants as readings, and those among them that are strings."""
+        enum, const = F.transform(s("enum"), lambda t: read(value_of(F.parse_json(t)))), F.when(s("const").isNotNull(), F.array(read(value_of(F.parse_json(s("const"))))))
+        texts = {f"{n}_texts": F.array_compact(F.transform(xs, lambda x: x["str"])) for n, xs in (("enum", enum), ("const", const))}
+        return {"enum": enum, "const": const, **texts}
+
+    def branch(x: Column) -> Column:
+        others = [F.coalesce(x["never"] | x["closed"], F.lit(False)), *(x[n].isNotNull() for n in ("types", "enum", "const", "pattern", "min_items")), F.coalesce(F.size(x["required"]), F.lit(0)) > 0]
+        of = {n: x[n] for n in _OWN} | asked(lambda n: x[n]) | {"others": reduce(or_, others)}
+        return F.struct(*[c.alias(n) for n, c in of.items()])
 
-def _depth(text: Column) -> Column:
-    """How deeply objects and arrays lie within each other in a JSON text."""
-    brackets = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"', ""), r"[^\[\]{}]+", "")
-    step = lambda a, c: F.struct((a["now"] + F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)).alias("now"), F.greatest(a["most"], a["now"] + 1).alias("most"))
+    compares = F.exists("settled", lambda c: F.exists(F.flatten(c["branches"]), lambda x: x["enum"].isNotNull() | x["const"].isNotNull()))
+    parsed = F.transform("settled", lambda c: F.struct(c["word"].alias("word"), F.transform(c["branches"], lambda b: F.transform(b, branch)).alias("branches")))
+    has = lambda *xs: F.greatest(*[F.coalesce(F.size(x), F.lit(0)) for x in xs]) > 0
+    df = df.withColumns({
+        **asked(F.col), "settled": parsed, "compares": F.col("enum").isNotNull() | F.col("const").isNotNull() | F.coalesce(compares, F.lit(False)),
+        "of_object": (F.cardinality("members") > 0) | has("rest", "required"), "of_array": has("elements", "each") | F.col("some").isNotNull(), "of_any": F.size("choices") > 0,
+    })
+    return df.select(*[c for c in df.columns if c not in _NEXT or c == "required"], F.struct(*_NEXT).alias("next"))
+
+
+def _brackets(text: Column) -> Column:
+    """The brackets of a JSON text, empty ones in a row as one: as deep as the text, and the same for many texts."""
+    return F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]++|\\.)*+"|[^\[\]{}"]++', ""), r"(?:\{\}|\[\])++", "{}")
+
+
+def _depth(brackets: Column) -> Column:
+    """How deeply objects and arrays lie within each other in a JSON text, by its brackets."""
+    change = lambda c: F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)
+    step = lambda a, c: F.struct((a["now"] + change(c)).alias("now"), F.greatest(a["most"], a["now"] + change(c)).alias("most"))
     return F.aggregate(F.split(brackets, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda a: a["most"])
 
 
@@ -182,10 +272,14 @@ def _read(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("__elements", F.when(F.col("__members").isNull(), F.try_variant_get("v", "$", "array<variant>")))
     plain = F.coalesce(F.schema_of_variant("v"), F.lit("VOID"))
     rows = rows.withColumn("__kind", F.when(F.col("__members").isNotNull(), "OBJECT").when(F.col("__elements").isNotNull(), "ARRAY").otherwise(plain))
-    v, compared = value_of(F.col("v"), F.col("__kind")), F.col("s.enum").isNotNull() | F.col("s.const").isNotNull()
+    v = value_of(F.col("v"), F.col("__kind"))
     readings = {n: getattr(v, n) for n in _READINGS}
-    readings["nested"] = F.when(compared, v.nested)
-    return rows.withColumn("__value", F.struct(*[c.alias(n) for n, c in readings.items()]))
+    readings["nested"] = F.when(F.col("s.compares"), v.nested)
+    leads = (F.col("s.of_object") & (F.col("__kind") == "OBJECT")) | (F.col("s.of_array") & (F.col("__kind") == "ARRAY")) | F.col("s.of_any")
+    rows = rows.withColumns({"__value": F.struct(*[c.alias(n) for n, c in readings.items()]), "__leads": F.coalesce(leads, F.lit(False))})
+    rows = rows.withColumns(_words())
+    # of rows that lead nowhere nothing but what they say is carried further
+    return rows.withColumns({"s": F.when(F.col("__leads"), F.col("s.next")), **{c: F.when(F.col("__leads"), F.col(c)) for c in ("__members", "__elements")}}).drop("__value")
 
 
 _SAID = "struct<word:string,id:int,total:int>"
@@ -199,24 +293,59 @@ def _saying(word: Column, at: Column, i: Column | None = None, total: Column | N
     return F.struct(at.alias("at"), none.alias("state"), F.lit(None).cast("variant").alias("v"), F.col("trail").alias("trail"), said.alias("said"))
 
 
-def _violations() -> list[Column]:
-    """Arrays of rows: what a row's state s says of its value."""
-    s = lambda name: F.col(f"s.{name}")
+def _simple(s: Callable[[str], Column]) -> list[tuple[str, Column]]:
+    """(keyword, whether the value violates it), of what a state asks of the value itself; without lambdas."""
     v, kind, members = Value(*(F.col(f"__value.{n}") for n in _READINGS)), F.col("__kind"), F.col("__members")
     number = _is_number(kind)
-    is_of = lambda t: (
-        F.when(t == "string", kind == "STRING").when(t == "boolean", kind == "BOOLEAN").when(t == "null", kind == "VOID").when(t == "array", kind == "ARRAY")
-        .when(t == "object", kind == "OBJECT").when(t == "number", number).when(t == "integer", number & F.coalesce(v.num == F.floor(v.num), F.lit(False)))
-    )
-    among = lambda xs: F.exists(xs, lambda x: F.when(x["null"], kind == "VOID").otherwise(same(v, Value(*(x[n] for n in _READINGS)))))
-    here = [
-        ("false", s("never")), ("type", s("types").isNotNull() & ~F.exists(s("types"), is_of)), ("enum", s("enum").isNotNull() & ~among(s("enum"))), ("const", s("const").isNotNull() & ~among(s("const"))),
+    name = F.when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind == "VOID", "null").when(kind == "ARRAY", "array").when(kind == "OBJECT", "object").when(number, "number").otherwise("")
+    is_of = F.array_contains(s("types"), name) | (F.array_contains(s("types"), "integer") & number & F.coalesce(v.num == F.floor(v.num), F.lit(False)))
+    return [
+        ("false", s("never")), ("type", ~is_of), *((word, v.str.isNotNull() & ~F.array_contains(s(f"{word}_texts"), v.str)) for word in ("enum", "const")),
         ("pattern", v.str.isNotNull() & ~F.rlike(v.str, s("pattern"))), ("minimum", (v.num < s("minimum")) & (kind != "BOOLEAN")), ("maximum", (v.num > s("maximum")) & (kind != "BOOLEAN")),
-        ("minItems", F.size("__elements") < s("min_items")), ("additionalProperties", s("closed") & F.exists(F.map_keys(members), lambda k: ~F.map_contains_key(s("members"), k))),
+        ("minItems", F.size("__elements") < s("min_items")), ("additionalProperties", s("closed") & (F.size(F.array_except(F.map_keys(members), s("names"))) > 0)),
     ]
-    single = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(word)) for word, bad in here]))
-    absent = F.filter(s("required"), lambda r: (kind == "OBJECT") & ~F.coalesce(F.map_contains_key(members, r), F.lit(False)))
-    return [F.transform(single, lambda w: _saying(w, F.col("at"))), F.transform(absent, lambda r: _saying(F.lit("required"), F.concat(F.col("at"), F.lit("/"), r)))]
+
+
+def _compared(s: Callable[[str], Column]) -> list[tuple[str, Column]]:
+    """As _simple, of constants against values that aren't strings: with lambdas."""
+    v, kind = Value(*(F.col(f"__value.{n}") for n in _READINGS)), F.col("__kind")
+    among = lambda xs: F.exists(xs, lambda x: F.when(x["null"], kind == "VOID").otherwise(same(v, Value(*(x[n] for n in _READINGS)))))
+    return [(word, F.when(v.str.isNull() & s(word).isNotNull(), ~among(s(word)))) for word in ("enum", "const")]
+
+
+def _absent(s: Callable[[str], Column]) -> Column:
+    return F.filter(s("required"), lambda r: (F.col("__kind") == "OBJECT") & ~F.coalesce(F.map_contains_key("__members", r), F.lit(False)))
+
+
+def _words() -> dict[str, Column]:
+    """The keywords that a row's value violates itself, __words with commas between and __more, whose lambdas are only met by
+    rows that need them. They keep both out of the method that the join is compiled to, else that would be too long for the
+    JVM to compile any further."""
+    s = lambda name: F.col(f"s.{name}")
+
+    def fails(asked: Column) -> Column:
+        of = lambda name: asked[name]
+        bad = {word: F.coalesce(one, F.lit(False)) for word, one in (*_simple(of), *((f"{w} of no string", one) for w, one in _compared(of)), ("required", F.size(_absent(of)) > 0))}
+        bounds = bad.pop("minimum") | bad.pop("maximum")
+        return bounds | (of("others") & reduce(or_, bad.values()))
+
+    def unmet(c: Column) -> Column:
+        passed = F.size(F.filter(c["branches"], lambda b: ~F.exists(b, fails)))
+        return F.when(c["word"] == "oneOf", passed != 1).otherwise(passed < 1)
+
+    compared = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(word)) for word, bad in _compared(s)]))
+    choices = F.transform(F.filter("s.settled", unmet), lambda c: c["word"])
+    return {
+        "__words": F.concat_ws(",", *[F.when(F.coalesce(bad, F.lit(False)), word) for word, bad in _simple(s)]),
+        "__more": F.when(F.size("s.settled") > 0, F.concat(compared, choices)).when(s("compares") & F.col("__value.str").isNull(), compared),
+    }
+
+
+def _violations() -> list[Column]:
+    """Arrays of rows: what a row's state s says of its value."""
+    at = F.col("at")
+    words = [F.when(F.col("__words") != "", F.split("__words", ",")), F.col("__more")]
+    return [*(F.transform(x, lambda w: _saying(w, at)) for x in words), F.transform(_absent(lambda name: F.col(f"s.{name}")), lambda r: _saying(F.lit("required"), F.concat(at, F.lit("/"), r)))]
 
 
 def _marks() -> list[Column]:
@@ -255,17 +384,19 @@ def violations(values: DataFrame, schemas: dict[str, Any]) -> DataFrame:
     values has text, the JSON of a value, and schema, the name of the schema it is held against. Texts that aren't JSON
     and names without schema have no violations. Other columns must be scalars, and not named doc, place, word or at.
     """
-    automaton, spark = compiled(schemas), values.sparkSession
+    whole, spark = compiled(schemas), values.sparkSession
+    automaton = settled(whole)
     keep = [c for c in values.columns if c not in ("text", "schema")]
     levels = automaton.levels
     if levels is None:
         # each step goes into the document, but for those to a branch, which are conditions
-        levels = (values.agg(F.max(_depth(F.col("text"))).alias("d")).first().d or 0) + automaton.inner
+        brackets = values.select(_brackets(F.col("text")).alias("b")).distinct()
+        levels = (brackets.agg(F.max(_depth(F.col("b"))).alias("d")).first().d or 0) + automaton.inner
     roots = spark.createDataFrame([(name, x) for name, xs in automaton.roots.items() for x in xs], "schema string, state int")
     table = state_table(spark, automaton)
     table = F.broadcast(table.select("state", F.struct(*[c for c in table.columns if c != "state"]).alias("s")))
     values = values.withColumn("place", F.xxhash64(*keep, "text", "schema"))
-    if automaton.inner:
+    if whole.inner:
         values = values.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "place")
     rows = values.withColumns({"v": F.try_parse_json("text"), "doc": F.monotonically_increasing_id()}).where("v is not null").join(F.broadcast(roots), "schema")
     rows = rows.select(*keep, "place", "doc", F.lit("").alias("at"), "state", "v", F.array().cast(_TRAIL).alias("trail"), F.lit(None).cast(_SAID).alias("said"))
@@ -273,7 +404,7 @@ def violations(values: DataFrame, schemas: dict[str, Any]) -> DataFrame:
     none = F.array().cast(_ROW)
     for level in range(levels + 1):
         parts = [*_violations(), *(_marks() if automaton.inner else []), *(_opened() if level < levels else [])]
-        stepped = F.when(F.col("said").isNotNull(), own).otherwise(F.concat(*[F.coalesce(x.cast(_ROW), none) for x in parts]))
+        stepped = F.when(F.col("said").isNotNull(), own).when(F.col("__leads") | (F.col("__words") != "") | F.coalesce(F.size("__more") > 0, F.lit(False)), F.flatten(F.array(*[F.coalesce(x.cast(_ROW), none) for x in parts]))).otherwise(none)
         rows = _read(rows.join(table, "state", "left")).select(*keep, "place", "doc", F.inline(stepped))
     rows = rows.select(*keep, "place", "doc", "trail", "at", "said.word", "said.id", "said.total")
     if not automaton.inner:

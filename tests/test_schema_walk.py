@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from proofmill.operators.schema_check import problems
-from proofmill.operators.schema_walk import compiled, violations
+from proofmill.operators.schema_walk import _brackets, _depth, compiled, settled, violations
 
 MEMBERS = ["a", "b", "0", "x y"]
 
@@ -98,3 +98,28 @@ def test_conditions_beyond_a_cycle_are_counted(spark):
     }
     assert compiled({"t": schema}).inner == 2
     assert walked(spark, {"t": schema}, [{"b": {"m": {"c": 5}}}, {"b": {"m": {"c": "s"}}}]) == [("t", 0, "oneOf", "")]
+
+
+def test_settled_conditions_find_what_walked_ones_find(spark, monkeypatch):
+    """As many rows too. Where two states of a value lead on to the same one, conditions stay conditions."""
+    to = lambda name: {"$ref": f"#/$defs/{name}"}
+    plain = {"oneOf": [{"minimum": 2}, {"type": ["string", "null"]}, {"enum": [1, [1], "s"]}], "anyOf": [{"type": "object", "required": ["a"], "additionalProperties": False}, {"const": {"a": 1}}, {"type": "array", "minItems": 2}, {"type": "string", "pattern": "^s"}, False]}
+    schemas = {
+        "once": {"properties": {"a": plain, "b": {"items": {"required": ["a"], **plain}}, "0": {"oneOf": [plain, {"type": "string"}]}}, "items": {**plain, "allOf": [{"type": "number"}]}},
+        "twice": {"$defs": {"q": plain, "p": {"properties": {"a": to("q")}}, "r": {"properties": {"a": to("q")}}}, "allOf": [to("p"), to("r")]},
+        "itself": {"$defs": {"n": {"properties": {"b": to("n"), "a": plain}}}, "$ref": "#/$defs/n"},
+    }
+    assert [any(r.get("settled") for r in settled(compiled({n: s})).rows) for n, s in schemas.items()] == [True, False, True]
+    assert (settled(compiled({"t": schemas["itself"]})).inner, compiled({"t": schemas["itself"]}).inner) == (0, 1)
+    rnd = random.Random(5)
+    values = [{"a": 1}, {"a": 1.5}, {"a": "s"}, {"a": {"a": 1}}, {"a": [1]}, {"a": None}, {"b": {"b": {"a": 5}}}, {"b": [{"a": 1}, {}, 3]}, [1, "s", {"a": 1, "b": 2}]] + [value(rnd, 3) for _ in range(30)]
+    found = walked(spark, schemas, values)
+    monkeypatch.setattr("proofmill.operators.schema_walk.settled", lambda automaton: automaton)
+    assert found == walked(spark, schemas, values)
+    assert {(name, word) for name, _, word, _ in found} >= {(name, word) for name in schemas for word in ("oneOf", "anyOf")}
+
+
+def test_depth_is_that_of_the_brackets(spark):
+    texts = {"5": 0, "{}": 1, '{"a": [{}, {"b": "[{\\"["}, []]}': 3, "[[], [[1, [2]]], {}]": 4, '"{["': 0}
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", _depth(_brackets(F.col("t"))).alias("d")).collect()
+    assert {r.t: r.d for r in found} == texts
